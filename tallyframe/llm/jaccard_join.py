@@ -4,8 +4,8 @@ All word shingles stand in one global order: rare ones by hash, frequent ones la
 threshold must share a shingle within their first ``n - ceil(t * n) + 1`` ones, so only these are dealt out by
 shingle. The order is then cut into fragments; the overlap of a candidate pair is counted in each fragment
 separately and the partial counts are summed per pair. Documents with equal sets form one class, represented
-once. A set's partners are first sought among the hubs of its shingles; what these leave in different groups is
-compared in full, so no link that matters to a group is lost, and a group of n near copies costs about n
+once. A set's partners are first sought among two hubs of each of its shingles; whatever these leave in different
+groups is paired in full, so no link that matters to a group is lost, and a group of n near copies costs about n
 comparisons, not n squared.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import staged
+from .storage import discard, staged
 from .textarrays import mix64, pieces, shingle_sets, word_hashes, word_spans
 
 #: Shingles that each task reports, and that all tasks together keep, as frequent. They only shape the order.
@@ -169,9 +169,10 @@ def _verified(pairs: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
     return total.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def _fits(na, nb, pa_, pb, percent: int):
-    """Length and position filter: with the first common shingle at these places the pair can still reach the threshold."""
-    return F.lit(100) * F.least(na - pa_, nb - pb) >= F.lit(percent) * (na + nb - F.least(na - pa_, nb - pb))
+def _second(hubs: DataFrame) -> DataFrame:
+    """(key, node2, n2, place2, ...) of a hub's fields."""
+    names = hubs.schema["hub"].dataType.names
+    return hubs.select("key", *(F.col(f"hub.{c}").alias(c + "2") for c in names))
 
 
 def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
@@ -201,38 +202,37 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = heads.withColumn("low", F.min("node").over(per)).withColumn("high", F.max("node").over(per)).where("low != high")
     shared = staged(shared.select("key", "node", "n", "place").distinct(), "shared")
 
-    def hubs(buckets: DataFrame, salt: int) -> DataFrame:
-        """Pairs of each set with one hub of each of its buckets."""
-        hub = buckets.groupBy("key").agg(F.min_by(F.struct("node", "n", "place"), F.xxhash64("node", F.lit(salt))).alias("hub"))
-        x = buckets.join(hub, "key").where("node != hub.node")
-        return pairs_of(x, F.col("hub.node"), F.col("hub.n"), F.col("hub.place"))
-
-    def pairs_of(x: DataFrame, other, n, place) -> DataFrame:
-        x = x.where(_fits(F.col("n"), n, F.col("place"), place, percent))
-        swap = F.col("node") < other
-        return x.select(F.when(swap, F.col("node")).otherwise(other).alias("a"), F.when(swap, other).otherwise(F.col("node")).alias("b"), F.when(swap, F.col("n")).otherwise(n).cast("long").alias("na"), F.when(swap, n).otherwise(F.col("n")).cast("long").alias("nb")).distinct()
-
-    in_buckets = shared.select("node").distinct()
-    wanted = spark.sparkContext.broadcast(_bitmap(reps.join(in_buckets, "node", "left_semi").select("rep")))
-    segs = docs.where("id is not null and text is not null").mapInArrow(_segments(words, wanted, order), "id long, fragment int, seg array<long>")
-    segs = staged(segs.join(reps.select("node", F.col("rep").alias("id")), "id").dropDuplicates(["node", "fragment"]), "segments")
-
-    linked = staged(_verified(hubs(shared, 1), segs, percent), "linked")
-    for salt in (2, 3, 0):  # twice more by hubs of what is still apart, then all that is apart
-        comp = connected_components(linked)
-        named = shared.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-        named = staged(named.join(mixed, "key", "left_semi"), "apart")
-        if salt:
-            one = named.groupBy("key", "component").agg(F.min_by(F.struct("node", "n", "place"), F.xxhash64("node", F.lit(salt))).alias("x")).select("key", "component", "x.*")
-            hub = one.groupBy("key").agg(F.min_by(F.struct("component", "node", "n", "place"), F.xxhash64("node", F.lit(salt))).alias("hub"))
-            x = named.join(hub, "key").where("component != hub.component")
-            pairs = pairs_of(x, F.col("hub.node"), F.col("hub.n"), F.col("hub.place"))
-        else:
-            other = named.select("key", F.struct("component", "node", "n", "place").alias("hub"))
-            x = named.join(other, "key").where("component < hub.component")
-            pairs = pairs_of(x, F.col("hub.node"), F.col("hub.n"), F.col("hub.place"))
-        linked = staged(linked.unionByName(_verified(pairs, segs, percent)).distinct(), "linked")
+    def candidates(x: DataFrame) -> DataFrame:
+        """Pairs of rows that share keys, less those that can't reach the threshold: what the first common shingle leaves
+        bounds the overlap, and so do the common first shingles plus the longer rest."""
+        x = x.where((F.lit(100) * F.least("n", "n2") >= F.lit(percent) * F.greatest("n", "n2")) & (F.col("node") != F.col("node2")))
+        left = F.col("node") < F.col("node2")
+        side = lambda p, q: F.when(left, F.col(p)).otherwise(F.col(q))
+        x = x.select(side("node", "node2").alias("a"), side("node2", "node").alias("b"), side("n", "n2").cast("long").alias("na"), side("n2", "n").cast("long").alias("nb"), side("place", "place2").alias("ia"), side("place2", "place").alias("ib"))
+        x = x.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.min("ia").alias("ia"), F.min("ib").alias("ib"))
+        rest = lambda n: F.floor((F.lit(percent) * n + 99) / 100) - 1
+        most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"), F.col("c") + F.greatest(rest(F.col("na")), rest(F.col("nb"))))
+        return staged(x.where(F.lit(100) * most >= F.lit(percent) * (F.col("na") + F.col("nb") - most)).select("a", "b", "na", "nb"), "candidates")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        ends = reps.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "rep")
+        wanted = spark.sparkContext.broadcast(_bitmap(ends.select("rep")))
+        segs = docs.where("id is not null and text is not null").mapInArrow(_segments(words, wanted, order), "id long, fragment int, seg array<long>")
+        segs = staged(segs.join(ends.withColumnRenamed("rep", "id"), "id").dropDuplicates(["node", "fragment"]), "segments")
+        linked = staged(_verified(pairs, segs, percent), "linked")
+        discard(segs)
+        return linked
+
+    hub = lambda k: F.min_by(F.struct("node", "n", "place"), F.xxhash64("node", F.lit(k)))
+    hubs = shared.groupBy("key").agg(F.array(hub(1), hub(2)).alias("hubs")).select("key", F.explode(F.array_distinct("hubs")).alias("hub"))
+    linked = links(candidates(shared.join(_second(hubs), "key")))
+    comp = connected_components(linked)
+    named = shared.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+    named = staged(named.join(mixed, "key", "left_semi"), "apart")
+    discard(shared)
+    other = _second(named.select("key", F.struct("node", "n", "place", "component").alias("hub")))
+    linked = linked.unionByName(links(candidates(named.join(other, "key").where("component < component2"))))
 
     comp = connected_components(linked)
     classes = reps.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
