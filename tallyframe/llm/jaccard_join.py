@@ -215,7 +215,8 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return staged(x.where(F.lit(100) * most >= F.lit(percent) * (F.col("na") + F.col("nb") - most)).select("a", "b", "na", "nb"), "candidates")
 
     def links(pairs: DataFrame) -> DataFrame:
-        ends = reps.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "rep")
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        ends = reps.join(ends, "node", "left_semi").select("node", "rep")
         wanted = spark.sparkContext.broadcast(_bitmap(ends.select("rep")))
         segs = docs.where("id is not null and text is not null").mapInArrow(_segments(words, wanted, order), "id long, fragment int, seg array<long>")
         segs = staged(segs.join(ends.withColumnRenamed("rep", "id"), "id").dropDuplicates(["node", "fragment"]), "segments")
@@ -223,8 +224,12 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         discard(segs)
         return linked
 
-    hub = lambda k: F.min_by(F.struct("node", "n", "place"), F.xxhash64("node", F.lit(k)))
-    hubs = shared.groupBy("key").agg(F.array(hub(1), hub(2)).alias("hubs")).select("key", F.explode(F.array_distinct("hubs")).alias("hub"))
+    # Of a group of near copies, the text that they were made from shares the largest part of its shingles.
+    central = shared.groupBy("node").agg(F.count("*").alias("held"))
+    weighed = shared.join(central, "node").withColumn("weight", F.struct(F.col("held") / F.col("n"), F.xxhash64("node")))
+    row = F.struct("node", "n", "place")
+    hubs = weighed.groupBy("key").agg(F.array(F.max_by(row, "weight"), F.min_by(row, F.xxhash64("node"))).alias("hubs"))
+    hubs = hubs.select("key", F.explode(F.array_distinct("hubs")).alias("hub"))
     linked = links(candidates(shared.join(_second(hubs), "key")))
     comp = connected_components(linked)
     named = shared.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
