@@ -12,6 +12,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import token_id_files
+
+    return token_id_files(_table(spark, sf_dir, "documents"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import document_pieces, packed_sequences
+
+    return packed_sequences(document_pieces(_table(spark, sf_dir, "documents")))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import ngram_groups
 
@@ -19,5 +31,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_token_id_files": op5_token_id_files,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
