@@ -21,6 +21,25 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no address; their source stands for the host, and a text may itself be markup."""
+    from .language_id import declared_in, identified, train_languages
+
+    docs = _table(spark, sf_dir, "documents")
+    found = identified(docs.drop("lang"), train_languages(docs), host=F.col("source"), declared=declared_in(F.col("text")))
+    return found.select("doc_id", "language", "confidence", "evidence", "accepted")
+
+
+def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The languages of web pages, with all four kinds of evidence; the text models are those of the documents."""
+    from .language_id import declared_in, host_of, identified, suffix_of, train_languages
+
+    model = train_languages(_table(spark, sf_dir, "documents"))
+    host = host_of(F.col("url"))
+    found = identified(_table(spark, sf_dir, "pages"), model, "html", host, suffix_of(host), declared_in(F.col("html")))
+    return found.select("page_id", "language", "confidence", "evidence", "accepted")
+
+
 def op5_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import token_id_files
 
@@ -41,6 +60,8 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op4_language_id": op4_language_id,
+    "pages_language_id": pages_language_id,
     "op5_token_id_files": op5_token_id_files,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
