@@ -46,6 +46,12 @@ def op5_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_files(_table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import main_texts
+
+    return main_texts(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import document_pieces, packed_sequences
 
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "pages_language_id": pages_language_id,
     "op5_token_id_files": op5_token_id_files,
+    "op6_html_extraction": op6_html_extraction,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
