@@ -3,11 +3,11 @@
 #: Words and distinct five-word shingles of every document.
 _SHINGLES = r"""
 words as (
-  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as w
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
   from documents),
 sets as (
   select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
-    else list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) end as s
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s
   from words)"""
 
 _OP10 = f"""
@@ -22,4 +22,15 @@ reach(doc_id, other) as (select doc_id, doc_id from documents union select r.doc
 select s.doc_id, cast(len(s.s) as bigint) as n_shingles, min(r.other) as component_id
 from sets s join reach r on r.doc_id = s.doc_id group by 1, 2"""
 
-ORACLE_SQL: dict[str, str] = {"op10_ngram_jaccard_join": _OP10}
+_OP8 = """
+with fit as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as x from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+flat as (select vec_id, unnest(x) as c, generate_subscripts(x, 1) as i from fit),
+scores as (
+  select q.vec_id as query_id, b.vec_id as vec_id, cast(sum(q.c * b.c) as bigint) as score
+  from flat q join flat b on q.i = b.i and q.vec_id % 50 = 0 and q.vec_id <> b.vec_id group by 1, 2)
+select query_id, cast(rank as integer) as rank, vec_id, score from (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scores) where rank <= 5"""
+
+ORACLE_SQL: dict[str, str] = {"op8_exact_topk_search": _OP8, "op10_ngram_jaccard_join": _OP10}

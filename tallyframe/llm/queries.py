@@ -58,6 +58,13 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_sequences(document_pieces(_table(spark, sf_dir, "documents")))
 
 
+def op8_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import quantised, top_k
+
+    vectors = quantised(_table(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.where(F.col("id") % 50 == 0), k=5)
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import ngram_groups
 
@@ -71,5 +78,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_id_files": op5_token_id_files,
     "op6_html_extraction": op6_html_extraction,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_exact_topk_search": op8_exact_topk_search,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
