@@ -65,6 +65,12 @@ def op8_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where(F.col("id") % 50 == 0), k=5)
 
 
+def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc_zip import warc_round_trip
+
+    return warc_round_trip(_table(spark, sf_dir, "pages")).drop("url", "payload")
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import ngram_groups
 
@@ -79,5 +85,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_html_extraction": op6_html_extraction,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_exact_topk_search": op8_exact_topk_search,
+    "op9_warc_zip": op9_warc_zip,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
