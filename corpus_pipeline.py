@@ -1,13 +1,63 @@
-"""Corpus pipeline: a chain of filtering and rewriting stages over ``documents``."""
+"""Corpus pipeline: a chain of filtering and rewriting stages over ``documents``.
+
+Language ID rejects documents without an accepted language; of each group of near copies one document stays; documents
+with benchmark passages go; personal data are replaced; what is left is packed into sequences. A stage returns the
+columns of its documents, but for the last, which returns the packed pieces.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyframe.llm.decontaminate import contaminated
+from tallyframe.llm.jaccard_join import ngram_groups
+from tallyframe.llm.language_id import declared_in, identified, train_languages
+from tallyframe.llm.packing import document_pieces, packed_sequences
+from tallyframe.llm.pii import sanitised
+
+
+def accepted_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is certain enough. The text models are fitted on the documents' own ``lang``."""
+    found = identified(docs, train_languages(docs), host=F.col("source"), declared=declared_in(F.col("text")))
+    return found.where("accepted").select(docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group that near copies connect; those without an id stay."""
+    groups = ngram_groups(docs)
+    others = groups.where("component_id != doc_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no item of the benchmark is found."""
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in their texts replaced and ``n_chars`` counted anew."""
+    clean = sanitised(docs)
+    return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences."""
+    return packed_sequences(document_pieces(docs))
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", accepted_languages),
+    ("near_duplicates", one_of_each_group),
+    ("decontamination", without_benchmark),
+    ("pii", without_personal_data),
+    ("packing", packed),
+]
 
+#: The stages hold trained models, a singular value decomposition and a tokenizer, none of which SQL can express.
 ORACLE_SQL: str | None = None
 
 
