@@ -25,6 +25,8 @@ from .textarrays import mix64, pieces, shingle_sets, word_hashes, word_spans
 
 #: Shingles that each task reports, and that all tasks together keep, as frequent. They only shape the order.
 FREQUENT_PER_TASK, FREQUENT = 4096, 65536
+#: Tables of nodes or pairs of up to so many rows (of at most 32 bytes) are broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 1_000_000
 #: Cuts of the global order; the frequent shingles at its end are one more fragment.
 FRAGMENTS = 4
 _CUTS = np.array([k * (1 << 64) // FRAGMENTS for k in range(1, FRAGMENTS)], np.uint64)
@@ -118,7 +120,7 @@ def _heads(words: int, percent: int, order: Broadcast):
 
 
 def _segments(words: int, wanted: Broadcast, order: Broadcast):
-    """Rows (id, node, fragment, shingles) of the documents whose id may be wanted."""
+    """Rows (id, node, fragment, shingles) of the documents whose id may be wanted; a batch tells each set once."""
 
     def run(batches):
         bits, often = wanted.value, order.value[0]
@@ -127,17 +129,22 @@ def _segments(words: int, wanted: Broadcast, order: Broadcast):
             at = mix64(ids.astype(np.int64).astype(np.uint64)) % np.uint64(len(bits) * 8)
             keep = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
             batch = batch.filter(pa.array(keep.astype(bool)))
-            out = ([], [], [])
+            out, seen = ([], [], [], []), set()
             for i, u in _sets(batch, words):
+                node = _node(u)
+                if (i, node) in seen:
+                    continue
+                seen.add((i, node))
                 last = np.isin(u, often) if len(often) else np.zeros(len(u), bool)
                 rare = u[~last].astype(np.int64)
                 cut = np.searchsorted(u[~last], _CUTS)
                 for f, seg in enumerate([*np.split(rare, cut), u[last].astype(np.int64)]):
                     if len(seg):
-                        out[0].append(i), out[1].append(f), out[2].append(seg)
-            flat = np.concatenate(out[2]) if out[2] else np.zeros(0, np.int64)
-            off = np.concatenate([[0], np.cumsum([len(x) for x in out[2]])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], ["id", "fragment", "seg"])
+                        for column, value in zip(out, (i, node, f, seg), strict=True):
+                            column.append(value)
+            flat = np.concatenate(out[3]) if out[3] else np.zeros(0, np.int64)
+            off = np.concatenate([[0], np.cumsum([len(x) for x in out[3]])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], ["id", "node", "fragment", "seg"])
 
     return run
 
@@ -164,15 +171,20 @@ def _verified(pairs: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb) that reach the threshold: partial overlaps by fragment, summed per pair."""
     one = segs.select(F.col("node").alias("a"), "fragment", F.col("seg").alias("sa"))
     two = segs.select(F.col("node").alias("b"), "fragment", F.col("seg").alias("sb"))
-    partial = pairs.join(one, "a").join(two, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("c"))
+    partial = _sized(pairs).join(one, "a").join(two, ["b", "fragment"]).select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("sa", "sb")).alias("c"))
+    partial = partial.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("c").alias("c"))  # rows that repeat have repeated segments
     total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("both"))
     return total.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def _second(hubs: DataFrame) -> DataFrame:
-    """(key, node2, n2, place2, ...) of a hub's fields."""
-    names = hubs.schema["hub"].dataType.names
-    return hubs.select("key", *(F.col(f"hub.{c}").alias(c + "2") for c in names))
+def _sized(df: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, marked for broadcast if it is short enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _second(rows: DataFrame, field: str) -> DataFrame:
+    """(node, n, place, node2, n2, place2): each row with what the struct ``field`` holds."""
+    return rows.select("node", "n", "place", *(F.col(f"{field}.{c}").alias(c + "2") for c in ("node", "n", "place")))
 
 
 def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
@@ -214,30 +226,50 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"), F.col("c") + F.greatest(rest(F.col("na")), rest(F.col("nb"))))
         return staged(x.where(F.lit(100) * most >= F.lit(percent) * (F.col("na") + F.col("nb") - most)).select("a", "b", "na", "nb"), "candidates")
 
+    def apart(x: DataFrame) -> DataFrame:
+        """Pairs of rows of different components that share keys. At their first common shingle, what either set has from
+        there on bounds the overlap: a row at which that is too little can't be a linking pair's first one, and is
+        dropped. Then the common first shingles of the pairs left are counted in full."""
+        other = x.select("key", *(F.col(c).alias(c + "2") for c in ("node", "n", "place", "component")))
+        left = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
+        enough = F.lit(100 + percent) * left >= F.lit(percent) * (F.col("n") + F.col("n2"))
+        met = x.join(other, "key").where((F.col("component") < F.col("component2")) & enough)
+        first = F.col("node") < F.col("node2")
+        side = lambda p, q: F.when(first, F.col(p)).otherwise(F.col(q))
+        pairs = met.select(side("node", "node2").alias("a"), side("node2", "node").alias("b"), side("n", "n2").cast("long").alias("na"), side("n2", "n").cast("long").alias("nb"))
+        pairs = staged(pairs.distinct(), "pairs")
+        keys = x.select("node", "key")
+        both = _sized(pairs).join(keys.withColumnRenamed("node", "a"), "a").join(keys.withColumnRenamed("node", "b"), ["b", "key"])
+        both = both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+        rest = lambda n: F.floor((F.lit(percent) * n + 99) / 100) - 1
+        most = F.col("c") + F.greatest(rest(F.col("na")), rest(F.col("nb")))
+        return staged(both.where(F.lit(100 + percent) * most >= F.lit(percent) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb"), "candidates")
+
     def links(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        ends = reps.join(ends, "node", "left_semi").select("node", "rep")
-        wanted = spark.sparkContext.broadcast(_bitmap(ends.select("rep")))
-        segs = docs.where("id is not null and text is not null").mapInArrow(_segments(words, wanted, order), "id long, fragment int, seg array<long>")
-        segs = staged(segs.join(ends.withColumnRenamed("rep", "id"), "id").dropDuplicates(["node", "fragment"]), "segments")
+        ends = staged(reps.join(ends, "node", "left_semi").select("node", F.col("rep").alias("id")), "ends")
+        wanted = spark.sparkContext.broadcast(_bitmap(ends.select("id")))
+        segs = docs.where("id is not null and text is not null").mapInArrow(_segments(words, wanted, order), "id long, node long, fragment int, seg array<long>")
+        segs = staged(segs.join(_sized(ends), ["id", "node"], "left_semi").select("node", "fragment", "seg"), "segments")
         linked = staged(_verified(pairs, segs, percent), "linked")
         discard(segs)
         return linked
 
     # Of a group of near copies, the text that they were made from shares the largest part of its shingles.
-    central = shared.groupBy("node").agg(F.count("*").alias("held"))
-    weighed = shared.join(central, "node").withColumn("weight", F.struct(F.col("held") / F.col("n"), F.xxhash64("node")))
+    central = _sized(staged(shared.groupBy("node").agg(F.count("*").alias("held")), "central"))
+    weight = F.struct(F.col("held") / F.col("n"), F.xxhash64("node"))
     row = F.struct("node", "n", "place")
-    hubs = weighed.groupBy("key").agg(F.array(F.max_by(row, "weight"), F.min_by(row, F.xxhash64("node"))).alias("hubs"))
-    hubs = hubs.select("key", F.explode(F.array_distinct("hubs")).alias("hub"))
-    linked = links(candidates(shared.join(_second(hubs), "key")))
-    comp = connected_components(linked)
+    hubs = shared.join(central, "node").select("key", "node", "n", "place", weight.alias("weight"))
+    hubs = hubs.select("key", "node", "n", "place", F.max_by(row, "weight").over(per).alias("hub"), F.min_by(row, F.xxhash64("node")).over(per).alias("other"))
+    hubs = staged(hubs.select("node", "n", "place", "hub", F.when(F.col("other.node") != F.col("hub.node"), F.col("other")).alias("other")), "hubs")
+    linked = links(candidates(_second(hubs, "hub").unionByName(_second(hubs.where("other is not null"), "other"))))
+    discard(hubs)
+    comp = _sized(staged(connected_components(linked), "components"))
     named = shared.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    named = staged(named.join(mixed, "key", "left_semi"), "apart")
+    named = named.withColumn("low", F.min("component").over(per)).withColumn("high", F.max("component").over(per)).where("low != high")
+    named = staged(named.drop("low", "high"), "apart")
     discard(shared)
-    other = _second(named.select("key", F.struct("node", "n", "place", "component").alias("hub")))
-    linked = linked.unionByName(links(candidates(named.join(other, "key").where("component < component2"))))
+    linked = linked.unionByName(links(apart(named)))
 
     comp = connected_components(linked)
     classes = reps.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
