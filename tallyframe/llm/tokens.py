@@ -2,7 +2,8 @@
 
 A byte-level BPE cuts a text into stretches before it merges anything, and a single space always opens a new one.
 A stretch without white space at its ends therefore has the same ids in every text, and is encoded once per worker.
-Texts in which white space stands otherwise (doubled, leading, trailing, or next to a line end) are encoded whole.
+So does a single line end between two others. Texts in which white space stands otherwise (doubled, leading, trailing,
+or beside a line end) are encoded whole.
 """
 
 from __future__ import annotations
@@ -41,65 +42,65 @@ class Encoder:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: Iterable[bytes]) -> list[bytes]:
-        cut = [t.split(b" ") for t in texts]
+        texts = list(texts)
+        # A single line end is a token of its own before a stretch without a space: it opens a stretch, too.
+        cut = [t.replace(b"\n", b" \n").split(b" ") if b"\n" in t else t.split(b" ") for t in texts]
         for c in cut:
             c[0] = b" " + c[0]  # no other stretch holds a space: this one has none before it
-        out: list[bytes | None] = []
-        unknown: set[bytes] = set()
-        get = self.memory.get
-        for c in cut:
-            ids = list(map(get, c))
-            if None in ids:
-                unknown.update(s for s, i in zip(c, ids, strict=True) if i is None)
-                out.append(None)
-            else:
-                out.append(b"".join(ids))
-        if unknown:
-            extra = self.learn(unknown)
-            known = self.memory
-            for k, c in enumerate(cut):
-                if out[k] is None:
-                    try:
-                        out[k] = b"".join([known[s] if s in known else extra[s] for s in c])
-                    except KeyError:  # white space that runs over a cut
-                        out[k] = self.whole([b" ".join([c[0][1:], *c[1:]]).decode()])[0]
-            if len(self.memory) > REMEMBERED:
-                self.memory.clear()
+        known = self.memory
+        unknown = set().union(*cut).difference(known)
+        extra = self.learn(unknown) if unknown else ()
+        out = []
+        get = known.__getitem__
+        for t, c in zip(texts, cut, strict=True):
+            try:
+                out.append(b"".join(map(get, c)))
+            except KeyError:  # white space that runs over a cut
+                out.append(self.whole([t.decode()])[0])
+        for s in extra:
+            del known[s]
+        if len(known) > REMEMBERED:
+            known.clear()
         return out
 
-    def learn(self, unknown: set[bytes]) -> dict[bytes, bytes]:
+    def learn(self, unknown: set[bytes]) -> list[bytes]:
         """Encode new stretches; those too long to remember are returned. Odd white space is left out."""
-        lines: list[bytes] = []
+        lines: list[str] = []
+        keys: list[bytes] = []
         alone: list[bytes] = []
         joined: list[tuple[bytes, bytes, bytes]] = []
         parts: set[bytes] = set()
+        known = self.memory
         for s in unknown:
             # Marks that end a stretch after a letter are merged by themselves: the word before is often known.
             stem = s.rstrip(_MARKS)
-            if len(stem) < len(s) <= LONGEST and stem[-4:].decode(errors="ignore")[-1:].isalpha():
+            if len(stem) < len(s) <= LONGEST and (97 <= stem[-1] <= 122 if stem and stem[-1] < 128 else stem[-4:].decode(errors="ignore")[-1:].isalpha()):
                 tail = b" " + s[len(stem) :]
                 joined.append((s, stem, tail))
-                parts.update((stem, tail))
+                parts.add(stem)
+                parts.add(tail)
         if joined:
-            unknown = unknown.difference([s for s, _, _ in joined]) | {p for p in parts if p not in self.memory}
+            unknown = unknown.difference([s for s, _, _ in joined]) | parts.difference(known)
         for s in unknown:
-            body = s[1:] if s[:1] == b" " else s
-            text = body.decode()
+            open_ = s[:1] in (b" ", b"\n")
+            text = (s[1:] if open_ else s).decode()
             if s == b" ":
-                self.memory[s] = b""  # the start of an empty text
+                known[s] = b""  # the start of an empty text
             elif not text or text != text.strip():
                 continue
-            elif s is not body or len(s) > LONGEST or "\n" in text or not text.isprintable():
+            elif len(s) > LONGEST or not text.isprintable():
                 alone.append(s)
             else:
-                lines.append(s)
-        extra = {}
-        for s, ids in zip(alone, self.whole([s[1:].decode() if s[:1] == b" " else " " + s.decode() for s in alone]), strict=True):
-            (extra if len(s) > LONGEST else self.memory)[s] = ids
+                lines.append(text if open_ else " " + text)
+                keys.append(s)
         end = self.tokenizer.token_to_id("Ċ")
+        raw_end = np.array([end], self.dtype).tobytes()
+        starts = [t[1:].decode() if t[:1] in (b" ", b"\n") else " " + t.decode() for t in alone]
+        for s, ids in zip(alone, self.whole(starts) if starts else (), strict=True):
+            known[s] = raw_end + ids if s[:1] == b"\n" else ids
         for k in range(0, len(lines), 4000):
-            block = lines[k : k + 4000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(" " + s.decode() for s in block)], add_special_tokens=False)[0].ids, self.dtype)
+            block = keys[k : k + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(lines[k : k + 4000])], add_special_tokens=False)[0].ids, self.dtype)
             at = np.flatnonzero(ids == end)
             if len(at) + 1 != len(block):
                 raise ValueError("the vocabulary's line end isn't one token of its own")
@@ -107,11 +108,11 @@ class Encoder:
             a = [0, *((at + 1) * w).tolist()]
             z = [*(at * w).tolist(), len(raw)]
             for s, i, j in zip(block, a, z, strict=True):
-                self.memory[s] = raw[i:j]
+                known[s] = raw_end + raw[i:j] if s[:1] == b"\n" else raw[i:j]
         for s, stem, tail in joined:
-            if stem in self.memory:
-                self.memory[s] = self.memory[stem] + self.memory[tail]
-        return extra
+            if stem in known:
+                known[s] = known[stem] + known[tail]
+        return [s for s in alone if len(s) > LONGEST]
 
 
 def encoder(path: str) -> Encoder:
