@@ -31,8 +31,9 @@ ITEM_BLOCK, LEAST_WORDS = 20_000, 5
 #: Cosine of a candidate; part of an item's weight in common for a copy and for a paraphrase; words of an answer and
 #: the part of their weight that a paraphrase has.
 COSINE, COPY, PARAPHRASE, ANSWER, ANSWERED = 0.25, 0.8, 0.5, 6, 0.6
-_WORD = np.ones(256, bool)
-_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+#: Bytes that stand between words: all but letters, digits and those of other alphabets.
+_BETWEEN = np.ones(256, bool)
+_BETWEEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _TERM_BLOCK = 1024
 
 
@@ -41,7 +42,8 @@ def _words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     for row, _, body, off in pieces(column):
         low = body.copy()
         low[1:] += np.uint8(0x20) * ((body[:-1] == 0xC3) & (body[1:] >= 0x80) & (body[1:] <= 0x9E) & (body[1:] != 0x97))
-        starts, ends, first = word_spans(low, off, _WORD)
+        low[_BETWEEN[low]] = 32
+        starts, ends, first = word_spans(low, off)
         yield row, word_hashes(low, starts, ends), first
 
 
