@@ -30,7 +30,9 @@ WINDOW = 64
 #: Different contexts in which a term must stand with an entity before the corpus is taken to know it, and the part of
 #: an entity's information content that a term may say.
 LEAST_CONTEXTS, ALPHA = 4, 1.25
-#: Disclosing terms of up to so many rows are broadcast.
+#: Up to so many terms are looked for in the corpus by a list; more are taken from the counts of all words.
+LISTED_TERMS = 10_000
+#: Texts with disclosing terms, of up to so many rows, are broadcast.
 BROADCAST_TERMS = 50_000
 #: Replacements of the kinds; a generalised term becomes ``TERM``, a removed one goes.
 REPLACEMENTS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "removed": ""}
@@ -120,20 +122,25 @@ def _disclosing(docs: DataFrame, contexts: DataFrame, id_col: str, text_col: str
     entities = staged(entities.select("entity", "de"), "entities")
     pairs = contexts.join(entities.select("entity"), "entity", "left_semi").select("id", "entity", F.xxhash64("terms").alias("context"), F.explode("terms").alias("term"))
     pairs = pairs.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("id").alias("both")).where(F.col("contexts") >= least_contexts)
-    pairs = staged(pairs.join(entities, "entity"), "pairs")
+    # At least the documents in whose contexts a term stands have it, which bounds what it can say: common words need no
+    # count over the corpus.
+    seen = contexts.select("id", F.explode("terms").alias("term")).groupBy("term").agg(F.countDistinct("id").alias("least_dt"))
+    total = docs.select(id_col).where(F.col(id_col).isNotNull()).distinct().count()
+    ic = F.log2(F.lit(float(max(total, 1))) / F.col("de"))
+    at_most = F.log2(F.col("both") * F.lit(float(max(total, 1))) / (F.col("least_dt") * F.col("de")))
+    pairs = pairs.join(entities, "entity").join(seen, "term").where((ic > 0) & (at_most >= ic / alpha)).drop("least_dt")
+    pairs = staged(pairs, "pairs")
     known = staged(pairs.select("term").distinct(), "known")
     count = known.count()
     if count == 0:
         return pairs.select("entity", "term", "contexts", F.lit(0.0).alias("pmi"), F.lit(0.0).alias("ic"))
     each = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.explode(F.array_distinct(_terms(F.col(text_col).cast("string")))).alias("term"))
-    if count <= BROADCAST_TERMS:
-        each = each.join(F.broadcast(known), "term", "left_semi")
+    if count <= LISTED_TERMS:
+        each = each.where(F.col("term").isin([r.term for r in known.collect()]))
     frequency = each.groupBy("term").agg(F.countDistinct("id").alias("dt")).join(known, "term", "left_semi")
-    total = docs.select(id_col).where(F.col(id_col).isNotNull()).distinct().count()
-    pmi = F.log2(F.col("both") * F.lit(float(total)) / (F.col("dt") * F.col("de")))
-    ic = F.log2(F.lit(float(total)) / F.col("de"))
+    pmi = F.log2(F.col("both") * F.lit(float(max(total, 1))) / (F.col("dt") * F.col("de")))
     said = pairs.join(frequency, "term").select("entity", "term", "contexts", pmi.alias("pmi"), ic.alias("ic"))
-    return staged(said.where((F.col("ic") > 0) & (F.col("pmi") >= F.col("ic") / alpha)), "disclosing")
+    return staged(said.where(F.col("pmi") >= F.col("ic") / alpha), "disclosing")
 
 
 def _term_spans(text: Column, terms: Column, base: Column) -> Column:
