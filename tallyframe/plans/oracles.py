@@ -125,7 +125,7 @@ _FACTOR_SQL = {
     "vol_dryup": f"coalesce(({_roll('sum', '(volume * (fast_spread <= 0.0028)::int)', 8, 1)}) / nullif({_roll('sum', '(fast_spread <= 0.0028)::int', 8, 1)}, 0), {_roll('avg', 'volume', 8, 1)}) / nullif({_roll('avg', 'volume', 48, 24, 8)}, 0)",
 }
 
-_r = lambda e, name: f"round({e}, 6) as {name}"
+_r = lambda e, name: f"round({e}, 6) + 0.0 as {name}"
 
 ORACLE_SQL: dict[str, str] = {
     "bars_1h": f"with {BARS} select symbol, open_time, open, high, low, close, volume, bar_i from bars",

@@ -24,7 +24,7 @@ def _bars(spark: SparkSession, d: str, width: str = "1 hour") -> DataFrame:
 
 
 def _rounded(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    return df.select(*keys, *(F.round(n, 6).alias(n) for n in names))
+    return df.select(*keys, *((F.round(n, 6) + 0.0).alias(n) for n in names))  # no negative zeros
 
 
 def bars_1h(spark, d):

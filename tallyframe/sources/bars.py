@@ -70,7 +70,7 @@ def read_series(spark: SparkSession, paths: str | list[str], blocked: DataFrame
     last file by name, then the last by time stamp, stays. Values that can't be read count as missing. ``blocked`` holds
     the base symbols (column ``base``) to leave out.
     """
-    raw = spark.read.schema(RAW).option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE").csv(paths)
+    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(paths)
     named = raw.withColumn("file", F.col("_metadata.file_name"))
     part = lambda k: F.regexp_extract("file", r"^(?:([a-z]+)_)?(.+?)_([0-9]+[mH])(?:_([0-9]+))?\.csv$", k)
     number = lambda c: F.col(c).try_cast("double")
