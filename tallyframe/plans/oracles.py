@@ -102,6 +102,7 @@ helped as (
     sum(coalesce(sign(close - p1), 0) * volume) over (partition by symbol order by bar_i) as obv
   from (select *, {_lag('close', 1)} as p1 from enriched))
 select symbol, bar_i, {{columns}} from helped"""
+_C10 = "over (partition by symbol order by bar_i rows between 9 preceding and current row)"
 _C20 = "over (partition by symbol order by bar_i rows between 19 preceding and current row)"
 _FACTOR_SQL = {
     "rev5": f"-(close / nullif({_lag('close', 5)}, 0) - 1)",
@@ -167,6 +168,16 @@ peaks as (select *, greatest(10, max(equity) over (partition by symbol order by
 select symbol, count(*) as n_trades, round(sum(net), 4) as net_total, round(sum(net) / 10, 4) as net_on_capital, round(avg(net), 5) as mean_net, round(avg((net > 0)::int::double), 4) as win_rate,
   round(case when sum(net) filter (net < 0) < 0 then coalesce(sum(net) filter (net > 0), 0) / -sum(net) filter (net < 0) else 'infinity'::double end, 3) as profit_factor, round(max((peak - equity) / peak), 4) as max_drawdown
 from peaks group by symbol""",
+    "factor_vp_corr": f"""with {BARS}
+select symbol, bar_i, round(case when count(*) {_C10} = 10 then covar_samp(close, volume) {_C10} / nullif(stddev_samp(close) {_C10} * stddev_samp(volume) {_C10}, 0) end, 6) + 0.0 as vp_corr from bars""",
+    "side_cost_grid": f"""with recursive {BARS}, {AVERAGES}, {SIGNALS},
+{_outcomes('long').replace('filled', 'filled_l').replace('touched', 'touched_l').replace('outcomes as', 'outcomes_l as')},
+{_outcomes('short').replace('filled', 'filled_s').replace('touched', 'touched_s').replace('outcomes as', 'outcomes_s as')},
+both_sides as (select 'long' as side, realized_ret from outcomes_l union all select 'short', realized_ret from outcomes_s),
+costed as (select side, cost_name, realized_ret - cost as net from both_sides, (values ('gross', 0.0), ('maker', 0.001), ('taker', 0.003)) c(cost_name, cost))
+select coalesce(side, 'both') as side, cost_name, count(*) as n, round(avg((net > 0)::int::double), 6) as win_rate, round(avg(net), 6) as mean_net, round(sum(net), 6) as sum_net,
+  round(case when sum(net) filter (net < 0) < 0 then coalesce(sum(net) filter (net > 0), 0) / -sum(net) filter (net < 0) end, 6) as profit_factor
+from costed group by grouping sets ((side, cost_name), (cost_name))""",
     "trades_by_month": f"""{_POOL}
 select strftime(exit_time, '%Y-%m') as period, count(*) as n, round(sum(realized_ret - 0.003), 6) as sum_net,
   round(case when sum(realized_ret - 0.003) filter (realized_ret < 0.003) < 0 then coalesce(sum(realized_ret - 0.003) filter (realized_ret > 0.003), 0) / -sum(realized_ret - 0.003) filter (realized_ret < 0.003) end, 6) as profit_factor
