@@ -33,4 +33,13 @@ scores as (
 select query_id, cast(rank as integer) as rank, vec_id, score from (
   select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scores) where rank <= 5"""
 
-ORACLE_SQL: dict[str, str] = {"op8_exact_topk_search": _OP8, "op10_ngram_jaccard_join": _OP10}
+_OP9 = """
+with hashed as (select page_id, coalesce(html, '') as p, sha1(coalesce(html, '')) as h from pages),
+named as (
+  select page_id, strlen(p)::bigint as payload_bytes, min(page_id) over (partition by h) as first, array_to_string(list_transform(range(0, 32), lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((list_reduce(list_transform(range(1, 6), lambda j: instr('0123456789abcdef', substr(h, (k // 4) * 5 + j, 1)) - 1), lambda a, b: a * 16 + b)
+      // (32 ** (3 - k % 4))::bigint) % 32)::bigint + 1, 1)), '') as payload_digest
+  from hashed)
+select page_id, payload_bytes, payload_digest, case when first = page_id then 'response' else 'revisit' end as record_type, case when first <> page_id then first end as refers_to from named"""
+
+ORACLE_SQL: dict[str, str] = {"op9_warc_zip": _OP9, "op8_exact_topk_search": _OP8, "op10_ngram_jaccard_join": _OP10}
