@@ -96,6 +96,11 @@ trades as (
   select o.*, 'long' as side, e.open_time as entry_time, e.open_time + exit_offset * interval '1 hour' as exit_time
   from outcomes o join bars e on e.symbol = o.symbol and e.bar_i = o.bar_i + 1)"""
 
+_MONTH, _QUARTER = "strftime(o_orderdate, '%Y-%m')", "year(o_orderdate) || 'Q' || quarter(o_orderdate)"
+_PERIODS = """with nets as (select {label} as period, (o_orderkey % 200 - 97) / 1000.0::double - 0.003 as net from orders),
+periods as (
+  select period, count(*) as n, round(sum(net), 6) as sum_net, round(case when sum(net) filter (net < 0) < 0 then coalesce(sum(net) filter (net > 0), 0) / -sum(net) filter (net < 0) end, 6) as profit_factor from nets group by period)"""
+
 _FACTORS = f"""{_BASE},
 helped as (
   select *, close / nullif({_lag('close', 1)}, 0) - 1 as ret1, close - {_lag('close', 1)} as diff1, {_roll('avg', '((high - low) / nullif(close, 0))', 5)} as range5,
@@ -204,6 +209,58 @@ select sum(n)::bigint as n, round(sum(p) / sum(n), 6) as positive_rate, round(su
 hits as (select symbol, bar_i, bar_i - lag(bar_i) over (partition by symbol order by bar_i) as step from averaged where (greatest(ema8, ema21, ema55) - least(ema8, ema21, ema55)) / nullif(close, 0) <= 0.01),
 grouped as (select *, sum((coalesce(step, 99) > 4)::int) over (partition by symbol order by bar_i) as g from hits)
 select symbol, min(bar_i) as start_i, max(bar_i) as end_i, max(bar_i) - min(bar_i) + 1 as n_bars from grouped group by symbol, g having max(bar_i) - min(bar_i) + 1 >= 5""",
+    "events_overlap": """
+with a as (select event_id, event_type, ts from events where event_id % 5 = 0), b as (select event_id, event_type, ts from events where event_id % 5 = 1),
+na as (select a.event_id, min(abs(epoch_us(a.ts) - epoch_us(b.ts))) / 1e6 as s from a left join b using (event_type) group by a.event_id),
+nb as (select b.event_id, min(abs(epoch_us(a.ts) - epoch_us(b.ts))) / 1e6 as s from b left join a using (event_type) group by b.event_id),
+x as (select count(*) as n_a, count(*) filter (s <= 600) as hit_a, quantile_cont(s, 0.5) filter (s <= 600) as median_s from na),
+y as (select count(*) as n_b, count(*) filter (s <= 600) as hit_b from nb)
+select *, hit_a / nullif(n_a, 0) as recall, hit_b / nullif(n_b, 0) as precision from x, y""",
+    "orders_reconciled": """
+with a as (select o_orderkey, o_totalprice as v from orders where o_orderkey % 7 <> 0),
+b as (select o_orderkey, case when o_orderkey % 11 = 0 then o_totalprice + 1 else o_totalprice end as v from orders where o_orderkey % 5 <> 0)
+select count(*) filter (a.o_orderkey is not null and b.o_orderkey is not null) as n_both, count(*) filter (b.o_orderkey is null) as only_a, count(*) filter (a.o_orderkey is null) as only_b,
+  count(*) filter (abs(a.v - b.v) > 1e-9) as n_different from a full join b on a.o_orderkey = b.o_orderkey""",
+    "quarter_metrics": f"{_PERIODS.format(label=_QUARTER)} select * from periods",
+    "month_concentration": f"""{_PERIODS.format(label=_MONTH)},
+kept as (select * from periods where n >= 20 or not exists (select 1 from periods where n >= 20)),
+ranked as (select *, row_number() over (order by sum_net desc, period) as k from kept),
+found as (
+  select count(*) as n_periods, round(sum(sum_net) filter (k <= 1) / nullif(sum(sum_net), 0), 6) as top1, round(sum(sum_net) filter (k <= 2) / nullif(sum(sum_net), 0), 6) as top2, count(*) filter (profit_factor >= 1.3) as n_good from ranked)
+select *, coalesce(top1 > 0.6, false) as fragile from found""",
+    "equity_points": f"""{_POOL},
+run as (select *, sum(realized_ret - 0.003) over (partition by symbol order by exit_time, symbol, bar_i) as equity from trades),
+peaks as (select *, greatest(0, max(equity) over (partition by symbol order by exit_time, symbol, bar_i)) as peak from run)
+select symbol, exit_time, round(arg_max(equity, bar_i), 6) + 0.0 as equity, round(arg_max(peak, bar_i) - arg_max(equity, bar_i), 6) + 0.0 as drawdown from peaks group by symbol, exit_time""",
+    "trade_utilisation": f"""{_POOL}
+select round(sum(epoch(exit_time) - epoch(entry_time)) / (max(epoch(exit_time)) - min(epoch(entry_time))), 6) as utilisation from trades""",
+    "user_loss_runs": """
+with r as (select user_id, sum(coalesce((value - 50 >= 0)::int, 1)) over (partition by user_id order by event_id desc) as b from events)
+select user_id, count(*) filter (b = 0) as losses from r group by user_id""",
+    "props_parsed": """
+select event_type, count(props->>'$.k') as n, sum((props->>'$.k')::bigint)::bigint as total, max((props->>'$.k')::bigint) as most from events group by event_type""",
+    "fresh_signals": """
+select event_id, round(floor(epoch(ts) - epoch(date_trunc('hour', ts))) / 60.0, 6) as lag_min, floor(epoch(ts) - epoch(date_trunc('hour', ts))) / 60.0 between 0 and 30 as is_live from events""",
+    "split_events": """
+with c as (select quantile_cont(floor(epoch(ts)), 0.8) as v from events),
+s as (select ts, case when floor(epoch(ts)) + 3600 < v then 'train' when floor(epoch(ts)) < v then 'purged' else 'val' end as split from events, c)
+select split, count(*) as n, min(ts) as first, max(ts) as last from s group by split""",
+    "segment_top_customers": """
+select c_mktsegment, rank::int as rank, c_custkey, c_acctbal, (case when c_acctbal >= 9900 then 3 when c_acctbal >= 9000 then 2 when c_acctbal >= 0 then 1 else 0 end)::int as tier from (
+  select *, row_number() over (partition by c_mktsegment order by c_acctbal desc, c_custkey) as rank from customer) where rank <= 5""",
+    "rising_runs": f"""with {BARS},
+u as (select *, coalesce(close > lag(close) over (partition by symbol order by bar_i), false) as up, case when volume > 3 then close end as x from bars)
+select symbol, bar_i, (bar_i - coalesce(max(case when not up then bar_i end) over (partition by symbol order by bar_i), -1))::int as run,
+  last_value(x ignore nulls) over (partition by symbol order by bar_i rows between 3 preceding and current row) as filled from u""",
+    "hourly_trend": f"""with recursive {BARS},
+wide as (select symbol, time_bucket(interval '4 hours', open_time) as t, arg_max(close, open_time) as close from bars group by symbol, t),
+numbered as (select *, row_number() over (partition by symbol order by t) - 1 as bar_i from wide),
+m as (
+  select symbol, bar_i, close as m55, close as m144 from numbered where bar_i = 0
+  union all
+  select b.symbol, b.bar_i, (2.0::double / 56) * b.close + (1.0::double - 2.0::double / 56) * e.m55, (2.0::double / 145) * b.close + (1.0::double - 2.0::double / 145) * e.m144
+  from m e join numbered b on b.symbol = e.symbol and b.bar_i = e.bar_i + 1)
+select symbol, bar_i, round(m55, 6) + 0.0 as m55, round(m144, 6) + 0.0 as m144, round(m55 - lag(m55, 12) over (partition by symbol order by bar_i), 6) + 0.0 as slope from m""",
     "forward_merge": """
 with keyed as (select event_type as symbol, date_trunc('minute', ts) as signal_time, event_id, value, user_id % 2 = 0 as closed from events),
 held as (select * from keyed where event_id % 3 <> 0 qualify row_number() over (partition by symbol, signal_time order by event_id) = 1),

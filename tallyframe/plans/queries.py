@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import ewm, scalars, windows
 from ..functions import indicators as ind
-from ..operators import barriers, joins, metrics, portfolio, selection
+from ..operators import barriers, joins, metrics, models, portfolio, selection
 from ..sources import bars as src
+from ..sources import records as from_records
 from ..streaming import records
 
 WARMUP, HORIZON, GAP, COST = 60, 24, 18, 0.003
@@ -188,10 +190,87 @@ def forward_merge(spark, d):
     return records.merged(first(keyed.where("event_id % 3 <> 0")), first(keyed.where("event_id % 3 <> 1")), ("symbol", "signal_time"))
 
 
+def events_overlap(spark, d):
+    events = _table(spark, d, "events").select("event_id", "event_type", "ts")
+    return joins.overlap(events.where("event_id % 5 = 0"), events.where("event_id % 5 = 1"), ["event_type"], "ts", 600.0)
+
+
+def orders_reconciled(spark, d):
+    orders = _table(spark, d, "orders")
+    a = orders.where("o_orderkey % 7 <> 0").select("o_orderkey", "o_totalprice")
+    b = orders.where("o_orderkey % 5 <> 0").select("o_orderkey", F.when(F.col("o_orderkey") % 11 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("o_totalprice"))
+    return joins.reconciled(a, b, ["o_orderkey"], "o_totalprice")
+
+
+def month_concentration(spark, d):
+    orders = _table(spark, d, "orders").select(F.col("o_orderdate").alias("exit_time"), ((F.col("o_orderkey") % 200 - 97) / 1000.0).alias("realized_ret"))
+    return metrics.concentration(metrics.by_period(orders, "exit_time", COST), 20)
+
+
+def quarter_metrics(spark, d):
+    orders = _table(spark, d, "orders").select(F.col("o_orderdate").alias("exit_time"), ((F.col("o_orderkey") % 200 - 97) / 1000.0).alias("realized_ret"))
+    return metrics.by_period(orders, "exit_time", COST, "quarter")
+
+
+def equity_points(spark, d):
+    trades = _trades(spark, d, barriers.triple_barrier())
+    run = metrics.equity(trades, F.col("realized_ret") - COST, ["exit_time", "symbol", "bar_i"], ("symbol",), 0.0)
+    last = run.groupBy("symbol", "exit_time").agg(F.max_by("equity", "bar_i").alias("equity"), F.max_by("peak", "bar_i").alias("peak"))
+    return last.select("symbol", "exit_time", (F.round("equity", 6) + 0.0).alias("equity"), (F.round(F.col("peak") - F.col("equity"), 6) + 0.0).alias("drawdown"))
+
+
+def trade_utilisation(spark, d):
+    trades = _trades(spark, d, barriers.triple_barrier()).withColumn("weight", F.lit(1.0))
+    bounds = trades.agg(F.min("entry_time").alias("lo"), F.max("exit_time").alias("hi")).first()
+    low, high = (F.lit(x) if x is not None else F.lit(None).cast("timestamp_ntz") for x in bounds)
+    return metrics.utilisation(trades, "entry_time", "exit_time", "weight", low, high)
+
+
+def user_loss_runs(spark, d):
+    ledger = _table(spark, d, "events").select("user_id", "event_id", (F.col("value") - 50).alias("ret"))
+    return from_records.consecutive_losses(ledger, ["user_id"], "event_id", "ret")
+
+
+def props_parsed(spark, d):
+    rows = _table(spark, d, "events").select("event_type", F.from_json("props", "k long").alias("p"))
+    return rows.groupBy("event_type").agg(F.count("p.k").alias("n"), F.sum("p.k").alias("total"), F.max("p.k").alias("most"))
+
+
+def fresh_signals(spark, d):
+    log = _table(spark, d, "events").select("event_id", F.date_trunc("hour", "ts").alias("signal_time"), F.col("ts").alias("detected_at"))
+    return records.live(log).select("event_id", F.round("lag_min", 6).alias("lag_min"), "is_live")
+
+
+def split_events(spark, d):
+    rows = models.time_split(_table(spark, d, "events").select("event_id", "ts"), "ts", 3600)
+    return rows.groupBy("split").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
+def segment_top_customers(spark, d):
+    w = Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey")
+    ranked = _table(spark, d, "customer").withColumn("rank", F.row_number().over(w)).where("rank <= 5")
+    return ranked.select("c_mktsegment", "rank", "c_custkey", "c_acctbal", scalars.tier(F.col("c_acctbal"), F.lit(0.0), F.lit(9000.0), F.lit(9900.0)).alias("tier"))
+
+
+def rising_runs(spark, d):
+    bars = _bars(spark, d)
+    w = windows.series()
+    up = F.col("close") > F.lag("close").over(w)
+    return bars.withColumn("up", up).select("symbol", "bar_i", windows.run_length(F.col("up"), w).alias("run"), windows.filled(F.when(F.col("volume") > 3, F.col("close")), 3, w).alias("filled"))
+
+
+def hourly_trend(spark, d):
+    """Four-hour closes with their means of 55 and 144 and the change over 12, as of the last finished bar."""
+    wide = ewm.with_ewm(src.resampled(_bars(spark, d), "4 hours"), {"m55": ("close", ewm.span(55)), "m144": ("close", ewm.span(144))})
+    slope = F.col("m55") - F.lag("m55", 12).over(windows.series())
+    return _rounded(wide.withColumn("slope", slope), ["symbol", "bar_i"], ["m55", "m144", "slope"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         bars_1h, bars_4h_resampled, bars_audit, shipments_keep_last, averages, indicators, features, factors, factor_vp_corr, dense_signals, strict_candidates, dense_segments, barrier_long, barrier_short,
         exit_variants, barrier_metrics, trades_by_month, side_cost_grid, portfolio_replay, signals_asof_trend, orders_in_trades, events_without_neighbour, value_deciles, quality_ranking, factor_screen, forward_merge,
+        events_overlap, orders_reconciled, month_concentration, quarter_metrics, equity_points, trade_utilisation, user_loss_runs, props_parsed, fresh_signals, split_events, segment_top_customers, rising_runs, hourly_trend,
     )
 }
