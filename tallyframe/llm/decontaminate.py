@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import staged
-from .textarrays import pieces, word_hashes, word_spans
+from .textarrays import lean, pieces, word_hashes, word_spans
 
 #: Words in a passage, and from one passage to the next.
 STRIDE = 16
@@ -177,7 +177,7 @@ def _found(held, dtype: str):
             raw, at, row = batch.column(1).to_pylist(), 0, 0
             while row < len(raw):
                 end, size = row, 0
-                while end < len(raw) and (end == row or size < 4 << 20):
+                while end < len(raw) and (end == row or size < 1 << 20):
                     size += len(raw[end])
                     end += 1
                 terms = np.frombuffer(b"".join(raw[row:end]), dtype).astype(np.intp)
@@ -298,7 +298,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         if not len(items.ids):
             continue
         terms = len(items.hashes)
-        made = staged(texts.mapInArrow(_encoded(spark.sparkContext.broadcast(items)), "kind int, id long, terms binary, n long"), "terms")
+        made = staged(texts.mapInArrow(lean(_encoded(spark.sparkContext.broadcast(items))), "kind int, id long, terms binary, n long"), "terms")
         idf = _weights(made, terms)
         vectors = _item_vectors(items, idf)
         space = latent_space(spark, vectors, terms)
@@ -307,7 +307,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         folding[0] = 0
         held = spark.sparkContext.broadcast((items, idf, folding, latent.astype(np.float32), idf * idf))
         dtype = "<u4" if terms + 1 > 1 << 16 else "<u2"
-        part = made.where("kind = 0").select("id", "terms").mapInArrow(_found(held, dtype), "doc_id long, item_id long, cosine double, common double, answered boolean")
+        part = made.where("kind = 0").select("id", "terms").mapInArrow(lean(_found(held, dtype)), "doc_id long, item_id long, cosine double, common double, answered boolean")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "doc_id long, item_id long, cosine double, common double, answered boolean, kind string")

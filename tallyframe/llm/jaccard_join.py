@@ -21,12 +21,14 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .storage import discard, staged
-from .textarrays import mix64, pieces, shingle_sets, word_hashes, word_spans
+from .textarrays import lean, mix64, pieces, shingle_sets, word_hashes, word_spans
 
 #: Shingles that each task reports, and that all tasks together keep, as frequent. They only shape the order.
 FREQUENT_PER_TASK, FREQUENT = 4096, 65536
 #: Tables of nodes or pairs of up to so many rows (of at most 32 bytes) are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Rows whose sets a task holds at a time, and numbers of shingles that it counts together.
+BLOCK_ROWS, POOL = 500, 2_000_000
 #: Cuts of the global order; the frequent shingles at its end are one more fragment.
 FRAGMENTS = 4
 _CUTS = np.array([k * (1 << 64) // FRAGMENTS for k in range(1, FRAGMENTS)], np.uint64)
@@ -48,25 +50,34 @@ def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int | None, np.nd
             yield ids[row + k], u
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of some hundred rows, so that a task never holds the sets of a whole batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK_ROWS):
+            yield batch.slice(at, BLOCK_ROWS)
+
+
 def _classes(words: int):
     """Rows (0, id, size, node) of documents, and (1, shingle, count, null) of the task's frequent shingles."""
 
     def run(batches):
         kept, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in batches:
-            ids, sizes, nodes, pool, held = [], [], [], [], 0
-            seen = set()
-
-            def settle(pool):
-                nonlocal kept, counts
-                u, c = np.unique(np.concatenate([*pool, kept]), return_counts=True)
-                if len(kept):
-                    c[np.searchsorted(u, kept)] += counts - 1
-                top = np.flatnonzero(c > 2)
-                top = top[np.argsort(-c[top], kind="stable")[:FREQUENT_PER_TASK]]
-                top.sort()
-                kept, counts = u[top], c[top]
-
+        pool, held, seen = [], 0, set()
+
+        def settle(pool):
+            nonlocal kept, counts
+            u, c = np.unique(np.concatenate([*pool, kept]), return_counts=True)
+            if len(kept):
+                c[np.searchsorted(u, kept)] += counts - 1
+            top = np.flatnonzero(c > 2)
+            top = top[np.argsort(-c[top], kind="stable")[:FREQUENT_PER_TASK]]
+            top.sort()
+            kept, counts = u[top], c[top]
+
+        for batch in _blocks(batches):
+            ids, sizes, nodes = [], [], []
+            if len(seen) > POOL:
+                seen.clear()
             for i, u in _sets(batch, words):
                 node = _node(u) if len(u) else None
                 ids.append(i), sizes.append(len(u)), nodes.append(node)
@@ -74,12 +85,12 @@ def _classes(words: int):
                     seen.add(node)
                     pool.append(u)
                     held += len(u)
-                    if held > 4_000_000:
+                    if held > POOL:
                         settle(pool)
                         pool, held = [], 0
-            if pool:
-                settle(pool)
             yield pa.RecordBatch.from_arrays([pa.array([0] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], ["kind", "id", "n", "node"])
+        if pool:
+            settle(pool)
         if len(kept):
             yield pa.RecordBatch.from_arrays([pa.array([1] * len(kept), pa.int32()), pa.array(kept.astype(np.int64)), pa.array(counts), pa.nulls(len(kept), pa.int64())], ["kind", "id", "n", "node"])
 
@@ -102,8 +113,11 @@ def _heads(words: int, percent: int, order: Broadcast):
 
     def run(batches):
         often, rank = order.value
-        for batch in batches:
-            seen, keys, nodes, sizes, lens = set(), [], [], [], []
+        seen: set[int] = set()
+        for batch in _blocks(batches):
+            keys, nodes, sizes, lens = [], [], [], []
+            if len(seen) > POOL:
+                seen.clear()
             for _, u in _sets(batch, words):
                 if not len(u) or (node := _node(u)) in seen:
                     continue
@@ -124,7 +138,7 @@ def _segments(words: int, wanted: Broadcast, order: Broadcast):
 
     def run(batches):
         bits, often = wanted.value, order.value[0]
-        for batch in batches:
+        for batch in _blocks(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             at = mix64(ids.astype(np.int64).astype(np.uint64)) % np.uint64(len(bits) * 8)
             keep = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
@@ -200,7 +214,7 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    made = staged(docs.mapInArrow(_classes(words), "kind int, id long, n long, node long"), "sets")
+    made = staged(docs.mapInArrow(lean(_classes(words)), "kind int, id long, n long, node long"), "sets")
     often = made.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where("n >= 8").orderBy(F.desc("n"), "id").limit(FREQUENT).toPandas()
     often = often.sort_values(["n", "id"], ascending=[True, True])
     hashes = often["id"].to_numpy(np.int64).astype(np.uint64)
@@ -209,7 +223,7 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = made.where("kind = 0").select("id", "n", "node")
     reps = staged(rows.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "reps")
 
-    heads = docs.where("id is not null and text is not null").mapInArrow(_heads(words, percent, order), "key long, node long, n int, place int")
+    heads = docs.where("id is not null and text is not null").mapInArrow(lean(_heads(words, percent, order)), "key long, node long, n int, place int")
     per = Window.partitionBy("key")
     shared = heads.withColumn("low", F.min("node").over(per)).withColumn("high", F.max("node").over(per)).where("low != high")
     shared = staged(shared.select("key", "node", "n", "place").distinct(), "shared")
@@ -249,7 +263,7 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         ends = staged(reps.join(ends, "node", "left_semi").select("node", F.col("rep").alias("id")), "ends")
         wanted = spark.sparkContext.broadcast(_bitmap(ends.select("id")))
-        segs = docs.where("id is not null and text is not null").mapInArrow(_segments(words, wanted, order), "id long, node long, fragment int, seg array<long>")
+        segs = docs.where("id is not null and text is not null").mapInArrow(lean(_segments(words, wanted, order)), "id long, node long, fragment int, seg array<long>")
         segs = staged(segs.join(_sized(ends), ["id", "node"], "left_semi").select("node", "fragment", "seg"), "segments")
         linked = staged(_verified(pairs, segs, percent), "linked")
         discard(segs)

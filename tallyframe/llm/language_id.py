@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import staged
-from .textarrays import pieces
+from .textarrays import give_back, lean, pieces
 
 #: Labelled rows that the text models are fitted on at most, those with the smallest hashed ids.
 TRAIN_ROWS = 8_000
@@ -75,7 +75,7 @@ def train_languages(docs: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "gram", "n"])
 
-    found = rows_.join(F.broadcast(picked), "id").select("lang", "text").mapInArrow(counts, "lang string, gram int, n long")
+    found = rows_.join(F.broadcast(picked), "id").select("lang", "text").mapInArrow(lean(counts), "lang string, gram int, n long")
     found = found.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(found["lang"].unique()))
     table = np.full((max(1, len(languages)), _CODES**3), 0.1)
@@ -102,6 +102,8 @@ def _likelihoods(docs: DataFrame, model: LanguageModel, text: str) -> Column:
             for k in range(len(t)):
                 total = np.concatenate([[0.0], np.cumsum(t[k][grams], dtype=np.float64)])
                 out[row + full, k] = total[z[full]] - total[a[full]]
+            del grams, letters
+        give_back()
         out = (out - out.max(axis=1, keepdims=True)) * TEMPER
         off = np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]
         return pa.ListArray.from_arrays(pa.array(off), pa.array(out.ravel()), mask=pa.array(none)) if len(out) else pa.array([], pa.list_(pa.float64()))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import staged
+from .textarrays import lean
 from .tokens import encoder, vocabulary
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -35,8 +36,8 @@ def document_pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, path
         enc, part = encoder(path), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                block = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):
+                block = batch.slice(at, 500)
                 ids = block.column(0).to_pylist()
                 texts = [t or b"" for t in block.column(1).cast(pa.binary()).to_pylist()]
                 out = []
@@ -52,7 +53,7 @@ def document_pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, path
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), pa.array([part] * len(out), pa.int32())], ["doc_id", "piece", "start", "length", "ids_crc32", "part"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECE + ", part int")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), PIECE + ", part int")
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

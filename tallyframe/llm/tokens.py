@@ -9,12 +9,18 @@ or beside a line end) are encoded whole.
 from __future__ import annotations
 
 import os
+import threading
+import time
 from collections.abc import Iterable
 
 import numpy as np
 
+from .textarrays import give_back
+
 #: Stretches that a worker remembers, and the longest one; beyond, the memory starts anew.
-REMEMBERED, LONGEST = 1_200_000, 200
+REMEMBERED, LONGEST = 900_000, 200
+#: Seconds without a text after which a worker, which lives on for other work, gives its memory back.
+IDLE = 3.0
 _MARKS = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -37,12 +43,33 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.memory: dict[bytes, bytes] = {}
+        self.used, self.held = time.monotonic(), threading.Lock()
+        self.watch: threading.Thread | None = None
+
+    def forget(self) -> None:
+        while True:
+            time.sleep(IDLE / 2)
+            with self.held:
+                if time.monotonic() - self.used > IDLE:
+                    self.memory.clear()
+                    self.watch = None
+                    break
+        give_back()
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: Iterable[bytes]) -> list[bytes]:
-        texts = list(texts)
+        with self.held:
+            if self.watch is None:
+                self.watch = threading.Thread(target=self.forget, daemon=True)
+                self.watch.start()
+            try:
+                return self._encode(list(texts))
+            finally:
+                self.used = time.monotonic()
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
         # A single line end is a token of its own before a stretch without a space: it opens a stretch, too.
         cut = [t.replace(b"\n", b" \n").split(b" ") if b"\n" in t else t.split(b" ") for t in texts]
         for c in cut:
