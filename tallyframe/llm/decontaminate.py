@@ -259,6 +259,9 @@ def _matches(terms, first, items, idf, space, vectors, square) -> Iterator[tuple
     # A passage's cosine with any item is at most the part of its length that stands in terms at all; repeated terms
     # make that part larger than it is here, by up to the root of their number.
     open_ = np.flatnonzero(alone & (inside + after(inside) >= (0.5 * COSINE * norm) ** 2) & (inside > 0))
+    weights = [idf[t] for t in items.terms]
+    totals = [w.sum() for w in weights]
+    there_at_all = np.zeros(len(idf), bool)
     for k in range(0, len(open_), 4096):
         some = open_[k : k + 4096]
         need = np.unique(np.concatenate([some, some[follows[some]] + 1]))
@@ -271,6 +274,11 @@ def _matches(terms, first, items, idf, space, vectors, square) -> Iterator[tuple
         for p, i in zip(*np.nonzero(cosine >= COSINE), strict=True):
             item, d = items.terms[i], int(docs[some[p]])
             text = terms[max(int(first[d]), int(start[some[p]]) - len(item)) : min(int(first[d + 1]), int(stop[p]) + len(item))]
+            there_at_all[text] = True
+            most = weights[i][there_at_all[item]].sum()
+            there_at_all[text] = False
+            if most < PARAPHRASE * totals[i]:
+                continue  # no more can be common in order than at all
             share = common_weight(item, text, idf)
             if share >= PARAPHRASE:
                 answer = item[-ANSWER:]
