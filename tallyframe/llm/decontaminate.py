@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 The words of the benchmark are the terms. One pass over the corpus writes every document as term numbers and counts
-the terms, whose rarity among the corpus's words gives the weights of TF-IDF. A distributed randomised SVD of the
-benchmark's weighted passages gives a latent space, into which overlapping passages of the corpus are folded; those
-whose cosine with an item is high enough are its candidates. A candidate is settled by the weighted longest common subsequence of
+the terms, whose rarity among the corpus's words gives the weights of TF-IDF. The benchmark's weighted passages are dealt
+into small blocks; a distributed randomised SVD gives each block a latent space of as many directions as leave every
+item nearly its whole length. Overlapping passages of the corpus are folded into each space; those whose cosine with an
+item is high enough are its candidates. A candidate is settled by the weighted longest common subsequence of
 words with the item: near complete, it is a copy; about half, it is a paraphrase if the item's answer, its last words,
 is there too.
 """
@@ -24,9 +25,12 @@ from .textarrays import lean, pieces, word_hashes, word_spans
 #: Words in a passage, and from one passage to the next.
 STRIDE = 16
 PASSAGE = 2 * STRIDE
-#: Dimensions of the latent space, additional ones of the random range, and rounds of power iteration.
-RANK, EXTRA, ROUNDS = 128, 16, 2
-#: Items that are searched for at a time, and the fewest words of an item that is searched for.
+#: Items of a latent space, the least squared length that each of them (of length 1) keeps in it, and rounds of power
+#: iteration. The random range is as wide as a space has items, so that no item is out of reach.
+SPACE_ITEMS, RETAINED, ROUNDS = 256, 0.9, 2
+#: Bytes of the spaces that are broadcast and searched at a time.
+SPACE_BYTES = 64 << 20
+#: Items whose words number the terms of one encoding, and the fewest words of an item that is searched for.
 ITEM_BLOCK, LEAST_WORDS = 20_000, 5
 #: Cosine of a candidate; part of an item's weight in common for a copy and for a paraphrase; words of an answer and
 #: the part of their weight that a paraphrase has.
@@ -121,41 +125,83 @@ def _item_vectors(items: _Items, idf: np.ndarray) -> list[tuple[np.ndarray, np.n
     return out
 
 
-def latent_space(spark, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, rank: int = RANK) -> np.ndarray:
-    """Right singular vectors (terms + 1, rank) of the sparse rows, by randomised range finding.
-
-    The rows are dealt out as a table; a round multiplies each partition's rows with the range, and what they add to
-    each block of terms is summed by block.
+@dataclass(frozen=True)
+class _Space:
+    """The items from ``first`` on: their sorted terms, what a word of each term adds to a passage, and the items."""
+
+    first: int
+    terms: np.ndarray
+    folding: np.ndarray
+    latent: np.ndarray
+
+
+def _blocks(vectors: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[list[tuple[int, int, np.ndarray]]]:
+    """(first item, end, terms) of the spaces, as many at a time as ``SPACE_BYTES`` hold."""
+    some, size = [], 0
+    for a in range(0, len(vectors), SPACE_ITEMS):
+        z = min(a + SPACE_ITEMS, len(vectors))
+        terms = np.unique(np.concatenate([u for u, _ in vectors[a:z]]))
+        own = 4 * len(terms) * (z - a)
+        if some and size + own > SPACE_BYTES:
+            yield some
+            some, size = [], 0
+        some.append((a, z, terms))
+        size += own
+    if some:
+        yield some
+
+
+def latent_spaces(spark, vectors: list[tuple[np.ndarray, np.ndarray]], blocks: list[tuple[int, int, np.ndarray]], retained: float = RETAINED) -> list[np.ndarray]:
+    """For each block (first row, end, sorted terms) the leading right singular vectors (terms, rank) of its sparse rows,
+    by randomised range finding: as many as leave each row, of length 1, at least ``retained`` of its squared length.
+
+    The rows are dealt out as a table by block; a round multiplies a block's rows with its range, and what they add to
+    the terms is summed by slice.
     """
-    rank = min(rank, len(vectors))
-    width = min(rank + EXTRA, len(vectors))
-    rows = pa.table({"terms": pa.array([u.tolist() for u, _ in vectors], pa.list_(pa.int64())), "weights": pa.array([w.tolist() for _, w in vectors], pa.list_(pa.float64()))})
-    rows = spark.createDataFrame(rows).repartition(max(1, min(64, len(vectors) // 500)))
-    q = np.random.default_rng(11).standard_normal((terms + 1, width))
+    local = [[(np.searchsorted(terms, u), w) for u, w in vectors[a:z]] for a, z, terms in blocks]
+    flat = [(b, u, w) for b, rows in enumerate(local) for u, w in rows]
+    table = pa.table({"space": pa.array([b for b, _, _ in flat], pa.int64()), "terms": pa.array([u.tolist() for _, u, _ in flat], pa.list_(pa.int64())), "weights": pa.array([w.tolist() for _, _, w in flat], pa.list_(pa.float64()))})
+    rows = spark.createDataFrame(table).repartition(min(64, len(blocks)), "space")
+    rng = np.random.default_rng(11)
+    ranges = [rng.standard_normal((len(terms), z - a)) for a, z, terms in blocks]
     for _ in range(ROUNDS):
-        held = spark.sparkContext.broadcast(q)
+        held = spark.sparkContext.broadcast(ranges)
 
         def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((terms + 1, width))
+            totals: dict[int, np.ndarray] = {}
             for batch in batches:
-                for u, w in zip(batch.column(0), batch.column(1), strict=True):
-                    u, w = u.values.to_numpy(), w.values.to_numpy()
-                    total[u] += w[:, None] * (w @ held.value[u])
-            blocks = range(0, terms + 1, _TERM_BLOCK)
-            yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array([total[b : b + _TERM_BLOCK].tobytes() for b in blocks], pa.binary())], ["block", "part"])
+                for b, u, w in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                    u, w, q = u.values.to_numpy(), w.values.to_numpy(), held.value[b]
+                    totals.setdefault(b, np.zeros(q.shape))[u] += w[:, None] * (w @ q[u])
+            for b, total in totals.items():
+                slices = range(0, len(total), _TERM_BLOCK)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([b] * len(slices), pa.int64()), pa.array(list(slices), pa.int64()), pa.array([total[k : k + _TERM_BLOCK].tobytes() for k in slices], pa.binary())], ["space", "slice", "part"]
+                )
 
         def summed(table: pa.Table) -> pa.Table:
             parts = [np.frombuffer(x) for x in table["part"].to_pylist()]
-            return pa.table({"block": table["block"][:1], "part": pa.array([np.sum(parts, axis=0).tobytes()], pa.binary())})
-
-        found = rows.mapInArrow(multiplied, "block long, part binary").groupBy("block").applyInArrow(summed, "block long, part binary").toArrow()
-        order = np.argsort(found["block"].to_numpy())
-        parts = found["part"].to_pylist()
-        total = np.concatenate([np.frombuffer(parts[k]).reshape(-1, width) for k in order])
-        q, r = np.linalg.qr(total)
-    # of the last product Aᵀ(AQ) = q r, the leading left vectors of r turn q to the singular vectors
-    left, _, _ = np.linalg.svd(r)
-    return q @ left[:, :rank]
+            return pa.table({"space": table["space"][:1], "slice": table["slice"][:1], "part": pa.array([np.sum(parts, axis=0).tobytes()], pa.binary())})
+
+        schema = "space long, slice long, part binary"
+        found = rows.mapInArrow(multiplied, schema).groupBy("space", "slice").applyInArrow(summed, schema).toArrow().sort_by([("space", "ascending"), ("slice", "ascending")])
+        held.destroy()
+        spaces, parts = found["space"].to_numpy(), found["part"].to_pylist()
+        turned = []
+        for b, q in enumerate(ranges):
+            total = np.concatenate([np.frombuffer(parts[k]) for k in np.flatnonzero(spaces == b)]).reshape(q.shape)
+            turned.append(np.linalg.qr(total))
+        ranges = [q for q, _ in turned]
+    out = []
+    for own, (q, r) in zip(local, turned, strict=True):
+        # of the last product Aᵀ(AQ) = q r, the leading left vectors of r turn q to the singular vectors
+        left, _, _ = np.linalg.svd(r)
+        space = q @ left
+        kept = np.cumsum(np.array([w @ space[u] for u, w in own]) ** 2, axis=1).min(axis=0)
+        # all directions hold every row; rounding may leave it a trace short
+        rank = min(int(np.searchsorted(kept, min(retained, kept[-1]))) + 1, len(kept))
+        out.append(space[:, :rank])
+    return out
 
 
 def common_weight(item: np.ndarray, text: np.ndarray, idf: np.ndarray) -> float:
@@ -170,7 +216,12 @@ def common_weight(item: np.ndarray, text: np.ndarray, idf: np.ndarray) -> float:
 
 def _found(held, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, idf, space, vectors, square = held.value
+        items, idf, spaces, square = held.value
+        rows_of = []
+        for space in spaces:
+            of = np.zeros(len(idf), np.intp)
+            of[space.terms] = np.arange(1, len(space.terms) + 1)
+            rows_of.append(of)
         for batch in batches:
             out: dict[tuple[int, int], tuple[float, float, bool]] = {}
             ids = batch.column(0).to_pylist()
@@ -182,7 +233,7 @@ def _found(held, dtype: str):
                     end += 1
                 terms = np.frombuffer(b"".join(raw[row:end]), dtype).astype(np.intp)
                 first = np.concatenate([[0], np.cumsum([len(x) // np.dtype(dtype).itemsize for x in raw[row:end]])])
-                for d, item, cosine, share, answered in _matches(terms, first, items, idf, space, vectors, square):
+                for d, item, cosine, share, answered in _matches(terms, first, items, idf, spaces, rows_of, square):
                     key = (ids[row + d], item)
                     if key not in out or out[key][1] < share:
                         out[key] = (cosine, share, answered)
@@ -211,7 +262,7 @@ def _sums(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 
 def _folded(space: np.ndarray, terms: np.ndarray, known: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """For each run of ``n`` entries of ``known`` the sum of their terms' rows of ``space``."""
+    """For each run of ``n`` entries of ``known`` the sum of their terms' rows of ``space``; the first row is no term."""
     order = np.argsort(-n, kind="stable")
     at, n = at[order], n[order]
     total = np.zeros((len(at), space.shape[1]), space.dtype)
@@ -238,10 +289,10 @@ def _lengths(terms: np.ndarray, start: np.ndarray, stop: np.ndarray, square: np.
     return np.sqrt(np.maximum(total, 1e-12)).astype(np.float32)
 
 
-def _matches(terms, first, items, idf, space, vectors, square) -> Iterator[tuple[int, int, float, float, bool]]:
+def _matches(terms, first, items, idf, spaces, rows_of, square) -> Iterator[tuple[int, int, float, float, bool]]:
     """(document, item, cosine, common weight, answer is there) of the pairs that a piece of the corpus holds.
 
-    A passage is two strides of words. What a stride adds to its passages is projected once.
+    A passage is two strides of words. What a stride adds to its passages is projected once for each space.
     """
     strides = np.maximum(1, -(-np.diff(first) // STRIDE))
     docs = np.repeat(np.arange(len(first) - 1), strides)
@@ -249,42 +300,45 @@ def _matches(terms, first, items, idf, space, vectors, square) -> Iterator[tuple
     start = first[docs] + STRIDE * place
     cuts = np.append(start, first[-1])
     weight = _sums(square[terms], cuts)
-    known = np.flatnonzero(terms)
-    inner = np.searchsorted(known, cuts)
-    inside = _sums(square[terms[known]], inner)
     follows = np.append(docs[1:] == docs[:-1], False)
     alone = follows | (place == 0)  # a document's last stride stands in the passage before
     after = lambda x: np.concatenate([x[1:], np.zeros_like(x[:1])]) * follows.reshape(-1, *[1] * (x.ndim - 1))
     norm = np.sqrt(np.maximum(weight + after(weight), 1e-12))
-    # A passage's cosine with any item is at most the part of its length that stands in terms at all; repeated terms
-    # make that part larger than it is here, by up to the root of their number.
-    open_ = np.flatnonzero(alone & (inside + after(inside) >= (0.5 * COSINE * norm) ** 2) & (inside > 0))
     weights = [idf[t] for t in items.terms]
     totals = [w.sum() for w in weights]
     there_at_all = np.zeros(len(idf), bool)
-    for k in range(0, len(open_), 4096):
-        some = open_[k : k + 4096]
-        need = np.unique(np.concatenate([some, some[follows[some]] + 1]))
-        folded = _folded(space, terms, known, inner[need], inner[need + 1] - inner[need])
-        at = np.searchsorted(need, some)
-        own = folded[at]
-        own[follows[some]] += folded[at[follows[some]] + 1]
-        stop = np.minimum(start[some] + PASSAGE, first[docs[some] + 1])
-        cosine = own @ vectors.T / _lengths(terms, start[some], stop, square)[:, None]
-        for p, i in zip(*np.nonzero(cosine >= COSINE), strict=True):
-            item, d = items.terms[i], int(docs[some[p]])
-            text = terms[max(int(first[d]), int(start[some[p]]) - len(item)) : min(int(first[d + 1]), int(stop[p]) + len(item))]
-            there_at_all[text] = True
-            most = weights[i][there_at_all[item]].sum()
-            there_at_all[text] = False
-            if most < PARAPHRASE * totals[i]:
-                continue  # no more can be common in order than at all
-            share = common_weight(item, text, idf)
-            if share >= PARAPHRASE:
-                answer = item[-ANSWER:]
-                there = bool(idf[answer[np.isin(answer, text)]].sum() >= ANSWERED * idf[answer].sum())
-                if share >= COPY or there:
-                    yield d, int(items.ids[i]), float(cosine[p, i]), share, there
+    for space, of in zip(spaces, rows_of, strict=True):
+        own_terms = of[terms]
+        known = np.flatnonzero(own_terms)
+        inner = np.searchsorted(known, cuts)
+        inside = _sums(square[terms[known]], inner)
+        # A passage's cosine with any item is at most the part of its length that stands in the space's terms; repeated
+        # terms make that part larger than it is here, by up to the root of their number.
+        open_ = np.flatnonzero(alone & (inside + after(inside) >= (0.5 * COSINE * norm) ** 2) & (inside + after(inside) > 0))
+        for k in range(0, len(open_), 4096):
+            some = open_[k : k + 4096]
+            need = np.unique(np.concatenate([some, some[follows[some]] + 1]))
+            folded = _folded(space.folding, own_terms, known, inner[need], inner[need + 1] - inner[need])
+            at = np.searchsorted(need, some)
+            own = folded[at]
+            own[follows[some]] += folded[at[follows[some]] + 1]
+            stop = np.minimum(start[some] + PASSAGE, first[docs[some] + 1])
+            cosine = own @ space.latent.T / _lengths(terms, start[some], stop, square)[:, None]
+            for p, j in zip(*np.nonzero(cosine >= COSINE), strict=True):
+                i = space.first + int(j)
+                item, d = items.terms[i], int(docs[some[p]])
+                text = terms[max(int(first[d]), int(start[some[p]]) - len(item)) : min(int(first[d + 1]), int(stop[p]) + len(item))]
+                there_at_all[text] = True
+                most = weights[i][there_at_all[item]].sum()
+                there_at_all[text] = False
+                if most < PARAPHRASE * totals[i]:
+                    continue  # no more can be common in order than at all
+                share = common_weight(item, text, idf)
+                if share >= PARAPHRASE:
+                    answer = item[-ANSWER:]
+                    there = bool(idf[answer[np.isin(answer, text)]].sum() >= ANSWERED * idf[answer].sum())
+                    if share >= COPY or there:
+                        yield d, int(items.ids[i]), float(cosine[p, j]), share, there
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,14 +363,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         made = staged(texts.mapInArrow(lean(_encoded(spark.sparkContext.broadcast(items))), "kind int, id long, terms binary, n long"), "terms")
         idf = _weights(made, terms)
         vectors = _item_vectors(items, idf)
-        space = latent_space(spark, vectors, terms)
-        latent = np.array([w @ space[u] for u, w in vectors])
-        folding = (space * idf[:, None]).astype(np.float32)
-        folding[0] = 0
-        held = spark.sparkContext.broadcast((items, idf, folding, latent.astype(np.float32), idf * idf))
         dtype = "<u4" if terms + 1 > 1 << 16 else "<u2"
-        part = made.where("kind = 0").select("id", "terms").mapInArrow(lean(_found(held, dtype)), "doc_id long, item_id long, cosine double, common double, answered boolean")
-        found = part if found is None else found.unionByName(part)
+        for some in _blocks(vectors):
+            spaces = []
+            for (first, end, own), space in zip(some, latent_spaces(spark, vectors, some), strict=True):
+                latent = np.array([w @ space[np.searchsorted(own, u)] for u, w in vectors[first:end]])
+                folding = np.concatenate([np.zeros((1, space.shape[1])), space * idf[own][:, None]])
+                spaces.append(_Space(first, own, folding.astype(np.float32), latent.astype(np.float32)))
+            held = spark.sparkContext.broadcast((items, idf, spaces, idf * idf))
+            part = made.where("kind = 0").select("id", "terms").mapInArrow(lean(_found(held, dtype)), "doc_id long, item_id long, cosine double, common double, answered boolean")
+            found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "doc_id long, item_id long, cosine double, common double, answered boolean, kind string")
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("common", "cosine", "answered")).alias("x"))
