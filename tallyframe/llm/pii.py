@@ -3,8 +3,8 @@
 The patterns find e-mail and IP addresses, card and phone numbers; each distinct value is a protected entity. The words
 near an entity are its contexts; equal contexts count once, so that copies of a text are no new evidence. From the
 contexts and the corpus's document counts follows how much a term says about an entity, as pointwise mutual
-information; a term that says more than ``1 / ALPHA`` of the entity's information content discloses it. In the
-documents with that entity such a term is generalised, or removed if it says everything.
+information; a term that says more than ``1 / ALPHA`` of the entity's information content discloses it, if it doesn't
+stand there by chance: an entity in few contexts, even one, is disclosed by terms that are rare enough. In the documents with that entity such a term is generalised, or removed if it says everything.
 
 All of it is DataFrame and SQL functions.
 """
@@ -27,11 +27,11 @@ PATTERNS = {
 }
 #: Characters on either side of an entity that make its context.
 WINDOW = 64
-#: Different contexts in which a term must stand with an entity before the corpus is taken to know it, and the part of
-#: an entity's information content that a term may say.
-LEAST_CONTEXTS, ALPHA = 4, 1.25
-#: Up to so many terms are looked for in the corpus by a list; more are taken from the counts of all words.
-LISTED_TERMS = 10_000
+#: Terms of an entity's contexts that may be expected there by chance, of those as rare as one that counts; and the
+#: part of an entity's information content that a term may say.
+CHANCE, ALPHA = 0.05, 1.25
+#: Up to so many terms are looked for in the corpus by a list; up to so many by a broadcast table, and more by a join.
+LISTED_TERMS, BROADCAST_KNOWN = 10_000, 200_000
 #: Texts with disclosing terms, of up to so many rows, are broadcast.
 BROADCAST_TERMS = 50_000
 #: Replacements of the kinds; a generalised term becomes ``TERM``, a removed one goes.
@@ -107,28 +107,30 @@ def _entity(s: Column) -> Column:
     return F.concat(s["rank"].cast("string"), F.lit(":"), F.lower(s["value"]))
 
 
-def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_contexts: int = LEAST_CONTEXTS, alpha: float = ALPHA) -> DataFrame:
+def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chance: float = CHANCE, alpha: float = ALPHA) -> DataFrame:
     """(entity, term, contexts, pmi, ic): the terms that say at least ``1 / alpha`` of an entity's information content.
 
     An entity is a kind and a value. Documents without an id or text are left out; rows that repeat an id count as one
-    document. Entities in fewer than ``least_contexts`` different contexts have no terms.
+    document. A term in ``dt`` of ``n`` documents stands in ``contexts`` contexts by chance with (dt / n) ** contexts; that
+    times the number of terms near the entity must be at most ``chance``.
     """
-    return _disclosing(docs, _contexts(docs, id_col, text_col), id_col, text_col, least_contexts, alpha)
+    return _disclosing(docs, _contexts(docs, id_col, text_col), id_col, text_col, chance, alpha)
 
 
-def _disclosing(docs: DataFrame, contexts: DataFrame, id_col: str, text_col: str, least_contexts: int, alpha: float) -> DataFrame:
+def _disclosing(docs: DataFrame, contexts: DataFrame, id_col: str, text_col: str, chance: float, alpha: float) -> DataFrame:
     contexts = contexts.where("id is not null")
-    entities = contexts.groupBy("entity").agg(F.countDistinct("id").alias("de"), F.countDistinct(F.xxhash64("terms")).alias("seen")).where(F.col("seen") >= least_contexts)
-    entities = staged(entities.select("entity", "de"), "entities")
-    pairs = contexts.join(entities.select("entity"), "entity", "left_semi").select("id", "entity", F.xxhash64("terms").alias("context"), F.explode("terms").alias("term"))
-    pairs = pairs.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("id").alias("both")).where(F.col("contexts") >= least_contexts)
+    each = contexts.select("id", "entity", F.xxhash64("terms").alias("context"), F.explode("terms").alias("term"))
+    pairs = each.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("id").alias("both"))
+    near = pairs.groupBy("entity").agg(F.count("*").alias("near"))
+    entities = staged(contexts.groupBy("entity").agg(F.countDistinct("id").alias("de")).join(near, "entity"), "entities")
     # At least the documents in whose contexts a term stands have it, which bounds what it can say: common words need no
     # count over the corpus.
     seen = contexts.select("id", F.explode("terms").alias("term")).groupBy("term").agg(F.countDistinct("id").alias("least_dt"))
     total = docs.select(id_col).where(F.col(id_col).isNotNull()).distinct().count()
     ic = F.log2(F.lit(float(max(total, 1))) / F.col("de"))
     at_most = F.log2(F.col("both") * F.lit(float(max(total, 1))) / (F.col("least_dt") * F.col("de")))
-    pairs = pairs.join(entities, "entity").join(seen, "term").where((ic > 0) & (at_most >= ic / alpha)).drop("least_dt")
+    rare_enough = lambda dt: F.col("near") * F.pow(F.col(dt) / F.lit(float(max(total, 1))), F.col("contexts")) <= chance
+    pairs = pairs.join(entities, "entity").join(seen, "term").where((ic > 0) & (at_most >= ic / alpha) & rare_enough("least_dt")).drop("least_dt")
     pairs = staged(pairs, "pairs")
     known = staged(pairs.select("term").distinct(), "known")
     count = known.count()
@@ -137,9 +139,11 @@ def _disclosing(docs: DataFrame, contexts: DataFrame, id_col: str, text_col: str
     each = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.explode(F.array_distinct(_terms(F.col(text_col).cast("string")))).alias("term"))
     if count <= LISTED_TERMS:
         each = each.where(F.col("term").isin([r.term for r in known.collect()]))
-    frequency = each.groupBy("term").agg(F.countDistinct("id").alias("dt")).join(known, "term", "left_semi")
+    else:
+        each = each.join(F.broadcast(known) if count <= BROADCAST_KNOWN else known, "term", "left_semi")
+    frequency = each.groupBy("term").agg(F.countDistinct("id").alias("dt"))
     pmi = F.log2(F.col("both") * F.lit(float(max(total, 1))) / (F.col("dt") * F.col("de")))
-    said = pairs.join(frequency, "term").select("entity", "term", "contexts", pmi.alias("pmi"), ic.alias("ic"))
+    said = pairs.join(frequency, "term").where(rare_enough("dt")).select("entity", "term", "contexts", pmi.alias("pmi"), ic.alias("ic"))
     return staged(said.where(F.col("pmi") >= F.col("ic") / alpha), "disclosing")
 
 
@@ -164,7 +168,7 @@ def _term_spans(text: Column, terms: Column, base: Column) -> Column:
     return F.filter(found, lambda s: ~F.exists(base, lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
 
 
-def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_contexts: int = LEAST_CONTEXTS, alpha: float = ALPHA) -> DataFrame:
+def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chance: float = CHANCE, alpha: float = ALPHA) -> DataFrame:
     """``docs`` with ``base`` and ``spans``: the base spans, and all spans, each by start and then kind.
 
     Spans are structs of start, rank (the kind's place in ``KINDS``), end and value, in code points, the end exclusive. A
@@ -172,7 +176,7 @@ def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty. Columns named ``base`` and ``spans`` are replaced, all others stay.
     """
     contexts = _contexts(docs, id_col, text_col)
-    said = _disclosing(docs, contexts, id_col, text_col, least_contexts, alpha)
+    said = _disclosing(docs, contexts, id_col, text_col, chance, alpha)
     rows = with_base_spans(docs.drop("base", "spans"), text_col, "base")
     if said.limit(1).count() == 0:
         return rows.withColumn("spans", F.col("base"))
