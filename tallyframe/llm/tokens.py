@@ -3,7 +3,7 @@
 A byte-level BPE cuts a text into stretches before it merges anything, and a single space always opens a new one.
 A stretch without white space at its ends therefore has the same ids in every text, and is encoded once per worker.
 So does a single line end between two others. Texts in which white space stands otherwise (doubled, leading, trailing,
-or beside a line end) are encoded whole.
+or beside a line end), and those that hold an added token's content, are encoded whole.
 """
 
 from __future__ import annotations
@@ -40,7 +40,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Added tokens are cut out of a text before it falls into stretches.
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.memory: dict[bytes, bytes] = {}
         self.used, self.held = time.monotonic(), threading.Lock()
@@ -70,6 +71,11 @@ class Encoder:
                 self.used = time.monotonic()
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
+        odd = [k for k, t in enumerate(texts) if any(a in t for a in self.added)]
+        if odd:
+            ids = dict(zip(odd, self.whole([texts[k].decode() for k in odd]), strict=True))
+            rest = iter(self._encode([t for k, t in enumerate(texts) if k not in ids]))
+            return [ids[k] if k in ids else next(rest) for k in range(len(texts))]
         # A single line end is a token of its own before a stretch without a space: it opens a stretch, too.
         cut = [t.replace(b"\n", b" \n").split(b" ") if b"\n" in t else t.split(b" ") for t in texts]
         for c in cut:
