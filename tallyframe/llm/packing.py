@@ -34,20 +34,16 @@ def document_pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, path
         from pyspark import TaskContext
 
         enc, part = encoder(path), TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                block = batch.slice(at, 500)
-                ids = block.column(0).to_pylist()
-                texts = [t or b"" for t in block.column(1).cast(pa.binary()).to_pylist()]
+            own = batch.column(0).to_pylist()
+            for row, ids, off in enc.ids(batch.column(1)):
+                raw, off = memoryview(np.insert(ids, off[1:], end_id).astype("<u4").view(np.uint8)), (off + np.arange(len(off))).tolist()
                 out = []
-                for i, raw in zip(ids, enc.encode(texts), strict=True):
-                    all_ids = np.frombuffer(raw, enc.dtype).astype("<u4").tobytes() + end
-                    n = len(all_ids) // 4
+                for i, begin, n in zip(own[row:], off[:-1], np.diff(off).tolist(), strict=False):
                     a, k = 0, 0
                     while a < n:
                         z = (n % capacity or capacity) if a == 0 else a + capacity
-                        out.append((i, k, a, z - a, zlib.crc32(all_ids[4 * a : 4 * z])))
+                        out.append((i, k, a, z - a, zlib.crc32(raw[4 * (begin + a) : 4 * (begin + z)])))
                         a, k = z, k + 1
                 cols = list(zip(*out, strict=True))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())

@@ -52,6 +52,10 @@ _VALUE[65:91] = _VALUE[97:123]  # A-Z count as a-z
 _VALUE[SPACE] = 0
 _STEP = U64(0xD1342543DE82EF95)
 _POWERS = np.ones(1, U64)
+#: A value for each byte, capitals told apart.
+VALUE = mix64(np.arange(1, 257, dtype=U64))
+_BACK_STEP = U64(pow(int(_STEP), -1, 1 << 64))
+_BACK = np.ones(1, U64)
 
 
 def _powers(n: int) -> np.ndarray:
@@ -61,6 +65,15 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number, and of its inverse: a run's hash doesn't depend on where it stands."""
+    global _BACK
+    forward = _powers(n)
+    if len(_BACK) < n:
+        _BACK = np.cumprod(np.concatenate([np.ones(1, U64), np.full(2 * n, _BACK_STEP)]))
+    return forward, _BACK
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column; null counts as empty."""
     if column.null_count:

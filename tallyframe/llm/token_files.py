@@ -1,8 +1,8 @@
 """Token-id files: documents in ascending id order, coded in checksummed blocks, with a table of documents.
 
-A file holds the ids of one range of documents: ``CMT1``, then sections of coded blocks, then the table of documents
-(id, flag for null, number of ids; deflated), then the table's length and crc32 and ``CMT1`` again. Each block has the
-crc32 of its ids as little-endian 32-bit integers, and decodes by itself with its section's frequencies.
+A file holds the ids of one range of documents: ``CMT2``, then sections of coded blocks, then the table of documents
+(id, flag for null, number of ids; deflated), then the table's length and crc32 and ``CMT2`` again. Each block has the
+crc32 of its ids as little-endian 32-bit integers, and decodes by itself.
 """
 
 from __future__ import annotations
@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 from . import rangecoder
 from .storage import new_path, staged
+from .textarrays import lean
 from .tokens import encoder, vocabulary
 
-_MAGIC, _HEAD = b"CMT1", struct.Struct("<III")
+_MAGIC, _HEAD = b"CMT2", struct.Struct("<II")
 #: Ids that a writer or reader holds at once.
 HELD = 4096 * rangecoder.BLOCK
 
@@ -32,15 +33,13 @@ def _crc(ids: np.ndarray) -> int:
 
 
 def _flush(file, ids: np.ndarray) -> None:
-    """A section: its sizes, the order-0 frequencies, (bytes, ids, crc32) of each block, then the blocks."""
+    """A section: its size, (bytes, ids, crc32) of each block, then the blocks."""
     if not len(ids):
         return
-    freq = rangecoder.frequencies(ids)
-    coded = rangecoder.encode(ids, freq)
+    coded = rangecoder.encode(ids)
     blocks = [ids[k : k + rangecoder.BLOCK] for k in range(0, len(ids), rangecoder.BLOCK)]
-    table = zlib.compress(freq.astype("<u4").tobytes(), 6)
     heads = np.array([(len(c), len(b), _crc(b)) for c, b in zip(coded, blocks, strict=True)], "<u4").tobytes()
-    file.write(_HEAD.pack(len(coded), len(table), zlib.crc32(table + heads)) + table + heads + b"".join(coded))
+    file.write(_HEAD.pack(len(coded), zlib.crc32(heads)) + heads + b"".join(coded))
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 0) -> DataFrame:
@@ -53,7 +52,6 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 0)
         enc, part = encoder(path), TaskContext.get().partitionId()
         if enc.dtype.itemsize != 2:
             raise ValueError("the coder takes vocabularies of up to 65,536 ids")
-        end = np.array([end_id], "<u2").tobytes()
         file, name, table, held, n_held, total = None, f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.cmt", [], [], 0, 0
         store, at = pafs.FileSystem.from_uri(name)
         for batch in batches:
@@ -63,27 +61,26 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 0)
                     store.create_dir(at.rsplit("/", 1)[0], recursive=True)
                     file = store.open_output_stream(at)
                     file.write(_MAGIC)
-                texts = [t or b"" for t in block.column(1).cast(pa.binary()).to_pylist()]
-                for i, raw in zip(block.column(0).to_pylist(), enc.encode(texts), strict=True):
-                    n = len(raw) // 2 + 1
-                    table.append((i or 0, i is None, n))
-                    held += [raw, end]
-                    n_held += n
-                    total += n
+                own = block.column(0).to_pylist()
+                for row, ids, off in enc.ids(block.column(1)):
+                    table += [(i or 0, i is None, n + 1) for i, n in zip(own[row : row + len(off) - 1], np.diff(off).tolist(), strict=True)]
+                    held.append(np.insert(ids, off[1:], end_id))
+                    n_held += len(held[-1])
+                    total += len(held[-1])
                 if n_held >= HELD:
-                    ids = np.frombuffer(b"".join(held), "<u2")
+                    ids = np.concatenate(held)
                     whole = len(ids) // HELD * HELD
                     _flush(file, ids[:whole])
-                    held, n_held = [ids[whole:].tobytes()], len(ids) - whole
+                    held, n_held = [ids[whole:].copy()], len(ids) - whole
         if file is not None:
-            _flush(file, np.frombuffer(b"".join(held), "<u2"))
+            _flush(file, np.concatenate(held))
             body = zlib.compress(np.array(table, dtype=[("id", "<i8"), ("null", "u1"), ("n", "<i8")]).tobytes(), 1)
             file.write(body + struct.pack("<QI", len(body), zlib.crc32(body)) + _MAGIC)
             file.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "file": [name], "ids": pa.array([total], pa.int64())})
 
     dealt = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    return dealt.mapInArrow(run, "part long, file string, ids long")
+    return dealt.mapInArrow(lean(run), "part long, file string, ids long")
 
 
 def read_documents(name: str) -> tuple[np.ndarray, int, object, object]:
@@ -109,17 +106,17 @@ def read_ids(name: str) -> Iterator[np.ndarray]:
         raise OSError(f"{name}: not a token file")
     at = 4
     while at < end:
-        n, size, crc = _HEAD.unpack(file.read(_HEAD.size))
-        table, heads = file.read(size), file.read(12 * n)
-        if zlib.crc32(table + heads) != crc:
+        n, crc = _HEAD.unpack(file.read(_HEAD.size))
+        heads = file.read(12 * n)
+        if zlib.crc32(heads) != crc:
             raise OSError(f"{name}: a section's head is damaged")
         sizes, counts, sums = np.frombuffer(heads, "<u4").reshape(n, 3).T.tolist()
-        ids = rangecoder.decode([file.read(k) for k in sizes], counts, np.frombuffer(zlib.decompress(table), "<u4").astype(np.int64))
+        ids = rangecoder.decode([file.read(k) for k in sizes], counts)
         ends = np.cumsum(counts).tolist()
         for a, z, crc in zip([0, *ends[:-1]], ends, sums, strict=True):
             if _crc(ids[a:z]) != crc:
                 raise OSError(f"{name}: a block is damaged")
-        at += _HEAD.size + size + 12 * n + sum(sizes)
+        at += _HEAD.size + 12 * n + sum(sizes)
         yield ids
     file.close()
 
@@ -159,4 +156,4 @@ def token_id_files(docs: DataFrame, end_id: int = 0, path: str | None = None, id
     before = F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     files = manifest.select("file", F.coalesce(before, F.lit(0)).alias("before"))
     count = max(1, manifest.count())
-    return files.repartition(count, "file").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(count, "file").mapInArrow(lean(_read), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -38,18 +38,38 @@ ODD = [(1, None), (2, ""), (3, "   "), (4, "word"), (5, "w" * 300_000), (5, "w"
 def test_memoised_ids_equal_the_library():
     rng = random.Random(3)
     enc = tokens.Encoder(tokens.vocabulary())
-    texts = ["".join(rng.choice(["a", "Bc", "é", "1", ".", "!", " ", "\n", "'s", "\t", " ", "漢", "_"]) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
+    bits = ["a", "Bc", "é", "×", "÷", "ß", "œ", "Жд", "1", ".", "!", " ", "  ", "\n", "\n\n", "'s", "'", "\t", "\r\n", "\x0b", "漢", "_", "\u00a0", "\u2003", "“", "\x1d", "\x85", "\U0001f600", "λ", "\x7f", "w" * 300, "²"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(6000)]
     for _ in range(2):
-        assert enc.encode([t.encode() for t in texts]) == enc.whole(texts)
+        assert enc.encode([t.encode() for t in texts]) == [x.tobytes() for x in enc.whole(texts)]
 
 
-def test_coder_round_trip_and_damage():
-    ids = np.random.default_rng(0).zipf(1.4, 20_000).clip(0, 50_000).astype("<u2")
-    freq = rangecoder.frequencies(ids)
-    coded = rangecoder.encode(ids, freq)
+def test_more_stretches_than_are_remembered(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 50)
+    rng = random.Random(4)
+    enc = tokens.Encoder(tokens.vocabulary())
+    for _ in range(5):
+        texts = [prose(rng, 40) for _ in range(20)]
+        assert enc.encode([t.encode() for t in texts]) == [x.tobytes() for x in enc.whole(texts)]
+
+
+@pytest.mark.parametrize("kind", ["skewed", "uniform", "constant", "cyclic", "short"])
+def test_coder_round_trip_and_independent_blocks(kind):
+    rng = np.random.default_rng(0)
+    ids = {
+        "skewed": lambda: rng.zipf(1.4, 20_000).clip(0, 50_000),
+        "uniform": lambda: rng.integers(0, 1 << 16, 9_000),
+        "constant": lambda: np.full(5_000, 65_535),
+        "cyclic": lambda: np.arange(5_000) % 7,
+        "short": lambda: np.array([3]),
+    }[kind]().astype("<u2")
+    coded = rangecoder.encode(ids)
     sizes = [min(rangecoder.BLOCK, len(ids) - k) for k in range(0, len(ids), rangecoder.BLOCK)]
-    assert (rangecoder.decode(coded, sizes, freq) == ids).all()
-    assert sum(map(len, coded)) < 2 * len(ids)
+    assert (rangecoder.decode(coded, sizes) == ids).all()
+    if kind != "uniform":
+        assert sum(map(len, coded)) < 2 * len(ids) + 10
+    for k in (0, len(coded) - 1):  # a block decodes alone
+        assert (rangecoder.decode(coded[k : k + 1], sizes[k : k + 1]) == ids[k * rangecoder.BLOCK :][: sizes[k]]).all()
 
 
 def test_token_files_give_back_all_ids(spark):
@@ -57,7 +77,7 @@ def test_token_files_give_back_all_ids(spark):
     rows = [*ODD, *((k, prose(rng, rng.randint(0, 60))) for k in range(10, 60))]
     got = token_files.token_id_files(frame(spark, rows)).orderBy("start").collect()
     enc = tokens.Encoder(tokens.vocabulary())
-    want = sorted((-1 if i is None else i, *(lambda ids: (len(ids), zlib.crc32(ids.astype("<u4").tobytes())))(np.append(np.frombuffer(enc.whole([t or ""])[0], enc.dtype), 0))) for i, t in rows)
+    want = sorted((-1 if i is None else i, *(lambda ids: (len(ids), zlib.crc32(ids.astype("<u4").tobytes())))(np.append(enc.whole([t or ""])[0], 0))) for i, t in rows)
     assert [(-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.ids_crc32) for r in got] == want
     assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1]]
     assert token_files.token_id_files(frame(spark, rows).where("false")).count() == 0
