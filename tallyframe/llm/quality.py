@@ -60,11 +60,7 @@ def _batches(column: pa.Array) -> Iterator[tuple[int, np.ndarray, list[tuple[int
         starts, ends, first = word_spans(body, off)
         words = word_hashes(body, starts, ends)
         with np.errstate(over="ignore"):
-            found = list(_families(words, _shapes(body, starts, ends, words))) if len(words) > 2 else [(n, np.zeros(0, np.intp)) for n in (1, 2, 1, 2, 3)]
-            if 0 < len(words) <= 2:
-                shapes = _shapes(body, starts, ends, words)
-                found[0] = (1, (mix64(words + np.uint64(11)) & _BUCKET).astype(np.intp))
-                found[2] = (1, (mix64(shapes + np.uint64(33)) & _BUCKET).astype(np.intp))
+            found = list(_families(words, _shapes(body, starts, ends, words)))
         yield row, first, found
 
 
@@ -93,7 +89,7 @@ def _sigmoid(x: float) -> float:
 
 
 def _learn(table: pa.Table) -> pa.Table:
-    """The weights that one shard's rows give; bucket ``BUCKETS`` is the constant."""
+    """The weights that one shard's rows give; bucket ``BUCKETS`` is the constant, and -1 counts the shard."""
     z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     rows = []
     for label, k, v in zip(table["label"].to_pylist(), table["buckets"], table["frequencies"], strict=True):
@@ -115,7 +111,7 @@ def _learn(table: pa.Table) -> pa.Table:
             np.add.at(n, k, g * g)
     w = weights(np.arange(BUCKETS + 1))
     at = np.flatnonzero(w)
-    return pa.table({"bucket": pa.array(at.astype(np.int32)), "weight": pa.array(w[at])})
+    return pa.table({"bucket": pa.array(np.append(at, -1).astype(np.int32)), "weight": pa.array(np.append(w[at], 1.0))})
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
@@ -131,7 +127,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id
     sample = texts.join(F.broadcast(picked), "id").select("id", "label", "text")
     features = sample.mapInArrow(_features, "shard int, label int, buckets array<int>, frequencies array<float>")
     learnt = features.groupBy("shard").applyInArrow(_learn, "bucket int, weight double")
-    return staged(learnt.groupBy("bucket").agg((F.sum("weight") / SHARDS).alias("weight")), "quality-model")
+    summed = staged(learnt.groupBy("bucket").agg(F.sum("weight").alias("weight")), "quality-model")
+    shards = summed.where("bucket = -1").first()  # those that had rows to learn from
+    return summed.where("bucket >= 0").select("bucket", (F.col("weight") / (shards["weight"] if shards else 1.0)).alias("weight"))
 
 
 def _scores(weights):
