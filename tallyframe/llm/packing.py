@@ -1,9 +1,9 @@
 """Best-fit packing of token pieces into sequences, by hierarchical residual packing.
 
 Every input partition packs its own pieces best-fit, longest first, and emits the bins that are nearly full. The
-underfull ones become items of the next level, where a few partitions' items meet and are packed best-fit again, and so
-on up the tree. A level passes on no more items than ``carry`` per group (those with the most room); further underfull
-bins are emitted as they are, so that no group grows with the corpus and no piece is lost.
+underfull ones become items of the next level, where several partitions' items meet and are packed best-fit again, and
+so on up the tree. Where more items are left than one task should hold, a level keeps as many groups as they need, and
+deals them anew, until one group is left or a level no longer saves bins. No item is capped and no piece is lost.
 """
 
 from __future__ import annotations
@@ -125,24 +125,33 @@ def _merge(capacity: int):
     return run
 
 
-def packed_sequences(pieces: DataFrame, capacity: int = 2048, near: int = 16, carry: int = 200_000, fan_in: int = 4) -> DataFrame:
+def packed_sequences(pieces: DataFrame, capacity: int = 2048, near: int = 16, held: int = 100_000, fan_in: int = 4, least_saved: float = 0.01) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every row of ``document_pieces``.
 
-    Bins with at most ``near`` ids of room are done; the others meet ``fan_in`` groups at a time. Lengths are at least 1
-    (the end id), so an empty text still has a piece; ties keep the order of the rows; an empty table gives no rows.
+    Bins with less than ``near`` ids of room are done; the others meet at least ``fan_in`` groups at a time, and about
+    ``held`` to a group. The levels end with one group, or when dealing the same number of groups anew has saved less
+    than ``least_saved`` of the bins. Lengths are at least 1 (the end id), so an empty text still has a piece; rows that
+    repeat are pieces of their own; an empty table gives no rows.
     """
     level = staged(pieces.mapInArrow(_local(capacity), _BIN), "bins")
-    groups = (level.agg(F.max("grp")).first()[0] or 0) + 1
-    done = []
-    while groups > 1:
-        rank = F.row_number().over(_by_room())
-        open_ = level.where(F.col("fill") < capacity - near)
-        done.append(level.where(F.col("fill") >= capacity - near))
-        ranked = open_.withColumn("rank", rank)
-        done.append(ranked.where(F.col("rank") > carry).drop("rank"))
-        groups = -(-groups // fan_in)
-        items = ranked.where(F.col("rank") <= carry).select((F.col("grp") / fan_in).cast("int").alias("grp"), "fill", "pieces")
+    full = F.col("fill") > capacity - near
+    count = lambda df: df.agg(F.max("grp"), F.count(F.when(~full, 1))).first()
+    top, many = count(level)
+    groups, done, k = (top or 0) + 1, [], 0
+    while groups > 1 and many:
+        done.append(level.where(full))
+        after = max(-(-groups // fan_in), -(-many // held))
+        if after < groups:
+            to = (F.col("grp") * F.lit(after) / F.lit(groups)).cast("int")  # neighbours meet
+        else:
+            to = F.pmod(F.xxhash64(F.col("pieces")[0], F.lit(k)), F.lit(groups)).cast("int")
+        items = level.where(~full).select(to.alias("grp"), "fill", "pieces")
         level = staged(items.groupBy("grp").applyInArrow(_merge(capacity), _BIN), "bins")
+        _, left = count(level)
+        stuck = after >= groups and left > (1 - least_saved) * many
+        groups, many, k = min(after, groups), left, k + 1
+        if stuck:
+            break
     for d in done:
         level = level.unionByName(d)
     level = level.select("pieces", F.monotonically_increasing_id().alias("sequence_id"))
@@ -154,9 +163,3 @@ def packed_sequences(pieces: DataFrame, capacity: int = 2048, near: int = 16, ca
     )
     flat = level.select("sequence_id", F.explode(F.arrays_zip("pieces", run.alias("offset"))).alias("x"))
     return flat.select("x.pieces.*", "sequence_id", F.col("x.offset").alias("offset"))
-
-
-def _by_room():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("grp").orderBy("fill", F.col("pieces")[0]["doc_id"], F.col("pieces")[0]["piece"])
