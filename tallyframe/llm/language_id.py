@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import staged
+from .storage import free_names, staged
 from .textarrays import give_back, lean, pieces
 
 #: Labelled rows that the text models are fitted on at most, those with the smallest hashed ids.
@@ -32,7 +32,17 @@ TEMPER = 1 / 3
 SMOOTHING = 20.0
 #: Host tables of up to so many rows are broadcast; larger ones are joined in ``SALTS`` parts a host.
 BROADCAST_HOSTS, SALTS = 50_000, 16
-DECLARED = r"(?is)^.{0,2000}?<html[^>]*\slang\s*=\s*[\"']?\s*([a-z]{2,3})"
+#: Where markup declares a language: the html tag's lang or xml:lang, or a meta tag's content language. No tag is longer
+#: than the next angle bracket, so that a text is read once.
+HTML_TAG, LANG = r"(?i)<html\b[^<>]*+", r"(?i)[\s:]lang\s*=\s*[\"']?\s*([a-z]+)"
+META_TAG, CONTENT = r"(?i)<meta\b(?=[^<>]*?http-equiv\s*=\s*[\"']?\s*content-language)[^<>]*+", r"(?i)\scontent\s*=\s*[\"']?\s*([a-z]+)"
+#: Codes of three letters whose language has one of two letters (fixed values of ISO 639).
+THREE_LETTERS = {
+    "ara": "ar", "bul": "bg", "ces": "cs", "cze": "cs", "chi": "zh", "zho": "zh", "dan": "da", "deu": "de", "ger": "de", "dut": "nl", "nld": "nl", "ell": "el", "gre": "el",
+    "eng": "en", "est": "et", "fin": "fi", "fra": "fr", "fre": "fr", "heb": "he", "hin": "hi", "hrv": "hr", "hun": "hu", "ind": "id", "ita": "it", "jpn": "ja", "kor": "ko",
+    "lav": "lv", "lit": "lt", "nor": "no", "pol": "pl", "por": "pt", "ron": "ro", "rum": "ro", "rus": "ru", "slk": "sk", "slo": "sk", "slv": "sl", "spa": "es", "swe": "sv",
+    "tur": "tr", "ukr": "uk", "vie": "vi",
+}
 
 
 @dataclass(frozen=True)
@@ -132,13 +142,14 @@ def identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", ho
     none = F.lit(None).cast("string")
     names = F.array(*map(F.lit, langs))
     rows = docs.drop("language", "confidence", "evidence", "accepted")
+    host_, suffix_, declared_, ll_, salt_, prior_, fused_, all_ = free_names(rows, "host", "suffix", "declared", "ll", "salt", "prior", "fused", "all")
     slim = lambda c: F.lower(F.trim(c.cast("string"))) if c is not None else none
-    rows = rows.withColumns({"_host": F.coalesce(slim(host), F.lit("")), "_suffix": F.coalesce(slim(suffix), F.lit("")), "_declared": F.substring(slim(declared), 1, 2), "_ll": _likelihoods(docs, model, text_col)})
+    rows = rows.withColumns({host_: F.coalesce(slim(host), F.lit("")), suffix_: F.coalesce(slim(suffix), F.lit("")), declared_: _two_letters(slim(declared)), ll_: _likelihoods(docs, model, text_col)})
 
-    sure = rows.where(F.col("_ll").isNotNull()).select("_host", "_suffix", "_declared", _softmax(F.col("_ll")).alias("p"))
-    stated = F.col("_declared").isNotNull() & F.array_contains(names, F.col("_declared"))
-    agreed = F.when(stated, F.element_at("p", F.array_position(names, F.col("_declared")).cast("int")))
-    by_host = staged(sure.groupBy("_host", "_suffix").agg(F.count(agreed).alias("stated"), F.sum(agreed).alias("agreed"), *(F.sum(F.col("p")[k]).alias(f"n{k}") for k in range(n))), "hosts")
+    sure = rows.where(F.col(ll_).isNotNull()).select(host_, suffix_, declared_, _softmax(F.col(ll_)).alias("p"))
+    stated = F.col(declared_).isNotNull() & F.array_contains(names, F.col(declared_))
+    agreed = F.when(stated, F.element_at("p", F.array_position(names, F.col(declared_)).cast("int")))
+    by_host = staged(sure.groupBy(host_, suffix_).agg(F.count(agreed).alias("stated"), F.sum(agreed).alias("agreed"), *(F.sum(F.col("p")[k]).alias(f"n{k}") for k in range(n))), "hosts")
     sums = [F.sum(f"n{k}").alias(f"n{k}") for k in range(n)]
     whole = by_host.agg(F.sum("stated").alias("stated"), F.sum("agreed").alias("agreed"), *sums).first()
     count = [float(whole[f"n{k}"] or 0) for k in range(n)]
@@ -149,29 +160,29 @@ def identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", ho
         total = sum((F.col(c) for c in names_), F.lit(0.0))
         return [(F.col(c) + F.lit(SMOOTHING) * a) / (total + SMOOTHING) for c, a in zip(names_, above, strict=True)]
 
-    suffixes = by_host.where("_suffix != ''").groupBy("_suffix").agg(*(F.sum(f"n{k}").alias(f"s{k}") for k in range(n)))
-    suffixes = suffixes.select("_suffix", *(p.alias(f"q{k}") for k, p in enumerate(smoothed([f"s{k}" for k in range(n)], [F.lit(t) for t in top]))))
+    suffixes = by_host.where(F.col(suffix_) != "").groupBy(suffix_).agg(*(F.sum(f"n{k}").alias(f"s{k}") for k in range(n)))
+    suffixes = suffixes.select(suffix_, *(p.alias(f"q{k}") for k, p in enumerate(smoothed([f"s{k}" for k in range(n)], [F.lit(t) for t in top]))))
     above = [F.coalesce(F.col(f"q{k}"), F.lit(t)) for k, t in enumerate(top)]
-    hosts = by_host.where("_host != '' or _suffix != ''").join(suffixes, "_suffix", "left")
-    own = [F.when(F.col("_host") == "", a).otherwise(p) for a, p in zip(above, smoothed([f"n{k}" for k in range(n)], above), strict=True)]
-    hosts = staged(hosts.select("_host", "_suffix", F.array(*own).alias("_prior")), "host-priors")
+    hosts = by_host.where((F.col(host_) != "") | (F.col(suffix_) != "")).join(suffixes, suffix_, "left")
+    own = [F.when(F.col(host_) == "", a).otherwise(p) for a, p in zip(above, smoothed([f"n{k}" for k in range(n)], above), strict=True)]
+    hosts = staged(hosts.select(host_, suffix_, F.array(*own).alias(prior_)), "host-priors")
     if hosts.count() <= BROADCAST_HOSTS:
-        rows = rows.join(F.broadcast(hosts), ["_host", "_suffix"], "left")
+        rows = rows.join(F.broadcast(hosts), [host_, suffix_], "left")
     else:
-        parts = hosts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(text_col), F.lit(SALTS)).cast("int")).join(parts, ["_host", "_suffix", "_salt"], "left")
+        parts = hosts.withColumn(salt_, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn(salt_, F.pmod(F.xxhash64(text_col), F.lit(SALTS)).cast("int")).join(parts, [host_, suffix_, salt_], "left")
 
-    prior = F.coalesce("_prior", F.array(*map(F.lit, top)))
+    prior = F.coalesce(prior_, F.array(*map(F.lit, top)))
     off = (1 - trust) / max(1, n - 1)
-    stated = F.col("_declared").isNotNull() & F.array_contains(names, F.col("_declared"))
-    fused = F.zip_with(prior, names, lambda p, l: F.log(p) + F.when(stated, F.when(l == F.col("_declared"), F.lit(float(np.log(trust)))).otherwise(F.lit(float(np.log(max(off, 1e-9)))))).otherwise(0.0))
-    rows = rows.withColumn("_fused", fused)
-    rows = rows.withColumn("evidence", _softmax(F.col("_fused"))).withColumn("_all", F.when(F.col("_ll").isNull(), F.col("evidence")).otherwise(_softmax(F.zip_with("_fused", "_ll", lambda a, b: a + b))))
-    rows = rows.withColumn("confidence", F.array_max("_all"))
-    rows = rows.withColumn("language", F.element_at(names, F.array_position("_all", F.col("confidence")).cast("int")))
-    rows = rows.withColumn("evidence", F.element_at("evidence", F.array_position("_all", F.col("confidence")).cast("int")))
-    rows = rows.withColumn("accepted", F.col("_ll").isNotNull() & (F.col("confidence") >= least))
-    return rows.drop("_host", "_suffix", "_declared", "_ll", "_salt", "_prior", "_fused", "_all")
+    stated = F.col(declared_).isNotNull() & F.array_contains(names, F.col(declared_))
+    fused = F.zip_with(prior, names, lambda p, l: F.log(p) + F.when(stated, F.when(l == F.col(declared_), F.lit(float(np.log(trust)))).otherwise(F.lit(float(np.log(max(off, 1e-9)))))).otherwise(0.0))
+    rows = rows.withColumn(fused_, fused)
+    rows = rows.withColumn("evidence", _softmax(F.col(fused_))).withColumn(all_, F.when(F.col(ll_).isNull(), F.col("evidence")).otherwise(_softmax(F.zip_with(fused_, ll_, lambda a, b: a + b))))
+    rows = rows.withColumn("confidence", F.array_max(all_))
+    rows = rows.withColumn("language", F.element_at(names, F.array_position(all_, F.col("confidence")).cast("int")))
+    rows = rows.withColumn("evidence", F.element_at("evidence", F.array_position(all_, F.col("confidence")).cast("int")))
+    rows = rows.withColumn("accepted", F.col(ll_).isNotNull() & (F.col("confidence") >= least))
+    return rows.drop(host_, suffix_, declared_, ll_, salt_, prior_, fused_, all_)
 
 
 def host_of(url: Column) -> Column:
@@ -186,7 +197,16 @@ def suffix_of(host: Column) -> Column:
     return F.when(found != "", found)
 
 
+def _two_letters(code: Column) -> Column:
+    """The language of a code without region and script, of two letters if it has such a code."""
+    first = F.regexp_extract(code, "^[a-z]+", 0)
+    known = F.create_map(*(F.lit(x) for pair in THREE_LETTERS.items() for x in pair))
+    return F.when(first != "", F.coalesce(known[first], first))
+
+
 def declared_in(markup: Column) -> Column:
-    """The language that the html tag declares."""
-    found = F.lower(F.regexp_extract(markup, DECLARED, 1))
+    """The language code that markup declares, of whatever length, wherever in the text; null where there is none."""
+    own = F.regexp_extract(F.regexp_extract(markup, HTML_TAG, 0), LANG, 1)
+    meta = F.regexp_extract(F.regexp_extract(markup, META_TAG, 0), CONTENT, 1)
+    found = F.lower(F.when(own != "", own).otherwise(meta))
     return F.when(found != "", found)

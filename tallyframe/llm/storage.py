@@ -11,10 +11,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a fresh one under /tmp only where it is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, and the master is local, a fresh one in /tmp."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -34,6 +36,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names made of ``names`` that no column of ``df`` has, in whatever case."""
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in df.columns):
+        mark += "_"
+    return [mark + n for n in names]
+
+
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with the columns called ``names``, in whatever case, renamed; and what gives them their names back."""
+    own = [c for c in df.columns if c.lower() in names]
+    other = free_names(df, *own)
+    return df.withColumnsRenamed(dict(zip(own, other, strict=True))), dict(zip(other, own, strict=True))
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a staged table that no later step reads."""
     spark = df.sparkSession
