@@ -3,7 +3,8 @@
 The distances of all vectors to a set of pivots are computed once and stored with them. For a query at distances ``a``
 from the pivots, a vector at distances ``b`` is at least ``max |a - b|`` away, which bounds their inner product from
 above. Each task takes its vectors in the order of that bound and scores them until no bound left reaches the query's
-kth best score so far; what is skipped cannot be among the results. Queries come in blocks of bounded size.
+kth best score so far, which starts at that among the vectors the pivots were picked from; what is skipped cannot be
+among the results. Queries stand in files of the shared folder, from which the tasks read them block by block.
 """
 
 from __future__ import annotations
@@ -12,17 +13,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import staged
+from .storage import new_path, staged
 
 #: Pivots, and the vectors that they are picked from (those with the smallest hashed ids).
 PIVOTS, SAMPLE = 48, 2_000
-#: Queries that are sent to the tasks at a time, and vectors that a task holds and scores at a time.
-QUERY_BLOCK, ROW_BLOCK, STEP = 4_096, 8_192, 256
+#: Vectors that a task holds, queries that it reads at a time, and vectors and queries that it scores at a time.
+HELD_ROWS, QUERY_BLOCK, ROW_BLOCK, STEP = 131_072, 4_096, 8_192, 256
 #: Inner products are exact in double precision up to here.
 _EXACT = float(1 << 53)
+_LOWEST, _NONE = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 256.0) -> DataFrame:
@@ -88,22 +92,66 @@ def _products(q: np.ndarray, x: np.ndarray, exact: bool) -> np.ndarray:
         return q.astype(np.int64) @ x.astype(np.int64).T
 
 
-def _search(k: int, width: int, queries, lowest: int):
+def _asked(folder: str) -> Iterator[pa.RecordBatch]:
+    """Blocks of queries from their files."""
+    store, at = pafs.FileSystem.from_uri(folder)
+    for info in sorted(store.get_file_info(pafs.FileSelector(at)), key=lambda f: f.path):
+        if info.path.endswith(".parquet"):
+            with store.open_input_file(info.path) as file:
+                yield from pq.ParquetFile(file).iter_batches(QUERY_BLOCK)
+
+
+def _with_floors(k: int, width: int, pivots: np.ndarray, ids: np.ndarray, sample: np.ndarray):
+    """Adds to queries (id, x) their distances to the pivots and the kth best score in the sample, their own id excepted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, to = queries.value
-        square = (q * q).sum(axis=1)
-        best_s = np.full((len(ids), k), lowest, np.int64)
-        best_i = np.full((len(ids), k), np.iinfo(np.int64).max, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROW_BLOCK):
-                block = batch.slice(at, ROW_BLOCK)
-                own, x = block.column(0).to_numpy(), _matrix(block.column(1), width)
-                d, norms = _matrix(block.column(2), to.shape[1]), (x * x).sum(axis=1)
-                exact = float(np.abs(q).max(initial=0.0)) * float(np.abs(x).max(initial=0.0)) * width < _EXACT
+            for at in range(0, batch.num_rows, STEP):
+                block = batch.slice(at, STEP)
+                own, q = block.column(0).to_numpy(), _matrix(block.column(1), width)
+                floor = np.full(len(own), _LOWEST)
+                if len(ids) > k:
+                    scores = _products(q, sample, _fits(q, sample, width))
+                    scores[own[:, None] == ids[None, :]] = _LOWEST
+                    floor = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+                d = _distances(q, pivots)
+                off = np.arange(len(d) + 1, dtype=np.int32) * d.shape[1]
+                yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.ListArray.from_arrays(pa.array(off), pa.array(d.ravel())), pa.array(floor)], ["id", "x", "to_pivots", "floor"])
+
+    return run
+
+
+def _fits(q: np.ndarray, x: np.ndarray, width: int) -> bool:
+    return float(np.abs(q).max(initial=0.0)) * float(np.abs(x).max(initial=0.0)) * width < _EXACT
+
+
+def _search(k: int, width: int, n_pivots: int, folder: str):
+    def found(own: np.ndarray, x: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
+        norms = (x * x).sum(axis=1)
+        for block in _asked(folder):
+            ids, q, to = block.column(0).to_numpy(), _matrix(block.column(1), width), _matrix(block.column(2), n_pivots)
+            square = (q * q).sum(axis=1)
+            # whatever scores less than the floor is no result
+            best_s = np.repeat(np.maximum(block.column(3).to_numpy(), _LOWEST + 1)[:, None] - 1, k, axis=1)
+            best_i = np.full((len(ids), k), _NONE, np.int64)
+            for at in range(0, len(own), ROW_BLOCK):
+                some = slice(at, at + ROW_BLOCK)
+                exact = _fits(q, x[some], width)
                 for a in range(0, len(ids), STEP):
-                    _block(ids[a : a + STEP], q[a : a + STEP], square[a : a + STEP], to[a : a + STEP], own, x, norms, d, exact, best_s[a : a + STEP], best_i[a : a + STEP], k)
-        at, col = np.nonzero(best_i != np.iinfo(np.int64).max)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(best_i[at, col]), pa.array(best_s[at, col])], ["query_id", "vec_id", "score"])
+                    _block(ids[a : a + STEP], q[a : a + STEP], square[a : a + STEP], to[a : a + STEP], own[some], x[some], norms[some], d[some], exact, best_s[a : a + STEP], best_i[a : a + STEP], k)
+            at, col = np.nonzero(best_i != _NONE)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(best_i[at, col]), pa.array(best_s[at, col])], ["query_id", "vec_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), _matrix(batch.column(1), width), _matrix(batch.column(2), n_pivots)))
+            n += batch.num_rows
+            if n >= HELD_ROWS:
+                yield from found(*map(np.concatenate, zip(*held, strict=True)))
+                held, n = [], 0
+        if n:
+            yield from found(*map(np.concatenate, zip(*held, strict=True)))
 
     return run
 
@@ -119,15 +167,15 @@ def _block(ids, q, square, to, own, x, norms, d, exact, best_s, best_i, k):
     order = np.argsort(-bound, axis=1, kind="stable") if len(own) <= STEP else np.argpartition(-bound, STEP, axis=1)
     first = order[:, :STEP]
     for r in range(len(ids)):
-        cols = first[r][np.isfinite(bound[r, first[r]])]
+        cols = first[r][np.isfinite(bound[r, first[r]]) & (bound[r, first[r]] >= best_s[r, -1])]
         _keep(q[r : r + 1], x, cols, own, best_s, best_i, r, exact, k)
         if len(own) > STEP:
             rest = order[r, STEP:]
-            rest = rest[bound[r, rest] >= best_s[r, -1]] if best_i[r, -1] != np.iinfo(np.int64).max else rest[np.isfinite(bound[r, rest])]
+            rest = rest[(bound[r, rest] >= best_s[r, -1]) & np.isfinite(bound[r, rest])]
             rest = rest[np.argsort(-bound[r, rest])]
             for c in range(0, len(rest), 4 * STEP):
                 some = rest[c : c + 4 * STEP]
-                if best_i[r, -1] != np.iinfo(np.int64).max and bound[r, some[0]] < best_s[r, -1]:
+                if bound[r, some[0]] < best_s[r, -1]:
                     break
                 _keep(q[r : r + 1], x, some, own, best_s, best_i, r, exact, k)
 
@@ -161,15 +209,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVO
     if not len(chosen):
         chosen = np.zeros((1, width))
     table = staged(pivot_table(unique, chosen, width), "pivots")
-    asked = staged(queries.dropDuplicates(["id", "x"]).withColumn("block", F.monotonically_increasing_id()), "queries")
-    count = asked.count()
-    blocks = max(1, -(-count // QUERY_BLOCK))
-    found = None
-    for b in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("id", "x"), F.lit(blocks)) == b).select("id", "x").orderBy("id").toArrow()
-        q = _matrix(rows["x"].combine_chunks(), width) if rows.num_rows else np.zeros((0, width))
-        held = spark.sparkContext.broadcast((rows["id"].to_numpy(), q, _distances(q, chosen)))
-        part = table.mapInArrow(_search(k, width, held, np.iinfo(np.int64).min), "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
+    folder = new_path(spark, "queries")
+    ids = sample["id"].to_numpy() if sample.num_rows else np.zeros(0, np.int64)
+    asked = queries.dropDuplicates(["id", "x"]).mapInArrow(_with_floors(k, width, chosen, ids, xs), "id long, x array<double>, to_pivots array<double>, floor long")
+    asked.write.parquet(folder)
+    found = table.mapInArrow(_search(k, width, len(chosen), folder), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
