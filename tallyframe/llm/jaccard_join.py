@@ -25,8 +25,8 @@ from .textarrays import lean, mix64, pieces, shingle_sets, word_hashes, word_spa
 
 #: Shingles that each task reports, and that all tasks together keep, as frequent. They only shape the order.
 FREQUENT_PER_TASK, FREQUENT = 4096, 65536
-#: Tables of nodes or pairs of up to so many rows (of at most 32 bytes) are broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Tables of numbers of up to so many bytes, eight a number, are broadcast; larger ones are shuffled.
+BROADCAST_BYTES = 2 << 20
 #: Rows whose sets a task holds at a time, and numbers of shingles that it counts together.
 BLOCK_ROWS, POOL = 500, 2_000_000
 #: Cuts of the global order; the frequent shingles at its end are one more fragment.
@@ -193,7 +193,7 @@ def _verified(pairs: DataFrame, segs: DataFrame, percent: int) -> DataFrame:
 
 def _sized(df: DataFrame) -> DataFrame:
     """A written table of a few numbers a row, marked for broadcast if it is short enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() * 8 * len(df.columns) <= BROADCAST_BYTES else df
 
 
 def _second(rows: DataFrame, field: str) -> DataFrame:
@@ -265,10 +265,16 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         wanted = spark.sparkContext.broadcast(_bitmap(ends.select("id")))
         segs = docs.where("id is not null and text is not null").mapInArrow(lean(_segments(words, wanted, order)), "id long, node long, fragment int, seg array<long>")
         segs = staged(segs.join(_sized(ends), ["id", "node"], "left_semi").select("node", "fragment", "seg"), "segments")
-        linked = staged(_verified(pairs, segs, percent), "linked")
+        # links join the smallest ids of their sets, so that a group is named by the smallest of all
+        name = _sized(ends)
+        linked = _verified(pairs, segs, percent).join(name.select(F.col("node").alias("a"), F.col("id").alias("ia")), "a").join(name.select(F.col("node").alias("b"), F.col("id").alias("ib")), "b")
+        linked = staged(linked.select(F.col("ia").alias("a"), F.col("ib").alias("b")), "linked")
         discard(segs)
         return linked
 
+    def renamed(components: DataFrame) -> DataFrame:
+        return components.withColumnRenamed("node", "node_id")
+
     # Of a group of near copies, the text that they were made from shares the largest part of its shingles.
     central = _sized(staged(shared.groupBy("node").agg(F.count("*").alias("held")), "central"))
     weight = F.struct(F.col("held") / F.col("n"), F.xxhash64("node"))
@@ -278,15 +284,13 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hubs = staged(hubs.select("node", "n", "place", "hub", F.when(F.col("other.node") != F.col("hub.node"), F.col("other")).alias("other")), "hubs")
     linked = links(candidates(_second(hubs, "hub").unionByName(_second(hubs.where("other is not null"), "other"))))
     discard(hubs)
-    comp = _sized(staged(connected_components(linked), "components"))
-    named = shared.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    comp = staged(reps.join(renamed(connected_components(linked)), F.col("node_id") == F.col("rep")).select("node", "component"), "components")
+    named = shared.join(_sized(comp), "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = named.withColumn("low", F.min("component").over(per)).withColumn("high", F.max("component").over(per)).where("low != high")
     named = staged(named.drop("low", "high"), "apart")
     discard(shared)
     linked = linked.unionByName(links(apart(named)))
 
-    comp = connected_components(linked)
-    classes = reps.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
-    classes = classes.join(smallest, "component").select("node", "component_id")
+    comp = renamed(connected_components(linked))
+    classes = reps.join(comp, F.col("node_id") == F.col("rep"), "left").select("node", F.coalesce("component", "rep").alias("component_id"))
     return rows.join(classes, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
