@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import staged
+from .storage import free_names, set_aside, staged
 
 #: The kinds in the order in which spans of one start stand, with patterns. They find what the plain patterns do
 #: (see the README), without trying a start inside a run or a shorter match again.
@@ -32,8 +32,8 @@ WINDOW = 64
 CHANCE, ALPHA = 0.05, 1.25
 #: Up to so many terms are looked for in the corpus by a list; up to so many by a broadcast table, and more by a join.
 LISTED_TERMS, BROADCAST_KNOWN = 10_000, 200_000
-#: Texts with disclosing terms, of up to so many rows, are broadcast.
-BROADCAST_TERMS = 50_000
+#: Texts with disclosing terms are broadcast if these are up to so many in all (of some tens of bytes each).
+BROADCAST_TERMS = 100_000
 #: Replacements of the kinds; a generalised term becomes ``TERM``, a removed one goes.
 REPLACEMENTS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "removed": ""}
 _SPAN = "array<struct<start: int, rank: int, end: int, value: string>>"
@@ -72,7 +72,7 @@ def pattern_spans(text: Column, kind: str) -> Column:
     return F.when(needed, F.aggregate(pairs, empty, step, lambda acc: acc["all"])).otherwise(F.array().cast(_SPAN))
 
 
-def with_base_spans(docs: DataFrame, text_col: str = "text", into: str = "_base") -> DataFrame:
+def with_base_spans(docs: DataFrame, text_col: str = "text", into: str = "base") -> DataFrame:
     """``docs`` with the array of all base spans, by start and then kind. A null text has none."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = F.array_sort(F.concat(*(pattern_spans(text, k) for k in PATTERNS)))
@@ -87,9 +87,9 @@ def _terms(text: Column) -> Column:
 def _contexts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(key, id, entity, terms) of every base span: the text's hash, the document, and the words nearby."""
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    holding = with_base_spans(texts).where(F.size("_base") > 0)
+    holding = with_base_spans(texts).where(F.size("base") > 0)
     near = F.transform(
-        "_base",
+        "base",
         lambda s: F.struct(
             _entity(s).alias("entity"),
             F.substring("text", F.greatest(s["start"] - WINDOW, F.lit(0)) + 1, F.least(s["start"], F.lit(WINDOW))).alias("left"),
@@ -180,15 +180,16 @@ def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = with_base_spans(docs.drop("base", "spans"), text_col, "base")
     if said.limit(1).count() == 0:
         return rows.withColumn("spans", F.col("base"))
+    key, terms = free_names(rows, "key", "terms")
     term = F.struct("term", (F.col("pmi") >= F.col("ic") - 1e-9).alias("all"))
-    affected = contexts.select("key", "entity").distinct().join(said, "entity").groupBy("key").agg(F.collect_set(term).alias("_said"))
-    affected = staged(affected.withColumnRenamed("key", "_key"), "affected")
-    if affected.count() <= BROADCAST_TERMS:
+    affected = contexts.select("key", "entity").distinct().join(said, "entity").groupBy(F.col("key").alias(key)).agg(F.collect_set(term).alias(terms))
+    affected = staged(affected, "affected")
+    if affected.agg(F.sum(F.size(terms))).first()[0] <= BROADCAST_TERMS:
         affected = F.broadcast(affected)
     text = F.col(text_col).cast("string")
-    rows = rows.withColumn("_key", F.xxhash64(text)).join(affected, "_key", "left")
-    spans = F.when(F.col("_said").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", _term_spans(text, F.col("_said"), F.col("base")))))
-    return rows.withColumn("spans", spans).drop("_key", "_said")
+    rows = rows.withColumn(key, F.xxhash64(text)).join(affected, key, "left")
+    spans = F.when(F.col(terms).isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", _term_spans(text, F.col(terms), F.col("base")))))
+    return rows.withColumn("spans", spans).drop(key, terms)
 
 
 def spans_text(spans: Column) -> Column:
@@ -201,7 +202,8 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """``docs`` with each text's spans replaced: patterns and generalised terms by ``REPLACEMENTS``, removed terms by
     nothing; of overlapping spans the first is replaced up to the end of the last. A null text stays null. Other
     columns are untouched; rows are those of ``with_spans``."""
-    rows = with_spans(docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns if c in ("base", "spans")}), id_col, text_col)
+    own, names = set_aside(docs, "base", "spans")
+    rows = with_spans(own, id_col, text_col)
     put = F.array(*(F.lit(REPLACEMENTS[k]) for k in KINDS))
     text = F.col(text_col).cast("string")
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
@@ -212,4 +214,4 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     clean = F.aggregate("spans", empty, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
     rows = rows.withColumn(text_col, F.when(F.size("spans") == 0, text).otherwise(clean)).drop("base", "spans")
-    return rows.withColumnsRenamed({f"_own_{c}": c for c in ("base", "spans")}).select(docs.columns)
+    return rows.withColumnsRenamed(names).select(docs.columns)
