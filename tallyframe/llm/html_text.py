@@ -1,9 +1,9 @@
 """Main text of web pages by consensus host paths.
 
-Each page's containers are scored by the text of their own paragraphs, less that of links. The best container of a page
-votes, with its score, for its generalised path (tags and classes without digits) on its host; votes are summed by host
-and path in Spark. Pages are then extracted again from the containers on their host's winning path, or, where a page has
-none, from its own best container.
+Each page's containers are scored by the text inside them, less that of links. The best one is the smallest that holds
+all real text of the page; it votes, with its score, for its generalised path (tags and classes without digits) on its
+host; votes are summed by host and path in Spark. Pages are then extracted again from the containers on their host's
+winning path, or, where a page has none, from its own best container.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .language_id import host_of
-from .storage import staged
+from .storage import free_names, staged
 
 #: Winning paths of up to so many hosts are broadcast; more are joined in ``SALTS`` parts a host.
 BROADCAST_HOSTS, SALTS = 50_000, 16
@@ -26,12 +26,14 @@ _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 #: Elements whose content is no text, and those that end only at their own end tag.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "noframes", "xmp"}
-BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "svg", "canvas", "object", "figcaption", "head", "option", "label", "audio", "video", "math", "map"}
+BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "svg", "canvas", "object", "head", "option", "audio", "video", "map"}
 CONTAINERS = {"html", "body", "main", "article", "section", "div", "td", "center", "header", *BOILERPLATE}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-BLOCKS = CONTAINERS | HEADINGS | {"p", "li", "ul", "ol", "dl", "dt", "dd", "pre", "blockquote", "table", "tbody", "thead", "tfoot", "tr", "th", "figure", "address", "hr", "summary", "details", "fieldset", "legend", "caption", "hgroup"}
+BLOCKS = CONTAINERS | HEADINGS | {"p", "li", "ul", "ol", "dl", "dt", "dd", "pre", "blockquote", "table", "tbody", "thead", "tfoot", "tr", "th", "figure", "figcaption", "address", "hr", "summary", "details", "fieldset", "legend", "caption", "hgroup"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-#: Words of a class, id or role that mark boilerplate.
+#: Words of a class, id or role that mark boilerplate; and words that make such a name tell of a page's state or of what
+#: is beside the element. A name of several words marks by any of them.
+STATES = {"has", "no", "not", "with", "without", "is", "are", "in", "enabled", "disabled", "open", "opened", "closed", "active", "inactive", "on", "off", "show", "shown", "above", "below", "left", "right", "wrap", "wrapper", "layout", "page", "grid", "row", "main", "content", "article", "body", "text"}
 MARKS = {
     "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "aside", "footer", "masthead", "topbar", "toolbar", "pagination", "pager", "skip",
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "promoted", "promotion",
@@ -40,34 +42,40 @@ MARKS = {
     "contentinfo", "complementary", "alert", "alertdialog", "tooltip",
 }
 _WORDS = re.compile(r"[a-z]+")
+#: Characters, but those of links, that make a block real text; the part of a page's score that an article or main has at
+#: least to be its text whatever stands outside; and the part of a page's text that no mark takes away.
+REAL, ARTICLE, MOST = 40, 0.5, 0.5
 #: Elements that a start tag closes, and those that shield what is outside them.
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SHIELDS = {"ul", "ol", "dl", "table", "td", "th", "div", "article", "section", "main", "body"}
 
 
 class _Element:
-    __slots__ = ("depth", "junk", "link", "parent", "path", "score", "tag", "whole")
+    __slots__ = ("depth", "junk", "marked", "parent", "path", "real", "score", "size", "tag", "whole")
 
-    def __init__(self, tag, parent, path, junk, whole):
-        self.tag, self.parent, self.path, self.junk, self.whole = tag, parent, path, junk, whole
-        self.score, self.link = 0.0, 0
+    def __init__(self, tag, parent, path, junk, marked, whole):
+        self.tag, self.parent, self.path, self.junk, self.marked, self.whole = tag, parent, path, junk, marked, whole
+        self.score, self.size, self.real = 0.0, 0, 0
         self.depth = parent.depth + 1 if parent else 0
 
 
 def _marks(tag: str, found: dict[str, str]) -> bool:
-    if "hidden" in found and tag != "body":
-        return True
+    """Whether an element's names mark it as boilerplate."""
     if tag in ("html", "body", "article", "main"):
         return False
-    return any(w in MARKS for name in ("class", "id", "role") for w in _WORDS.findall(found.get(name, "").lower()))
+    for name in " ".join(found.get(name, "") for name in ("class", "id", "role")).lower().split():
+        words = _WORDS.findall(name)
+        if not MARKS.isdisjoint(words) and (len(words) == 1 or STATES.isdisjoint(words)):
+            return True
+    return False
 
 
 def parse(html: str) -> tuple[list[tuple[_Element, str]], list[_Element]]:
     """The blocks of text that aren't boilerplate, each with the element it stands in, and all containers, in page order."""
-    root = _Element("#root", None, "", False, False)
+    root = _Element("#root", None, "", False, False, False)
+    elements: list[_Element] = [root]
     at = root
-    blocks: list[tuple[_Element, str]] = []
-    containers: list[_Element] = [root]
+    blocks: list[tuple[_Element, str, int]] = []
     held: list[str] = []
     linked = in_link = 0
     skip = None
@@ -77,15 +85,9 @@ def parse(html: str) -> tuple[list[tuple[_Element, str]], list[_Element]]:
         if held:
             text = " ".join(unescape("".join(held)).split())
             held.clear()
-            if text and not at.junk:
-                blocks.append((at, text))
-                gain = max(0.0, len(text) - 2.0 * linked) * (1.0 if at.tag in ("p", "pre", "blockquote", "li") or at.tag in HEADINGS else 0.6)
-                box, share = at, 1.0
-                while box is not None and share > 0.2:
-                    if box.tag in CONTAINERS or box is root:
-                        box.score += gain * share
-                        share *= 0.5
-                    box = box.parent
+            if text:
+                blocks.append((at, text, linked))
+                at.size += len(text)
             linked = 0
 
     for token in _TOKEN.findall(html):
@@ -140,25 +142,56 @@ def parse(html: str) -> tuple[list[tuple[_Element, str]], list[_Element]]:
         found = {a.lower(): b or c or d for a, b, c, d in _ATTRIBUTE.findall(token, name.end())} if len(token) > name.end() + 1 else {}
         inner = at.whole or tag in ("article", "main")
         heads = tag == "header" or tag not in ("html", "body", "article", "main") and "header" in _WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}".lower())
-        junk = at.junk or tag in BOILERPLATE or heads and not at.whole or _marks(tag, found)
-        if tag in HEADINGS and at.tag == "header" and at.whole and not at.parent.junk:
-            junk = _marks(tag, found)
-        elif tag == "header" and at.whole:
-            junk = True
+        # An article's own header is junk but for its headings.
+        title = tag in HEADINGS and at.tag == "header" and at.whole and not at.parent.junk
+        junk = not title and (at.junk or tag in BOILERPLATE or "hidden" in found or heads and not at.whole or tag == "header")
         path = at.path
         if tag in CONTAINERS:
             kinds = sorted({re.sub(r"[0-9]+", "", k) for k in found.get("class", "").lower().split()} - {""})
             path = f"{path}/{tag}" + "".join("." + k for k in kinds)
-        at = _Element(tag, at, path, junk, inner)
-        if tag in CONTAINERS and not junk:
-            containers.append(at)
+        at = _Element(tag, at, path, junk, _marks(tag, found), inner)
+        elements.append(at)
     if skip is None:
         flush()
-    return blocks, containers
+    return _judged(elements, blocks)
+
+
+def _judged(elements: list[_Element], blocks: list[tuple[_Element, str, int]]) -> tuple[list[tuple[_Element, str]], list[_Element]]:
+    """What is no boilerplate, scored. A mark counts only where most of the page's text stands outside."""
+    for e in reversed(elements[1:]):
+        if not e.junk:
+            e.parent.size += e.size
+    most = MOST * elements[0].size
+    for e in elements[1:]:  # a title is judged by its article, as it stands in a header
+        above = e.parent.parent if e.parent.tag == "header" and not e.junk and e.tag in HEADINGS and e.parent.parent else e.parent
+        e.junk = e.junk or above.junk or e.marked and e.size < most
+    kept = []
+    for at, text, linked in blocks:
+        if at.junk:
+            continue
+        kept.append((at, text))
+        own = max(0.0, len(text) - 2.0 * linked)
+        at.score += own * (1.0 if at.tag in ("p", "pre", "blockquote", "li") or at.tag in HEADINGS else 0.6)
+        at.real += own >= REAL or at.tag in HEADINGS and own > 0
+    for e in reversed(elements[1:]):
+        e.parent.score += e.score
+        e.parent.real += e.real
+    return kept, [e for e in elements if not e.junk and (e.tag in CONTAINERS or e.parent is None)]
 
 
 def _best(containers: list[_Element]) -> _Element:
-    return max(containers, key=lambda c: (c.score, c.tag in ("article", "main"), -c.depth))
+    """From the page down, the container that holds all real text, or is an article or main with most of the score."""
+    at, whole = containers[0], containers[0].score
+    for box in containers[1:]:  # in page order, what is inside a container comes after it
+        if _above(box, at) and box.score > 0 and (box.real >= at.real and box.score >= 0.5 * at.score or box.tag in ("article", "main") and box.score >= ARTICLE * whole):
+            at = box
+    return at
+
+
+def _above(box: _Element, at: _Element) -> bool:
+    while box.depth > at.depth:
+        box = box.parent
+    return box is at
 
 
 def _inside(box: _Element | None, ends: set[int]) -> bool:
@@ -205,17 +238,19 @@ def main_texts(pages: DataFrame, html_col: str = "html", url_col: str = "url", t
     best container. Repeated rows are extracted each; an empty table stays empty.
     """
     paths = host_paths(pages, html_col, url_col)
-    rows = pages.drop(text_col).withColumn("_host", host_of(F.col(url_col)))
-    paths = paths.select(F.col("host").alias("_host"), F.col("path").alias("_path"))
+    rows = pages.drop(*(c for c in pages.columns if c == text_col and c != html_col))
+    host, path, salt = free_names(rows, "host", "path", "salt")
+    rows = rows.withColumn(host, host_of(F.col(url_col)))
+    paths = paths.select(F.col("host").alias(host), F.col("path").alias(path))
     if paths.count() <= BROADCAST_HOSTS:
-        rows = rows.join(F.broadcast(paths), "_host", "left")
+        rows = rows.join(F.broadcast(paths), host, "left")
     else:
-        parts = paths.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(html_col), F.lit(SALTS)).cast("int")).join(parts, ["_host", "_salt"], "left").drop("_salt")
+        parts = paths.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn(salt, F.pmod(F.xxhash64(html_col), F.lit(SALTS)).cast("int")).join(parts, [host, salt], "left").drop(salt)
 
     def texts(html: pa.Array, path: pa.Array) -> pa.Array:
         return pa.array([main_text(h, p) if h else "" for h, p in zip(html.to_pylist(), path.to_pylist(), strict=True)], pa.string())
 
     from pyspark.sql.functions import arrow_udf
 
-    return rows.withColumn(text_col, arrow_udf(texts, "string")(F.col(html_col).cast("string"), "_path")).drop("_host", "_path")
+    return rows.withColumn(text_col, arrow_udf(texts, "string")(F.col(html_col).cast("string"), path)).drop(host, path)
