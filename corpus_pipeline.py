@@ -17,25 +17,42 @@ from tallyframe.llm.jaccard_join import ngram_groups
 from tallyframe.llm.language_id import declared_in, identified, train_languages
 from tallyframe.llm.packing import document_pieces, packed_sequences
 from tallyframe.llm.pii import sanitised
+from tallyframe.llm.storage import free_names, set_aside, staged
 
 
 def accepted_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is certain enough. The text models are fitted on the documents' own ``lang``."""
-    found = identified(docs, train_languages(docs), host=F.col("source"), declared=declared_in(F.col("text")))
-    return found.where("accepted").select(docs.columns)
+    own, names = set_aside(docs, "language", "confidence", "evidence", "accepted")
+    found = identified(own, train_languages(docs), host=F.col("source"), declared=declared_in(F.col("text")))
+    return found.where("accepted").withColumnsRenamed(names).select(docs.columns)
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key of id and text, and its name: rows of one id with unlike texts are told apart, and so are rows
+    without an id; rows that repeat have one key."""
+    (key,) = free_names(docs, "key")
+    return docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))), key
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that near copies connect; those without an id stay."""
-    groups = ngram_groups(docs)
-    others = groups.where("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    """Of each group that near copies connect, the document with the smallest id, and of rows that repeat, one. Documents
+    without an id stand behind those with one."""
+    rows, key = _keyed(docs)
+    groups = ngram_groups(rows, id_col=key).select(key, "component_id").distinct()
+    ids = rows.select(key, F.col("doc_id").cast("long").alias("id")).groupBy(key, "id").agg(F.count("*").alias("copies"))
+    named = staged(groups.join(ids, key), "named")
+    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", key)).alias("first")).select(f"first.{key}")
+    rows = rows.join(named.join(kept, key, "left_anti").select(key), key, "left_anti")
+    again = named.where("copies > 1").select(key)
+    once = rows.join(again, key, "left_anti").unionByName(rows.join(again, key, "left_semi").dropDuplicates([key]))
+    return once.select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no item of the benchmark is found."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    rows, key = _keyed(docs)
+    found = contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key).select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(found, key, "left_anti").select(docs.columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,8 +80,6 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over the documents table; each stage's rows are written and read again."""
-    from tallyframe.llm.storage import staged
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), name)
