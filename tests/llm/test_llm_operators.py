@@ -303,7 +303,7 @@ def test_main_text_and_odd_pages(spark, monkeypatch):
 def test_a_host_path_rescues_a_short_page():
     long = PAGE.replace("Second one", "Second one " + "word " * 80)
     _, boxes = html_text.parse(long)
-    path = max(boxes, key=lambda b: b.score).path
+    path = html_text._best(boxes).path
     short = '<body><div class="wrap"><div class="story"><p>Tiny.</p></div></div><div class="x"><p>' + "other " * 60 + "</p></div></body>"
     assert html_text.main_text(short, "/body/div.wrap/div.story") == "Tiny." and html_text.main_text(short, None).startswith("other") and path.endswith("div.story")
 
