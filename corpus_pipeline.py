@@ -24,7 +24,7 @@ def accepted_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents whose language is certain enough. The text models are fitted on the documents' own ``lang``."""
     own, names = set_aside(docs, "language", "confidence", "evidence", "accepted")
     found = identified(own, train_languages(docs), host=F.col("source"), declared=declared_in(F.col("text")))
-    return found.where("accepted").withColumnsRenamed(names).select(docs.columns)
+    return found.where("accepted").select(own.columns).withColumnsRenamed(names).select(docs.columns)
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
