@@ -28,11 +28,14 @@ GATES = {
     },
 }
 
-# The 28 features of the judgment model.
+# The 28 features of the judgment model, in its input order.
 FEATURES = (
-    "fast_spread", "full_spread", "fast_slow_gap", "full_ratio_min48", "pre_range48", "pre_range168", "drawdown24", "ext_up", "slow_slope_12", "zero_volume96", "order_score",
-    "volume_z", "volume_ratio", "atr_pct", "spread_mean8", "spread_mean24", "spread_chg8", "spread_chg24", "spread_pos96", "dense_run_len", "dense_frac48", "close_vs_ema55",
-    "close_vs_ema200", "vol_ratio_mean8", "atr_pct_ratio96", "ret_4", "ret_12", "ret_24",
+    "ma_spread_pct", "full_spread", "fast_slow_gap", "full_ratio_min48", "spread_mean8", "spread_mean24", "spread_chg8", "spread_chg24", "spread_pos96",
+    "dense_run_len", "dense_frac48",
+    "ext_up", "close_vs_ema55", "close_vs_ema200", "order_score", "slow_slope_12",
+    "volume_ratio", "volume_z", "vol_ratio_mean8",
+    "atr_pct", "atr_pct_ratio96", "pre_range48", "pre_range168", "drawdown24",
+    "ret_4", "ret_12", "ret_24", "ret_48",
 )
 
 
@@ -121,6 +124,7 @@ def with_features(enriched: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> D
     dense = F.col("fast_spread") <= DENSE
     return enriched.withColumns(
         {
+            "ma_spread_pct": F.col("fast_spread"),
             "spread_mean8": rolling(F.avg, "fast_spread", 8, w),
             "spread_mean24": rolling(F.avg, "fast_spread", 24, w),
             "spread_chg8": F.col("fast_spread") - lag("fast_spread", 8, w),

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The grades' lower bounds and, for each timeframe, its weight in a composite.
-GRADES = {"A": 70.0, "B": 55.0}
-WEIGHTS = {"15m": 0.2, "1H": 0.3, "4H": 0.3, "1D": 0.2}
+# Each timeframe's weight in a composite, and the least composites of the grades.
+WEIGHTS = {"1m": 0.10, "3m": 0.12, "5m": 0.13, "15m": 0.35, "30m": 0.30}
+OTHER_WEIGHT, GRADES = 0.1, {"A": 0.68, "B": 0.52}
+# From which multiple of its threshold, or which score where there is none, a score has how many stars.
+STARS, STARS_ALONE = (1.0, 1.10, 1.25, 1.50, 2.00), (0.015, 0.022, 0.028, 0.035, 0.050)
 
 
 def instrument(symbol: Column) -> Column:
@@ -41,9 +43,9 @@ def clock(ts: Column) -> dict[str, Column]:
 
 
 def lots(size: Column, lot: Column, least: Column) -> Column:
-    """A size rounded down to lots; 0 below the least one."""
-    whole = F.floor(size / F.nullif(lot, F.lit(0.0)) + 1e-9) * lot
-    return F.when(whole >= least, whole).otherwise(0.0)
+    """A size rounded down to lots, at least the least size; a lot that isn't positive counts as 1."""
+    lot = F.when(lot > 0, lot).otherwise(1.0)
+    return F.greatest(F.floor(size / lot + 1e-12) * lot, least)
 
 
 def ticks(price: Column, tick: Column) -> Column:
@@ -58,9 +60,12 @@ def barrier_prices(entry: Column, atr: Column, side: Column, target: float = 5.0
 
 
 def stars(score: Column, threshold: Column) -> Column:
-    """0 to 5 by the score over its threshold; 0 for a missing or infinite score or one below."""
-    x = F.when(~F.isnan(score) & (F.abs(score) < float("inf")), score) / F.nullif(threshold, F.lit(0.0))
-    return F.when(x >= 2.0, 5).when(x >= 1.6, 4).when(x >= 1.3, 3).when(x >= 1.1, 2).when(x >= 1.0, 1).otherwise(0)
+    """0 to 5 by the score over its threshold, or, without a positive threshold, by the score alone; 0 for a missing or
+    infinite score."""
+    finite = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))
+    passed = lambda x, bounds: sum((F.when(x >= b, 1).otherwise(0) for b in bounds), F.lit(0))
+    some = F.when(finite(threshold) & (threshold > 0), passed(score / threshold, STARS)).otherwise(passed(score, STARS_ALONE))
+    return F.when(finite(score), some).otherwise(0)
 
 
 def tier(score: Column, threshold: Column, q95: Column, q99: Column) -> Column:
@@ -74,13 +79,49 @@ def size_multiplier(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(2.0), F.coalesce(F.nanvl(x, F.lit(1.0)), F.lit(1.0))))
 
 
-def composite(votes: dict[str, Column], weights: dict[str, float] | None = None) -> Column:
-    """The weighted mean of timeframes' scores (0 to 100), over those that are there."""
-    weights = weights or WEIGHTS
-    zero = F.lit(0.0)
-    total = sum((F.when(v.isNotNull(), F.lit(weights[k])).otherwise(zero) for k, v in votes.items()), zero)
-    return sum((F.coalesce(v * weights[k], zero) for k, v in votes.items()), zero) / F.nullif(total, zero)
+def _mean(parts: list[Column]) -> Column:
+    return sum(parts[1:], parts[0]) / F.lit(float(len(parts)))
+
+
+def timeframe_vote(widest: float) -> Column:
+    """A timeframe's vote, 0 to 1, from a bar with ``dense``, ``order_score``, ``ma_spread_pct``, ``close``, ``ema55``, ``ext_up``
+    and ``atr_pct``: the mean of six judgments. ``widest`` is the spread at which closeness counts nothing."""
+    spread, atr = (F.when(~F.isnan(c), c) for c in (F.col("ma_spread_pct"), F.col("atr_pct")))
+    ext = F.coalesce(F.col("ext_up"), F.lit(0.0))
+    parts = [
+        F.when(F.col("dense"), 1.0).otherwise(0.25),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("order_score"), F.lit(0)) / 4.0)),
+        F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - spread / widest)), F.lit(0.3)),
+        F.when(F.col("close") >= F.col("ema55"), 0.85).when(F.col("ema55").isNotNull(), 0.25).otherwise(0.5),
+        F.when(ext > 0.01, 0.2).when(ext > 0.005, 0.45).otherwise(0.8),
+        F.when(atr.isNull(), 0.5).when(atr < 0.001, 0.3).when(atr > 0.04, 0.35).otherwise(0.75),
+    ]
+    return F.round(_mean(parts), 4)
 
 
-def grade(score: Column) -> Column:
-    return F.when(score >= GRADES["A"], "A").when(score >= GRADES["B"], "B").otherwise("C")
+def composite(votes: dict[str, Column], side: Column, rank: Column, weights: dict[str, float] | None = None) -> Column:
+    """(base, boost, align, composite, grade) from votes by timeframe: structs of ``vote``, ``dense`` and ``above`` (whether
+    the close is above its mean of 55), NULL where a timeframe is missing.
+
+    The base is the weighted mean of the votes that are there. Leaders among the gainers are lifted and losers damped, by
+    rank; agreement of 15m and 30m lifts, and short timeframes that are dense below a falling 30m damp.
+    """
+    weights = weights or WEIGHTS
+    zero, no = F.lit(0.0), F.lit(False)
+    weight = {k: weights.get(k, OTHER_WEIGHT) for k in votes}
+    total = sum((F.when(v.isNotNull(), weight[k]).otherwise(zero) for k, v in votes.items()), zero)
+    base = F.coalesce(sum((F.coalesce(v["vote"] * weight[k], zero) for k, v in votes.items()), zero) / F.nullif(total, zero), zero)
+    boost = F.when(side == "gain", F.greatest(zero, 0.06 - 0.01 * (rank - 1))).when(side == "loss", F.greatest(F.lit(-0.04), -0.02 + 0.005 * (rank - 1))).otherwise(zero)
+    is_ = lambda k, field: F.coalesce(votes[k][field], no) if k in votes else no
+    short = sum((F.when(is_(k, "dense"), 1).otherwise(0) for k in ("1m", "3m", "5m")), F.lit(0))
+    falling = F.coalesce(~votes["30m"]["above"], no) if "30m" in votes else no
+    align = F.when(is_("15m", "above") & is_("30m", "above"), 0.04).otherwise(zero) + F.when(is_("15m", "dense") & is_("30m", "dense"), 0.03).otherwise(zero) - F.when(falling & (short >= 2), 0.05).otherwise(zero)
+    whole = F.greatest(zero, F.least(F.lit(1.0), base + boost + align))
+    there = votes["30m"].isNotNull() if "30m" in votes else no
+    dense, rising = is_("15m", "dense") | is_("30m", "dense"), is_("15m", "above") & (is_("30m", "above") | ~there)
+    return F.struct(*(F.round(c, 4).alias(n) for n, c in (("base", base), ("boost", boost), ("align", align), ("composite", whole))), grade(whole, dense, rising).alias("grade"))
+
+
+def grade(score: Column, dense: Column, rising: Column) -> Column:
+    """A needs a dense and rising higher timeframe, too."""
+    return F.when((score >= GRADES["A"]) & dense & rising, "A").when(score >= GRADES["B"], "B").otherwise("C")

@@ -5,7 +5,7 @@ A missing value is NULL. A rolling statistic is NULL until ``least`` values of i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SERIES = ("symbol",)
@@ -93,11 +93,56 @@ def filled(x: Column | str, limit: int, w: WindowSpec) -> Column:
 
 
 def average_rank(x: Column | str, *keys: str) -> Column:
-    """Rank with ties averaged; NULL for missing values, which take no rank."""
+    """Rank with ties averaged, inside groups that fit in one task; NULL for missing values, which take no rank."""
     x = col(x)
     kept = F.when(x.isNotNull(), 1)
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    return F.when(x.isNotNull(), F.rank().over(w.orderBy(x.asc_nulls_last())) + (F.count(kept).over(w.partitionBy(*keys, x) if keys else Window.partitionBy(x)) - 1) / 2)
+    w = Window.partitionBy(*keys)
+    return F.when(x.isNotNull(), F.rank().over(w.orderBy(x.asc_nulls_last())) + (F.count(kept).over(w.partitionBy(*keys, x)) - 1) / 2)
+
+
+def with_average_rank(rows: DataFrame, x: str, into: str, keys: tuple[str, ...] = (), buckets: int = 256) -> DataFrame:
+    """``rows`` with the rank of ``x``, ties averaged, over the whole table or within ``keys`` of any size; and ``<into>_n``, the
+    number of ranked rows. NULLs take no rank.
+
+    Approximate quantiles (``buckets`` numbers a key, broadcast) cut the values into ranges; a rank is the number of rows in
+    the ranges before plus the rank inside the range, so no task holds more than a range, or the rows of one value.
+    """
+    value = F.col(x).cast("double")
+    whole, rows = not keys, rows if keys else rows.withColumn("_one", F.lit(1))
+    keys = keys or ("_one",)
+    cuts = [k / buckets for k in range(1, buckets)]
+    bounds = rows.where(value.isNotNull()).groupBy(*keys).agg(F.approx_percentile(value, cuts, 10_000).alias("_bounds"), F.count("*").alias(into + "_n"))
+    met = rows.join(F.broadcast(bounds), list(keys), "left")
+    met = met.withColumn("_range", F.when(value.isNotNull(), F.size(F.filter("_bounds", lambda b: b < value)))).drop("_bounds")
+    totals = met.where(F.col("_range").isNotNull()).groupBy(*keys, "_range").agg(F.count("*").alias("_held"))
+    before = F.coalesce(F.sum("_held").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select(*keys, "_range", before.alias("_before"))
+    # ranks come from the counts of the values, so that a value many rows share is no burden
+    values = met.where(F.col("_range").isNotNull()).groupBy(*keys, "_range", value.alias("_value")).agg(F.count("*").alias("_ties"))
+    below = F.coalesce(F.sum("_ties").over(Window.partitionBy(*keys, "_range").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    values = values.withColumn("_below", below).join(F.broadcast(totals), [*keys, "_range"])
+    values = values.select(*keys, "_value", (F.col("_before") + F.col("_below") + 1 + (F.col("_ties") - 1) / 2).alias(into))
+    return met.drop("_range").withColumn("_value", value).join(values, [*keys, "_value"], "left").drop("_value", *(["_one"] if whole else []))
+
+
+def micros(df: DataFrame, name: str) -> Column:
+    """A column of times as microseconds; numbers stay as they are."""
+    return F.unix_micros(F.col(name).cast("timestamp")) if dict(df.dtypes)[name] in ("timestamp", "timestamp_ntz", "date") else F.col(name).cast("long")
+
+
+#: Microseconds of the stretches into which ordered rows of one key are cut.
+STRETCH = 86_400_000_000
+
+
+def with_running_sum(rows: DataFrame, keys: list[str], time: str, value: str, into: str, stretch: int = STRETCH) -> DataFrame:
+    """``rows``, one a key and time, with the sum of ``value`` up to each. Sums run inside stretches of time and over the
+    stretches' totals, so that no task holds a whole key."""
+    cut = rows.withColumn("_stretch", F.floor(micros(rows, time) / F.lit(stretch)))
+    totals = cut.groupBy(*keys, "_stretch").agg(F.sum(value).alias("_total"))
+    before = F.sum("_total").over(Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select(*keys, "_stretch", F.coalesce(before, F.lit(0)).alias("_sum_before"))
+    inside = F.sum(value).over(Window.partitionBy(*keys, "_stretch").orderBy(time).rowsBetween(Window.unboundedPreceding, 0))
+    return cut.withColumn("_inside", inside).join(totals, [*keys, "_stretch"]).withColumn(into, F.col("_inside") + F.col("_sum_before")).drop("_stretch", "_inside", "_sum_before")
 
 
 def weekday(ts: Column | str) -> Column:

@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.windows import finite
+
 #: Multiples of ATR14 for target and stop, bars of a path, and the least relative ATR worth trading.
 TARGET, STOP, HORIZON, LEAST_ATR = 5.0, 2.0, 72, 0.0015
 OUTCOME = "struct<label: int, outcome: string, exit_offset: int, entry_price: double, realized_ret: double>"
@@ -198,15 +200,16 @@ def time_decay(target: float = TARGET, stop: float = STOP, every: int = 12, by:
     down = F.least(level(hit), hit["open"]) / e - 1
     late = _last()["close"] / e - 1
     return (
-        F.when(lost, _outcome(down > 0, "sl", hit["j"] + 1, down))
+        F.when(lost, _outcome(down > 0, "sl_decay", hit["j"] + 1, down))
         .when(up.isNotNull(), _outcome(F.lit(1), "tp", up + 1, (e + target * atr) / e - 1))
         .otherwise(_outcome(late > 0, "timeout", F.size("path"), late))
     )
 
 
-def by_volatility(low: float, high: float, targets: tuple[float, float, float], stops: tuple[float, float, float], side: str = "long") -> Column:
-    """The triple barrier with multiples by the tertile of atr_pct; a missing value counts as the middle one."""
-    pick = lambda x: F.when(F.col("atr_pct") <= low, x[0]).when(F.col("atr_pct") > high, x[2]).otherwise(x[1])
+def by_volatility(low: float, high: float, targets: tuple[float, float, float] = (4.0, 5.0, 6.0), stops: tuple[float, float, float] = (1.6, 2.0, 2.4), side: str = "long") -> Column:
+    """The triple barrier with multiples by the tertile of atr_pct; a missing or infinite value counts as the middle one."""
+    atr = finite("atr_pct")
+    pick = lambda x: F.when(atr <= low, x[0]).when(atr > high, x[2]).otherwise(x[1])
     return triple_barrier(pick(targets), pick(stops), side)
 
 

@@ -5,27 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.windows import STRETCH, micros, with_running_sum
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, columns: list[str], strict: bool = False) -> DataFrame:
+
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, columns: list[str], strict: bool = False, stretch: int = STRETCH) -> DataFrame:
     """``left`` with the ``columns`` of the last row of ``right`` at or before its time (before it, if ``strict``), of
     equal keys; NULL where there is none.
 
-    One union and one window, so rows of either side are read once. Of right rows with equal times the one with the
-    greatest values counts. Left rows without a time or key meet nothing.
+    One union and one window over each key's stretches of time (in microseconds, or the unit of numeric times); what the
+    stretches before one end with comes from a window over the table of stretches. No task holds a whole key. Of right rows
+    with equal times the one with the greatest values counts. Left rows without a time or key meet nothing.
     """
     own = F.struct(*(F.col(c) for c in left.columns))
     found = F.struct(*(F.col(c) for c in columns))
-    a = left.select(*keys, F.col(left_time).alias("_t"), F.lit(0 if strict else 1).alias("_side"), own.alias("_own"), F.lit(None).cast(right.select(found).schema[0].dataType).alias("_found"))
-    b = right.where(F.col(right_time).isNotNull()).select(*keys, F.col(right_time).alias("_t"), F.lit(1 if strict else 0).alias("_side"), F.lit(None).cast(a.schema["_own"].dataType).alias("_own"), found.alias("_found"))
-    w = Window.partitionBy(*keys).orderBy(F.col("_t").asc_nulls_first(), "_side", F.col("_found").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    met = a.unionByName(b).withColumn("_last", F.last("_found", ignorenulls=True).over(w)).where("_own is not null")
-    return met.select("_own.*", *(F.when(F.col("_t").isNotNull(), F.col(f"_last.{c}")).alias(c) for c in columns))
+    a = left.select(*keys, micros(left, left_time).alias("_t"), F.lit(0 if strict else 1).alias("_side"), own.alias("_own"), F.lit(None).cast(right.select(found).schema[0].dataType).alias("_found"))
+    b = right.where(F.col(right_time).isNotNull()).select(*keys, micros(right, right_time).alias("_t"), F.lit(1 if strict else 0).alias("_side"), F.lit(None).cast(a.schema["_own"].dataType).alias("_own"), found.alias("_found"))
+    rows = a.unionByName(b).withColumn("_stretch", F.floor(F.col("_t") / F.lit(stretch)))
+    last = F.max(F.when(F.col("_found").isNotNull(), F.struct("_t", "_found")))
+    ends = rows.where("_stretch is not null").groupBy(*keys, "_stretch").agg(last.alias("_end"))
+    carried = F.last("_end", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(*keys, "_stretch", carried["_found"].alias("_carried"))
+    w = Window.partitionBy(*keys, "_stretch").orderBy(F.col("_t").asc_nulls_first(), "_side", F.col("_found").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    met = rows.withColumn("_last", F.last("_found", ignorenulls=True).over(w)).where("_own is not null").join(ends, [*keys, "_stretch"], "left")
+    some = F.when(F.col("_t").isNotNull(), F.coalesce("_last", "_carried"))
+    return met.withColumn("_met", some).select("_own.*", *(F.col(f"_met.{c}").alias(c) for c in columns))
 
 
 def next_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, columns: list[str]) -> DataFrame:
     """``left`` with the ``columns`` of the first row of ``right`` at or after its time."""
-    turned = lambda c: -F.unix_micros(F.col(c).cast("timestamp"))
-    met = asof_join(left.withColumn("_lt", turned(left_time)), right.withColumn("_rt", turned(right_time)), keys, "_lt", "_rt", columns)
+    met = asof_join(left.withColumn("_lt", -micros(left, left_time)), right.withColumn("_rt", -micros(right, right_time)), keys, "_lt", "_rt", columns)
     return met.drop("_lt")
 
 
@@ -37,7 +45,7 @@ def range_sum(trades: DataFrame, events: DataFrame, keys: list[str], start: str,
     """
     known = events.where(F.col(time).isNotNull() & F.col(value).isNotNull())
     sums = known.groupBy(*keys, time).agg(F.sum(value).alias("_v"))
-    sums = sums.withColumn("_run", F.sum("_v").over(Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)))
+    sums = with_running_sum(sums, keys, time, "_v", "_run")
     met = asof_join(trades, sums.select(*keys, time, F.col("_run").alias("_a")), keys, start, time, ["_a"])
     met = asof_join(met, sums.select(*keys, time, F.col("_run").alias("_b")), keys, end, time, ["_b"])
     total = F.coalesce("_b", F.lit(0.0)) - F.coalesce("_a", F.lit(0.0))
@@ -52,8 +60,7 @@ def nearest_seconds(left: DataFrame, right: DataFrame, keys: list[str], time: st
     """``left`` with ``nearest_s``, the seconds to the nearest row of ``right`` of equal keys; NULL without one."""
     before = asof_join(left, right.select(*keys, F.col(time).alias("_before")), keys, time, "_before", ["_before"])
     both = next_join(before, right.select(*keys, F.col(time).alias("_after")), keys, time, "_after", ["_after"])
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    gap = F.least(micros(time) - micros("_before"), micros("_after") - micros(time))
+    gap = F.least(micros(both, time) - micros(both, "_before"), micros(both, "_after") - micros(both, time))
     return both.withColumn("nearest_s", gap / 1e6).drop("_before", "_after")
 
 

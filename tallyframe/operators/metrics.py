@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import average_rank, sdiv
+from ..functions.windows import average_rank, sdiv, with_average_rank
 
 #: Units of capital: as many positions as may be open at once.
 CAPITAL = 10.0
@@ -71,9 +71,9 @@ def concentration(periods: DataFrame, least: int = 1) -> DataFrame:
 
 def deciles(rows: DataFrame, score: str, value: str) -> DataFrame:
     """Number, mean and sum of ``value`` by decile of the score, from average ranks."""
-    rank = average_rank(score) / F.count(F.col(score)).over(Window.partitionBy(F.lit(0)))
-    bucket = (F.floor(F.least(rank * 10, F.lit(9.999))) + 1).cast("int")
-    return rows.where(F.col(score).isNotNull()).withColumn("decile", bucket).groupBy("decile").agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean_value"), F.round(F.sum(value), 6).alias("sum_value"))
+    ranked = with_average_rank(rows.where(F.col(score).isNotNull()), score, "_rank")
+    bucket = (F.floor(F.least(F.col("_rank") / F.col("_rank_n") * 10, F.lit(9.999))) + 1).cast("int")
+    return ranked.withColumn("decile", bucket).groupBy("decile").agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean_value"), F.round(F.sum(value), 6).alias("sum_value"))
 
 
 def ranking(rows: DataFrame, label: str, score: str) -> DataFrame:
@@ -100,7 +100,7 @@ def factor_screen(rows: DataFrame, factors: list[str], target: str, time: str, l
     rows, the share of months with the mean's sign, and a verdict."""
     stacked = rows.select(F.date_format(time, "yyyy-MM").alias("month"), F.col(target).alias("y"), F.explode(F.array(*(F.struct(F.lit(f).alias("factor"), F.col(f).cast("double").alias("x")) for f in factors))).alias("f")).select("month", "y", "f.*")
     stacked = stacked.where("x is not null and y is not null")
-    whole = stacked.select("factor", average_rank("x", "factor").alias("rx"), average_rank("y", "factor").alias("ry")).groupBy("factor").agg(pearson(F.col("rx"), F.col("ry")).alias("ic"), F.count("*").alias("n"))
+    whole = with_average_rank(with_average_rank(stacked, "x", "rx", ("factor",)), "y", "ry", ("factor",)).groupBy("factor").agg(pearson(F.col("rx"), F.col("ry")).alias("ic"), F.count("*").alias("n"))
     month = stacked.select("factor", "month", average_rank("x", "factor", "month").alias("rx"), average_rank("y", "factor", "month").alias("ry")).groupBy("factor", "month").agg(pearson(F.col("rx"), F.col("ry")).alias("m"), F.count("*").alias("k")).where((F.col("k") >= least) & F.col("m").isNotNull())
     months = month.groupBy("factor").agg(F.avg("m").alias("mean_ic"), F.stddev_pop("m").alias("std_ic"), F.count("*").alias("n_months"), F.avg((F.col("m") > 0).cast("double")).alias("up"))
     out = whole.join(months, "factor", "left")
@@ -125,7 +125,7 @@ def utilisation(trades: DataFrame, start: str, end: str, weight: str, low: Colum
 def permutation_pvalue(rows: DataFrame, label: str, score: str, rounds: int = 200, seed: int = 42) -> DataFrame:
     """One row: ROC AUC and the part of ``rounds`` random orders of the labels whose AUC reaches it, (hits + 1) /
     (rounds + 1). Orders come from hashes of row and round, so the table is dealt out by round."""
-    usable = rows.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(F.col(label).cast("long").alias("y"), average_rank(score).alias("r"), F.xxhash64(*rows.columns).alias("_h"))
+    usable = with_average_rank(rows.where(F.col(label).isNotNull() & F.col(score).isNotNull()), score, "_rank").select(F.col(label).cast("long").alias("y"), F.col("_rank").alias("r"), F.xxhash64(*rows.columns).alias("_h"))
     n, p = F.count("*"), F.sum("y")
     real = usable.agg(((F.sum(F.col("y") * F.col("r")) - p * (p + 1) / 2) / F.nullif(p * (n - p), F.lit(0))).alias("auc"), p.alias("p"), n.alias("n"))
     drawn = usable.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("_o", F.row_number().over(Window.partitionBy("round").orderBy(F.xxhash64("_h", "round", F.lit(seed)), "r")))

@@ -14,20 +14,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def time_split(rows: DataFrame, time: str, purge_seconds: int, train: float = 0.8, holdout: str | None = None) -> DataFrame:
-    """``rows`` with ``split``: the first part by time is ``train``, the rest ``val``; from the time ``holdout`` on it is
-    ``holdout``. Rows whose outcome could still be open at the next split's start are ``purged``."""
-    at = F.unix_seconds(F.col(time).cast("timestamp"))
-    cut = F.unix_seconds(F.lit(holdout).cast("timestamp")) if holdout else None
-    inner = rows.where(at < cut) if cut is not None else rows
-    share = inner.agg(F.percentile(at, F.lit(train))).first()[0]
-    if share is None:
-        return rows.withColumn("split", F.when(at >= cut, "holdout") if cut is not None else F.lit(None).cast("string"))
-    val = F.lit(float(share))
-    split = F.when(at + purge_seconds < val, "train").when(at < val, "purged")
+def at_position(values: DataFrame, name: str, place: int, buckets: int = 1024) -> int | None:
+    """The value of a whole-number column that stands at a place (from 0) in ascending order; NULLs take no place.
+
+    The range is cut into buckets, which are counted, and the one that holds the place is cut again: the driver sees
+    some hundred counts a round, and nothing is sorted.
+    """
+    low, high, count = values.agg(F.min(name), F.max(name), F.count(name)).first()
+    if not 0 <= place < count:
+        return None
+    while low < high:
+        step = max(1, -(-(high - low + 1) // buckets))
+        bucket = F.expr(f"(`{name}` - {low}) div {step}")
+        counts = {r.b: r.n for r in values.where(F.col(name).between(low, high)).groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()}
+        for b in sorted(counts):
+            if place < counts[b]:
+                low, high = low + b * step, min(high, low + (b + 1) * step - 1)
+                break
+            place -= counts[b]
+    return int(low)
+
+
+def time_split(rows: DataFrame, time: str, purge_seconds: int, train: float = 0.8, holdout: str | None = None, order: str | None = None) -> DataFrame:
+    """``rows`` with ``split``: of the rows in order of time (and of the whole-number column ``order``), the first part is
+    ``train``, the rest ``val``; from the time ``holdout`` on it is ``holdout``. Rows whose outcome could still be open at
+    the next split's start are ``purged``, before the parts are counted off for the holdout's and after it for val's.
+    Without ``order``, all rows of the moment at which val starts belong to it."""
+    at, purge = F.unix_micros(F.col(time).cast("timestamp")), purge_seconds * 1_000_000
+    cut = F.unix_micros(F.lit(holdout).cast("timestamp")) if holdout else None
+    inner = rows.where(at < cut - purge) if cut is not None else rows
+    moments = inner.select(at.alias("at"), (F.col(order) if order else F.lit(0)).cast("long").alias("order"))
+    place = int(moments.where("at is not null").count() * train)
+    start = at_position(moments, "at", place)
+    split = F.when(at.isNull(), None)
     if cut is not None:
-        split = split.when(at >= cut, "holdout").when(at + purge_seconds >= cut, "purged")
-    return rows.withColumn("split", split.otherwise("val"))
+        split = split.when(at >= cut, "holdout").when(at >= cut - purge, "purged")
+    if start is None:  # nothing is left for val
+        return rows.withColumn("split", split.otherwise("train"))
+    early = at < start
+    if order:
+        first = at_position(moments.where(F.col("at") == start), "order", place - moments.where(F.col("at") < start).count())
+        early = early | ((at == start) & (F.col(order).cast("long") < first))
+    return rows.withColumn("split", split.when(at < start - purge, "train").when(early, "purged").otherwise("val"))
 
 
 def _stages(features: list[str]) -> list:

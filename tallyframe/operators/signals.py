@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import change, lag, rolling, run_length, sdiv, series, true
+from .selection import min_gap
 from .barriers import triple_barrier
 
 #: Bars of a dense run that make a tip, and bars after it within which a launch counts.
 TIP, WAIT = 5, 48
 #: Bars of the range that a breakout leaves, and how much more than their mean its volume is.
 RANGE, VOLUME = 20, 1.5
-#: Growth of the fast spread over 8 bars that counts as expanding.
-EXPANSION = 0.001
+# Growth of the fast spread over 8 bars that counts as expanding; bars from one launch of a kind to the next.
+EXPANSION, LAUNCH_GAP = 0.00383, 18
 
 
 def with_tips(bars: DataFrame, dense: Column, least: int = TIP, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -27,10 +28,11 @@ def _break(high: str = "high", low: str = "low", n: int = RANGE, w=None) -> Colu
     return F.when(F.col("close") > top, 1).when(F.col("close") < bottom, -1).when(top.isNotNull(), 0)
 
 
-def launches(enriched: DataFrame, warmup: int = 0, wait: int = WAIT, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+def launches(enriched: DataFrame, warmup: int = 0, wait: int = WAIT, gap: int = LAUNCH_GAP, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """(keys, kind, arm_i, bar_i, direction): of each tip, which arms until ``wait`` bars have passed or the next tip
     comes, the first later bar of each kind: ``range`` (the close leaves the range of the bars before), ``volume`` (so
-    with much volume), ``spread`` (the fast spread expands) and ``average`` (the means or the close cross).
+    with much volume), ``spread`` (the fast spread expands) and ``average`` (the means or the close cross). Of each kind,
+    launches less than ``gap`` bars after the last one kept are left out.
 
     Columns: those of ``with_indicators`` and ``tip``. No bar after a launch is read.
     """
@@ -51,7 +53,8 @@ def launches(enriched: DataFrame, warmup: int = 0, wait: int = WAIT, keys: tuple
     )
     kinds = F.array(*(F.struct(F.lit(n).alias("kind"), F.col(c).alias("direction")) for n, c in (("range", "_range"), ("volume", "_loud"), ("spread", "_spread"), ("average", "_average"))))
     hits = out.where((F.col("bar_i") > F.col("_arm")) & (F.col("bar_i") <= F.col("_arm") + wait)).select(*keys, F.col("_arm").alias("arm_i"), "bar_i", F.explode(kinds).alias("k")).select(*keys, "arm_i", "bar_i", "k.*")
-    return hits.where("direction is not null").groupBy(*keys, "kind", "arm_i").agg(F.min("bar_i").alias("bar_i"), F.min_by("direction", "bar_i").alias("direction"))
+    fired = hits.where("direction is not null").groupBy(*keys, "kind", "arm_i").agg(F.min("bar_i").alias("bar_i"), F.min_by("direction", "bar_i").alias("direction"))
+    return min_gap(fired, gap, (*keys, "kind"))
 
 
 def all_average_rule(averages: list[str]) -> Column:
@@ -61,13 +64,14 @@ def all_average_rule(averages: list[str]) -> Column:
 
 
 def direction_rules(keys: tuple[str, ...] = ("symbol",)) -> dict[str, Column]:
-    """Name -> 1 or -1 (or NULL) for each bar: above a slow mean, its slope, momentum, and mean and momentum agreeing."""
+    """Name -> 1 or -1 (or NULL) for each bar: above a slow mean, its slope, momentum, and mean and momentum agreeing.
+    Columns: close, ema55, ema120 and ema200."""
     w = series(*keys)
     sign = lambda c: F.when(true(c), 1).otherwise(-1)
     momentum = lambda n: F.coalesce(change("close", n, w), F.lit(0.0))
     above = F.col("close") > F.col("ema200")
     return {
-        "ema200": sign(above), "ema144": sign(F.col("close") > F.col("ema144")), "slope55": sign(F.col("ema55") - lag("ema55", 12, w) > 0), "mom24": sign(momentum(24) > 0), "mom48": sign(momentum(48) > 0),
+        "ema200": sign(above), "ema120": sign(F.col("close") > F.col("ema120")), "slope55": sign(F.col("ema55") - lag("ema55", 12, w) > 0), "mom24": sign(momentum(24) > 0), "mom48": sign(momentum(48) > 0),
         "combo": F.when(above & (momentum(24) > 0), 1).when((F.col("close") < F.col("ema200")) & (momentum(24) < 0), -1),
         "long": F.lit(1), "short": F.lit(-1),
     }

@@ -144,10 +144,15 @@ select symbol, t as open_time, open, high, low, close, volume, row_number() over
 stepped as (
   select *, epoch(open_time) - epoch(lag(open_time) over w) as step, close / nullif(lag(close) over w, 0) - 1 as ret from bars window w as (partition by symbol order by open_time)),
 found as (
-  select symbol, count(*) as n_bars, count(*) filter (step > 1.5 * 3600) as n_gaps, round(max(step) / 3600, 6) as max_gap_h, round(avg((volume <= 0)::int::double), 6) as zero_share,
-    count(*) filter (abs(ret) > 0.25) as n_spikes, count(*) filter (high < greatest(open, close) or low > least(open, close) or low > high) as n_bad, max(open_time) as last_time
-  from stepped group by symbol)
-select *, concat_ws('|', case when n_gaps > 5 then 'gaps' end, case when zero_share > 0.2 then 'zero_volume' end, case when n_spikes > 0 then 'spikes' end, case when n_bad > 0 then 'ohlc' end) as reasons from found""",
+  select symbol, count(*) as n_bars, min(open_time) as first_time, max(open_time) as last_time, count(*) filter (step > 1.5 * 3600) as n_gaps, coalesce(round(max(step) / 3600, 2), 0) as max_gap_hours,
+    round(avg((coalesce(volume, 0) <= 0)::int::double), 4) as zero_vol_share, count(*) filter (abs(ret) > 0.25) as spike_bars,
+    count(*) filter (high < low or high < open or high < close or low > open or low > close or least(open, high, low, close) <= 0) as ohlc_bad,
+    round((epoch(timestamp '2024-02-01 12:00:00') - epoch(max(open_time))) / 3600, 1) as age_hours
+  from stepped group by symbol),
+flagged as (
+  select *, concat_ws('|', case when n_gaps > 5 then 'gaps>5' end, case when zero_vol_share > 0.02 then 'zero_vol>0.02' end, case when spike_bars >= 3 then 'spikes>=3' end,
+    case when ohlc_bad > 0 then 'ohlc_bad' end, case when age_hours > 48 then 'stale>48.0h' end) as reasons from found)
+select *, reasons <> '' as flagged, ohlc_bad > 0 or n_gaps > 5 or zero_vol_share > 0.05 or spike_bars >= 8 as blacklist_candidate from flagged""",
     "shipments_keep_last": """
 select l_orderkey, l_linenumber, l_partkey, l_quantity, l_shipdate from (
   select *, row_number() over (partition by l_orderkey, l_linenumber order by l_shipdate desc, l_partkey desc, l_suppkey desc, l_quantity desc, l_extendedprice desc, l_discount desc, l_tax desc) as k from lineitem)
@@ -156,12 +161,13 @@ where k = 1""",
     "indicators": f"{_BASE} select symbol, bar_i, {', '.join(_r(c, c) for c in ('volume_z', 'volume_ratio', 'fast_spread', 'full_spread', 'fast_slow_gap', 'full_ratio_min48', 'pre_range48', 'pre_range168', 'drawdown24', 'runup24', 'ext_up', 'ext_down', 'slow_slope_12', 'zero_volume96', 'shape_score'))}, order_score, down_order_score from enriched",
     "features": f"""{_BASE},
 dense as (select *, max(case when not coalesce(fast_spread <= 0.0028, false) then bar_i end) over (partition by symbol order by bar_i) as broken from enriched)
-select symbol, bar_i, {_r(_roll('avg', 'fast_spread', 8), 'spread_mean8')}, {_r(_roll('avg', 'fast_spread', 24), 'spread_mean24')},
+select symbol, bar_i, {', '.join(_r(c, c) for c in ('full_spread', 'fast_slow_gap', 'full_ratio_min48', 'ext_up', 'slow_slope_12', 'volume_ratio', 'volume_z', 'atr_pct', 'pre_range48', 'pre_range168', 'drawdown24'))},
+  {_r('fast_spread', 'ma_spread_pct')}, order_score, {_r(_roll('avg', 'fast_spread', 8), 'spread_mean8')}, {_r(_roll('avg', 'fast_spread', 24), 'spread_mean24')},
   {_r('fast_spread - ' + _lag('fast_spread', 8), 'spread_chg8')}, {_r('fast_spread - ' + _lag('fast_spread', 24), 'spread_chg24')},
   {_r('(fast_spread - (' + _roll('min', 'fast_spread', 96, 48) + ')) / nullif((' + _roll('max', 'fast_spread', 96, 48) + ') - (' + _roll('min', 'fast_spread', 96, 48) + '), 0)', 'spread_pos96')},
   (bar_i - coalesce(broken, -1))::int as dense_run_len, {_r(_roll('avg', '(case when fast_spread <= 0.0028 then 1.0 else 0.0 end)', 48, 24), 'dense_frac48')},
   {_r('close / nullif(ema55, 0) - 1', 'close_vs_ema55')}, {_r('close / nullif(ema200, 0) - 1', 'close_vs_ema200')}, {_r(_roll('avg', 'volume_ratio', 8), 'vol_ratio_mean8')},
-  {_r('atr_pct / nullif(' + _roll('avg', 'atr_pct', 96, 48) + ', 0)', 'atr_pct_ratio96')}, {', '.join(_r(f'close / nullif({_lag("close", n)}, 0) - 1', f'ret_{n}') for n in (4, 12, 24))}
+  {_r('atr_pct / nullif(' + _roll('avg', 'atr_pct', 96, 48) + ', 0)', 'atr_pct_ratio96')}, {', '.join(_r(f'close / nullif({_lag("close", n)}, 0) - 1', f'ret_{n}') for n in (4, 12, 24, 48))}
 from dense""",
     "factors": _FACTORS.format(columns=", ".join(_r(e, n) for n, e in _FACTOR_SQL.items())),
     "dense_signals": f"with recursive {BARS}, {AVERAGES}, {SIGNALS} select symbol, bar_i, round(close, 6) as close, round(atr14, 6) as atr14 from signals",
@@ -188,15 +194,15 @@ select strftime(exit_time, '%Y-%m') as period, count(*) as n, round(sum(realized
   round(case when sum(realized_ret - 0.003) filter (realized_ret < 0.003) < 0 then coalesce(sum(realized_ret - 0.003) filter (realized_ret > 0.003), 0) / -sum(realized_ret - 0.003) filter (realized_ret < 0.003) end, 6) as profit_factor
 from trades group by 1""",
     "signals_asof_trend": f"""{_POOL},
-hours as (select symbol, open_time + interval '1 hour' as closed_at, close as hour_close from bars where bar_i % 7 = 0)
+hours as (select symbol, open_time + interval '1 hour' as closed_at, close as hour_close from bars)
 select t.symbol, t.bar_i, t.entry_time, h.hour_close from trades t asof left join hours h on t.symbol = h.symbol and t.entry_time >= h.closed_at""",
     "orders_in_trades": f"""{_POOL},
 settled as (select o_orderdate as t, sum(round(o_totalprice)::bigint)::double as v from orders where o_orderdate is not null and o_totalprice is not null group by 1),
 span as (select min(t) as a, max(t) as z from settled)
 select t.symbol, t.bar_i, case when s.a <= t.entry_time and s.z >= t.exit_time then coalesce((select sum(v) from settled f where f.t > t.entry_time and f.t <= t.exit_time), 0) end as settled from trades t, span s""",
     "events_without_neighbour": """
-with a as (select event_id, event_type, ts from events where event_id % 2 = 0), b as (select event_type, ts from events where event_id % 2 = 1)
-select event_id, event_type, ts from a where not exists (select 1 from b where b.event_type = a.event_type and b.ts between a.ts - interval '60 seconds' and a.ts + interval '60 seconds')""",
+with a as (select event_id, user_id, event_type, ts from events where coalesce(event_type in ('click', 'view'), false)), b as (select user_id, ts from events where not coalesce(event_type in ('click', 'view'), false))
+select event_id, user_id, event_type, ts from a where not exists (select 1 from b where b.user_id = a.user_id and b.ts between a.ts - interval '1 hour' and a.ts + interval '1 hour')""",
     "value_deciles": """
 with r as (select value, user_id, rank() over (order by value) + (count(*) over (partition by value) - 1) / 2.0 as k, count(*) over () as n from events where value is not null)
 select (floor(least(k / n * 10, 9.999)) + 1)::int as decile, count(*) as n, round(avg(user_id), 6) as mean_value, round(sum(user_id), 6)::bigint as sum_value from r group by 1""",
@@ -210,11 +216,11 @@ hits as (select symbol, bar_i, bar_i - lag(bar_i) over (partition by symbol orde
 grouped as (select *, sum((coalesce(step, 99) > 4)::int) over (partition by symbol order by bar_i) as g from hits)
 select symbol, min(bar_i) as start_i, max(bar_i) as end_i, max(bar_i) - min(bar_i) + 1 as n_bars from grouped group by symbol, g having max(bar_i) - min(bar_i) + 1 >= 5""",
     "events_overlap": """
-with a as (select event_id, event_type, ts from events where event_id % 5 = 0), b as (select event_id, event_type, ts from events where event_id % 5 = 1),
-na as (select a.event_id, min(abs(epoch_us(a.ts) - epoch_us(b.ts))) / 1e6 as s from a left join b using (event_type) group by a.event_id),
-nb as (select b.event_id, min(abs(epoch_us(a.ts) - epoch_us(b.ts))) / 1e6 as s from b left join a using (event_type) group by b.event_id),
-x as (select count(*) as n_a, count(*) filter (s <= 600) as hit_a, quantile_cont(s, 0.5) filter (s <= 600) as median_s from na),
-y as (select count(*) as n_b, count(*) filter (s <= 600) as hit_b from nb)
+with a as (select event_id, user_id, ts from events where coalesce(event_type in ('click', 'view'), false)), b as (select event_id, user_id, ts from events where not coalesce(event_type in ('click', 'view'), false)),
+na as (select a.event_id, min(abs(epoch_us(a.ts) - epoch_us(b.ts))) / 1e6 as s from a left join b using (user_id) group by a.event_id),
+nb as (select b.event_id, min(abs(epoch_us(a.ts) - epoch_us(b.ts))) / 1e6 as s from b left join a using (user_id) group by b.event_id),
+x as (select count(*) as n_a, count(*) filter (s <= 3600) as hit_a, quantile_cont(s, 0.5) filter (s <= 3600) as median_s from na),
+y as (select count(*) as n_b, count(*) filter (s <= 3600) as hit_b from nb)
 select *, hit_a / nullif(n_a, 0) as recall, hit_b / nullif(n_b, 0) as precision from x, y""",
     "orders_reconciled": """
 with a as (select o_orderkey, o_totalprice as v from orders where o_orderkey % 7 <> 0),
@@ -242,8 +248,9 @@ select event_type, count(props->>'$.k') as n, sum((props->>'$.k')::bigint)::bigi
     "fresh_signals": """
 select event_id, round(floor(epoch(ts) - epoch(date_trunc('hour', ts))) / 60.0, 6) as lag_min, floor(epoch(ts) - epoch(date_trunc('hour', ts))) / 60.0 between 0 and 30 as is_live from events""",
     "split_events": """
-with c as (select quantile_cont(floor(epoch(ts)), 0.8) as v from events),
-s as (select ts, case when floor(epoch(ts)) + 3600 < v then 'train' when floor(epoch(ts)) < v then 'purged' else 'val' end as split from events, c)
+with o as (select ts, row_number() over (order by ts, event_id) - 1 as i, count(*) over () as n from events where ts is not null),
+v as (select ts as start from o where i = floor(n * 0.8)),
+s as (select ts, case when i >= floor(n * 0.8) then 'val' when ts < start - interval '3600 seconds' then 'train' else 'purged' end as split from o, v)
 select split, count(*) as n, min(ts) as first, max(ts) as last from s group by split""",
     "segment_top_customers": """
 select c_mktsegment, rank::int as rank, c_custkey, c_acctbal, (case when c_acctbal >= 9900 then 3 when c_acctbal >= 9000 then 2 when c_acctbal >= 0 then 1 else 0 end)::int as tier from (

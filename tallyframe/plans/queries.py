@@ -38,7 +38,7 @@ def bars_4h_resampled(spark, d):
 
 
 def bars_audit(spark, d):
-    return src.audit(_bars(spark, d), src.width_seconds("1H"))
+    return src.audit(_bars(spark, d), src.width_seconds("1H"), now=F.lit("2024-02-01 12:00:00"))
 
 
 def shipments_keep_last(spark, d):
@@ -59,8 +59,8 @@ def indicators(spark, d):
 
 
 def features(spark, d):
-    names = ["spread_mean8", "spread_mean24", "spread_chg8", "spread_chg24", "spread_pos96", "dense_frac48", "close_vs_ema55", "close_vs_ema200", "vol_ratio_mean8", "atr_pct_ratio96", "ret_4", "ret_12", "ret_24"]
-    return _rounded(ind.with_features(ind.with_indicators(_bars(spark, d))), ["symbol", "bar_i", "dense_run_len"], names)
+    whole = ["dense_run_len", "order_score"]
+    return _rounded(ind.with_features(ind.with_indicators(_bars(spark, d))), ["symbol", "bar_i", *whole], [f for f in ind.FEATURES if f not in whole])
 
 
 def factors(spark, d):
@@ -140,7 +140,7 @@ def portfolio_replay(spark, d):
 
 
 def signals_asof_trend(spark, d):
-    hours = _bars(spark, d).where("bar_i % 7 = 0").select("symbol", (F.col("open_time") + F.expr("interval 1 hour")).alias("closed_at"), F.col("close").alias("hour_close"))
+    hours = _bars(spark, d).select("symbol", (F.col("open_time") + F.expr("interval 1 hour")).alias("closed_at"), F.col("close").alias("hour_close"))
     trades = _trades(spark, d, barriers.triple_barrier()).select("symbol", "bar_i", "entry_time")
     return joins.asof_join(trades, hours, ["symbol"], "entry_time", "closed_at", ["hour_close"])
 
@@ -151,9 +151,17 @@ def orders_in_trades(spark, d):
     return joins.range_sum(trades, orders, ["k"], "entry_time", "exit_time", "t", "v", "settled").select("symbol", "bar_i", "settled")
 
 
+def _two_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every event stands on one side: clicks and views, and all others."""
+    events = _table(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
+    first = F.coalesce(F.col("event_type").isin("click", "view"), F.lit(False))
+    return events.where(first), events.where(~first)
+
+
 def events_without_neighbour(spark, d):
-    events = _table(spark, d, "events").select("event_id", "event_type", "ts")
-    return joins.nearest_anti(events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1"), ["event_type"], "ts", 60.0)
+    """Clicks and views of a user without any other event of that user within an hour."""
+    seen, done = _two_sides(spark, d)
+    return joins.nearest_anti(seen, done, ["user_id"], "ts", 3600.0)
 
 
 def value_deciles(spark, d):
@@ -191,8 +199,9 @@ def forward_merge(spark, d):
 
 
 def events_overlap(spark, d):
-    events = _table(spark, d, "events").select("event_id", "event_type", "ts")
-    return joins.overlap(events.where("event_id % 5 = 0"), events.where("event_id % 5 = 1"), ["event_type"], "ts", 600.0)
+    """Clicks and views against all other events of the same users: who has a partner within an hour."""
+    seen, done = _two_sides(spark, d)
+    return joins.overlap(seen, done, ["user_id"], "ts", 3600.0)
 
 
 def orders_reconciled(spark, d):
@@ -242,7 +251,7 @@ def fresh_signals(spark, d):
 
 
 def split_events(spark, d):
-    rows = models.time_split(_table(spark, d, "events").select("event_id", "ts"), "ts", 3600)
+    rows = models.time_split(_table(spark, d, "events").select("event_id", "ts"), "ts", 3600, order="event_id")
     return rows.groupBy("split").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
 
 

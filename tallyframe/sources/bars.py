@@ -11,9 +11,17 @@ from ..functions.windows import sdiv, true
 WIDTHS = {"1m": 60, "3m": 180, "5m": 300, "15m": 900, "30m": 1800, "1H": 3600}
 #: Column types of the two raw layouts; everything else in a file is ignored.
 RAW = "ts string, open string, high string, low string, close string, volume string, confirm string, open_time string"
-#: A gap is a step of more than so many bars; a spike a larger relative change of the close; the share of bars without
-#: volume, and the number of gaps, above which a series is flagged.
-GAP_BARS, SPIKE, ZERO_SHARE, GAPS = 1.5, 0.25, 0.2, 5
+# Fixed values of the audit. A gap is a step of more than so many bars; a spike a larger relative change of the close.
+GAP_BARS, SPIKE = 1.5, 0.25
+# The most gaps, share of bars without volume, wrong bars and hours since the last bar, and the least spikes,
+# of a flagged series; and the share and spikes of a candidate for the blacklist.
+GAPS, ZERO_SHARE, WRONG, STALE_HOURS, SPIKES = 5, 0.02, 0, 48.0, 3
+BLACKLIST_ZERO_SHARE, BLACKLIST_SPIKES = 0.05, 8
+# Bases named like shares, which are thin.
+STOCK_LIKE = (
+    "AAPL", "ADBE", "AMAT", "AMD", "AMZN", "ASML", "AVGO", "COIN", "CRCL", "GOOGL", "HOOD", "INTC", "META", "MSFT", "MSTR", "NVDA", "PLTR", "TSLA",
+    "QQQ", "SPY", "ALAB", "APLD", "MU", "ORCL", "NFLX", "BABA",
+)
 
 
 def width_seconds(bar: str) -> int:
@@ -122,22 +130,50 @@ def tip_merged(history: DataFrame, live: DataFrame, *keys: str) -> DataFrame:
     return numbered(old.drop("bar_i").unionByName(live.drop("bar_i")).dropDuplicates([*keys, "open_time"]), *keys)
 
 
-def audit(bars: DataFrame, seconds: int, *keys: str) -> DataFrame:
-    """One row a series: bars, gaps, the longest step in hours, the share of bars without volume, spikes, bars whose
-    prices contradict each other, the last bar, and the reasons to flag the series, joined by ``|``."""
+def audit(bars: DataFrame, seconds: int, *keys: str, now: Column | None = None) -> DataFrame:
+    """One row a series: bars, gaps, the longest step in hours, the share of bars without volume, spikes, wrong bars (prices
+    that contradict each other or aren't positive), the first and last bar, the hours from that to ``now``, the reasons to
+    flag the series, joined by ``|``, whether it is flagged, and whether it may go on the blacklist. A series without gaps
+    in time has 0 as its longest step."""
     keys = keys or ("symbol",)
     w = Window.partitionBy(*keys).orderBy("open_time")
     step = F.unix_seconds(F.col("open_time").cast("timestamp")) - F.unix_seconds(F.lag("open_time").over(w).cast("timestamp"))
     rows = bars.withColumn("_step", step).withColumn("_ret", sdiv("close", F.lag("close").over(w)) - 1)
-    wrong = true((F.col("high") < F.greatest("open", "close")) | (F.col("low") > F.least("open", "close")) | (F.col("low") > F.col("high")))
+    wrong = true((F.col("high") < F.greatest("open", "close")) | (F.col("low") > F.least("open", "close")) | (F.col("low") > F.col("high")) | (F.least("open", "high", "low", "close") <= 0))
     found = rows.groupBy(*keys).agg(
         F.count("*").alias("n_bars"),
-        F.count_if(F.col("_step") > GAP_BARS * seconds).alias("n_gaps"),
-        F.round(F.max("_step") / 3600, 6).alias("max_gap_h"),
-        F.round(F.avg(true(F.col("volume") <= 0).cast("double")), 6).alias("zero_share"),
-        F.count_if(F.abs("_ret") > SPIKE).alias("n_spikes"),
-        F.count_if(wrong).alias("n_bad"),
+        F.min("open_time").alias("first_time"),
         F.max("open_time").alias("last_time"),
+        F.count_if(F.col("_step") > GAP_BARS * seconds).alias("n_gaps"),
+        F.coalesce(F.round(F.max("_step") / 3600, 2), F.lit(0.0)).alias("max_gap_hours"),
+        F.round(F.avg((F.coalesce("volume", F.lit(0.0)) <= 0).cast("double")), 4).alias("zero_vol_share"),
+        F.count_if(F.abs("_ret") > SPIKE).alias("spike_bars"),
+        F.count_if(wrong).alias("ohlc_bad"),
+    )
+    age = F.unix_seconds((F.current_timestamp() if now is None else now).cast("timestamp")) - F.unix_seconds(F.col("last_time").cast("timestamp"))
+    found = found.withColumn("age_hours", F.round(age / 3600, 1))
+    return found.withColumns({"reasons": flag_reasons(), "flagged": flag_reasons() != "", "blacklist_candidate": blacklist_candidate()})
+
+
+def flag_reasons() -> Column:
+    """Why a row of ``audit`` is flagged; an empty text where it isn't."""
+    tests = [
+        (F.col("n_gaps") > GAPS, f"gaps>{GAPS}"), (F.col("zero_vol_share") > ZERO_SHARE, f"zero_vol>{ZERO_SHARE}"), (F.col("spike_bars") >= SPIKES, f"spikes>={SPIKES}"),
+        (F.col("ohlc_bad") > WRONG, "ohlc_bad"), (F.col("age_hours") > STALE_HOURS, f"stale>{STALE_HOURS}h"),
+    ]
+    return F.concat_ws("|", *(F.when(test, name) for test, name in tests))
+
+
+def blacklist_candidate(symbol: str = "symbol") -> Column:
+    """Whether a row of ``audit`` is worth a lasting exclusion; thin names like shares are so sooner."""
+    thin = F.substring_index(F.col(symbol), "_", 1).isin(*STOCK_LIKE) & (F.col("zero_vol_share") > ZERO_SHARE)
+    return true((F.col("ohlc_bad") > WRONG) | (F.col("n_gaps") > GAPS) | (F.col("zero_vol_share") > BLACKLIST_ZERO_SHARE) | (F.col("spike_bars") >= BLACKLIST_SPIKES) | thin)
+
+
+def audit_summary(audited: DataFrame) -> DataFrame:
+    """One row over the series of an audit: how many there are, are flagged, are flagged for more than being stale, and
+    may go on the blacklist."""
+    structural = F.col("reasons").rlike("gaps|zero_vol|spikes|ohlc_bad")
+    return audited.agg(
+        F.count("*").alias("series_total"), F.count_if("flagged").alias("flagged"), F.count_if(structural).alias("structural_flagged"), F.count_if("blacklist_candidate").alias("blacklist_candidate_n")
     )
-    reasons = F.concat_ws("|", F.when(F.col("n_gaps") > GAPS, "gaps"), F.when(F.col("zero_share") > ZERO_SHARE, "zero_volume"), F.when(F.col("n_spikes") > 0, "spikes"), F.when(F.col("n_bad") > 0, "ohlc"))
-    return found.withColumn("reasons", reasons)

@@ -25,12 +25,12 @@ def one(spark, **columns):
 def test_scores_and_sizes(spark):
     f = F.lit
     got = one(
-        spark, low=scalars.tier(f(0.1), f(0.2), f(0.5), f(0.9)), edge=scalars.tier(f(0.5), f(0.2), f(0.5), f(0.9)), nan=scalars.tier(f(float("nan")), f(0.2), f(0.5), f(0.9)), star=scalars.stars(f(1.3), f(1.0)),
+        spark, low=scalars.tier(f(0.1), f(0.2), f(0.5), f(0.9)), edge=scalars.tier(f(0.5), f(0.2), f(0.5), f(0.9)), nan=scalars.tier(f(float("nan")), f(0.2), f(0.5), f(0.9)), star=scalars.stars(f(1.3), f(1.0)), lone=scalars.stars(f(0.03), f(0.0)),
         none=scalars.stars(f(None).cast("double"), f(1.0)), mult=scalars.size_multiplier(f(None).cast("double")), most=scalars.size_multiplier(f(9.0)), lots=scalars.lots(f(1.29), f(0.1), f(0.1)), few=scalars.lots(f(0.04), f(0.1), f(0.1)), tick=scalars.ticks(f(2.5), f(1.0)),
-        mean=scalars.composite({"15m": f(80.0), "1H": f(None).cast("double"), "4H": f(60.0)}), t=scalars.display_time(f("2024-01-01 20:00:00").cast("timestamp")), price=scalars.barrier_prices(f(100.0), f(1.0), f("short")), bad=scalars.barrier_prices(f(100.0), f(0.0), f("long")),
+        t=scalars.display_time(f("2024-01-01 20:00:00").cast("timestamp")), price=scalars.barrier_prices(f(100.0), f(1.0), f("short")), bad=scalars.barrier_prices(f(100.0), f(0.0), f("long")),
     )
-    assert (got["low"], got["edge"], got["nan"], got["star"], got["none"], got["mult"], got["most"]) == (0, 2, 0, 3, 0, 1.0, 2.0)
-    assert math.isclose(got["lots"], 1.2) and got["few"] == 0 and got["tick"] == 2.0 and math.isclose(got["mean"], 68.0)
+    assert (got["low"], got["edge"], got["nan"], got["star"], got["lone"], got["none"], got["mult"], got["most"]) == (0, 2, 0, 3, 3, 0, 1.0, 2.0)
+    assert math.isclose(got["lots"], 1.2) and got["few"] == 0.1 and got["tick"] == 2.0
     assert got["t"] == "2024-01-02 04:00" and (got["price"].target, got["price"].stop) == (95.0, 102.0) and got["bad"] is None
 
 
