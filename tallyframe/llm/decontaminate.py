@@ -1,12 +1,12 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 The words of the benchmark are the terms. One pass over the corpus writes every document as term numbers and counts
-the terms, whose rarity among the corpus's words gives the weights of TF-IDF. The benchmark's weighted passages are dealt
-into small blocks; a distributed randomised SVD gives each block a latent space of as many directions as leave every
-item nearly its whole length. Overlapping passages of the corpus are folded into each space; those whose cosine with an
-item is high enough are its candidates. A candidate is settled by the weighted longest common subsequence of
-words with the item: near complete, it is a copy; about half, it is a paraphrase if the item's answer, its last words,
-is there too.
+the terms, whose rarity among the corpus's words gives the weights of TF-IDF. The benchmark's items are cut into
+overlapping passages, weighted and dealt into small blocks; a distributed randomised SVD gives each block a latent space
+of as many directions as leave every passage nearly its whole length. The corpus's passages, cut likewise, are folded
+into each space; those whose cosine with an item's passage is high enough make the item a candidate. A candidate is
+settled by the weighted longest common subsequence of words with the whole item: near complete, it is a copy; about
+half, it is a paraphrase if the item's answer, its last words, is there too. Short items must be there word for word.
 """
 
 from __future__ import annotations
@@ -30,11 +30,12 @@ PASSAGE = 2 * STRIDE
 SPACE_ITEMS, RETAINED, ROUNDS = 256, 0.9, 2
 #: Bytes of the spaces that are broadcast and searched at a time.
 SPACE_BYTES = 64 << 20
-#: Items whose words number the terms of one encoding, and the fewest words of an item that is searched for.
-ITEM_BLOCK, LEAST_WORDS = 20_000, 5
-#: Cosine of a candidate; part of an item's weight in common for a copy and for a paraphrase; words of an answer and
+#: Bytes of the items whose words number the terms of one encoding, and the fewest words of an item that can be
+#: paraphrased.
+ITEM_BYTES, LEAST_WORDS = 16 << 20, 12
+#: Cosine of a candidate, and, where less, the part of an item's passage that a passage holds; part of an item's weight in common for a copy and for a paraphrase; words of an answer and
 #: the part of their weight that a paraphrase has.
-COSINE, COPY, PARAPHRASE, ANSWER, ANSWERED = 0.25, 0.8, 0.5, 6, 0.6
+COSINE, HELD, COPY, PARAPHRASE, ANSWER, ANSWERED = 0.25, 0.5, 0.8, 0.5, 6, 0.6
 #: Bytes that stand between words: all but letters, digits and those of other alphabets.
 _BETWEEN = np.ones(256, bool)
 _BETWEEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -72,7 +73,7 @@ def _items(rows: pa.Table) -> _Items:
         own = rows.column("item_id").chunk(k).to_pylist()
         for row, hashes, first in _words(column):
             for j in range(len(first) - 1):
-                if first[j + 1] - first[j] >= LEAST_WORDS:
+                if first[j + 1] > first[j]:
                     ids.append(own[row + j])
                     words.append(hashes[first[j] : first[j + 1]])
     hashes = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
@@ -115,24 +116,42 @@ def _weights(made: DataFrame, terms: int) -> np.ndarray:
     return idf
 
 
-def _item_vectors(items: _Items, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each item's terms and TF-IDF weights, of length 1."""
+def telling(terms: np.ndarray, idf: np.ndarray) -> bool:
+    """Whether a run of words is too rare to be expected in the corpus by chance: its words' frequencies, multiplied, put
+    it there less than once."""
+    return bool((idf[terms] - 0.1).sum() >= 4 * idf[0])
+
+
+def _passages(items: _Items) -> list[tuple[int, np.ndarray]]:
+    """(item, terms) of all overlapping passages; the last one of an item is whole."""
     out = []
-    for t in items.terms:
+    for i, t in enumerate(items.terms):
+        last = max(0, len(t) - PASSAGE)
+        out += [(i, t[a : a + PASSAGE]) for a in [*range(0, last, STRIDE), last]]
+    return out
+
+
+def _vectors(passages: list[tuple[int, np.ndarray]], idf: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Each passage's terms and TF-IDF weights, of length 1, and the length that they had."""
+    out, lengths = [], []
+    for _, t in passages:
         u, c = np.unique(t, return_counts=True)
         w = c * idf[u]
-        out.append((u, w / np.linalg.norm(w)))
-    return out
+        lengths.append(np.linalg.norm(w))
+        out.append((u, w / lengths[-1]))
+    return out, np.array(lengths, np.float32)
 
 
 @dataclass(frozen=True)
 class _Space:
-    """The items from ``first`` on: their sorted terms, what a word of each term adds to a passage, and the items."""
+    """Passages of items: their sorted terms, what a word of each term adds to a passage, the passages, the lengths that they
+    had, and the items that they are of."""
 
-    first: int
     terms: np.ndarray
     folding: np.ndarray
     latent: np.ndarray
+    lengths: np.ndarray
+    items: np.ndarray
 
 
 def _blocks(vectors: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[list[tuple[int, int, np.ndarray]]]:
@@ -292,8 +311,10 @@ def _lengths(terms: np.ndarray, start: np.ndarray, stop: np.ndarray, square: np.
 def _matches(terms, first, items, idf, spaces, rows_of, square) -> Iterator[tuple[int, int, float, float, bool]]:
     """(document, item, cosine, common weight, answer is there) of the pairs that a piece of the corpus holds.
 
-    A passage is two strides of words. What a stride adds to its passages is projected once for each space.
+    A passage is two strides of words. What a stride adds to its passages is projected once for each space. A candidate's
+    passages that lie within an item's length of each other are settled together, with as much text on either side.
     """
+    near: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
     strides = np.maximum(1, -(-np.diff(first) // STRIDE))
     docs = np.repeat(np.arange(len(first) - 1), strides)
     place = np.arange(len(docs)) - (np.cumsum(strides) - strides)[docs]
@@ -304,17 +325,15 @@ def _matches(terms, first, items, idf, spaces, rows_of, square) -> Iterator[tupl
     alone = follows | (place == 0)  # a document's last stride stands in the passage before
     after = lambda x: np.concatenate([x[1:], np.zeros_like(x[:1])]) * follows.reshape(-1, *[1] * (x.ndim - 1))
     norm = np.sqrt(np.maximum(weight + after(weight), 1e-12))
-    weights = [idf[t] for t in items.terms]
-    totals = [w.sum() for w in weights]
-    there_at_all = np.zeros(len(idf), bool)
     for space, of in zip(spaces, rows_of, strict=True):
         own_terms = of[terms]
         known = np.flatnonzero(own_terms)
         inner = np.searchsorted(known, cuts)
         inside = _sums(square[terms[known]], inner)
-        # A passage's cosine with any item is at most the part of its length that stands in the space's terms; repeated
+        # A passage's cosine with any other is at most the part of its length that stands in the space's terms; repeated
         # terms make that part larger than it is here, by up to the root of their number.
-        open_ = np.flatnonzero(alone & (inside + after(inside) >= (0.5 * COSINE * norm) ** 2) & (inside + after(inside) > 0))
+        least = 0.5 * np.minimum(COSINE * norm, HELD * space.lengths.min())
+        open_ = np.flatnonzero(alone & (inside + after(inside) >= least**2) & (inside + after(inside) > 0))
         for k in range(0, len(open_), 4096):
             some = open_[k : k + 4096]
             need = np.unique(np.concatenate([some, some[follows[some]] + 1]))
@@ -323,37 +342,50 @@ def _matches(terms, first, items, idf, spaces, rows_of, square) -> Iterator[tupl
             own = folded[at]
             own[follows[some]] += folded[at[follows[some]] + 1]
             stop = np.minimum(start[some] + PASSAGE, first[docs[some] + 1])
-            cosine = own @ space.latent.T / _lengths(terms, start[some], stop, square)[:, None]
-            for p, j in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                i = space.first + int(j)
-                item, d = items.terms[i], int(docs[some[p]])
-                text = terms[max(int(first[d]), int(start[some[p]]) - len(item)) : min(int(first[d + 1]), int(stop[p]) + len(item))]
-                there_at_all[text] = True
-                most = weights[i][there_at_all[item]].sum()
-                there_at_all[text] = False
-                if most < PARAPHRASE * totals[i]:
-                    continue  # no more can be common in order than at all
-                share = common_weight(item, text, idf)
-                if share >= PARAPHRASE:
-                    answer = item[-ANSWER:]
-                    there = bool(idf[answer[np.isin(answer, text)]].sum() >= ANSWERED * idf[answer].sum())
-                    if share >= COPY or there:
-                        yield d, int(items.ids[i]), float(cosine[p, j]), share, there
+            length = _lengths(terms, start[some], stop, square)[:, None]
+            cosine = own @ space.latent.T / length
+            for p, j in zip(*np.nonzero(cosine >= np.minimum(COSINE, HELD * space.lengths[None, :] / length)), strict=True):
+                near.setdefault((int(docs[some[p]]), int(space.items[j])), []).append((int(start[some[p]]), int(stop[p]), float(cosine[p, j])))
+    for (d, i), found in near.items():
+        item, weight = items.terms[i], idf[items.terms[i]]
+        reach = len(item)
+        begin, end, best = None, 0, 0.0
+        for a, z, cosine in [*sorted(found), (None, None, None)]:
+            if begin is not None and (a is None or a > end + reach):
+                text = terms[max(int(first[d]), begin - reach) : min(int(first[d + 1]), end + reach)]
+                share, there = _settled(item, weight, text, idf)
+                if share >= COPY or share >= PARAPHRASE and there:
+                    yield d, int(items.ids[i]), best, share, there
+                begin = None
+            if a is not None:
+                begin, end, best = (a, z, cosine) if begin is None else (begin, max(end, z), max(best, cosine))
+
+
+def _settled(item: np.ndarray, weight: np.ndarray, text: np.ndarray, idf: np.ndarray) -> tuple[float, bool]:
+    """The part of an item's weight that stands in a text in order, and whether its answer is there."""
+    if len(item) < LEAST_WORDS:
+        whole = len(text) >= len(item) and bool((np.lib.stride_tricks.sliding_window_view(text, len(item)) == item).all(axis=1).any())
+        return float(whole), whole
+    if weight[np.isin(item, text)].sum() < PARAPHRASE * weight.sum():
+        return 0.0, False  # no more can be common in order than at all
+    share = common_weight(item, text, idf)
+    answer = item[-ANSWER:]
+    return share, bool(idf[answer[np.isin(answer, text)]].sum() >= ANSWERED * idf[answer].sum())
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, cosine, common, answered, kind) of every pair of a document and a benchmark item found in it;
     kind is ``copy`` or ``paraphrase``.
 
-    Null texts count as empty; documents and items without an id and items of fewer than ``LEAST_WORDS`` words take no
-    part. Rows that repeat a document's id count as one document, and the better of equal pairs is told. Empty tables
-    give an empty result; further columns are ignored.
+    Null texts count as empty; documents and items without an id take no part, and neither do items without words and
+    those so short and common that chance puts them into the corpus (``telling``). Rows that repeat a document's id count as
+    one document, and the better of equal pairs is told. Empty tables give an empty result; further columns are ignored.
     """
     spark = docs.sparkSession
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     asked = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     asked = staged(asked.dropDuplicates(["item_id", "text"]), "benchmark")
-    blocks = max(1, -(-asked.count() // ITEM_BLOCK))
+    blocks = max(1, -(-(asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // ITEM_BYTES))
     found = None
     for b in range(blocks):
         items = _items(asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").toArrow())
@@ -362,14 +394,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         terms = len(items.hashes)
         made = staged(texts.mapInArrow(lean(_encoded(spark.sparkContext.broadcast(items))), "kind int, id long, terms binary, n long"), "terms")
         idf = _weights(made, terms)
-        vectors = _item_vectors(items, idf)
+        passages = [(i, t) for i, t in _passages(items) if telling(items.terms[i], idf)]
+        vectors, lengths = _vectors(passages, idf)
         dtype = "<u4" if terms + 1 > 1 << 16 else "<u2"
         for some in _blocks(vectors):
             spaces = []
             for (first, end, own), space in zip(some, latent_spaces(spark, vectors, some), strict=True):
                 latent = np.array([w @ space[np.searchsorted(own, u)] for u, w in vectors[first:end]])
                 folding = np.concatenate([np.zeros((1, space.shape[1])), space * idf[own][:, None]])
-                spaces.append(_Space(first, own, folding.astype(np.float32), latent.astype(np.float32)))
+                spaces.append(_Space(own, folding.astype(np.float32), latent.astype(np.float32), lengths[first:end], np.array([i for i, _ in passages[first:end]])))
             held = spark.sparkContext.broadcast((items, idf, spaces, idf * idf))
             part = made.where("kind = 0").select("id", "terms").mapInArrow(lean(_found(held, dtype)), "doc_id long, item_id long, cosine double, common double, answered boolean")
             found = part if found is None else found.unionByName(part)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from tallyframe.llm import html_text, packing, queries, quality, topk
+from tallyframe.llm import decontaminate, html_text, packing, queries, quality, topk
 from tallyframe.llm.language_id import declared_in, identified, train_languages
 
 SF = "/root/testdata/sf0.001"
@@ -222,3 +222,40 @@ def test_query_has_the_columns_of_its_contract(spark, name):
         assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count() and all(len(r.text) == r.n_chars for r in rows)
     if name.startswith("op7_"):
         assert {r.doc_id for r in rows} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+# --- decontamination ---
+
+
+def test_items_of_all_lengths_are_found(spark):
+    rng = random.Random(31)
+    names = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(5000)]
+    text = lambda n: " ".join(names[int(len(names) * rng.random() ** 2)] for _ in range(n))
+    lengths = [3, 4, 5, 8, 11, 12, 15, 20, 32, 33, 40, 64, 100, 200, 500, 900, 1500, 2000]
+    items = [(k, text(n)) for k, n in enumerate(lengths * 3)]
+    rows, want = [(9000 + k, text(400)) for k in range(60)], set()
+    for k, t in items:
+        rows.append((k, f"{text(rng.randint(0, 90))} {t} {text(rng.randint(0, 90))}"))
+        want.add((k, k, "copy"))
+        if len(t.split()) >= 15:  # every sixth word is another, the answer stays
+            other = t.split()
+            other[: -decontaminate.ANSWER : 6] = [rng.choice(names) for _ in other[: -decontaminate.ANSWER : 6]]
+            rows.append((1000 + k, f"{text(rng.randint(0, 90))} {' '.join(other)} {text(rng.randint(0, 90))}"))
+            want.add((1000 + k, k, "any"))
+    found = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): r.kind for r in found}
+    missed = [(d, i, len(items[i][1].split())) for d, i, kind in want if kind == "copy" and got.get((d, i)) != "copy"]
+    assert not missed
+    assert sum((d, i) in got for d, i, kind in want if kind == "any") >= 0.9 * sum(kind == "any" for *_, kind in want)
+    assert not [k for k in got if k[0] >= 9000]
+    # words of a copy out of order, or of which two are missing, are no copy of a short item
+    short = items[2][1].split()
+    odd = [(1, f"{text(50)} {' '.join(reversed(short))} {text(50)}"), (2, f"{text(50)} {' '.join(short[:3])} {text(50)}"), (3, f"{text(50)} {' '.join(short)}")]
+    found = decontaminate.contaminated(spark.createDataFrame(rows[:60] + odd, "doc_id long, text string"), spark.createDataFrame(items[2:3], "item_id long, text string")).collect()
+    assert [r.doc_id for r in found] == [3]
+
+
+def test_a_telling_run_is_not_expected_by_chance():
+    idf = np.log((1000 + 2) / (np.array([700, 250, 40, 1]) + 1)) + 0.1
+    idf[0] = np.log(1002) / 4
+    assert not decontaminate.telling(np.array([1, 1, 1]), idf) and decontaminate.telling(np.array([3, 2]), idf) and not decontaminate.telling(np.array([3]), idf)
