@@ -10,6 +10,9 @@ WEIGHTS = {"1m": 0.10, "3m": 0.12, "5m": 0.13, "15m": 0.35, "30m": 0.30}
 OTHER_WEIGHT, GRADES = 0.1, {"A": 0.68, "B": 0.52}
 # From which multiple of its threshold, or which score where there is none, a score has how many stars.
 STARS, STARS_ALONE = (1.0, 1.10, 1.25, 1.50, 2.00), (0.015, 0.022, 0.028, 0.035, 0.050)
+# Costs of a round trip, as parts of its notional.
+COSTS = {"spot_taker": 0.003, "spot_maker": 0.0016, "swap_maker": 0.0006, "swap_taker": 0.0010, "legacy": 0.002}
+COST_SWEEP = (0.002, 0.003, 0.004)
 
 
 def instrument(symbol: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import ewm, scalars, windows
+from ..functions import ewm, rich, scalars, windows
 from ..functions import indicators as ind
 from ..operators import barriers, joins, metrics, models, portfolio, selection
 from ..sources import bars as src
@@ -63,6 +63,22 @@ def features(spark, d):
     return _rounded(ind.with_features(ind.with_indicators(_bars(spark, d))), ["symbol", "bar_i", *whole], [f for f in ind.FEATURES if f not in whole])
 
 
+def _rich(spark: SparkSession, d: str) -> DataFrame:
+    return rich.with_rich(ind.with_features(ind.with_indicators(_bars(spark, d))))
+
+
+def rich_features(spark, d):
+    return _rounded(_rich(spark, d), ["symbol", "bar_i"], list(rich.RICH))
+
+
+def break_quality(spark, d):
+    """Bars with all means: how good a break of the bundle of six is, on either side."""
+    rows = _rich(spark, d).where("sma120 is not null")
+    bundle = [f"{k}{p}" for k in ("sma", "ema") for p in (20, 60, 120)]
+    sides = [rich.breakdown_quality(rows, bundle, side).withColumn("side", F.lit(side)) for side in ("short", "long")]
+    return _rounded(sides[0].unionByName(sides[1]), ["symbol", "bar_i", "side"], ["bd_depth", "bd_force", "bd_range", "vol_break", "ma_roll", "steps20", "from_extreme20", "room48", "fall20"])
+
+
 def factors(spark, d):
     names = [n for n in ind.FACTORS if n != "vp_corr"]
     return _rounded(ind.with_factors(ind.with_indicators(_bars(spark, d)), names), ["symbol", "bar_i"], names)
@@ -111,14 +127,30 @@ def barrier_short(spark, d):
     return _outcome_rows(_trades(spark, d, barriers.triple_barrier(side="short"), "short"))
 
 
-def exit_variants(spark, d):
+def _exits(spark: SparkSession, d: str) -> DataFrame:
     """Every exit on the same paths, one row a signal and exit."""
     enriched = ind.with_indicators(_bars(spark, d))
     paths = barriers.with_path(_signals(enriched), enriched, HORIZON, extra=("ema21", "cluster_max", "cluster_min", "fast_spread"))
     more = {"time_stop": {"bars": 12}, "vol_adaptive": {"low": 0.004, "high": 0.008, "targets": (3.0, 5.0, 6.0), "stops": (1.5, 2.0, 2.5)}}
     all_ = F.array(*(F.struct(F.lit(n).alias("exit"), barriers.exit_named(n, **more.get(n, {})).cast(barriers.OUTCOME).alias("o")) for n in barriers.EXITS))
-    rows = paths.select("symbol", "bar_i", F.explode(all_).alias("x")).where("x.o is not null").select("symbol", "bar_i", "x.exit", "x.o.*")
-    return rows.select("symbol", "bar_i", "exit", "label", "outcome", "exit_offset", F.round("entry_price", 6).alias("entry_price"), F.round("realized_ret", 6).alias("realized_ret"))
+    return paths.select("symbol", "bar_i", F.explode(all_).alias("x")).where("x.o is not null").select("symbol", "bar_i", "x.exit", "x.o.*")
+
+
+def exit_variants(spark, d):
+    return _exits(spark, d).select("symbol", "bar_i", "exit", "label", "outcome", "exit_offset", F.round("entry_price", 6).alias("entry_price"), F.round("realized_ret", 6).alias("realized_ret"))
+
+
+def exit_metrics(spark, d):
+    """Every exit side by side: number, share of gains, mean net and profit factor after the maker's cost."""
+    net = F.col("realized_ret") - scalars.COSTS["swap_maker"]
+    rows = _exits(spark, d).groupBy("exit").agg(F.count("*").alias("n"), F.round(F.avg("label"), 6).alias("positive"), F.round(F.avg(net), 6).alias("mean_net"), F.round(metrics.profit_factor(net), 6).alias("profit_factor"))
+    return rows
+
+
+def candidate_gates(spark, d):
+    """Which bars pass the gates of either preset on either side."""
+    masks = {f"{mode}_{side}": ind.candidate_mask(mode, side) for mode in ("strict", "expanded") for side in ("long", "short")}
+    return ind.with_indicators(_bars(spark, d)).select("symbol", "bar_i", *(m.alias(n) for n, m in masks.items()))
 
 
 def barrier_metrics(spark, d):
@@ -181,7 +213,8 @@ def dense_segments(spark, d):
 def factor_screen(spark, d):
     rows = ind.with_factors(ind.with_indicators(_bars(spark, d)))
     ahead = F.lead("close", 4).over(Window.partitionBy("symbol").orderBy("bar_i")) / F.col("close") - 1
-    return metrics.factor_screen(rows.withColumn("ahead", ahead), list(ind.FACTORS), "ahead", "open_time")
+    rows = rows.withColumn("ahead", ahead).withColumns({f: F.round(f, 9) for f in ind.FACTORS})  # sums in another order rank alike
+    return metrics.factor_screen(rows, list(ind.FACTORS), "ahead", "open_time")
 
 
 def strict_candidates(spark, d):
@@ -278,8 +311,8 @@ def hourly_trend(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        bars_1h, bars_4h_resampled, bars_audit, shipments_keep_last, averages, indicators, features, factors, factor_vp_corr, dense_signals, strict_candidates, dense_segments, barrier_long, barrier_short,
-        exit_variants, barrier_metrics, trades_by_month, side_cost_grid, portfolio_replay, signals_asof_trend, orders_in_trades, events_without_neighbour, value_deciles, quality_ranking, factor_screen, forward_merge,
+        bars_1h, bars_4h_resampled, bars_audit, shipments_keep_last, averages, indicators, features, rich_features, break_quality, factors, factor_vp_corr, dense_signals, strict_candidates, dense_segments, barrier_long, barrier_short,
+        exit_variants, exit_metrics, candidate_gates, barrier_metrics, trades_by_month, side_cost_grid, portfolio_replay, signals_asof_trend, orders_in_trades, events_without_neighbour, value_deciles, quality_ranking, factor_screen, forward_merge,
         events_overlap, orders_reconciled, month_concentration, quarter_metrics, equity_points, trade_utilisation, user_loss_runs, props_parsed, fresh_signals, split_events, segment_top_customers, rising_runs, hourly_trend,
     )
 }

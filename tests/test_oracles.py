@@ -7,10 +7,13 @@ import os
 import duckdb
 import pandas as pd
 import pytest
-from tallyframe.plans.oracles import ORACLE_SQL
+from tallyframe.plans.exit_oracles import EXIT_SQL
+from tallyframe.plans.oracles import ORACLE_SQL as PLAIN_SQL
 from tallyframe.plans.queries import QUERIES
+from tallyframe.plans.rich_oracles import RICH_SQL
 
 DATA = "/root/testdata/sf0.001"
+ORACLE_SQL = PLAIN_SQL | EXIT_SQL | RICH_SQL
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
