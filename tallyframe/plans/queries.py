@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ewm, rich, scalars, windows
 from ..functions import indicators as ind
-from ..operators import barriers, joins, metrics, models, portfolio, selection
+from ..operators import barriers, joins, metrics, models, outcomes, portfolio, selection
 from ..sources import bars as src
 from ..sources import records as from_records
 from ..streaming import records
@@ -157,6 +157,62 @@ def barrier_metrics(spark, d):
     return metrics.trade_metrics(_trades(spark, d, barriers.triple_barrier()), COST, ("symbol",))
 
 
+def _open_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Dense bars up to the newest one, whose outcomes may still be open."""
+    averaged = ind.with_averages(_bars(spark, d))
+    hits = _dense(averaged).where((F.col("bar_i") >= WARMUP) & (F.col("spread") <= 0.01) & (F.col("atr_pct") >= 0.0015)).select("symbol", "bar_i", "open_time", "close", "atr14", "atr_pct")
+    return outcomes.with_open_path(selection.min_gap(hits, GAP), averaged, HORIZON)
+
+
+def open_outcomes(spark, d):
+    rows = _open_paths(spark, d).withColumn("o", outcomes.open_barrier(horizon=HORIZON)).withColumns(outcomes.entry_fields(src.width_seconds("1H")))
+    return rows.select("symbol", "bar_i", "o.status", "o.outcome", "o.label", "o.exit_offset", F.round("o.realized_ret", 6).alias("realized_ret"), "pending", F.round("entry_shown", 6).alias("entry_shown"), F.col("maker_filled").cast("int").alias("maker_filled"))
+
+
+def open_scaled_outcomes(spark, d):
+    rows = _open_paths(spark, d).withColumn("o", outcomes.open_scaled(horizon=HORIZON))
+    return rows.select("symbol", "bar_i", "o.status", "o.outcome", "o.label", "o.exit_offset", F.round("o.realized_ret", 6).alias("realized_ret"))
+
+
+def _forward_log(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.col("event_type")
+    return _table(spark, d, "events").select(
+        kind.alias("symbol"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("signal_time"), F.col("ts").alias("detected_at"), F.when(kind == "error", "open").otherwise("closed").alias("status"),
+        F.when(kind == "view", "").otherwise(kind).alias("outcome"), ((F.col("value") - 50) / 1000).alias("realized_ret"), (kind != "signup").alias("maker_filled"),
+    )
+
+
+def forward_decision(spark, d):
+    return outcomes.forward_summary(_forward_log(spark, d), scalars.COSTS["swap_maker"])
+
+
+def forward_outcomes(spark, d):
+    return outcomes.outcome_rows(_forward_log(spark, d), scalars.COSTS["swap_maker"])
+
+
+def tracked_signals(spark, d):
+    log = _forward_log(spark, d)
+    return outcomes.with_tracked(log.where("detected_at >= timestamp_ntz'2024-01-15 00:00:00'"), log)
+
+
+def trade_excursions(spark, d):
+    averaged = ind.with_averages(_bars(spark, d))
+    rows = barriers.with_path(_signals(averaged), averaged, HORIZON).withColumns(outcomes.excursions(scalars.COSTS["swap_maker"]))
+    return _rounded(rows, ["symbol", "bar_i"], list(outcomes.EXCURSIONS))
+
+
+def excursion_metrics(spark, d):
+    averaged = ind.with_averages(_bars(spark, d))
+    rows = barriers.with_path(_signals(averaged), averaged, HORIZON).withColumns(outcomes.excursions(scalars.COSTS["swap_maker"]))
+    return outcomes.excursion_summary(rows, "symbol")
+
+
+def weighted_trades(spark, d):
+    trades = _trades(spark, d, barriers.triple_barrier()).withColumn("weight", 1 + F.col("bar_i") % 3 * 0.5)
+    low, high = (F.lit(t).cast("timestamp_ntz") for t in ("2024-01-05 00:00:00", "2024-01-25 00:00:00"))
+    return outcomes.weighted_metrics(trades, scalars.COSTS["swap_taker"], low, high)
+
+
 def trades_by_month(spark, d):
     return metrics.by_period(_trades(spark, d, barriers.triple_barrier()), "exit_time", COST)
 
@@ -312,7 +368,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         bars_1h, bars_4h_resampled, bars_audit, shipments_keep_last, averages, indicators, features, rich_features, break_quality, factors, factor_vp_corr, dense_signals, strict_candidates, dense_segments, barrier_long, barrier_short,
-        exit_variants, exit_metrics, candidate_gates, barrier_metrics, trades_by_month, side_cost_grid, portfolio_replay, signals_asof_trend, orders_in_trades, events_without_neighbour, value_deciles, quality_ranking, factor_screen, forward_merge,
+        exit_variants, exit_metrics, candidate_gates, open_outcomes, open_scaled_outcomes, forward_decision, forward_outcomes, tracked_signals, trade_excursions, excursion_metrics, weighted_trades, barrier_metrics, trades_by_month, side_cost_grid, portfolio_replay, signals_asof_trend, orders_in_trades, events_without_neighbour, value_deciles, quality_ranking, factor_screen, forward_merge,
         events_overlap, orders_reconciled, month_concentration, quarter_metrics, equity_points, trade_utilisation, user_loss_runs, props_parsed, fresh_signals, split_events, segment_top_customers, rising_runs, hourly_trend,
     )
 }

@@ -9,11 +9,12 @@ import pandas as pd
 import pytest
 from tallyframe.plans.exit_oracles import EXIT_SQL
 from tallyframe.plans.oracles import ORACLE_SQL as PLAIN_SQL
+from tallyframe.plans.outcome_oracles import OUTCOME_SQL
 from tallyframe.plans.queries import QUERIES
 from tallyframe.plans.rich_oracles import RICH_SQL
 
 DATA = "/root/testdata/sf0.001"
-ORACLE_SQL = PLAIN_SQL | EXIT_SQL | RICH_SQL
+ORACLE_SQL = PLAIN_SQL | EXIT_SQL | OUTCOME_SQL | RICH_SQL
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
@@ -21,7 +22,7 @@ def normal(frame: pd.DataFrame) -> list[tuple]:
     cols = sorted(frame.columns)
 
     def value(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return ""
         return f"{round(float(v), 5) + 0.0:.5f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
