@@ -134,15 +134,16 @@ def micros(df: DataFrame, name: str) -> Column:
 STRETCH = 86_400_000_000
 
 
-def with_running_sum(rows: DataFrame, keys: list[str], time: str, value: str, into: str, stretch: int = STRETCH) -> DataFrame:
-    """``rows``, one a key and time, with the sum of ``value`` up to each. Sums run inside stretches of time and over the
-    stretches' totals, so that no task holds a whole key."""
+def with_running_sums(rows: DataFrame, keys: list[str], time: str, sums: dict[str, str], stretch: int = STRETCH) -> DataFrame:
+    """``rows``, one a key and time, with the sum of each value (name -> new name) up to each. Sums run inside stretches of
+    time and over the stretches' totals, so that no task holds a whole key."""
     cut = rows.withColumn("_stretch", F.floor(micros(rows, time) / F.lit(stretch)))
-    totals = cut.groupBy(*keys, "_stretch").agg(F.sum(value).alias("_total"))
-    before = F.sum("_total").over(Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
-    totals = totals.select(*keys, "_stretch", F.coalesce(before, F.lit(0)).alias("_sum_before"))
-    inside = F.sum(value).over(Window.partitionBy(*keys, "_stretch").orderBy(time).rowsBetween(Window.unboundedPreceding, 0))
-    return cut.withColumn("_inside", inside).join(totals, [*keys, "_stretch"]).withColumn(into, F.col("_inside") + F.col("_sum_before")).drop("_stretch", "_inside", "_sum_before")
+    totals = cut.groupBy(*keys, "_stretch").agg(*(F.sum(v).alias(f"_total_{n}") for v, n in sums.items()))
+    earlier = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, "_stretch", *(F.coalesce(F.sum(f"_total_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in sums.values()))
+    w = Window.partitionBy(*keys, "_stretch").orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    inside = cut.withColumns({f"_inside_{n}": F.sum(v).over(w) for v, n in sums.items()}).join(totals, [*keys, "_stretch"])
+    return inside.withColumns({n: F.col(f"_inside_{n}") + F.col(f"_before_{n}") for n in sums.values()}).drop("_stretch", *(f"{x}_{n}" for n in sums.values() for x in ("_inside", "_before")))
 
 
 def weekday(ts: Column | str) -> Column:

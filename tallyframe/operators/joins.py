@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import STRETCH, micros, with_running_sum
+from ..functions.windows import STRETCH, micros, with_running_sums
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, columns: list[str], strict: bool = False, stretch: int = STRETCH) -> DataFrame:
@@ -13,7 +13,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str
     equal keys; NULL where there is none.
 
     One union and one window over each key's stretches of time (in microseconds, or the unit of numeric times); what the
-    stretches before one end with comes from a window over the table of stretches. No task holds a whole key. Of right rows
+    stretches before one end with comes from the table of the right side's stretches. No window holds a whole key. Of right rows
     with equal times the one with the greatest values counts. Left rows without a time or key meet nothing.
     """
     own = F.struct(*(F.col(c) for c in left.columns))
@@ -21,13 +21,15 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str
     a = left.select(*keys, micros(left, left_time).alias("_t"), F.lit(0 if strict else 1).alias("_side"), own.alias("_own"), F.lit(None).cast(right.select(found).schema[0].dataType).alias("_found"))
     b = right.where(F.col(right_time).isNotNull()).select(*keys, micros(right, right_time).alias("_t"), F.lit(1 if strict else 0).alias("_side"), F.lit(None).cast(a.schema["_own"].dataType).alias("_own"), found.alias("_found"))
     rows = a.unionByName(b).withColumn("_stretch", F.floor(F.col("_t") / F.lit(stretch)))
-    last = F.max(F.when(F.col("_found").isNotNull(), F.struct("_t", "_found")))
-    ends = rows.where("_stretch is not null").groupBy(*keys, "_stretch").agg(last.alias("_end"))
-    carried = F.last("_end", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
-    ends = ends.select(*keys, "_stretch", carried["_found"].alias("_carried"))
+    ends = b.withColumn("_stretch", F.floor(F.col("_t") / F.lit(stretch))).groupBy(*keys, "_stretch").agg(F.max(F.struct("_t", "_found")).alias("_end"))
+    after = F.lead("_stretch").over(Window.partitionBy(*keys).orderBy("_stretch"))
+    # what a stretch ends with holds in those up to the next one of the right side, and after its last one for good
+    between = ends.withColumn("_next", after).where("_next is not null").select(*keys, F.explode(F.sequence(F.col("_stretch") + 1, F.col("_next"))).alias("_stretch"), F.col("_end._found").alias("_carried"))
+    final = ends.groupBy(*keys).agg(F.max(F.struct("_stretch", "_end")).alias("_x")).select(*keys, F.col("_x._stretch").alias("_last_stretch"), F.col("_x._end._found").alias("_final"))
     w = Window.partitionBy(*keys, "_stretch").orderBy(F.col("_t").asc_nulls_first(), "_side", F.col("_found").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    met = rows.withColumn("_last", F.last("_found", ignorenulls=True).over(w)).where("_own is not null").join(ends, [*keys, "_stretch"], "left")
-    some = F.when(F.col("_t").isNotNull(), F.coalesce("_last", "_carried"))
+    met = rows.withColumn("_last", F.last("_found", ignorenulls=True).over(w)).where("_own is not null")
+    met = met.join(between, [*keys, "_stretch"], "left").join(final, keys, "left")
+    some = F.when(F.col("_t").isNotNull(), F.coalesce("_last", "_carried", F.when(F.col("_stretch") > F.col("_last_stretch"), F.col("_final"))))
     return met.withColumn("_met", some).select("_own.*", *(F.col(f"_met.{c}").alias(c) for c in columns))
 
 
@@ -37,23 +39,33 @@ def next_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str
     return met.drop("_lt")
 
 
-def range_sum(trades: DataFrame, events: DataFrame, keys: list[str], start: str, end: str, time: str, value: str, into: str, coverage: bool = True) -> DataFrame:
-    """``trades`` with the sum of ``value`` over the events in (start, end].
+def range_sums(trades: DataFrame, events: DataFrame, keys: list[str], start: str, end: str, time: str, sums: dict[str, str], coverage: bool = True) -> DataFrame:
+    """``trades`` with the sum of each value (name -> new name) over the events in (start, end].
 
-    From running sums and two as-of joins, so that the cost doesn't grow with the events in a range. With ``coverage``
-    the sum is NULL unless the history reaches over the trade: from at or before its start to at or after its end.
+    From running sums and two as-of joins, so that the cost doesn't grow with the events in a range. An event counts if none
+    of its values is missing. With ``coverage`` the sums are NULL unless the history reaches over the trade: from at or before
+    its start to at or after its end.
     """
-    known = events.where(F.col(time).isNotNull() & F.col(value).isNotNull())
-    sums = known.groupBy(*keys, time).agg(F.sum(value).alias("_v"))
-    sums = with_running_sum(sums, keys, time, "_v", "_run")
-    met = asof_join(trades, sums.select(*keys, time, F.col("_run").alias("_a")), keys, start, time, ["_a"])
-    met = asof_join(met, sums.select(*keys, time, F.col("_run").alias("_b")), keys, end, time, ["_b"])
-    total = F.coalesce("_b", F.lit(0.0)) - F.coalesce("_a", F.lit(0.0))
+    known = events.where(F.col(time).isNotNull())
+    for v in sums:
+        known = known.where(F.col(v).isNotNull())
+    each = known.groupBy(*keys, time).agg(*(F.sum(v).alias(f"_v_{n}") for v, n in sums.items()))
+    run = with_running_sums(each, keys, time, {f"_v_{n}": f"_run_{n}" for n in sums.values()})
+    ends = lambda mark: run.select(*keys, time, *(F.col(f"_run_{n}").alias(f"{mark}_{n}") for n in sums.values()))
+    met = asof_join(trades, ends("_a"), keys, start, time, [f"_a_{n}" for n in sums.values()])
+    met = asof_join(met, ends("_b"), keys, end, time, [f"_b_{n}" for n in sums.values()])
+    covered = F.lit(True)
     if coverage:
-        spans = sums.groupBy(*keys).agg(F.min(time).alias("_first"), F.max(time).alias("_last"))
-        met = met.join(spans, keys, "left")
-        total = F.when((F.col("_first") <= F.col(start)) & (F.col("_last") >= F.col(end)), total)
-    return met.withColumn(into, total).drop("_a", "_b", "_first", "_last")
+        met = met.join(each.groupBy(*keys).agg(F.min(time).alias("_first"), F.max(time).alias("_last")), keys, "left")
+        covered = (F.col("_first") <= F.col(start)) & (F.col("_last") >= F.col(end))
+    zero = F.lit(0.0)
+    met = met.withColumns({n: F.when(covered, F.coalesce(f"_b_{n}", zero) - F.coalesce(f"_a_{n}", zero)) for n in sums.values()})
+    return met.drop("_first", "_last", *(f"{m}_{n}" for n in sums.values() for m in ("_a", "_b")))
+
+
+def range_sum(trades: DataFrame, events: DataFrame, keys: list[str], start: str, end: str, time: str, value: str, into: str, coverage: bool = True) -> DataFrame:
+    """``range_sums`` of one value."""
+    return range_sums(trades, events, keys, start, end, time, {value: into}, coverage)
 
 
 def nearest_seconds(left: DataFrame, right: DataFrame, keys: list[str], time: str) -> DataFrame:

@@ -132,11 +132,10 @@ def balanced(rows: DataFrame, kind: str, most: int, background: object, share: f
 def side_form(trades: DataFrame, days: int = 7, least: int = 20) -> DataFrame:
     """``trades`` with ``form``: the mean return of the trades of the same side that closed in the ``days`` before the
     entry, NULL below ``least`` of them; from running sums and two as-of joins."""
-    from .joins import range_sum
+    from .joins import range_sums
 
     closed = trades.select("side", (F.unix_micros(F.col("exit_time").cast("timestamp"))).alias("_t"), F.col("realized_ret").cast("double").alias("_r"), F.lit(1.0).alias("_c"))
     entry = F.unix_micros(F.col("entry_time").cast("timestamp"))
     asked = trades.withColumn("_to", entry - 1).withColumn("_from", entry - 1 - F.lit(days * 86_400_000_000))
-    met = range_sum(asked, closed, ["side"], "_from", "_to", "_t", "_r", "_sum", coverage=False)
-    met = range_sum(met, closed, ["side"], "_from", "_to", "_t", "_c", "_n", coverage=False)
+    met = range_sums(asked, closed, ["side"], "_from", "_to", "_t", {"_r": "_sum", "_c": "_n"}, coverage=False)
     return met.withColumn("form", F.when(F.col("_n") >= least, sdiv("_sum", "_n"))).drop("_to", "_from", "_sum", "_n")

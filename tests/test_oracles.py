@@ -12,9 +12,12 @@ from tallyframe.plans.oracles import ORACLE_SQL as PLAIN_SQL
 from tallyframe.plans.outcome_oracles import OUTCOME_SQL
 from tallyframe.plans.queries import QUERIES
 from tallyframe.plans.rich_oracles import RICH_SQL
+from tallyframe.plans.signal_oracles import SIGNAL_SQL
+from tallyframe.plans.signal_queries import SIGNAL_QUERIES
 
 DATA = "/root/testdata/sf0.001"
-ORACLE_SQL = PLAIN_SQL | EXIT_SQL | OUTCOME_SQL | RICH_SQL
+ORACLE_SQL = PLAIN_SQL | EXIT_SQL | OUTCOME_SQL | RICH_SQL | SIGNAL_SQL
+ALL = QUERIES | SIGNAL_QUERIES
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
@@ -40,6 +43,6 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, duck, name):
-    ours, theirs = QUERIES[name](spark, DATA).toPandas(), duck.sql(ORACLE_SQL[name]).df()
+    ours, theirs = ALL[name](spark, DATA).toPandas(), duck.sql(ORACLE_SQL[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert normal(ours) == normal(theirs)
