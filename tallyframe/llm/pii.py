@@ -34,8 +34,9 @@ CHANCE, ALPHA = 0.05, 1.25
 LISTED_TERMS, BROADCAST_KNOWN = 10_000, 200_000
 #: Texts with disclosing terms are broadcast if these are up to so many in all (of some tens of bytes each).
 BROADCAST_TERMS = 100_000
-#: Replacements of the kinds; a generalised term becomes ``TERM``, a removed one goes.
+#: Replacements of the kinds; a generalised term becomes the class that its form tells, a removed one goes.
 REPLACEMENTS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "removed": ""}
+CLASSES = ((r"^[\p{N}]+$", "[NUMBER]"), (r"[\p{N}]", "[CODE]"), (r"^\p{Lu}", "[NAME]"))
 _SPAN = "array<struct<start: int, rank: int, end: int, value: string>>"
 
 
@@ -198,8 +199,16 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _class(value: Column) -> Column:
+    """What a generalised term becomes: a number, a code with digits, a name (by its capital letter), or any other term."""
+    out = F.lit(REPLACEMENTS["term"])
+    for pattern, name in reversed(CLASSES):
+        out = F.when(value.rlike(pattern), name).otherwise(out)
+    return out
+
+
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with each text's spans replaced: patterns and generalised terms by ``REPLACEMENTS``, removed terms by
+    """``docs`` with each text's spans replaced: patterns by ``REPLACEMENTS``, generalised terms by their class, removed terms by
     nothing; of overlapping spans the first is replaced up to the end of the last. A null text stays null. Other
     columns are untouched; rows are those of ``with_spans``."""
     own, names = set_aside(docs, "base", "spans")
@@ -209,7 +218,8 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, s):
-        more = F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(put, s["rank"] + 1)))
+        new = F.when(s["rank"] == KINDS.index("term"), _class(s["value"])).otherwise(F.element_at(put, s["rank"] + 1))
+        more = F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), new))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(more).alias("out"))
 
     clean = F.aggregate("spans", empty, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import random
+import re
 
 import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from tallyframe.llm import decontaminate, html_text, packing, queries, quality, topk
+from tallyframe.llm import decontaminate, html_text, language_id, packing, pii, queries, quality, topk
 from tallyframe.llm.language_id import declared_in, identified, train_languages
 
 SF = "/root/testdata/sf0.001"
@@ -80,11 +81,8 @@ def test_declarations_anywhere(spark):
     assert [r.d for r in df.orderBy("k").select(declared_in(F.col("t")).alias("d")).collect()] == [w for _, w in cases]
 
 
-def test_posteriors_equal_the_plain_rule_and_codes_are_whole(spark):
-    rng = random.Random(2)
-    sounds = {"fi": "ka ne va la", "en": "th er on he"}
-    text = lambda lang, n: " ".join("".join(rng.choice(sounds[lang].split()) for _ in range(3)) for _ in range(n))
-    docs = spark.createDataFrame([(k, text(("fi", "en")[k % 2], 20), ("fi", "en")[k % 2]) for k in range(40)], "doc_id long, text string, lang string")
+def test_codes_are_whole_and_columns_stay(spark):
+    docs = languages(spark)
     model = train_languages(docs)
     odd = spark.createDataFrame([(1, "?!", "fil"), (2, "?!", "fin"), (3, "?!", "EN-us"), (4, "?!", None)], "k long, text string, own string").withColumn("_host", F.lit(7)).withColumn("language", F.lit("mine"))
     got = {r.k: r for r in identified(odd, model, declared=F.col("own")).collect()}
@@ -93,6 +91,101 @@ def test_posteriors_equal_the_plain_rule_and_codes_are_whole(spark):
     assert got[1].confidence == pytest.approx(got[4].confidence) and got[1].language == got[4].language and got[1]["_host"] == 7
 
 
+def languages(spark):
+    rng = random.Random(2)
+    sounds = {"fi": "ka ne va la", "en": "th er on he"}
+    text = lambda lang, n: " ".join("".join(rng.choice(sounds[lang].split()) for _ in range(3)) for _ in range(n))
+    return spark.createDataFrame([(k, text(("fi", "en")[k % 3 == 0], 2 + k % 4), ("fi", "en")[k % 3 == 0]) for k in range(40)], "doc_id long, text string, lang string")
+
+
+def test_posteriors_equal_the_plain_rule(spark):
+    docs = languages(spark)
+    model = train_languages(docs)
+    rows = [(r.doc_id, r.text, f"h{r.doc_id % 3}" if r.doc_id % 5 else None, ("com", "fi", None)[r.doc_id % 3] if r.doc_id % 5 else None, (None, "fi", "en", "xx")[r.doc_id % 4]) for r in docs.collect()] + [(90, "", "h1", "fi", None), (91, None, None, None, "fi")]
+    df = spark.createDataFrame(rows, "k long, text string, h string, s string, d string")
+    got = {r.k: r for r in identified(df, model, host=F.col("h"), suffix=F.col("s"), declared=F.col("d")).collect()}
+    langs = list(model.languages)
+
+    def likelihood(t):
+        b = (t or "").encode()
+        if not any(language_id._CODE[x] for x in b):
+            return None
+        grams = language_id._trigrams(np.frombuffer(b, np.uint8))
+        ll = np.array([model.table[k][grams].astype(float).sum() for k in range(len(langs))])
+        return (ll - ll.max()) * language_id.TEMPER
+
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    ll = {k: likelihood(t) for k, t, *_ in rows}
+    p = {k: soft(v) for k, v in ll.items() if v is not None}
+    total = sum(p.values())
+    top = (total + 1) / (total.sum() + len(langs))
+    stated = [(k, d) for k, _, _, _, d in rows if k in p and d in langs]
+    trust = (sum(p[k][langs.index(d)] for k, d in stated) + 9) / (len(stated) + 10)
+    count = lambda ok: sum((p[k] for k, _, h, s, _ in rows if k in p and ok(h, s)), np.zeros(len(langs)))
+    smooth = lambda n, above: (n + language_id.SMOOTHING * above) / (n.sum() + language_id.SMOOTHING)
+    for k, _, h, s, d in rows:
+        above = smooth(count(lambda _, x, s=s: x == s), top) if s else top
+        prior = smooth(count(lambda x, y, h=h, s=s: x == h and y == s), above) if h else above
+        logs = np.log(prior) + (np.log([trust if x == d else max((1 - trust) / max(1, len(langs) - 1), 1e-9) for x in langs]) if d in langs else 0)
+        evidence = soft(logs)
+        whole = soft(logs + ll[k]) if ll[k] is not None else evidence
+        best = int(whole.argmax())
+        assert got[k].language == langs[best] and got[k].confidence == pytest.approx(whole[best], rel=1e-5) and got[k].evidence == pytest.approx(evidence[best], rel=1e-5)
+        assert got[k].accepted == (ll[k] is not None and whole[best] >= 0.5)
+
+
+# --- personal data ---
+
+
+def test_disclosing_terms_equal_the_plain_counts(spark):
+    rng = random.Random(41)
+    names = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(60)]
+    rows = []
+    for k in range(300):
+        body = " ".join(rng.choice(names) for _ in range(25))
+        if k % 4 == 0:
+            body = f"{body} {names[k % 7].title()} writes from u{k % 9}@mail.example.com as zz{k % 9}quux {body[:30]}"
+        rows.append((k, body))
+    rows += [(k, t) for k, t in rows[:20]]  # rows that repeat
+    rows += [(500, None), (None, "x@mail.example.com zzz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.entity, r.term): (r.contexts, r.pmi, r.ic) for r in pii.disclosing_terms(docs).collect()}
+    word = re.compile(r"[^\W_]{4,}")
+    contexts, ids = {}, {}
+    texts = {(k, t) for k, t in rows if k is not None and t is not None}
+    for k, t in texts:
+        for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t):
+            left, right = t[max(0, m.start() - pii.WINDOW) : m.start()], t[m.end() : m.end() + pii.WINDOW]
+            left = re.sub(r"^\S*\s", "", left) if len(left) == pii.WINDOW else left
+            right = re.sub(r"\s\S*$", "", right) if len(right) == pii.WINDOW else right
+            near = tuple(dict.fromkeys(word.findall(f"{left} {right}".lower())))
+            contexts.setdefault("0:" + m[0].lower(), []).append((k, near))
+    n = len({k for k, _ in rows if k is not None})
+    dt = {}
+    for k, t in texts:
+        for w in set(word.findall(t.lower())):
+            dt.setdefault(w, set()).add(k)
+    want = {}
+    for entity, found in contexts.items():
+        de = len({k for k, _ in found})
+        ic = np.log2(n / de)
+        terms = {w for _, near in found for w in near}
+        for w in terms:
+            seen = len({near for _, near in found if w in near})
+            both = len({k for k, near in found if w in near})
+            pmi = np.log2(both * n / (len(dt[w]) * de))
+            if ic > 0 and pmi >= ic / pii.ALPHA and len(terms) * (len(dt[w]) / n) ** seen <= pii.CHANCE:
+                want[entity, w] = (seen, pmi, ic)
+    assert want and got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and got[k][1:] == pytest.approx(want[k][1:]) for k in want)
+
+
+def test_generalised_terms_keep_their_class(spark):
+    values = ["Meyer", "meyer", "12345", "a12345", "Überall", "straße"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    assert [r.c for r in df.select(pii._class(F.col("v")).alias("c")).collect()] == ["[NAME]", "[TERM]", "[NUMBER]", "[CODE]", "[NAME]", "[TERM]"]
+
+
 # --- pages ---
 
 LEAD, BODY, END = "The lead tells in one sentence what the whole story is about.", "The body goes on about it at some length, as bodies do, and then some more.", "The closing words sum it all up for readers in a hurry."
