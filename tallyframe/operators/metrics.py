@@ -131,3 +131,40 @@ def permutation_pvalue(rows: DataFrame, label: str, score: str, rounds: int = 20
     drawn = usable.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("_o", F.row_number().over(Window.partitionBy("round").orderBy(F.xxhash64("_h", "round", F.lit(seed)), "r")))
     each = drawn.join(F.broadcast(real), F.lit(True)).groupBy("round").agg(((F.sum(F.when(F.col("_o") <= F.col("p"), F.col("r"))) - F.max("p") * (F.max("p") + 1) / 2) / F.nullif(F.max(F.col("p") * (F.col("n") - F.col("p"))), F.lit(0))).alias("a"), F.max("auc").alias("auc"))
     return each.agg(F.round(F.max("auc"), 6).alias("roc_auc"), F.round((F.count_if(F.col("a") >= F.col("auc")) + 1) / F.lit(rounds + 1), 6).alias("p_value"))
+
+
+def build_summary(rows: DataFrame, time: str, *groups: str) -> DataFrame:
+    """(group, value, n, symbols, first, last): rows by each of the grouping columns, and over all of them."""
+    named = F.array(F.struct(F.lit("all").alias("group"), F.lit("all").alias("value")), *(F.struct(F.lit(g).alias("group"), F.col(g).cast("string").alias("value")) for g in groups))
+    each = rows.select("symbol", F.col(time).alias("_t"), F.explode(named).alias("g")).select("symbol", "_t", "g.*")
+    return each.groupBy("group", "value").agg(F.count("*").alias("n"), F.countDistinct("symbol").alias("symbols"), F.min("_t").alias("first"), F.max("_t").alias("last"))
+
+
+def base_rate(chosen: DataFrame, control: DataFrame, cost: float) -> DataFrame:
+    """One row a pool, ``chosen`` and ``control``: trades, mean net, win rate and profit factor, and by how much the mean of the
+    chosen is above the control's."""
+    net = F.col("realized_ret") - cost
+    both = chosen.select(F.lit("chosen").alias("pool"), net.alias("net")).unionByName(control.select(F.lit("control").alias("pool"), net.alias("net")))
+    stats = both.groupBy("pool").agg(F.count("*").alias("n"), F.avg("net").alias("_mean"), F.round(F.avg((F.col("net") > 0).cast("double")), 4).alias("win_rate"), F.round(profit_factor(F.col("net")), 3).alias("profit_factor"))
+    w = Window.partitionBy(F.lit(0))  # two rows
+    lift = F.max(F.when(F.col("pool") == "chosen", F.col("_mean"))).over(w) - F.max(F.when(F.col("pool") == "control", F.col("_mean"))).over(w)
+    return stats.select("pool", "n", F.round("_mean", 5).alias("mean_net"), "win_rate", "profit_factor", F.round(lift, 5).alias("lift"))
+
+
+def and_rule(rows: DataFrame, features: list[str], label: str, top: int = 5, least: int = 30) -> DataFrame:
+    """(place, feature, op, threshold, gap, positive_median, negative_median): the clauses of a conjunction, of the features whose
+    medians lie furthest apart in standard deviations. A clause keeps the three quarters of the positives on the side away
+    from the negatives. Features need ``least`` values of either kind; equals go by name."""
+    each = rows.select((F.col(label) > 0).alias("y"), F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features))).alias("f")).select("y", "f.*").where("x is not null and not isnan(x)")
+    pick = lambda want: F.when(F.col("y") == want, F.col("x"))
+    stats = each.groupBy("feature").agg(
+        F.percentile(pick(True), F.lit(0.5)).alias("p"), F.percentile(pick(False), F.lit(0.5)).alias("q"), F.percentile(pick(True), F.lit(0.25)).alias("low"), F.percentile(pick(True), F.lit(0.75)).alias("high"),
+        F.stddev_samp("x").alias("scale"), F.count(pick(True)).alias("np"), F.count(pick(False)).alias("nq"),
+    ).where((F.col("np") >= least) & (F.col("nq") >= least))
+    gap = F.round(F.abs(F.col("p") - F.col("q")) / F.greatest("scale", F.lit(1e-12)), 6)
+    below = F.col("p") <= F.col("q")
+    placed = stats.withColumn("gap", gap).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("gap"), "feature")))  # one row a feature
+    six = lambda c: F.round(c, 6)
+    return placed.where(F.col("place") <= top).select(
+        "place", "feature", F.when(below, "<=").otherwise(">=").alias("op"), six(F.when(below, F.col("high")).otherwise(F.col("low"))).alias("threshold"), "gap", six(F.col("p")).alias("positive_median"), six(F.col("q")).alias("negative_median")
+    )

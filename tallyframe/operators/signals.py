@@ -139,3 +139,34 @@ def side_form(trades: DataFrame, days: int = 7, least: int = 20) -> DataFrame:
     asked = trades.withColumn("_to", entry - 1).withColumn("_from", entry - 1 - F.lit(days * 86_400_000_000))
     met = range_sums(asked, closed, ["side"], "_from", "_to", "_t", {"_r": "_sum", "_c": "_n"}, coverage=False)
     return met.withColumn("form", F.when(F.col("_n") >= least, sdiv("_sum", "_n"))).drop("_to", "_from", "_sum", "_n")
+
+
+def gap_guarded(fresh: DataFrame, log: DataFrame, seconds: int, time: str = "signal_time", keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Signals of a pulse that may enter the log: those it has already, and of the others, from early to late, those at least
+    so many seconds from every signal of their key in the log and after the last one let in."""
+    from .joins import nearest_seconds
+
+    known = log.select(*keys, time).where(F.col(time).isNotNull()).distinct()
+    held = fresh.join(known, [*keys, time], "left_semi")
+    new = nearest_seconds(fresh.join(known, [*keys, time], "left_anti"), known, list(keys), time).where((F.col("nearest_s") >= seconds) | F.col("nearest_s").isNull()).drop("nearest_s")
+    placed = new.withColumn("bar_i", F.unix_seconds(F.col(time).cast("timestamp")))
+    return held.unionByName(min_gap(placed, seconds, keys).drop("bar_i"))
+
+
+def actionable(log: DataFrame, statuses: tuple[str, ...], least_score: float, minutes: float, now: Column, time: str = "signal_time") -> DataFrame:
+    """Signals with one of the statuses and a score, not older than so many minutes, in order of time."""
+    age = (F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col(time).cast("timestamp"))) / 60
+    return log.where(F.col("status").isin(*statuses) & (F.col("score") >= least_score) & (age <= minutes)).orderBy(time)
+
+
+def timed_out(positions: DataFrame, hours: float, now: Column, time: str = "entry_time") -> Column:
+    """Whether a position has been held for so long that it must close; one of unknown age never must."""
+    return F.coalesce((F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col(time).cast("timestamp"))) / 3600 >= hours, F.lit(False))
+
+
+def control_sample(eligible: DataFrame, chosen: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """As many eligible bars of each series as were chosen there, by the hash of series and bar: a control that every run draws
+    alike."""
+    counts = chosen.groupBy(*keys).agg(F.count("*").alias("_many"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.md5(F.concat_ws(":", *keys, F.col("bar_i").cast("string"))), "bar_i"))
+    return eligible.withColumn("_place", place).join(counts, list(keys)).where(F.col("_place") <= F.col("_many")).drop("_place", "_many")

@@ -65,7 +65,48 @@ select o.symbol, o.bar_i, case when k is null then 'no_breakout' when over_ and
 from opened o left join touched t using (symbol, bar_i)"""
 
 
+_LOG = """logged as (
+  select event_type as symbol, date_trunc('minute', ts) as signal_time, max(value / 100) as score, max(case when value < 50 then 'new' else 'open' end) as status from events where ts is not null and event_type is not null group by 1, 2)"""
+_SUMMARY = "count(*) as n, count(distinct symbol) as symbols, min(entry_time) as first, max(entry_time) as last"
+_RULE = ("fast_spread", "full_spread", "fast_slow_gap", "pre_range48", "pre_range168", "drawdown24", "runup24", "ext_up", "slow_slope_12", "volume_ratio")
+
 SIGNAL_SQL: dict[str, str] = {
+    "guarded_signals": f"""with recursive {_LOG},
+known as (select symbol, signal_time from logged where signal_time < timestamp '2024-01-16'),
+fresh as (select * from logged where signal_time >= timestamp '2024-01-15'),
+held as (select f.* from fresh f semi join known k on k.symbol = f.symbol and k.signal_time = f.signal_time),
+far as (
+  select f.* from fresh f anti join known k on k.symbol = f.symbol and k.signal_time = f.signal_time
+  where not exists (select 1 from known k where k.symbol = f.symbol and k.signal_time > f.signal_time - interval '4 hours' and k.signal_time < f.signal_time + interval '4 hours')),
+apart as (
+  select symbol, min(signal_time) as signal_time from far group by symbol
+  union all
+  select a.symbol, (select min(f.signal_time) from far f where f.symbol = a.symbol and f.signal_time >= a.signal_time + interval '4 hours') from apart a where a.signal_time is not null)
+select * from held union all select f.* from far f semi join apart a on a.symbol = f.symbol and a.signal_time = f.signal_time""",
+    "actionable_signals": f"with {_LOG} select * from logged where status = 'new' and score >= 0.2 and (epoch(timestamp '2024-01-20 12:00:00') - epoch(signal_time)) / 60 <= 1440",
+    "expired_positions": f"with {_LOG} select symbol, count(*) filter ((epoch(timestamp '2024-01-20 12:00:00') - epoch(signal_time)) / 3600 >= 18) as expired, count(*) as n from logged where status = 'open' group by symbol",
+    "base_rate_dense": f"""with recursive {BARS}, {AVERAGES}, {SIGNALS},
+fit as (select a.symbol, a.bar_i, a.close, a.atr14, a.atr_pct from averaged a join last_bar l using (symbol) where bar_i >= 60 and bar_i + 25 <= last_i and atr_pct >= 0.0015),
+drawn as (select *, row_number() over (partition by symbol order by md5(symbol || ':' || bar_i), bar_i) as k from fit),
+control as (select d.symbol, d.bar_i, d.close, d.atr14, d.atr_pct from drawn d join (select symbol, count(*) as many from signals group by symbol) using (symbol) where k <= many),
+{_outcomes('long').replace('filled', 'filled_a').replace('touched', 'touched_a').replace('outcomes as', 'outcomes_a as')},
+{_outcomes('long').replace('filled', 'filled_b').replace('touched', 'touched_b').replace('outcomes as', 'outcomes_b as').replace('from signals s', 'from control s')},
+nets as (select 'chosen' as pool, realized_ret - 0.0006 as net from outcomes_a union all select 'control', realized_ret - 0.0006 from outcomes_b),
+stats as (
+  select pool, count(*) as n, avg(net) as m, round(avg((net > 0)::int), 4) as win_rate, round(case when sum(net) filter (net < 0) < 0 then coalesce(sum(net) filter (net > 0), 0) / -sum(net) filter (net < 0) end, 3) as profit_factor from nets group by pool)
+select pool, n, round(m, 5) as mean_net, win_rate, profit_factor, round(max(case when pool = 'chosen' then m end) over () - max(case when pool = 'control' then m end) over (), 5) as lift from stats""",
+    "pool_summary": f"""{_POOL}, labelled as (select *, (outcome = 'tp')::int as label from trades)
+select 'all' as "group", 'all' as value, {_SUMMARY} from labelled union all select 'outcome', outcome, {_SUMMARY} from labelled group by outcome union all select 'label', label::varchar, {_SUMMARY} from labelled group by label""",
+    "causal_rule": f"""{_BASE},
+ahead as (select *, lead(close, 24) over (partition by symbol order by bar_i) / close - 1 as ret from enriched),
+sampled as (select ret > 0 as y, {', '.join(f'round({c}, 9) as {c}' for c in _RULE)} from ahead where ret is not null),
+each as (unpivot sampled on {', '.join(_RULE)} into name feature value x),
+stats as (
+  select feature, quantile_cont(x, 0.5) filter (y) as p, quantile_cont(x, 0.5) filter (not y) as q, quantile_cont(x, 0.25) filter (y) as low, quantile_cont(x, 0.75) filter (y) as high, stddev_samp(x) as scale from each
+  group by feature having count(*) filter (y) >= 30 and count(*) filter (not y) >= 30),
+gapped as (select *, round(abs(p - q) / greatest(scale, 1e-12), 6) as gap from stats),
+placed as (select *, row_number() over (order by gap desc, feature) as place from gapped)
+select place, feature, case when p <= q then '<=' else '>=' end as op, round(case when p <= q then high else low end, 6) as threshold, gap, round(p, 6) as positive_median, round(q, 6) as negative_median from placed where place <= 5""",
     "dense_tips": f"{_TIPS} select symbol, bar_i from runs where run = 5",
     "launch_signals": _LAUNCHES,
     "direction_votes": f"""{_STEPS},

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ewm, six_means
 from ..functions import indicators as ind
-from ..operators import barriers, joins, portfolio, regime, selection, signals
+from ..operators import barriers, joins, metrics, portfolio, regime, selection, signals
 from .queries import HORIZON, _bars, _dense, _rounded, _signals, _table, _trades
 
 SPREAD = 0.004
@@ -118,10 +118,61 @@ def customers_flagged(spark, d):
     return joins.flagged(_table(spark, d, "customer").select("c_custkey"), orders, ["c_custkey"], "large")
 
 
+NOW = "2024-01-20 12:00:00"
+
+
+def _signal_log(spark, d):
+    rows = _table(spark, d, "events").where("ts is not null and event_type is not null")
+    log = rows.select(F.col("event_type").alias("symbol"), F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("signal_time"), (F.col("value") / 100).alias("score"), F.when(F.col("value") < 50, "new").otherwise("open").alias("status"))
+    return log.groupBy("symbol", "signal_time").agg(F.max("score").alias("score"), F.max("status").alias("status"))
+
+
+def guarded_signals(spark, d):
+    """A pulse's signals, of which those of the log's last day are known already."""
+    log = _signal_log(spark, d)
+    return signals.gap_guarded(log.where("signal_time >= timestamp_ntz'2024-01-15 00:00:00'"), log.where("signal_time < timestamp_ntz'2024-01-16 00:00:00'"), 4 * 3600)
+
+
+def actionable_signals(spark, d):
+    return signals.actionable(_signal_log(spark, d), ("new",), 0.2, 24 * 60, F.lit(NOW))
+
+
+def expired_positions(spark, d):
+    rows = _signal_log(spark, d).where("status = 'open'")
+    return rows.groupBy("symbol").agg(F.count_if(signals.timed_out(rows, 18.0, F.lit(NOW), "signal_time")).alias("expired"), F.count("*").alias("n"))
+
+
+def _outcomes_of(spark, d, rows, averaged):
+    return barriers.with_path(rows, averaged, HORIZON).withColumn("o", barriers.triple_barrier()).select("symbol", "bar_i", "o.*")
+
+
+def base_rate_dense(spark, d):
+    """Dense signals against as many bars of each series that chance has picked."""
+    averaged = ind.with_averages(_bars(spark, d))
+    fit = averaged.withColumn("ok", selection.feasible(averaged, 60, HORIZON)).where("ok and atr_pct >= 0.0015").select("symbol", "bar_i", "close", "atr14", "atr_pct")
+    chosen = _signals(averaged)
+    return metrics.base_rate(_outcomes_of(spark, d, chosen, averaged), _outcomes_of(spark, d, signals.control_sample(fit, chosen), averaged), 0.0006)
+
+
+def pool_summary(spark, d):
+    return metrics.build_summary(_trades(spark, d, barriers.triple_barrier()), "entry_time", "outcome", "label")
+
+
+_RULE_FEATURES = ["fast_spread", "full_spread", "fast_slow_gap", "pre_range48", "pre_range168", "drawdown24", "runup24", "ext_up", "slow_slope_12", "volume_ratio"]
+
+
+def causal_rule(spark, d):
+    """What tells bars before a rise of 24 bars from those before a fall."""
+    rows = ind.with_indicators(_bars(spark, d))
+    ahead = F.lead("close", 24).over(selection.Window.partitionBy("symbol").orderBy("bar_i")) / F.col("close") - 1
+    rows = rows.withColumn("ahead", ahead).where("ahead is not null").withColumns({f: F.round(f, 9) for f in _RULE_FEATURES})
+    return metrics.and_rule(rows, _RULE_FEATURES, "ahead")
+
+
 SIGNAL_QUERIES = {
     f.__name__: f
     for f in (
         dense_tips, launch_signals, direction_votes, segments_trimmed, top_signals, scan_windows, maker_fills, straddle_outcomes, fade_outcomes, oracle_sides, cool_down_trades, side_form_trades, regime_trades,
-        six_mean_candidates, orders_checked, customers_flagged,
+        six_mean_candidates, orders_checked, customers_flagged, guarded_signals, actionable_signals, expired_positions, base_rate_dense, pool_summary, causal_rule,
     )
 }
