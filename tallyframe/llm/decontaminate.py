@@ -35,7 +35,7 @@ SPACE_BYTES = 64 << 20
 ITEM_BYTES, LEAST_WORDS = 16 << 20, 12
 #: Cosine of a candidate, and, where less, the part of an item's passage that a passage holds; part of an item's weight in common for a copy and for a paraphrase; words of an answer and
 #: the part of their weight that a paraphrase has.
-COSINE, HELD, COPY, PARAPHRASE, ANSWER, ANSWERED = 0.25, 0.5, 0.8, 0.5, 6, 0.6
+COSINE, HELD, COPY, PARAPHRASE, ANSWER, ANSWERED = 0.25, 0.8, 0.8, 0.5, 6, 0.6
 #: Bytes that stand between words: all but letters, digits and those of other alphabets.
 _BETWEEN = np.ones(256, bool)
 _BETWEEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False

@@ -27,8 +27,8 @@ from .textarrays import lean, mix64, pieces, shingle_sets, word_hashes, word_spa
 FREQUENT_PER_TASK, FREQUENT = 4096, 65536
 #: Tables of numbers of up to so many bytes, eight a number, are broadcast; larger ones are shuffled.
 BROADCAST_BYTES = 2 << 20
-#: Rows whose sets a task holds at a time, and numbers of shingles that it counts together.
-BLOCK_ROWS, POOL = 500, 2_000_000
+#: Rows whose sets a task holds at a time, numbers of shingles that it counts together, and sets that it knows again.
+BLOCK_ROWS, POOL, SEEN = 500, 1_000_000, 250_000
 #: Cuts of the global order; the frequent shingles at its end are one more fragment.
 FRAGMENTS = 4
 _CUTS = np.array([k * (1 << 64) // FRAGMENTS for k in range(1, FRAGMENTS)], np.uint64)
@@ -76,7 +76,7 @@ def _classes(words: int):
 
         for batch in _blocks(batches):
             ids, sizes, nodes = [], [], []
-            if len(seen) > POOL:
+            if len(seen) > SEEN:
                 seen.clear()
             for i, u in _sets(batch, words):
                 node = _node(u) if len(u) else None
@@ -116,7 +116,7 @@ def _heads(words: int, percent: int, order: Broadcast):
         seen: set[int] = set()
         for batch in _blocks(batches):
             keys, nodes, sizes, lens = [], [], [], []
-            if len(seen) > POOL:
+            if len(seen) > SEEN:
                 seen.clear()
             for _, u in _sets(batch, words):
                 if not len(u) or (node := _node(u)) in seen:

@@ -32,8 +32,8 @@ WINDOW = 64
 CHANCE, ALPHA = 0.05, 1.25
 #: Up to so many terms are looked for in the corpus by a list; up to so many by a broadcast table, and more by a join.
 LISTED_TERMS, BROADCAST_KNOWN = 10_000, 200_000
-#: Texts with disclosing terms are broadcast if these are up to so many in all (of some tens of bytes each).
-BROADCAST_TERMS = 100_000
+#: Texts with disclosing terms are broadcast if these have up to so many bytes.
+BROADCAST_BYTES = 16 << 20
 #: Replacements of the kinds; a generalised term becomes the class that its form tells, a removed one goes.
 REPLACEMENTS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "removed": ""}
 CLASSES = ((r"^[\p{N}]+$", "[NUMBER]"), (r"[\p{N}]", "[CODE]"), (r"^\p{Lu}", "[NAME]"))
@@ -185,7 +185,7 @@ def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     term = F.struct("term", (F.col("pmi") >= F.col("ic") - 1e-9).alias("all"))
     affected = contexts.select("key", "entity").distinct().join(said, "entity").groupBy(F.col("key").alias(key)).agg(F.collect_set(term).alias(terms))
     affected = staged(affected, "affected")
-    if affected.agg(F.sum(F.size(terms))).first()[0] <= BROADCAST_TERMS:
+    if (affected.agg(F.sum(F.octet_length(F.to_json(terms)) + 8)).first()[0] or 0) <= BROADCAST_BYTES:
         affected = F.broadcast(affected)
     text = F.col(text_col).cast("string")
     rows = rows.withColumn(key, F.xxhash64(text)).join(affected, key, "left")

@@ -36,6 +36,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Let Python workers get at most so many rows at a time, so that neither they nor the executors hold more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """Column names made of ``names`` that no column of ``df`` has, in whatever case."""
     mark = "_"

@@ -61,7 +61,7 @@ _BACK = np.ones(1, U64)
 def _powers(n: int) -> np.ndarray:
     global _POWERS
     if len(_POWERS) < n:
-        _POWERS = np.cumprod(np.concatenate([np.ones(1, U64), np.full(2 * n, _STEP)]))
+        _POWERS = np.cumprod(np.concatenate([np.ones(1, U64), np.full(n + n // 4, _STEP)]))
     return _POWERS
 
 
@@ -70,7 +70,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _BACK
     forward = _powers(n)
     if len(_BACK) < n:
-        _BACK = np.cumprod(np.concatenate([np.ones(1, U64), np.full(2 * n, _BACK_STEP)]))
+        _BACK = np.cumprod(np.concatenate([np.ones(1, U64), np.full(n + n // 4, _BACK_STEP)]))
     return forward, _BACK
 
 
@@ -87,7 +87,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, off - off[0]
 
 
-def pieces(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) for runs of whole rows of about ``most`` bytes; a longer row stands alone."""
     body, off = utf8(column)
     row, rows = 0, len(off) - 1
