@@ -17,11 +17,12 @@ from tallyframe.llm.jaccard_join import ngram_groups
 from tallyframe.llm.language_id import declared_in, identified, train_languages
 from tallyframe.llm.packing import document_pieces, packed_sequences
 from tallyframe.llm.pii import sanitised
-from tallyframe.llm.storage import free_names, set_aside, staged
+from tallyframe.llm.storage import free_names, set_aside, small_batches, staged
 
 
 def accepted_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is certain enough. The text models are fitted on the documents' own ``lang``."""
+    small_batches(spark)
     own, names = set_aside(docs, "language", "confidence", "evidence", "accepted")
     found = identified(own, train_languages(docs), host=F.col("source"), declared=declared_in(F.col("text")))
     return found.where("accepted").select(own.columns).withColumnsRenamed(names).select(docs.columns)
@@ -37,6 +38,7 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that near copies connect, the document with the smallest id, and of rows that repeat, one. Documents
     without an id stand behind those with one."""
+    small_batches(spark)
     rows, key = _keyed(docs)
     groups = ngram_groups(rows, id_col=key).select(key, "component_id").distinct()
     ids = rows.select(key, F.col("doc_id").cast("long").alias("id")).groupBy(key, "id").agg(F.count("*").alias("copies"))
@@ -50,6 +52,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no item of the benchmark is found."""
+    small_batches(spark)
     rows, key = _keyed(docs)
     found = contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key).select(F.col("doc_id").alias(key)).distinct()
     return rows.join(found, key, "left_anti").select(docs.columns)
@@ -63,6 +66,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences."""
+    small_batches(spark)
     return packed_sequences(document_pieces(docs))
 
 
