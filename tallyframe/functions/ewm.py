@@ -57,7 +57,8 @@ def with_ewm(bars: DataFrame, means: Mapping[str, tuple[str, float]], keys: tupl
         return ends.assign(_before=out)[[*keys, "_chunk", "_before"]]
 
     done = work.groupBy(*keys, "_chunk").applyInPandas(local, schema)
-    if bars.agg(F.max(order)).first()[0] is None or bars.agg(F.max(order)).first()[0] < chunk:
+    last = bars.agg(F.max(order)).first()[0]
+    if last is None or last < chunk:  # one chunk a series
         return done.drop("_chunk", "_place", "_first")
     ends = done.groupBy(*keys, "_chunk").agg(F.max_by(F.array(*names), "_place").alias("_last"), F.first("_first").alias("_first"), F.count("*").alias("_size"))
     kinds = dict(bars.dtypes)
