@@ -2,7 +2,7 @@
 
 The words of the benchmark are the terms. One pass over the corpus writes every document as term numbers and counts
 the terms, whose rarity among the corpus's words gives the weights of TF-IDF. The benchmark's items are cut into
-overlapping passages, weighted and dealt into small blocks; a distributed randomised SVD gives each block a latent space
+passages, weighted and dealt into small blocks; a distributed randomised SVD gives each block a latent space
 of as many directions as leave every passage nearly its whole length. The corpus's passages, cut likewise, are folded
 into each space; those whose cosine with an item's passage is high enough make the item a candidate. A candidate is
 settled by the weighted longest common subsequence of words with the whole item: near complete, it is a copy; about
@@ -123,11 +123,12 @@ def telling(terms: np.ndarray, idf: np.ndarray) -> bool:
 
 
 def _passages(items: _Items) -> list[tuple[int, np.ndarray]]:
-    """(item, terms) of all overlapping passages; the last one of an item is whole."""
+    """(item, terms) of an item's passages, one after the other: at least three quarters of each stand in one of the
+    corpus's overlapping passages. The last one ends with the item; less than a stride of words is left without its own."""
     out = []
     for i, t in enumerate(items.terms):
         last = max(0, len(t) - PASSAGE)
-        out += [(i, t[a : a + PASSAGE]) for a in [*range(0, last, STRIDE), last]]
+        out += [(i, t[min(a, last) :][:PASSAGE]) for a in range(0, max(1, len(t) - STRIDE + 1), PASSAGE)]
     return out
 
 
