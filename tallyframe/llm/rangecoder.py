@@ -14,9 +14,9 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK, STRIDE = 1024, 32
+BLOCK, STRIDE = 1024, 64
 #: Strides after which order 0 takes effect.
-_STRIDES = 4
+_STRIDES = 2
 _LANES = 4096
 #: Slots of orders 1 and 2 in a block; remembered ids of order 0, and bits that tell the ids of a class apart.
 _SLOTS, _RECENT, _BITS = 256, 64, 10
@@ -87,11 +87,12 @@ class _Encoder(_Coder):
             self.words[over] -= 1 << 16
             self.words[over - 1] += 1
         words, size = self.words.astype("<u2").reshape(len(every), self.room), (self.end - every * self.room).tolist()
+        bits = np.unpackbits((table[new] << 16 - _BITS).astype(">u2").view(np.uint8)).reshape(-1, 16)[:, :_BITS].reshape(-1)
+        many = new.sum(axis=1)
+        ends = (np.cumsum(many) * _BITS).tolist()
         out = []
-        for j in every.tolist():
-            own = table[j, new[j]]
-            bits = np.unpackbits((own << 16 - _BITS).astype(">u2").view(np.uint8)).reshape(-1, 16)[:, :_BITS]
-            out.append(np.array([len(own)], "<u2").tobytes() + np.packbits(bits).tobytes() + words[j, : size[j]].tobytes())
+        for j, (k, a, z) in enumerate(zip(many.tolist(), [0, *ends[:-1]], ends, strict=True)):
+            out.append(k.to_bytes(2, "little") + np.packbits(bits[a:z]).tobytes() + words[j, : size[j]].tobytes())
         return out
 
 

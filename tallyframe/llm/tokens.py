@@ -168,7 +168,7 @@ class Encoder:
     def ids(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids, where each row's begin and the last one's end) for about a megabyte of text at a time; null
         counts as empty."""
-        for row, _, body, off in pieces(column):
+        for row, _, body, off in pieces(column, 1 << 20):
             with self.held:
                 if self.watch is None:
                     self.watch = threading.Thread(target=self.forget, daemon=True)
