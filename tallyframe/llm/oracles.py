@@ -42,4 +42,66 @@ named as (
   from hashed)
 select page_id, payload_bytes, payload_digest, case when first = page_id then 'response' else 'revisit' end as record_type, case when first <> page_id then first end as refers_to from named"""
 
-ORACLE_SQL: dict[str, str] = {"op9_warc_zip": _OP9, "op8_exact_topk_search": _OP8, "op10_ngram_jaccard_join": _OP10}
+_OP11 = r"""
+with recursive held as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents),
+marks as (select doc_id, bool_or(coalesce(quality = 1, false)) as good, bool_or(coalesce(toxic = 1, false)) as toxic from labels group by 1),
+judged as (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic, [
+    len(w) < 200,
+    100 * len(list_distinct(w)) < 50 * len(w),
+    100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * len(t),
+    regexp_matches(t, '[#$%&*|]'),
+    coalesce(h.doc_id > min(h.doc_id) over (partition by t), false)] as fails
+  from held h left join marks using (doc_id)),
+orders(o) as (select '' union all select o || x from orders, unnest(['A', 'B', 'C', 'D', 'E']) as f(x) where not contains(o, x)),
+steps as (select o as filter_order, cast(k as integer) as step, instr('ABCDE', o[k]) as f, list_transform(range(1, k), lambda i: instr('ABCDE', o[i])) as before from orders, unnest(range(1, 6)) as s(k) where length(o) = 5),
+counted as (
+  select part, filter_order, step, f,
+    count(*) filter (where not gone and not fails[f]) as kept,
+    count(*) filter (where not gone and fails[f]) as removed,
+    count(*) filter (where gone and fails[f]) as redundant,
+    count(*) filter (where fails[f] and len(list_filter(fails, lambda x: x)) = 1) as unique_fails,
+    count(*) filter (where not gone and fails[f] and good) as good_lost,
+    count(*) filter (where not gone and fails[f] and toxic) as toxic_lost
+  from (select *, len(list_filter(before, lambda b: fails[b])) > 0 as gone from judged, steps)
+  group by 1, 2, 3, 4)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, cast(sum(removed) over (partition by part, f) as bigint) as shapley from counted"""
+
+_OP12 = """
+select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size, doc_id is not distinct from max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
+from documents window same as (partition by coalesce(text, ''))"""
+
+_OP13 = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p from documents),
+words as (select lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') as w from pieces),
+sizes as (select lang, cast(sum(len(w)) as bigint) as n from words group by 1),
+counts as (
+  select lang, phrase, k, count(*) as f from (
+    select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase from words, unnest(range(1, 6)) as s(k) where len(w) >= k)
+  group by 1, 2, 3 having count(*) >= 100),
+parts as (select *, string_split(phrase, ' ') as w from counts),
+inside as (
+  select lang, phrase, max(f) as f from (
+    select lang, f, unnest(list_transform(range(1, len(w) - j + 2), lambda i: array_to_string(w[i:i + j - 1], ' '))) as phrase from parts, unnest(range(2, 5)) as s(j) where len(w) > j)
+  group by 1, 2),
+kept as (select p.* from parts p left join inside i using (lang, phrase) where p.k > 1 and (i.f is null or 100 * i.f < 100 * p.f)),
+cuts as (select lang, phrase, f as a, c, array_to_string(w[1:c], ' ') as x, array_to_string(w[c + 1:], ' ') as y from kept, unnest(range(1, 5)) as s(c) where c < k),
+scored as (
+  select c.lang, c.phrase, c.a, c.c, l.f as l, r.f as r, n, (1000 * c.a::hugeint * n::hugeint) // (l.f::hugeint * r.f::hugeint) as score
+  from cuts c join counts l on l.lang = c.lang and l.phrase = c.x join counts r on r.lang = c.lang and r.phrase = c.y join sizes s on s.lang = c.lang),
+lowest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, c) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, cast(score as bigint) as score from lowest
+qualify row_number() over (partition by lang order by score desc, a desc, phrase) <= 2000"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_exact_topk_search": _OP8,
+    "op9_warc_zip": _OP9,
+    "op10_ngram_jaccard_join": _OP10,
+    "op11_filter_interaction_audit": _OP11,
+    "op12_exact_dedup": _OP12,
+    "op13_phrase_collocations": _OP13,
+}

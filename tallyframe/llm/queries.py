@@ -92,6 +92,24 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_groups(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import interaction_audit, verdicts
+
+    return interaction_audit(verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import with_copies
+
+    return with_copies(_table(spark, sf_dir, "documents"), largest=True)
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_pii_sanitisation": op2_pii_sanitisation,
@@ -104,4 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_topk_search": op8_exact_topk_search,
     "op9_warc_zip": op9_warc_zip,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_filter_interaction_audit": op11_filter_interaction_audit,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
