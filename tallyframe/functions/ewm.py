@@ -10,7 +10,7 @@ from collections.abc import Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bars in a chunk.
@@ -22,49 +22,82 @@ def span(n: float) -> float:
     return 2.0 / (n + 1)
 
 
+def _local(x: pd.Series, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """The mean of a chunk as if it began the series, and the part of its first mean that is left in each of the others. Both
+    are NaN before the first value. A value after g missing ones meets the mean before with a weight of decay^(g+1) to its
+    own ``alpha``, both over their sum."""
+    mean = x.ewm(alpha=alpha, adjust=False).mean().to_numpy()
+    known = np.flatnonzero(x.notna().to_numpy())
+    left = np.full(len(x), np.nan)
+    if len(known):
+        old = (1.0 - alpha) ** np.diff(known)
+        left[known] = np.concatenate([[1.0], np.cumprod(old / (old + alpha))])
+        left = pd.Series(left).ffill().to_numpy()
+    return mean, left
+
+
 def with_ewm(bars: DataFrame, means: Mapping[str, tuple[str, float]], keys: tuple[str, ...] = ("symbol",), order: str = "bar_i", chunk: int = CHUNK) -> DataFrame:
     """``bars`` with a column for each of ``means``: name -> (column, weight of the newest value).
 
     ``order`` numbers a series' bars from 0 without gaps. The first mean is the first value; a missing value leaves the
     mean where it was, weights counting its place. An empty table stays empty.
+
+    A chunk is an affine map of the mean that enters it, so these means are chained over one row for each chunk of the
+    series that have several; nothing runs while the query is built.
     """
     names = list(means)
-    decay = np.array([1.0 - means[n][1] for n in names])
+    alphas = np.array([means[n][1] for n in names])
     work = bars.withColumn("_chunk", F.floor(F.col(order) / chunk).cast("long"))
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in work.schema.fields)}, {', '.join(f'`{n}` double' for n in names)}, _place int, _first array<double>"
+    kinds = dict(bars.dtypes)
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in work.schema.fields)}, {', '.join(f'`{n}` double' for n in names)}, _left array<double>"
+    key_schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
 
     def local(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(order, kind="stable")
-        first = []
+        both = [_local(frame[means[n][0]].astype(float), means[n][1]) for n in names]
+        for n, (mean, _) in zip(names, both, strict=True):
+            frame[n] = mean
+        frame["_left"] = list(np.stack([left for _, left in both], axis=1))
+        return frame
+
+    def summed_up(frame: pd.DataFrame) -> pd.DataFrame:
+        """Of each mean: its last local value, what is left of the first one, the first value, the bars before it and those
+        after the last value. A chunk without values has as many bars before the first as it has at all."""
+        frame = frame.sort_values(order, kind="stable")
+        rows = []
         for n in names:
             x = frame[means[n][0]].astype(float)
-            frame[n] = x.ewm(alpha=means[n][1], adjust=False).mean().to_numpy()
-            known = x.dropna()
-            first.append(float(known.iloc[0]) if len(known) else np.nan)
-        frame["_place"] = np.arange(len(frame), dtype=np.int32)
-        frame["_first"] = [first] * len(frame)
-        return frame
+            mean, left = _local(x, means[n][1])
+            known = np.flatnonzero(x.notna().to_numpy())
+            ends = (x.iloc[known[0]], known[0], len(x) - 1 - known[-1]) if len(known) else (np.nan, len(x), 0)
+            rows.append([mean[-1], left[-1], *map(float, ends)])
+        out = frame[[*keys, "_chunk"]].head(1).copy()
+        out["_ends"] = [np.array(rows, dtype=float).ravel()]
+        return out
 
     def chained(ends: pd.DataFrame) -> pd.DataFrame:
+        """The mean before each chunk, and what it moves the chunk's first mean by."""
         ends = ends.sort_values("_chunk")
-        before = np.full(len(names), np.nan)
-        out = []
-        for last, first, size in zip(ends["_last"], ends["_first"], ends["_size"], strict=True):
-            out.append(before.tolist())
-            last, first = np.asarray(last, float), np.asarray(first, float)
-            carried = last + decay**size * np.where(np.isnan(before), 0.0, before - first)
-            before = np.where(np.isnan(last), before, carried)
-        return ends.assign(_before=out)[[*keys, "_chunk", "_before"]]
+        mean, gap, before, shift = np.full(len(names), np.nan), np.zeros(len(names)), [], []
+        for flat in ends["_ends"]:
+            last, left, first, lead, after = np.asarray(flat, float).reshape(len(names), 5).T
+            old = (1.0 - alphas) ** (gap + lead + 1)
+            moved = np.where(np.isnan(mean), 0.0, old / (old + alphas) * (mean - first))
+            before.append(mean)
+            shift.append(moved)
+            empty = np.isnan(last)
+            mean, gap = np.where(empty, mean, last + left * moved), np.where(empty, gap + lead, after)
+        out = ends[[*keys, "_chunk"]].copy()
+        out["_before"], out["_shift"] = before, shift
+        return out
 
     done = work.groupBy(*keys, "_chunk").applyInPandas(local, schema)
-    last = bars.agg(F.max(order)).first()[0]
-    if last is None or last < chunk:  # one chunk a series
-        return done.drop("_chunk", "_place", "_first")
-    ends = done.groupBy(*keys, "_chunk").agg(F.max_by(F.array(*names), "_place").alias("_last"), F.first("_first").alias("_first"), F.count("*").alias("_size"))
-    kinds = dict(bars.dtypes)
-    before = ends.groupBy(*keys).applyInPandas(chained, f"{', '.join(f'`{k}` {kinds[k]}' for k in keys)}, _chunk long, _before array<double>")
-    joined = done.join(before, [*keys, "_chunk"])
+    several = work.withColumn("_most", F.max("_chunk").over(Window.partitionBy(*keys))).where("_most > 0").drop("_most")
+    ends = several.groupBy(*keys, "_chunk").applyInPandas(summed_up, f"{key_schema}, _chunk long, _ends array<double>")
+    entered = ends.groupBy(*keys).applyInPandas(chained, f"{key_schema}, _chunk long, _before array<double>, _shift array<double>")
+    joined = done.join(entered, [*keys, "_chunk"], "left")
+    known = lambda x: F.nanvl(x, F.lit(None).cast("double"))
     for k, n in enumerate(names):
-        earlier = F.nanvl(F.col("_before")[k], F.lit(None).cast("double"))
-        joined = joined.withColumn(n, F.col(n) + F.coalesce(F.pow(F.lit(float(decay[k])), F.col("_place") + 1) * (earlier - F.col("_first")[k]), F.lit(0.0)))
-    return joined.drop("_chunk", "_place", "_first", "_before")
+        moved = known(F.col(n)) + F.coalesce(known(F.col("_left")[k] * F.col("_shift")[k]), F.lit(0.0))
+        joined = joined.withColumn(n, F.coalesce(moved, known(F.col("_before")[k])))
+    return joined.drop("_chunk", "_left", "_before", "_shift")

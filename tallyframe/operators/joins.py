@@ -13,23 +13,23 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str
     equal keys; NULL where there is none.
 
     One union and one window over each key's stretches of time (in microseconds, or the unit of numeric times); what the
-    stretches before one end with comes from the table of the right side's stretches. No window holds a whole key. Of right rows
-    with equal times the one with the greatest values counts. Left rows without a time or key meet nothing.
+    stretches before one end with comes from the table of the stretches that have rows. No window holds a whole key. Of
+    right rows with equal times the one with the greatest values counts. Left rows without a time or key meet nothing, nor
+    do right rows.
     """
     own = F.struct(*(F.col(c) for c in left.columns))
     found = F.struct(*(F.col(c) for c in columns))
+    known = right.where(F.col(right_time).isNotNull()).dropna(subset=keys)
     a = left.select(*keys, micros(left, left_time).alias("_t"), F.lit(0 if strict else 1).alias("_side"), own.alias("_own"), F.lit(None).cast(right.select(found).schema[0].dataType).alias("_found"))
-    b = right.where(F.col(right_time).isNotNull()).select(*keys, micros(right, right_time).alias("_t"), F.lit(1 if strict else 0).alias("_side"), F.lit(None).cast(a.schema["_own"].dataType).alias("_own"), found.alias("_found"))
+    b = known.select(*keys, micros(right, right_time).alias("_t"), F.lit(1 if strict else 0).alias("_side"), F.lit(None).cast(a.schema["_own"].dataType).alias("_own"), found.alias("_found"))
     rows = a.unionByName(b).withColumn("_stretch", F.floor(F.col("_t") / F.lit(stretch)))
-    ends = b.withColumn("_stretch", F.floor(F.col("_t") / F.lit(stretch))).groupBy(*keys, "_stretch").agg(F.max(F.struct("_t", "_found")).alias("_end"))
-    after = F.lead("_stretch").over(Window.partitionBy(*keys).orderBy("_stretch"))
-    # what a stretch ends with holds in those up to the next one of the right side, and after its last one for good
-    between = ends.withColumn("_next", after).where("_next is not null").select(*keys, F.explode(F.sequence(F.col("_stretch") + 1, F.col("_next"))).alias("_stretch"), F.col("_end._found").alias("_carried"))
-    final = ends.groupBy(*keys).agg(F.max(F.struct("_stretch", "_end")).alias("_x")).select(*keys, F.col("_x._stretch").alias("_last_stretch"), F.col("_x._end._found").alias("_final"))
+    ends = rows.dropna(subset=[*keys, "_stretch"]).groupBy(*keys, "_stretch").agg(F.max(F.when(F.col("_own").isNull(), F.struct("_t", "_found"))).alias("_end"))
+    earlier = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, "_stretch", F.last("_end", ignorenulls=True).over(earlier)["_found"].alias("_carried"))
     w = Window.partitionBy(*keys, "_stretch").orderBy(F.col("_t").asc_nulls_first(), "_side", F.col("_found").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     met = rows.withColumn("_last", F.last("_found", ignorenulls=True).over(w)).where("_own is not null")
-    met = met.join(between, [*keys, "_stretch"], "left").join(final, keys, "left")
-    some = F.when(F.col("_t").isNotNull(), F.coalesce("_last", "_carried", F.when(F.col("_stretch") > F.col("_last_stretch"), F.col("_final"))))
+    met = met.join(carried, [*keys, "_stretch"], "left")
+    some = F.when(F.col("_t").isNotNull(), F.coalesce("_last", "_carried"))
     return met.withColumn("_met", some).select("_own.*", *(F.col(f"_met.{c}").alias(c) for c in columns))
 
 
@@ -43,8 +43,8 @@ def range_sums(trades: DataFrame, events: DataFrame, keys: list[str], start: str
     """``trades`` with the sum of each value (name -> new name) over the events in (start, end].
 
     From running sums and two as-of joins, so that the cost doesn't grow with the events in a range. An event counts if none
-    of its values is missing. With ``coverage`` the sums are NULL unless the history reaches over the trade: from at or before
-    its start to at or after its end.
+    of its values is missing. With ``coverage`` the sums are NULL where the history lies wholly outside the trade: it ends before the
+    trade starts or starts after it ends; a trade that the history covers in part gets the sum of that part.
     """
     known = events.where(F.col(time).isNotNull())
     for v in sums:
@@ -57,7 +57,7 @@ def range_sums(trades: DataFrame, events: DataFrame, keys: list[str], start: str
     covered = F.lit(True)
     if coverage:
         met = met.join(each.groupBy(*keys).agg(F.min(time).alias("_first"), F.max(time).alias("_last")), keys, "left")
-        covered = (F.col("_first") <= F.col(start)) & (F.col("_last") >= F.col(end))
+        covered = (F.col("_first") <= F.col(end)) & (F.col("_last") >= F.col(start))
     zero = F.lit(0.0)
     met = met.withColumns({n: F.when(covered, F.coalesce(f"_b_{n}", zero) - F.coalesce(f"_a_{n}", zero)) for n in sums.values()})
     return met.drop("_first", "_last", *(f"{m}_{n}" for n in sums.values() for m in ("_a", "_b")))

@@ -199,7 +199,7 @@ select t.symbol, t.bar_i, t.entry_time, h.hour_close from trades t asof left joi
     "orders_in_trades": f"""{_POOL},
 settled as (select o_orderdate as t, sum(round(o_totalprice)::bigint)::double as v from orders where o_orderdate is not null and o_totalprice is not null group by 1),
 span as (select min(t) as a, max(t) as z from settled)
-select t.symbol, t.bar_i, case when s.a <= t.entry_time and s.z >= t.exit_time then coalesce((select sum(v) from settled f where f.t > t.entry_time and f.t <= t.exit_time), 0) end as settled from trades t, span s""",
+select t.symbol, t.bar_i, case when s.a <= t.exit_time and s.z >= t.entry_time then coalesce((select sum(v) from settled f where f.t > t.entry_time and f.t <= t.exit_time), 0) end as settled from trades t, span s""",
     "events_without_neighbour": """
 with a as (select event_id, user_id, event_type, ts from events where coalesce(event_type in ('click', 'view'), false)), b as (select user_id, ts from events where not coalesce(event_type in ('click', 'view'), false))
 select event_id, user_id, event_type, ts from a where not exists (select 1 from b where b.user_id = a.user_id and b.ts between a.ts - interval '1 hour' and a.ts + interval '1 hour')""",

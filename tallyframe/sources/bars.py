@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,14 +11,23 @@ from ..functions.windows import sdiv, true
 
 #: Widths that a bar may have, in seconds.
 WIDTHS = {"1m": 60, "3m": 180, "5m": 300, "15m": 900, "30m": 1800, "1H": 3600}
-#: Column types of the two raw layouts; everything else in a file is ignored.
-RAW = "ts string, open string, high string, low string, close string, volume string, confirm string, open_time string"
+#: Columns that a file of bars must have, in whatever order; ``confirm`` may be there, everything else is ignored.
+RAW = ("open_time", "open", "high", "low", "close", "volume")
+#: Columns that a line of a file may have at most.
+MOST_COLUMNS = 24
 # Fixed values of the audit. A gap is a step of more than so many bars; a spike a larger relative change of the close.
 GAP_BARS, SPIKE = 1.5, 0.25
 # The most gaps, share of bars without volume, wrong bars and hours since the last bar, and the least spikes,
 # of a flagged series; and the share and spikes of a candidate for the blacklist.
 GAPS, ZERO_SHARE, WRONG, STALE_HOURS, SPIKES = 5, 0.02, 0, 48.0, 3
 BLACKLIST_ZERO_SHARE, BLACKLIST_SPIKES = 0.05, 8
+# Bases left out of mining: stable coins and fiat wrappers, metals, wrapped shares, thin shares and funds.
+BLOCKED_BASES = (
+    "USDC", "USDG", "USDT", "DAI", "FDUSD", "TUSD", "USDE", "USDS", "BUSD",
+    "XAU", "XAG", "XAUT", "PAXG",
+    "QQQX", "NVDAX", "TSLAX", "MSTRX", "CRCLX", "SPYX", "AAPLX", "SKHYNIX", "AAOI", "CBRS", "GLW", "MU", "RKLB", "SOXS", "MRVL", "EWY", "SPCX", "SNDK", "CL", "INTC",
+    "EWZ", "CGNX", "DKNG", "BX", "CSCO", "CIEN", "GME", "CRWD", "COST", "ADBE", "GEV", "CRDO", "EWJ", "FLNC", "ALAB", "ASML", "BMNR", "APLD", "AMD", "AMAT", "AAPL", "AMZN",
+)
 # Bases named like shares, which are thin.
 STOCK_LIKE = (
     "AAPL", "ADBE", "AMAT", "AMD", "AMZN", "ASML", "AVGO", "COIN", "CRCL", "GOOGL", "HOOD", "INTC", "META", "MSFT", "MSTR", "NVDA", "PLTR", "TSLA",
@@ -71,26 +82,80 @@ def keep_last(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     return rows.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place")
 
 
-def read_series(spark: SparkSession, paths: str | list[str], blocked: DataFrame | None = None) -> DataFrame:
-    """Clean bars of CSV files named ``<source>_<symbol>_<bar>_<rows>.csv``.
+def _named_files(rows: DataFrame, path: Column) -> DataFrame:
+    """``rows`` with the source, symbol and bar that the name of their file tells, without those of other names."""
+    name = F.element_at(F.split(path, "/"), -1)
+    pattern = rf"^(?:(gate|okx)_)?(.+?)_({'|'.join(WIDTHS)})_([0-9]+)(?:_latest)?\.csv$"
+    part = lambda k: F.regexp_extract(name, pattern, k)
+    return rows.where(name.rlike(pattern)).withColumns({"source": F.when(part(1) == "", "okx").otherwise(part(1)), "symbol": part(2), "bar": part(3), "file_rows": part(4).cast("long")})
+
+
+def _unblocked(rows: DataFrame, blocked: DataFrame | Sequence[str] | None) -> DataFrame:
+    base = F.substring_index("symbol", "_", 1)
+    if blocked is None:
+        return rows
+    if isinstance(blocked, DataFrame):
+        return rows.withColumn("base", base).join(blocked.select("base"), "base", "left_anti").drop("base")
+    return rows.where(~base.isin(*blocked)) if blocked else rows
+
+
+def list_series(spark: SparkSession, paths: str | list[str], bar: str | None = None, blocked: DataFrame | Sequence[str] | None = BLOCKED_BASES) -> DataFrame:
+    """(source, symbol, bar, files, longest): the files of every series in order, and the one that by its name has most rows (of
+    equal ones the last). Names are ``[source_]symbol_bar_rows[_latest].csv``; without a source it is okx; other files count
+    as none. Contents aren't read."""
+    if bar is not None:
+        width_seconds(bar)
+    files = _unblocked(_named_files(spark.read.format("binaryFile").load(paths).select("path"), F.col("path")), blocked)
+    files = files if bar is None else files.where(F.col("bar") == bar)
+    return files.groupBy("source", "symbol", "bar").agg(F.sort_array(F.collect_list("path")).alias("files"), F.max_by("path", F.struct("file_rows", "path")).alias("longest"))
+
+
+def _csv_cells(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, at, head, cells) of every line below the head of its file, which is its line that names an ``open`` and a ``close``.
+
+    ``at`` orders the lines of a file. Lines are read by place, so files of different layouts can be read at once: a file's
+    head is a line like the others, met by its path."""
+    schema = ", ".join(f"_c{k} string" for k in range(MOST_COLUMNS))
+    raw = spark.read.schema(schema).option("mode", "PERMISSIVE").csv(paths)
+    lines = raw.select(
+        F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"),
+        F.array(*(F.trim(f"_c{k}") for k in range(MOST_COLUMNS))).alias("cells"),
+    )
+    is_head = F.array_contains("cells", "open") & F.array_contains("cells", "close")
+    heads = lines.where(is_head).groupBy("file").agg(F.min_by("cells", "at").alias("head"))
+    return lines.where(~F.coalesce(is_head, F.lit(False))).join(heads, "file")
+
+
+def _cell(name: str) -> Column:
+    """The value of a named column; NULL where the file has none of that name."""
+    at = F.array_position("head", name).cast("int")
+    return F.when(at > 0, F.try_element_at("cells", at))
+
+
+def read_series(spark: SparkSession, paths: str | list[str], blocked: DataFrame | Sequence[str] | None = BLOCKED_BASES) -> DataFrame:
+    """Clean bars of CSV files named ``[source_]symbol_bar_rows[_latest].csv``; files of other names, or whose heads lack a column
+    of ``RAW``, are left out. Layouts may differ from file to file.
 
     Unfinished bars (confirm = 0) and rows without a price or time are dropped; of bars with equal time the one of the
-    last file by name, then the last by time stamp, stays. Values that can't be read count as missing. ``blocked`` holds
-    the base symbols (column ``base``) to leave out.
+    last file by path stays, and in it the last row. Values that can't be read count as missing, a time
+    that can't be read is taken from ``ts`` where the file has one. ``blocked`` are the base
+    symbols to leave out, as names or as a table (column ``base``); None leaves none out.
     """
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(paths)
-    named = raw.withColumn("file", F.col("_metadata.file_name"))
-    part = lambda k: F.regexp_extract("file", r"^(?:([a-z]+)_)?(.+?)_([0-9]+[mH])(?:_([0-9]+))?\.csv$", k)
-    number = lambda c: F.col(c).try_cast("double")
-    time = F.coalesce(F.timestamp_millis(F.col("ts").try_cast("long")), F.col("open_time").try_cast("timestamp"))
-    rows = named.where("confirm is null or try_cast(confirm as double) is distinct from 0").select(
-        F.when(part(1) == "", "okx").otherwise(part(1)).alias("source"), part(2).alias("symbol"), part(3).alias("bar"), "file", time.alias("open_time"), *(number(c).alias(c) for c in ("open", "high", "low", "close", "volume"))
-    )
-    rows = rows.where("open_time is not null and open is not null and high is not null and low is not null and close is not null")
-    if blocked is not None:
-        rows = rows.withColumn("base", F.regexp_extract("symbol", r"^([^_-]+)", 1)).join(blocked.select("base"), "base", "left_anti").drop("base")
+    rows = _unblocked(_named_files(_csv_cells(spark, paths), F.col("file")), blocked)
+    whole = F.array_size(F.array_intersect("head", F.array(*map(F.lit, RAW)))) == len(RAW)
+    unfinished = F.coalesce(_cell("confirm").try_cast("double") == 0, F.lit(False))
+    time = F.coalesce(_cell("open_time").try_cast("timestamp"), F.timestamp_millis(_cell("ts").try_cast("long")))
+    rows = rows.where(whole & ~unfinished).select("source", "symbol", "bar", "file", "at", time.alias("open_time"), *(_cell(c).try_cast("double").alias(c) for c in RAW[1:]))
+    rows = rows.where(" and ".join(f"{c} is not null and not isnan({c})" for c in RAW[1:5]) + " and open_time is not null")
     keys = ["source", "symbol", "bar"]
-    return numbered(keep_last(rows, [*keys, "open_time"], [F.col("file"), F.col("volume")]).drop("file"), *keys)
+    return numbered(keep_last(rows, [*keys, "open_time"], [F.col("file"), F.col("at")]).drop("file", "at"), *keys)
+
+
+def read_candles(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, open_time, open, high, low, close, volume) of candle files whose ``ts`` is in milliseconds, rows without a price
+    left out. Nothing is deduplicated."""
+    rows = _csv_cells(spark, paths).select("file", F.timestamp_millis(_cell("ts").try_cast("long")).alias("open_time"), *(_cell(c).try_cast("double").alias(c) for c in RAW[1:]))
+    return rows.where(" and ".join(f"{c} is not null and not isnan({c})" for c in RAW[1:5]))
 
 
 def at_least(bars: DataFrame, least: int, *keys: str) -> DataFrame:
