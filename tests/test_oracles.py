@@ -14,11 +14,12 @@ from tallyframe.plans.queries import QUERIES
 from tallyframe.plans.rich_oracles import RICH_SQL
 from tallyframe.plans.signal_oracles import SIGNAL_SQL
 from tallyframe.plans.signal_queries import SIGNAL_QUERIES
+from tallyframe.plans.study_queries import STUDY_QUERIES, STUDY_SQL
 from tallyframe.plans.table_queries import TABLE_QUERIES, TABLE_SQL
 
 DATA = "/root/testdata/sf0.001"
-ORACLE_SQL = PLAIN_SQL | EXIT_SQL | OUTCOME_SQL | RICH_SQL | SIGNAL_SQL | TABLE_SQL
-ALL = QUERIES | SIGNAL_QUERIES | TABLE_QUERIES
+ORACLE_SQL = PLAIN_SQL | EXIT_SQL | OUTCOME_SQL | RICH_SQL | SIGNAL_SQL | TABLE_SQL | STUDY_SQL
+ALL = QUERIES | SIGNAL_QUERIES | TABLE_QUERIES | STUDY_QUERIES
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
