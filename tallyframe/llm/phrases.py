@@ -11,8 +11,10 @@ its last space included, is a range of such strings.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,88 +27,196 @@ _ENDS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d", b"\n" * 10)
 HELD = 200_000
 #: A first word is hot if more than one suffix in so many begins with it; there are fewer such words than that.
 HOT = 512
+#: Bytes of the words that are frequent enough to stand in a candidate up to which tasks are told them.
+TOLD = 8_000_000
+#: Sorted suffixes that are compared with one another at once.
+BLOCK = 20_000
 _COUNTED = "s string, c long"
 
 
 def pieces(text: str) -> Iterator[list[bytes]]:
-    """The words of each piece that has any, A-Z in lower case, each followed by a space."""
+    """The words of each piece that has any, A-Z in lower case."""
     for piece in text.encode("utf-8", "replace").lower().translate(_ENDS).split(b"\n"):
         words = piece.split()  # of bytes, and so at ASCII white space only, of which the pieces hold spaces and tabs
         if words:
-            yield [w + b" " for w in words]
+            yield words
+
+
+def _words(text: str) -> Iterator[list[bytes]]:
+    for words in pieces(text):
+        yield [w + b" " for w in words]
+
+
+def _runs(words: list[bytes], known: frozenset[bytes] | None) -> Iterator[list[bytes]]:
+    """``words`` without those that aren't known, as runs of neighbours."""
+    if known is None or known.issuperset(words):
+        yield words
+    else:
+        for run in b" ".join([w if w in known else b"\n" for w in words]).split(b"\n"):
+            yield run.split()
+
+
+def _suffixes(text: str, max_n: int, known: frozenset[bytes] | None) -> Iterator[list[bytes]]:
+    """The suffixes of two words or more of each run of known words."""
+    for words in pieces(text):
+        for run in _runs(words, known):
+            if len(run) > 1:
+                whole = b" ".join(run) + b" "
+                starts = [0, *accumulate([len(w) + 1 for w in run])]
+                ends = starts[max_n:]
+                ends += [len(whole)] * (len(run) - 1 - len(ends))
+                yield [whole[i:j] for i, j in zip(starts[: len(run) - 1], ends, strict=False)]
 
 
 def _strings(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary()).cast(pa.string())
 
 
-def _counted(batches: Iterator[pa.RecordBatch], max_n: int) -> Iterator[pa.RecordBatch]:
-    """(s, c) of the suffixes of (lang, text) rows, equal ones added up as far as ``HELD`` strings reach. Passed on in order,
-    as neighbours that begin alike take less room in a shuffle."""
-    held: Counter = Counter()
+def _counted(batches: Iterator[pa.RecordBatch], parts: Callable[[str, str], Iterator[list[bytes]]], most: int) -> Iterator[pa.RecordBatch]:
+    """(s, c) of the ``parts`` of (lang, text) rows, equal ones added up as far as ``most`` strings reach. Passed on in order, as
+    neighbours that begin alike take less room in a shuffle."""
+    held: dict[str, Counter] = {}
 
     def passed_on() -> Iterator[pa.RecordBatch]:
-        keys = sorted(held)
-        for k in range(0, len(keys), 50_000):
-            part = keys[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([_strings(part), pa.array([held[x] for x in part], pa.int64())], ["s", "c"])
+        for lang, counter in held.items():
+            head = lang.encode("utf-8", "replace") + b"\t"
+            found = sorted(counter.items())
+            for k in range(0, len(found), 50_000):
+                some = found[k : k + 50_000]
+                yield pa.RecordBatch.from_arrays([_strings([head + s for s, _ in some]), pa.array([c for _, c in some], pa.int64())], ["s", "c"])
         held.clear()
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            head = lang.encode("utf-8", "replace") + b"\t"
-            for words in pieces(text):
-                after, n = words, len(words)
-                firsts = [head + w for w in words]
-                if max_n == 1:
-                    held.update(firsts)
-                else:
-                    rows = [firsts] + [after[k:] for k in range(1, max_n)]
-                    held.update(map(b"".join, zip(*rows, strict=False)))
-                    held.update(firsts[i] + b"".join(after[i + 1 :]) for i in range(max(0, n - max_n + 1), n))
-                if len(held) >= HELD:
+            counter = held.setdefault(lang, Counter())
+            for some in parts(lang, text):
+                counter.update(some)
+                if len(counter) >= most:
                     yield from passed_on()
+                    counter = held.setdefault(lang, Counter())
+            if sum(map(len, held.values())) >= most:
+                yield from passed_on()
     yield from passed_on()
 
 
-def _suffixes(docs: DataFrame, max_n: int) -> DataFrame:
-    return docs.mapInArrow(lambda batches: _counted(batches, max_n), _COUNTED)
+def _common(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes that each string but the first has in common with the one before it, from their beginnings on."""
+    most = np.minimum(size[:-1], size[1:])
+    a, b, out = start[:-1], start[1:], np.zeros(len(most), dtype=np.int64)
+    alive, at = np.flatnonzero(most > 0), 0
+    while len(alive) and at < 256:
+        alive = alive[data[a[alive] + at] == data[b[alive] + at]]
+        at += 1
+        out[alive] = at
+        alive = alive[most[alive] > at]
+    for i in alive:  # long words
+        other = data[a[i] : a[i] + most[i]] != data[b[i] : b[i] + most[i]]
+        out[i] = other.argmax() if other.any() else most[i]
+    return out
+
+
+class _Stack:
+    """Counts the prefixes of two words or more of suffixes in descending order: of every length one counter is open, that of
+    the last suffix's prefix, and it is closed by the first suffix that begins otherwise."""
 
+    def __init__(self, max_n: int, least: int, hot: frozenset[bytes]) -> None:
+        self.max_n, self.least, self.hot = max_n, least, hot
+        self.last, self.words, self.open = b"", 0, [0] * (max_n + 1)
+        self.keys: list[bytes] = []
+        self.counts: list[int] = []
 
-def _prefixes(batches: Iterator[pa.RecordBatch], least: int, hot: frozenset[bytes]) -> Iterator[pa.RecordBatch]:
+    def _closed(self, s: bytes, k: int, count: int) -> None:
+        at = s.rindex(b"\t")
+        for _ in range(k):
+            at = s.index(b" ", at + 1)
+        self.keys.append(s[: at + 1])
+        self.counts.append(int(count))
+
+    def _is_hot(self, s: bytes) -> bool:
+        return s[: s.index(b" ", s.rindex(b"\t")) + 1] in self.hot
+
+    def end(self, common: int = 0) -> None:
+        """Closes the counters of prefixes of more than ``common`` words."""
+        for k in range(max(2, common + 1), self.words + 1):
+            if self.open[k] >= self.least or (k == 2 and self._is_hot(self.last)):
+                self._closed(self.last, k, self.open[k])
+            self.open[k] = 0
+
+    def push(self, strings: pa.Array, counts: np.ndarray) -> None:
+        """A block of suffixes, not empty. The counters' sums over the block come from the places where prefixes change."""
+        _, offsets, buffer = strings.buffers()
+        edge = np.frombuffer(offsets, np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+        data = np.frombuffer(buffer, np.uint8)[: edge[-1]]
+        start, size = edge[:-1], np.diff(edge)
+        spaces = np.concatenate([[0], np.cumsum(data == 32)])
+        tabs = np.flatnonzero(data == 9)
+        tab = tabs[np.searchsorted(tabs, edge[1:]) - 1]  # the last one: a language may hold tabs, words don't
+        before = spaces[tab]
+        words = spaces[edge[1:]] - before
+        same = np.concatenate([[0], np.maximum(0, spaces[start[1:] + _common(data, start, size)] - before[1:])])
+        same[1:][np.diff(tab - start) != 0] = 0
+        text = lambda i: data[edge[i] : edge[i + 1]].tobytes()
+        first = text(0)
+        if self.last:
+            both = pa.array([self.last, first], pa.binary())
+            e = np.frombuffer(both.buffers()[1], np.int32)[:3].astype(np.int64)
+            d = np.frombuffer(both.buffers()[2], np.uint8)
+            shared = d[e[1] : e[1] + _common(d, e[:-1], np.diff(e))[0]].tobytes()
+            if self.last.rindex(b"\t") == first.rindex(b"\t") < len(shared):
+                same[0] = shared.count(b" ", first.rindex(b"\t"))
+        self.end(int(same[0]))
+        begins = np.flatnonzero(same < 1)
+        hot = np.zeros(len(begins) + 1, dtype=bool)
+        hot[0] = bool(self.last) and self._is_hot(self.last)
+        hot[1:] = [self._is_hot(text(i)) for i in begins] if self.hot else False
+        for k in range(2, self.max_n + 1):
+            new = np.flatnonzero(same < k)
+            if not len(new):
+                self.open[k] += int(counts.sum())
+                continue
+            self.open[k] += int(counts[: new[0]].sum())
+            if new[0] > 0 and self.words >= k:  # the open prefix ends inside this block
+                if self.open[k] >= self.least or (k == 2 and hot[0]):
+                    self._closed(self.last, k, self.open[k])
+            sums = np.add.reduceat(counts, new)
+            told = (words[new[:-1]] >= k) & (sums[:-1] >= self.least)
+            if k == 2 and hot.any():
+                told |= (words[new[:-1]] >= 2) & hot[np.searchsorted(begins, new[:-1], side="right")]
+            for i, c in zip(new[:-1][told], sums[:-1][told], strict=True):
+                self._closed(text(i), k, c)
+            self.open[k] = int(sums[-1])
+        self.last, self.words = text(len(strings) - 1), int(words[-1])
+
+    def found(self) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([_strings(self.keys), pa.array(self.counts, pa.int64())], ["s", "c"])
+        self.keys, self.counts = [], []
+        return out
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], max_n: int, least: int, hot: frozenset[bytes], block: int) -> Iterator[pa.RecordBatch]:
     """(s, c) of the prefixes, of two words or more, of suffixes in descending order. Those met ``least`` times are passed on; of
     the suffixes of a hot first word others may hold more of the same pair, so their pairs are passed on in any case."""
-    prefix: list[bytes] = []  # each begins with the one before; the first is language and word
-    count: list[int] = []
-    keys, counts = [], []
+    stack, waiting, rows = _Stack(max_n, least, hot), [], 0
+
+    def pushed() -> None:
+        table = pa.Table.from_batches(waiting).combine_chunks()
+        for part in table.to_batches():
+            if part.num_rows:
+                stack.push(part.column(0).cast(pa.binary()), part.column(1).to_numpy())
+        waiting.clear()
+
     for batch in batches:
-        for s, c in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            while prefix and not s.startswith(prefix[-1]):
-                top, k = count.pop(), len(prefix)
-                if k > 1:
-                    if top >= least or (k == 2 and prefix[0] in hot):
-                        keys.append(prefix[-1])
-                        counts.append(top)
-                    count[-1] += top
-                prefix.pop()
-            at = len(prefix[-1]) if prefix else s.rindex(b"\t") + 1
-            while at < len(s):
-                at = s.index(b" ", at) + 1
-                prefix.append(s[:at])
-                count.append(0)
-            count[-1] += c
-        if len(keys) > 50_000:
-            yield pa.RecordBatch.from_arrays([_strings(keys), pa.array(counts, pa.int64())], ["s", "c"])
-            keys, counts = [], []
-    while prefix:
-        top, k = count.pop(), len(prefix)
-        if k > 1:
-            if top >= least or (k == 2 and prefix[0] in hot):
-                keys.append(prefix[-1])
-                counts.append(top)
-            count[-1] += top
-        prefix.pop()
-    yield pa.RecordBatch.from_arrays([_strings(keys), pa.array(counts, pa.int64())], ["s", "c"])
+        if batch.num_rows:
+            waiting.append(batch)
+            rows += batch.num_rows
+            if rows >= block:
+                pushed()
+                rows = 0
+                yield stack.found()
+    if waiting:
+        pushed()
+    stack.end()
+    yield stack.found()
 
 
 def _named(counted: DataFrame) -> DataFrame:
@@ -117,24 +227,45 @@ def _named(counted: DataFrame) -> DataFrame:
     return rows.select("lang", F.col("p").alias("phrase"), F.split("p", " ").alias("words"), "c")
 
 
+def _told(words: DataFrame, least: int) -> dict[str, frozenset[bytes]] | None:
+    """The words of each language that occur ``least`` times, if they fit into ``TOLD`` bytes; no other word can stand in a
+    phrase that does."""
+    frequent = words.where(F.col("c") >= least)
+    if (frequent.agg(F.sum(F.octet_length("s"))).first()[0] or 0) > TOLD:
+        return None
+    known: dict[str, set[bytes]] = {}
+    for (s,) in frequent.select("s").collect():
+        lang, word = s.rsplit("\t", 1)
+        known.setdefault(lang, set()).add(word[:-1].encode())
+    return {lang: frozenset(own) for lang, own in known.items()}
+
+
 def phrase_counts(docs: DataFrame, least: int = 100, max_n: int = 5, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """((lang, n), (lang, phrase, words, c)): the word occurrences of each language, and all phrases of 1 to ``max_n`` words that
     occur ``least`` times in it or more. A NULL text is empty, a NULL language ``und``.
 
     The words are counted first. They tell which first words are hot: the suffixes of these are dealt out by their first three
     words, all others by the first one. A count is then whole in one task, but for the pairs of hot words, which are added up.
+    They also tell which words are too rare for any phrase: suffixes end before these, as long as a list of the others fits
+    into ``TOLD`` bytes, and hold them where it doesn't; results are the same.
     """
     spark = docs.sparkSession
     small_batches(spark)
+    held, block = HELD, BLOCK
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    words = staged(_suffixes(rows, 1).groupBy("s").agg(F.sum("c").alias("c")), "words")
+    words = staged(rows.mapInArrow(lambda batches: _counted(batches, lambda _, text: _words(text), held), _COUNTED).groupBy("s").agg(F.sum("c").alias("c")), "words")
     total = words.agg(F.sum("c")).first()[0] or 0
     hot = [r[0] for r in words.where(F.col("c") * HOT > F.lit(total)).select("s").collect()]  # fewer than HOT words
-    first = F.substring_index("s", " ", 1)
-    key = F.when(F.concat(first, F.lit(" ")).isin(hot), F.substring_index("s", " ", 3)).otherwise(first) if hot else first
-    dealt = _suffixes(rows, max_n).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(F.desc("s"))
+    told = spark.sparkContext.broadcast(_told(words, least))
+    nothing: frozenset[bytes] = frozenset()
+    parts = lambda lang, text: _suffixes(text, max_n, None if told.value is None else told.value.get(lang, nothing))
+    suffixes = rows.mapInArrow(lambda batches: _counted(batches, parts, held), _COUNTED)
+    first = F.substring_index(F.substring_index("s", "\t", -1), " ", 1)
+    lang = F.expr("substr(s, 1, length(s) - length(substring_index(s, '\t', -1)))")
+    key = F.when(F.concat(lang, first, F.lit(" ")).isin(hot), F.substring_index(F.substring_index("s", "\t", -1), " ", 3)).otherwise(first) if hot else first
+    dealt = suffixes.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), lang, key).sortWithinPartitions(F.desc("s"))
     marked = frozenset(h.encode() for h in hot)
-    found = dealt.mapInArrow(lambda batches: _prefixes(batches, least, marked), _COUNTED)
+    found = dealt.mapInArrow(lambda batches: _prefixes(batches, max_n, least, marked, block), _COUNTED)
     found = found.groupBy("s").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
     counts = staged(_named(found.unionByName(words.where(F.col("c") >= least))), "phrases")
     sizes = words.groupBy(F.regexp_extract("s", r"(?s)^(.*)\t", 1).alias("lang")).agg(F.sum("c").alias("n"))

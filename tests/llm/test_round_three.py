@@ -153,15 +153,20 @@ def _corpus() -> list[tuple]:
     return rows + [("en", None), (None, ""), ("en", "the the " * 3000), ("fr", "one two three four five six. " * 9), ("fr", "y" * 100_000 + " z"), ("zz", " . ")]
 
 
-@pytest.mark.parametrize(("held", "hot"), [(200_000, 512), (50, 4)])
-def test_collocations_equal_plain_counts(spark, monkeypatch, held, hot):
-    """Also with much passed on early, and words that are hot at a quarter of all suffixes."""
-    monkeypatch.setattr(phrases, "HELD", held)
-    monkeypatch.setattr(phrases, "HOT", hot)
+@pytest.mark.parametrize(("held", "hot", "block", "told"), [(200_000, 512, 20_000, 8_000_000), (50, 4, 40, 0), (50, 40, 1, 8_000_000)])
+def test_collocations_equal_plain_counts(spark, monkeypatch, held, hot, block, told):
+    """Also with much passed on early, words that are hot at a quarter of all suffixes, blocks of few suffixes, and tasks that
+    aren't told which words are frequent."""
+    for name, value in (("HELD", held), ("HOT", hot), ("BLOCK", block), ("TOLD", told)):
+        monkeypatch.setattr(phrases, name, value)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    monkeypatch.setattr(phrases, "small_batches", lambda spark: spark.conf.set(batch, min(block, 2_000)))
     rows = _corpus()
     docs = spark.createDataFrame([(1, t, g, "s", 0) for g, t in rows], DOCS).repartition(3).withColumn("a", F.lit(1)).withColumn("phrase", F.lit("own"))
     for least, top in ((9, 2000), (30, 5)):
         got = sorted(map(tuple, phrases.collocations(docs, least=least, top=top).collect()))
+        spark.conf.set(batch, before)
         assert got == plain_collocations(rows, least, top)
 
 
