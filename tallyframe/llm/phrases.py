@@ -10,95 +10,106 @@ its last space included, is a range of such strings.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterator
-from itertools import accumulate
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import small_batches, staged
 
-#: Characters between pieces; words are what stands between spaces and tabs inside a piece.
-_ENDS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d", b"\n" * 10)
-#: Different strings that a task counts before it passes them on.
-HELD = 200_000
+#: Characters between pieces become line ends and tabs spaces; words are what stands between spaces inside a piece.
+_ENDS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", b"\n" * 10 + b" ")
+#: Suffixes that a task holds before it adds up equal ones and passes them on, and bytes of them that it makes at once.
+HELD, MADE = 1_000_000, 4_000_000
 #: A first word is hot if more than one suffix in so many begins with it; there are fewer such words than that.
 HOT = 512
-#: Bytes of the words that are frequent enough to stand in a candidate up to which tasks are told them.
-TOLD = 8_000_000
 #: Sorted suffixes that are compared with one another at once.
 BLOCK = 20_000
 _COUNTED = "s string, c long"
 
 
-def pieces(text: str) -> Iterator[list[bytes]]:
-    """The words of each piece that has any, A-Z in lower case."""
-    for piece in text.encode("utf-8", "replace").lower().translate(_ENDS).split(b"\n"):
-        words = piece.split()  # of bytes, and so at ASCII white space only, of which the pieces hold spaces and tabs
-        if words:
-            yield words
-
-
-def _words(text: str) -> Iterator[list[bytes]]:
-    for words in pieces(text):
-        yield [w + b" " for w in words]
-
-
-def _runs(words: list[bytes], known: frozenset[bytes] | None) -> Iterator[list[bytes]]:
-    """``words`` without those that aren't known, as runs of neighbours."""
-    if known is None or known.issuperset(words):
-        yield words
-    else:
-        for run in b" ".join([w if w in known else b"\n" for w in words]).split(b"\n"):
-            yield run.split()
-
-
-def _suffixes(text: str, max_n: int, known: frozenset[bytes] | None) -> Iterator[list[bytes]]:
-    """The suffixes of two words or more of each run of known words."""
-    for words in pieces(text):
-        for run in _runs(words, known):
-            if len(run) > 1:
-                whole = b" ".join(run) + b" "
-                starts = [0, *accumulate([len(w) + 1 for w in run])]
-                ends = starts[max_n:]
-                ends += [len(whole)] * (len(run) - 1 - len(ends))
-                yield [whole[i:j] for i, j in zip(starts[: len(run) - 1], ends, strict=False)]
-
-
-def _strings(values: list[bytes]) -> pa.Array:
-    return pa.array(values, pa.binary()).cast(pa.string())
-
-
-def _counted(batches: Iterator[pa.RecordBatch], parts: Callable[[str, str], Iterator[list[bytes]]], most: int) -> Iterator[pa.RecordBatch]:
-    """(s, c) of the ``parts`` of (lang, text) rows, equal ones added up as far as ``most`` strings reach. Passed on in order, as
-    neighbours that begin alike take less room in a shuffle."""
-    held: dict[str, Counter] = {}
+def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(data, edges, ends) of texts in lower case: their words one after the other, each followed by a space; where each begins and
+    the last one ends; and for each word the place of the first word after its piece."""
+    raw = np.frombuffer(b"\n".join(texts).translate(_ENDS), np.uint8)
+    inside = (raw != 10) & (raw != 32)
+    padded = np.concatenate([[False], inside, [False]])
+    starts, stops = np.flatnonzero(padded[1:] & ~padded[:-1]), np.flatnonzero(padded[:-1] & ~padded[1:])
+    if not len(starts):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64), np.empty(0, np.int64)
+    size = stops - starts
+    edges = np.concatenate([[0], np.cumsum(size + 1)])
+    data = np.full(edges[-1], 32, np.uint8)
+    data[np.flatnonzero(inside) + np.repeat(edges[:-1] - starts, size)] = raw[inside]
+    piece = np.cumsum(raw == 10)[starts]
+    last = np.append(np.flatnonzero(np.diff(piece)) + 1, len(starts))
+    return data, edges, last[np.searchsorted(last, np.arange(len(starts)), side="right")]
+
+
+def _parts(texts: list[bytes], max_n: int, made: int) -> Iterator[pa.Array]:
+    """The words of the texts, or with a ``max_n`` above 1 their suffixes of two words or more, some ``made`` bytes at a time."""
+    data, edges, ends = _words(texts)
+    if max_n == 1:
+        first = 0
+        while first < len(ends):
+            until = max(first + 1, int(np.searchsorted(edges, edges[first] + 64 * made)) - 1)
+            yield _binary(data[edges[first] : edges[until]], edges[first : until + 1] - edges[first])
+            first = until
+        return
+    after = np.minimum(np.arange(len(ends)) + max_n, ends)
+    long = np.flatnonzero(after - np.arange(len(ends)) > 1)
+    start, size = edges[long], edges[after[long]] - edges[long]
+    total = np.concatenate([[0], np.cumsum(size)])
+    first = 0
+    while first < len(long):
+        until = max(first + 1, int(np.searchsorted(total, total[first] + made)) - 1)
+        offsets = total[first : until + 1] - total[first]
+        from_ = np.repeat(start[first:until] - offsets[:-1], size[first:until])
+        yield _binary(data[from_ + np.arange(offsets[-1])], offsets)
+        first = until
+
+
+def _counted(batches: Iterator[pa.RecordBatch], max_n: int, most: int, made: int) -> Iterator[pa.RecordBatch]:
+    """(s, c) of the words or suffixes of (lang, text) rows, equal ones added up as far as ``most`` of them reach. Passed on in
+    order, as neighbours that begin alike take less room in a shuffle."""
+    held: dict[str, list[pa.Array]] = {}
+    rows = 0
 
     def passed_on() -> Iterator[pa.RecordBatch]:
-        for lang, counter in held.items():
-            head = lang.encode("utf-8", "replace") + b"\t"
-            found = sorted(counter.items())
-            for k in range(0, len(found), 50_000):
-                some = found[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([_strings([head + s for s, _ in some]), pa.array([c for _, c in some], pa.int64())], ["s", "c"])
+        for lang, arrays in held.items():
+            table = pa.table({"s": pa.chunked_array(arrays, pa.binary())}).group_by("s", use_threads=False).aggregate([([], "count_all")])
+            table = table.sort_by("s").combine_chunks()
+            for part in table.to_batches(max_chunksize=50_000):
+                head = pa.scalar(lang.encode("utf-8", "replace") + b"\t", pa.binary())
+                s = pc.binary_join_element_wise(head, part.column("s"), pa.scalar(b"", pa.binary()))
+                yield pa.RecordBatch.from_arrays([s.cast(pa.string()), part.column("count_all")], ["s", "c"])
         held.clear()
 
     for batch in batches:
+        texts: dict[str, list[bytes]] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counter = held.setdefault(lang, Counter())
-            for some in parts(lang, text):
-                counter.update(some)
-                if len(counter) >= most:
+            texts.setdefault(lang, []).append(text.encode("utf-8", "replace").lower())
+        for lang, own in texts.items():
+            for array in _parts(own, max_n, made):
+                held.setdefault(lang, []).append(array)
+                rows += len(array)
+                if rows >= most:
                     yield from passed_on()
-                    counter = held.setdefault(lang, Counter())
-            if sum(map(len, held.values())) >= most:
-                yield from passed_on()
+                    rows = 0
     yield from passed_on()
 
 
+def _strings(values: list[bytes]) -> pa.Array:
+    return pa.array(values, pa.binary()).cast(pa.string())
+
+
 def _common(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The bytes that each string but the first has in common with the one before it, from their beginnings on."""
     most = np.minimum(size[:-1], size[1:])
@@ -227,39 +238,22 @@ def _named(counted: DataFrame) -> DataFrame:
     return rows.select("lang", F.col("p").alias("phrase"), F.split("p", " ").alias("words"), "c")
 
 
-def _told(words: DataFrame, least: int) -> dict[str, frozenset[bytes]] | None:
-    """The words of each language that occur ``least`` times, if they fit into ``TOLD`` bytes; no other word can stand in a
-    phrase that does."""
-    frequent = words.where(F.col("c") >= least)
-    if (frequent.agg(F.sum(F.octet_length("s"))).first()[0] or 0) > TOLD:
-        return None
-    known: dict[str, set[bytes]] = {}
-    for (s,) in frequent.select("s").collect():
-        lang, word = s.rsplit("\t", 1)
-        known.setdefault(lang, set()).add(word[:-1].encode())
-    return {lang: frozenset(own) for lang, own in known.items()}
-
-
 def phrase_counts(docs: DataFrame, least: int = 100, max_n: int = 5, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """((lang, n), (lang, phrase, words, c)): the word occurrences of each language, and all phrases of 1 to ``max_n`` words that
     occur ``least`` times in it or more. A NULL text is empty, a NULL language ``und``.
 
     The words are counted first. They tell which first words are hot: the suffixes of these are dealt out by their first three
     words, all others by the first one. A count is then whole in one task, but for the pairs of hot words, which are added up.
-    They also tell which words are too rare for any phrase: suffixes end before these, as long as a list of the others fits
-    into ``TOLD`` bytes, and hold them where it doesn't; results are the same.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    held, block = HELD, BLOCK
+    held, made, block = HELD, MADE, BLOCK
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    words = staged(rows.mapInArrow(lambda batches: _counted(batches, lambda _, text: _words(text), held), _COUNTED).groupBy("s").agg(F.sum("c").alias("c")), "words")
+    counted = lambda n: rows.mapInArrow(lambda batches: _counted(batches, n, held, made), _COUNTED)
+    words = staged(counted(1).groupBy("s").agg(F.sum("c").alias("c")), "words")
     total = words.agg(F.sum("c")).first()[0] or 0
     hot = [r[0] for r in words.where(F.col("c") * HOT > F.lit(total)).select("s").collect()]  # fewer than HOT words
-    told = spark.sparkContext.broadcast(_told(words, least))
-    nothing: frozenset[bytes] = frozenset()
-    parts = lambda lang, text: _suffixes(text, max_n, None if told.value is None else told.value.get(lang, nothing))
-    suffixes = rows.mapInArrow(lambda batches: _counted(batches, parts, held), _COUNTED)
+    suffixes = counted(max_n)
     first = F.substring_index(F.substring_index("s", "\t", -1), " ", 1)
     lang = F.expr("substr(s, 1, length(s) - length(substring_index(s, '\t', -1)))")
     key = F.when(F.concat(lang, first, F.lit(" ")).isin(hot), F.substring_index(F.substring_index("s", "\t", -1), " ", 3)).otherwise(first) if hot else first
