@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 #: Pivots of a round: about evenly spaced distinct values.
 PIVOTS = 128
 
@@ -16,18 +18,23 @@ def exact_quantiles(rows: DataFrame, value: str, quantiles: Sequence[float], key
 
     NULLs and NaNs take no part; groups without other values have no rows, nor has an empty table. NULL keys are a group.
 
-    Rows are counted by group and value, and all else is done on these counts. The ranks asked for are narrowed down to the
-    values between two of ``PIVOTS`` pivots, ``rounds`` times; what is left, a part of about PIVOTS^-rounds of the group's
-    distinct values for every rank, is ordered. So no task holds a group's values, and one that many rows share is no
-    burden. The driver sees nothing.
+    Rows are counted by group and value, the counts are written to the shared folder, and all else is done on them. The
+    ranks asked for are narrowed down to the values between two of ``PIVOTS`` pivots, ``rounds`` times; what is left, a
+    part of about PIVOTS^-rounds of the group's distinct values for every rank, is ordered. So no task holds a group's
+    values, and one that many rows share is no burden. The driver sees nothing.
     """
+    x = F.col(value).cast("double")
+    counts = rows.where(x.isNotNull() & ~F.isnan(x)).groupBy(*keys, (x + F.lit(0.0)).alias("_x")).agg(F.count("*").alias("_c"))  # one zero
+    return quantiles_of_counts(staged(counts, "counts"), "_x", "_c", quantiles, keys, into, rounds)
+
+
+def quantiles_of_counts(counts: DataFrame, value: str, count: str, quantiles: Sequence[float], keys: Sequence[str] = (), into: str = "value", rounds: int = 2) -> DataFrame:
+    """``exact_quantiles`` of a table that has one row a group and value, which is read several times."""
     if not all(0 <= q <= 1 for q in quantiles):
         raise ValueError("a quantile lies between 0 and 1")
     names = [f"_k{i}" for i in range(len(keys))]
-    x = F.col(value).cast("double")
-    counts = rows.where(x.isNotNull() & ~F.isnan(x)).groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), (x + F.lit(0.0)).alias("x")).agg(F.count("*").alias("c"))  # one zero
-    group = F.xxhash64(F.to_json(F.struct(*names))) if names else F.lit(0).cast("long")  # dealt by one column; met by all
-    counts = counts.withColumn("g", group)
+    group = F.xxhash64(F.to_json(F.struct(*keys))) if names else F.lit(0).cast("long")  # dealt by one column; met by all
+    counts = counts.where(F.col(count) > 0).select(group.alias("g"), *(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col(value).alias("x"), F.col(count).alias("c"))
     sizes = counts.groupBy("g", *names).agg(F.sum("c").alias("n"))
     place = lambda q: F.lit(float(q)) * (F.col("n") - 1)
     asked = sizes.select("g", *names, "n", F.explode(F.array(*(F.struct(F.lit(float(q)).alias("q"), place(q).alias("at")) for q in quantiles))).alias("a")).select("g", *names, "n", "a.*")

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.windows import sdiv
-from .quantiles import quantile_table, with_counts_below
+from ..sources.staging import staged
+from .quantiles import quantiles_of_counts, with_counts_below
 
 #: Steps of the series and the continued fraction behind the normal distribution's tail; both are exact to a double.
 STEPS = 100
@@ -42,14 +43,15 @@ def mann_whitney(rows: DataFrame, label: str, value: str, keys: Sequence[str] =
     correction for ties and for continuity, and p is two-sided. Rows without a label or value (NULL or NaN) take no part;
     a group without rows of both labels has NULLs, and one whose values are all equal has no z and a p of 1.
 
-    All comes from the counts of distinct values, which are ordered in ranges: no task holds a group.
+    All comes from the counts of distinct values, which are written to the shared folder and ordered in ranges: no task
+    holds a group.
     """
     x, y = F.col(value).cast("double"), F.col(label).cast("int")
     keys = list(keys)
     rows = rows if keys else rows.withColumn("_all", F.lit(1))
     own = keys or ["_all"]
     usable = rows.where(x.isNotNull() & ~F.isnan(x) & y.isin(0, 1)).select(*own, (x + F.lit(0.0)).alias("_x"), y.alias("_y"))
-    counts = usable.groupBy(*own, "_x").agg(F.sum("_y").alias("_p"), F.sum(1 - F.col("_y")).alias("_q"))
+    counts = staged(usable.groupBy(*own, "_x").agg(F.sum("_y").alias("_p"), F.sum(1 - F.col("_y")).alias("_q")), "counts")
     below = with_counts_below(counts, "_x", {"_q": "_below"}, own)
     ties = F.col("_p") + F.col("_q")
     whole = lambda c: c.cast("double")
@@ -61,7 +63,8 @@ def mann_whitney(rows: DataFrame, label: str, value: str, keys: Sequence[str] =
     z = sdiv(F.greatest(F.col("u"), pairs - F.col("u")) - pairs / 2 - 0.5, spread)
     found = found.withColumn("_both", pairs > 0).withColumn("z", F.when(F.col("_both"), z)).withColumn("rank_biserial", F.when(F.col("_both"), 2 * F.col("u") / pairs - 1))
     found = found.withColumn("p_value", F.when(F.col("_both"), F.coalesce(two_sided(F.col("z")), F.lit(1.0)))).withColumn("u", F.when(F.col("_both"), F.col("u")))
-    medians = quantile_table(usable, "_x", {"median": 0.5}, [*own, "_y"]).groupBy(*own).agg(*(F.max(F.when(F.col("_y") == k, F.col("median"))).alias(f"median_{s}") for k, s in ((1, "pos"), (0, "neg"))))
+    by_label = counts.select(*own, "_x", F.explode(F.create_map(F.lit(1), "_p", F.lit(0), "_q")).alias("_y", "_c"))
+    medians = quantiles_of_counts(by_label, "_x", "_c", [0.5], [*own, "_y"]).groupBy(*own).agg(*(F.max(F.when(F.col("_y") == k, F.col("value"))).alias(f"median_{s}") for k, s in ((1, "pos"), (0, "neg"))))
     other = medians.withColumnsRenamed({k: f"_r{i}" for i, k in enumerate(own)})
     test = None
     for i, k in enumerate(own):
