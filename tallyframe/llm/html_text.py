@@ -3,7 +3,8 @@
 Each page's containers are scored by the text inside them, less that of links. The best one is the smallest that holds
 all real text of the page; it votes, with its score, for its generalised path (tags and classes without digits) on its
 host; votes are summed by host and path in Spark. Pages are then extracted again from the containers on their host's
-winning path, or, where a page has none, from its own best container.
+winning path, or, where a page has none, from its own best container. A winning path never takes away what the page's
+best container holds around it.
 """
 
 from __future__ import annotations
@@ -21,7 +22,13 @@ from .storage import free_names, staged
 
 #: Winning paths of up to so many hosts are broadcast; more are joined in ``SALTS`` parts a host.
 BROADCAST_HOSTS, SALTS = 50_000, 16
-_TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!?/?[A-Za-z?](?:[^<>"']++|"[^"<]*+"|'[^'<]*+'|["'])*+>|[^<]++|<""", re.S)
+# A quoted value follows an equals sign. It may hold a ">", and a "<" if the quote that ends it is followed by what may follow
+# a value; with a quote left open, a tag ends at its first ">". A tag has at most 16 values with a "<", so that no
+# sequence of tags that don't end is gone through more than so often.
+_VALUE = r"""=\s*+(?:"[^"<]*+"|'[^'<]*+'|(?!["']))"""
+_DEEP = r"""=\s*+(?:"[^"]*+"|'[^']*+')(?=[\s/>])"""
+_LOOSE = rf"""(?:[^<>"'=]++|["']|{_VALUE}|(?!{_DEEP})=)*+"""
+_TOKEN = re.compile(rf"""<!--.*?(?:--!?>|\Z)|<!?/?[A-Za-z?]{_LOOSE}(?:{_DEEP}{_LOOSE}){{0,16}}+>|[^<]++|<""", re.S)
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 #: Elements whose content is no text, and those that end only at their own end tag.
@@ -31,8 +38,9 @@ CONTAINERS = {"html", "body", "main", "article", "section", "div", "td", "center
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 BLOCKS = CONTAINERS | HEADINGS | {"p", "li", "ul", "ol", "dl", "dt", "dd", "pre", "blockquote", "table", "tbody", "thead", "tfoot", "tr", "th", "figure", "figcaption", "address", "hr", "summary", "details", "fieldset", "legend", "caption", "hgroup"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-#: Words of a class, id or role that mark boilerplate; and words that make such a name tell of a page's state or of what
-#: is beside the element. A name of several words marks by any of them.
+#: Words of a class, id or role that mark boilerplate; words that make such a name tell of a page's state or of what is beside
+#: the element; and words that may stand beside a mark. A name marks only as a whole: each of its words is a mark or one
+#: of the last kind, and one at least is a mark.
 STATES = {"has", "no", "not", "with", "without", "is", "are", "in", "enabled", "disabled", "open", "opened", "closed", "active", "inactive", "on", "off", "show", "shown", "above", "below", "left", "right", "wrap", "wrapper", "layout", "page", "grid", "row", "main", "content", "article", "body", "text"}
 MARKS = {
     "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "aside", "footer", "masthead", "topbar", "toolbar", "pagination", "pager", "skip",
@@ -41,6 +49,11 @@ MARKS = {
     "comment", "comments", "disqus", "reply", "replies", "respond", "share", "sharing", "social", "related", "recommended", "recommendations", "trending", "widget", "search", "searchform", "hidden",
     "contentinfo", "complementary", "alert", "alertdialog", "tooltip",
 }
+BESIDE = {
+    "site", "top", "bottom", "header", "head", "box", "bar", "block", "list", "lists", "link", "links", "item", "items", "container", "area", "section", "panel", "form", "forms", "button", "buttons", "btn", "icon", "icons", "media",
+    "post", "posts", "story", "stories", "articles", "news", "slot", "unit", "space", "global", "primary", "secondary", "mobile", "desktop", "inner", "outer", "group", "col", "column", "zone", "region", "holder", "thread", "count",
+    "feed", "js", "ui", "bottom", "floating", "sticky", "fixed", "user", "reader", "readers", "policy", "message", "messages", "us", "to", "the", "and", "a", "of", "more", "tools", "nested", "level", "sub", "first", "last",
+}
 _WORDS = re.compile(r"[a-z]+")
 #: Characters, but those of links, that make a block real text; the part of a page's score that an article or main has at
 #: least to be its text whatever stands outside; and the part of a page's text that no mark takes away.
@@ -65,7 +78,7 @@ def _marks(tag: str, found: dict[str, str]) -> bool:
         return False
     for name in " ".join(found.get(name, "") for name in ("class", "id", "role")).lower().split():
         words = _WORDS.findall(name)
-        if not MARKS.isdisjoint(words) and (len(words) == 1 or STATES.isdisjoint(words)):
+        if not MARKS.isdisjoint(words) and (len(words) == 1 or STATES.isdisjoint(words)) and all(w in MARKS or w in BESIDE for w in words):
             return True
     return False
 
@@ -203,13 +216,20 @@ def _inside(box: _Element | None, ends: set[int]) -> bool:
 
 
 def main_text(html: str, path: str | None) -> str:
-    """The text of the containers on ``path``, or of the best container where there is none; blocks joined by two \\n."""
+    """The text of the containers on ``path``, or of the best container where there is none; blocks joined by two \\n.
+
+    A path adds text or leads to another part of the page, and takes no real text away: where the page's best container
+    holds one on the path, and so what is real in and outside of it, its text is taken as well.
+    """
     blocks, containers = parse(html)
     if not blocks:
         return ""
-    chosen = {id(c) for c in containers if c.path == path} if path else set()
+    best, on_path = _best(containers), [c for c in containers if path and c.path == path]
+    chosen = {id(c) for c in on_path}
+    if any(_inside(c, {id(best)}) for c in on_path):
+        chosen.add(id(best))
     text = "\n\n".join(t for at, t in blocks if _inside(at, chosen)) if chosen else ""
-    return text or "\n\n".join(t for at, t in blocks if _inside(at, {id(_best(containers))}))
+    return text or "\n\n".join(t for at, t in blocks if _inside(at, {id(best)}))
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
