@@ -9,6 +9,7 @@ import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tallyframe.llm import decontaminate, html_text, language_id, packing, pii, queries, quality, topk
 from tallyframe.llm.language_id import declared_in, identified, train_languages
@@ -150,7 +151,7 @@ def test_disclosing_terms_equal_the_plain_counts(spark):
     rows += [(500, None), (None, "x@mail.example.com zzz")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.entity, r.term): (r.contexts, r.pmi, r.ic) for r in pii.disclosing_terms(docs).collect()}
-    word = re.compile(r"[^\W_]{4,}")
+    word, name = re.compile(r"[^\W_]{2,}"), regex.compile(pii.NAME)
     contexts, ids = {}, {}
     texts = {(k, t) for k, t in rows if k is not None and t is not None}
     for k, t in texts:
@@ -161,10 +162,14 @@ def test_disclosing_terms_equal_the_plain_counts(spark):
             near = tuple(dict.fromkeys(word.findall(f"{left} {right}".lower())))
             contexts.setdefault("0:" + m[0].lower(), []).append((k, near))
     n = len({k for k, _ in rows if k is not None})
-    dt = {}
+    dt, capital = {}, {}
     for k, t in texts:
         for w in set(word.findall(t.lower())):
             dt.setdefault(w, set()).add(k)
+        for w in {w.lower() for w in name.findall(t)}:
+            capital.setdefault(w, set()).add(k)
+    named = lambda w: 2 * len(capital.get(w, ())) > len(dt[w])
+    part = lambda w: sum(len(d) for v, d in dt.items() if named(v) == named(w) and len(d) <= len(dt[w])) / sum(map(len, dt.values()))
     want = {}
     for entity, found in contexts.items():
         de = len({k for k, _ in found})
@@ -174,7 +179,7 @@ def test_disclosing_terms_equal_the_plain_counts(spark):
             seen = len({near for _, near in found if w in near})
             both = len({k for k, near in found if w in near})
             pmi = np.log2(both * n / (len(dt[w]) * de))
-            if ic > 0 and pmi >= ic / pii.ALPHA and len(terms) * (len(dt[w]) / n) ** seen <= pii.CHANCE:
+            if ic > 0 and pmi >= ic / pii.ALPHA and len(terms) * part(w) * (len(dt[w]) / n) ** (seen - 1) <= pii.CHANCE:
                 want[entity, w] = (seen, pmi, ic)
     assert want and got.keys() == want.keys()
     assert all(got[k][0] == want[k][0] and got[k][1:] == pytest.approx(want[k][1:]) for k in want)
