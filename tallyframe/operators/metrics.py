@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import average_rank, sdiv, with_average_rank
+from ..sources.staging import staged
+from .quantiles import with_counts_below
 
 #: Units of capital: as many positions as may be open at once.
 CAPITAL = 10.0
@@ -77,16 +79,21 @@ def deciles(rows: DataFrame, score: str, value: str) -> DataFrame:
 
 
 def ranking(rows: DataFrame, label: str, score: str) -> DataFrame:
-    """One row: number, positive rate, ROC AUC by rank sum with ties averaged, and average precision (ties as one step)."""
-    usable = rows.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(F.col(label).cast("long").alias("y"), F.col(score).cast("double").alias("s"))
-    by_score = usable.groupBy("s").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
-    up = Window.partitionBy(F.lit(0)).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    runs = by_score.withColumns({"below": F.coalesce(F.sum(F.col("n") - F.col("p")).over(up), F.lit(0)), "n_top": F.sum("n").over(down), "p_top": F.sum("p").over(down)})
-    pos, neg = F.sum("p"), F.sum(F.col("n") - F.col("p"))
-    wins = F.sum(F.col("p") * (F.col("below") + (F.col("n") - F.col("p")) / 2))
-    return runs.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.round(sdiv(pos, F.sum("n")), 6).alias("positive_rate"), F.round(sdiv(wins, pos * neg), 6).alias("roc_auc"), F.round(sdiv(F.sum(F.col("p") * F.col("p_top") / F.col("n_top")), pos), 6).alias("average_precision")
+    """One row: number, positive rate, ROC AUC by rank sum with ties averaged, and average precision (ties as one step).
+
+    From the counts of distinct scores, which are written to the shared folder and summed up in ranges: no task orders all
+    scores."""
+    usable = rows.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(F.lit(0).alias("k"), F.col(label).cast("long").alias("y"), (F.col(score).cast("double") + F.lit(0.0)).alias("s"))
+    by_score = staged(usable.groupBy("k", "s").agg(F.count("*").alias("n"), F.sum("y").alias("p")).withColumn("q", F.col("n") - F.col("p")), "scores")
+    below = with_counts_below(by_score, "s", {"p": "p_below", "q": "q_below"}, ["k"])
+    whole = by_score.groupBy("k").agg(F.sum("p").alias("pos"), F.sum("q").alias("neg"))  # one row
+    p, q, above = F.col("p"), F.col("q"), F.col("pos") - F.col("p_below")
+    found = below.join(F.broadcast(whole), "k").agg(
+        F.max("pos").alias("pos"), F.max("neg").alias("neg"), F.sum(p * (F.col("q_below") + q / 2)).alias("wins"), F.sum(p * above / (above + F.col("neg") - F.col("q_below"))).alias("steps")
+    )
+    pos, neg = F.col("pos"), F.col("neg")
+    return found.select(
+        F.coalesce(pos + neg, F.lit(0)).alias("n"), F.round(sdiv(pos, pos + neg), 6).alias("positive_rate"), F.round(sdiv("wins", pos * neg), 6).alias("roc_auc"), F.round(sdiv("steps", pos), 6).alias("average_precision")
     )
 
 

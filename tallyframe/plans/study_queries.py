@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import ewm, scalars, windows
 from ..functions import indicators as ind
-from ..operators import armed, barriers, directional, outcomes, quantiles, rank_tests, rolling, selection
+from ..operators import armed, barriers, directional, matching, outcomes, pool, quantiles, rank_tests, rolling, selection
+from ..sources import records as from_records
 from ..streaming import book
 from .oracles import _BASE, _POOL, BARS, _lag, _r
+from .table_queries import _boxes
 from .queries import COST, GAP, HORIZON, WARMUP, _bars, _dense, _rounded, _signals, _table
 
 _BOOK = book.Rules(slots=2, hours=18.0, losses=2, minutes=30.0)
@@ -167,9 +169,33 @@ def tiered_months(spark, d):
     return rolling.monthly_metrics(both, "net", ["id"], ("fit", "size"))
 
 
+_PINNED = ("7", "3", "999999", "11")
+
+
+def ranked_pool(spark, d):
+    """Customers as tickers: pinned ones, most volume, gains and losses of the liquid, thirty at most."""
+    k = F.col("c_custkey")
+    tickers = _table(spark, d, "customer").select(k.cast("string").alias("symbol"), (F.col("c_acctbal") / 100).alias("change"), (k * 7919 % 10007).cast("double").alias("volume"))
+    return pool.scan_pool(tickers, _PINNED, 10, 12, 5000.0, most=30)
+
+
+def results_flattened(spark, d):
+    """Result files made of the customers of each nation, as a list, an object with a list, or an object without one."""
+    item = F.struct(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("segment"), F.struct(F.col("c_nationkey").alias("n")).alias("deep"))
+    of = _table(spark, d, "customer").groupBy("c_nationkey").agg(F.sort_array(F.collect_list(item)).alias("rows"))
+    n = F.col("c_nationkey")
+    text = F.when(n % 3 == 0, F.to_json("rows")).when(n % 3 == 1, F.to_json(F.struct(n.alias("nation"), F.lit("own").alias("segment"), F.array(n).alias("left_out"), F.col("rows").alias("runs")))).otherwise(F.to_json(F.struct(n.alias("nation"), F.size("rows").alias("size"))))
+    return from_records.flattened(of.select("c_nationkey", text.alias("text")), "text", "c_nationkey")
+
+
+def boxes_disagreement(spark, d):
+    """What the moved boxes made of the parts' own."""
+    return matching.disagreement(*_boxes(spark, d))[1]
+
+
 STUDY_QUERIES = {
     f.__name__: f
-    for f in (means_over_gaps, live_book, value_quantiles, armed_grid, armed_config, direction_hits, takeable_signals, direction_summary, excursion_rank_tests, rolling_weights, rolling_months, tiered_months)
+    for f in (means_over_gaps, live_book, value_quantiles, armed_grid, armed_config, direction_hits, takeable_signals, direction_summary, excursion_rank_tests, rolling_weights, rolling_months, tiered_months, ranked_pool, results_flattened, boxes_disagreement)
 }
 
 _ARMED = f"""{_BASE},
@@ -335,4 +361,39 @@ select tier, strftime(month, '%Y-%m') as month, variant, n as n_train, last_clos
     "tiered_months": f"""with {_CLOSED}, {_monthly('sized', chr(39) + 'all' + chr(39), '_p')}, {_monthly('sized', 'size', '_t')},
 fits as (select 'pooled' as fit, * from scored_p union all select 'tiered', * from scored_t)
 {_metrics("(select * from fits where variant = 'both' and month >= date '1996-02-01')", 'fit, size')}""",
+    "ranked_pool": f"""
+with t as (select c_custkey::varchar as symbol, c_acctbal / 100 as change, (c_custkey * 7919 % 10007)::double as volume from customer where c_acctbal is not null),
+listed as (
+  select symbol, 0 as s, list_position({list(_PINNED)}, symbol) as rank from t where symbol in {_PINNED}
+  union all select * from (select symbol, 1, row_number() over (order by volume desc, symbol) as rank from t where symbol not in {_PINNED}) where rank <= 10
+  union all select * from (select symbol, 2, row_number() over (order by change desc, symbol) as rank from t where volume >= 5000) where rank <= 12
+  union all select * from (select symbol, 3, row_number() over (order by change, symbol) as rank from t where volume >= 5000) where rank <= 12),
+once as (select * from listed qualify row_number() over (partition by symbol order by s) = 1)
+select symbol, ['major', 'volume', 'gain', 'loss'][s + 1] as side, rank::int as rank, change, volume from once join t using (symbol) order by s, rank limit 30""",
+    "results_flattened": """
+with c as (select *, row_number() over (partition by c_nationkey order by c_custkey) - 1 as i, count(*) over (partition by c_nationkey) as size from customer),
+rows as (
+  select c_nationkey, i::int as row_index, unnest(['k', 'segment', 'deep']) as name, unnest([c_custkey::varchar, c_mktsegment, '{"n":' || c_nationkey || '}']) as value from c where c_nationkey % 3 < 2
+  union all select c_nationkey, i::int, 'nation', c_nationkey::varchar from c where c_nationkey % 3 = 1
+  union all select distinct c_nationkey, null, 'nation', c_nationkey::varchar from c where c_nationkey % 3 = 2
+  union all select distinct c_nationkey, null, 'size', size::varchar from c where c_nationkey % 3 = 2)
+select * from rows""",
+    "boxes_disagreement": """
+with recursive base as (select p_partkey % 40 as image, p_partkey as id, p_size / 60.0::double as cx, p_retailprice % 97 / 100 as cy, 0.2::double as w, 0.3::double as h from part),
+moved as (select image, id, cx + (id % 7 - 3) / 40.0::double as cx, cy, w, h from base),
+met as (
+  select a.image, a.id as r, b.id as o, b.cx - a.cx as shift, greatest(least(a.cx + a.w / 2, b.cx + b.w / 2) - greatest(a.cx - a.w / 2, b.cx - b.w / 2), 0) * greatest(least(a.cy + a.h / 2, b.cy + b.h / 2) - greatest(a.cy - a.h / 2, b.cy - b.h / 2), 0) as both_, a.w * a.h + b.w * b.h as area
+  from base a join moved b using (image)),
+near as (select image, r, o, shift, both_ / (area - both_) as iou from met where both_ / (area - both_) >= 0.3),
+queue as (select image, r, row_number() over (partition by image order by r) as k from (select distinct image, r from near)),
+chosen as (
+  select distinct image, 0::bigint as k, []::bigint[] as taken, null::struct(o bigint, iou double, shift double) as pick from queue
+  union all
+  select image, k, case when pick is null then taken else list_append(taken, pick.o) end, pick from (
+    select c.image, q.k, c.taken, (select {'o': n.o, 'iou': n.iou, 'shift': n.shift} from near n where n.image = q.image and n.r = q.r and not list_contains(c.taken, n.o) order by n.iou desc, n.o limit 1) as pick
+    from chosen c join queue q on q.image = c.image and q.k = c.k + 1)),
+picks as (select image, pick.iou as iou, pick.shift as shift from chosen where pick is not null),
+sizes as (select image, count(*) as n, (select count(*) from picks p where p.image = b.image and p.iou >= 0.8) as a, (select count(*) from picks p where p.image = b.image and p.iou < 0.8) as r from base b group by image)
+select sum(n)::bigint as rule_boxes, sum(n)::bigint as owner_boxes, sum(a)::bigint as accepted, sum(r)::bigint as reshaped, sum(n - a - r)::bigint as deleted, sum(n - a - r)::bigint as added, round(sum(a) / sum(n), 4) as accept_rate, round(sum(n - a - r) / sum(n), 4) as delete_rate,
+  case when sum(r) > 0 then 1.0 end as median_width_ratio, (select round(avg(shift), 4) from picks where iou < 0.8) as mean_x_shift, count(*) filter (a < n) as images_changed from sizes""",
 }

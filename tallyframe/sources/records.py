@@ -68,3 +68,44 @@ def coverage(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def fingerprint(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, sha256) of each file."""
     return spark.read.format("binaryFile").load(paths).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+#: Keys under which a result file may keep its rows, in the order in which they are looked for.
+ROW_KEYS = ("results", "runs", "items", "configs")
+
+
+def flattened(files: DataFrame, text: str, *keys: str) -> DataFrame:
+    """(keys, row_index, name, value): the rows of JSON files of no common shape, one line a row and field, values as text.
+
+    A list has a row for each item. An object with a list that isn't empty under one of ``ROW_KEYS`` has a row for each of
+    that list's items, with the object's own scalars beside the item's fields, which count where names are equal; any
+    other object is one row without an index. Items and files that aren't objects have one field, ``value``; an empty
+    list has ``_empty``. Objects and lists as values are JSON texts, nulls are NULL; texts that aren't JSON give no rows.
+    """
+    spark = files.sparkSession
+    v = files.select(*keys, F.try_parse_json(F.col(text)).alias("v")).where("v is not null")
+    kind = lambda c: F.schema_of_variant(c)
+    at = lambda path: F.try_variant_get("v", path, "variant")
+    listed = None
+    for k in reversed(ROW_KEYS):
+        one = F.when(kind(at(f"$.{k}")).startswith("ARRAY") & at(f"$.{k}[0]").isNotNull(), F.lit(k))
+        listed = one if listed is None else F.coalesce(one, listed)
+    shaped = v.withColumn("kind", kind("v")).withColumn("under", F.when(F.col("kind").startswith("OBJECT"), listed))
+    rows = F.when(F.col("kind").startswith("ARRAY"), F.col("v"))
+    for k in ROW_KEYS:
+        rows = rows.when(F.col("under") == k, at(f"$.{k}"))
+    shaped = shaped.withColumn("rows", rows)
+    lone = shaped.where("rows is null").select(*keys, F.lit(None).cast("int").alias("row_index"), F.col("v").alias("item"), F.lit(None).cast("variant").alias("base"))
+    many = shaped.where("rows is not null").select(*keys, F.when(F.col("under").isNotNull(), F.col("v")).alias("base"), "rows")
+    split = many.lateralJoin(spark.tvf.variant_explode_outer(F.col("rows").outer()))
+    split = split.select(*keys, F.col("pos").cast("int").alias("row_index"), F.col("value").alias("item"), "base")
+    each = split.unionByName(lone)
+
+    is_object = F.coalesce(kind("item").startswith("OBJECT"), F.lit(False))
+    own = each.where(is_object).select(*keys, "row_index", "item").lateralJoin(spark.tvf.variant_explode(F.col("item").outer())).select(*keys, "row_index", F.col("key").alias("name"), "value", F.lit(0).alias("from"))
+    plain = each.where(~is_object).select(*keys, "row_index", F.when(F.col("item").isNull(), "_empty").otherwise("value").alias("name"), F.coalesce("item", F.parse_json(F.lit("true"))).alias("value"), F.lit(0).alias("from"))
+    base = each.where("base is not null").select(*keys, "row_index", "base").lateralJoin(spark.tvf.variant_explode(F.col("base").outer())).select(*keys, "row_index", F.col("key").alias("name"), "value", F.lit(1).alias("from"))
+    base = base.where(~(kind("value").startswith("ARRAY") | kind("value").startswith("OBJECT")))
+    nested = kind("value").startswith("ARRAY") | kind("value").startswith("OBJECT")
+    shown = own.unionByName(plain).unionByName(base).withColumn("value", F.when(nested, F.to_json("value")).otherwise(F.try_variant_get("value", "$", "string")))
+    return shown.groupBy(*keys, "row_index", "name").agg(F.min_by("value", "from").alias("value"))

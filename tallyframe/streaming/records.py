@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEYS = ("source", "symbol", "signal_time")
@@ -44,14 +45,35 @@ def unseen(rows: DataFrame, keys: list[str], time: str, late: str = "2 hours") -
     return rows.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def into_log(path: str, keys: tuple[str, ...] = KEYS, closed: str = "closed", once: tuple[str, ...] = ()) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: merges each batch into versions of a log under ``path``. A batch that runs again writes the same
-    version again, so restarts change nothing."""
+def read_log(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """A log that ``into_log`` keeps: of every day the last version, or the last one ``before`` a number. None without any.
+    Columns are those of the log and ``day``."""
+    try:
+        held = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    held = held if before is None else held.where(F.col("version") < before)
+    last = held.groupBy("day").agg(F.max("version").alias("version"))  # one row a day, from the folders' names
+    return held.join(F.broadcast(last), ["day", "version"]).drop("version")
+
+
+def into_log(path: str, keys: tuple[str, ...] = KEYS, closed: str = "closed", once: tuple[str, ...] = (), time: str = "signal_time") -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: merges each batch into a log under ``path``, which ``read_log`` reads.
+
+    The log is kept by the day of ``time``, and a batch writes new versions of the days that it has rows of, from the last
+    versions before it; all other days stay as they are. A batch that runs again writes the same versions again, so
+    restarts change nothing. Rows without a time are one day; columns called ``day`` and ``version`` aren't allowed.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = f"{path}/version={number - 1}"
-        held = spark.read.parquet(before) if number else spark.createDataFrame([], batch.schema)
-        merged(held, batch, keys, closed, once).write.mode("overwrite").parquet(f"{path}/version={number}")
+        day = F.concat(F.lit("d"), F.coalesce(F.date_format(time, "yyyyMMdd"), F.lit("none"))).alias("day")  # read back as a text
+        fresh = batch.select("*", day)
+        held = read_log(batch.sparkSession, path, number)
+        if held is None:
+            held = fresh.limit(0)
+        touched = held.join(F.broadcast(fresh.select("day").distinct()), "day", "left_semi").select(fresh.columns)
+        merged(touched, fresh, keys, closed, once).write.mode("overwrite").partitionBy("day").parquet(f"{path}/version={number}")
 
     return put
