@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import ewm, scalars, windows
 from ..functions import indicators as ind
-from ..operators import armed, barriers, directional, matching, outcomes, pool, quantiles, rank_tests, rolling, selection
+from ..operators import armed, barriers, directional, matching, outcomes, pool, quantiles, rank_tests, rolling, rule_grid, selection
 from ..sources import records as from_records
+from ..sources.staging import staged
 from ..streaming import book
 from .oracles import _BASE, _POOL, BARS, _lag, _r
 from .table_queries import _boxes
@@ -193,9 +194,35 @@ def boxes_disagreement(spark, d):
     return matching.disagreement(*_boxes(spark, d))[1]
 
 
+_SCALES, _MIN_BARS, _MAX_BARS, _WEEK = (0.5, 0.6, 0.7, 0.8, 0.9, 1.0), (5, 8, 12), (12, 20, 40), 168
+_FAST_LIMITS, _FULL_LIMITS = [round(0.008 * x, 6) for x in _SCALES], [round(0.02 * x, 6) for x in _SCALES]
+
+
+def _weeks(spark, d):
+    return ind.with_indicators(_bars(spark, d)).withColumn("week", F.floor(F.col("bar_i") / _WEEK).cast("int"))
+
+
+def rule_grid_segments(spark, d):
+    """Dense segments of every cell of a grid of 324 rules, in windows of a week of bars."""
+    return rule_grid.swept_segments(_weeks(spark, d), ["symbol", "week"], _FAST_LIMITS, _FULL_LIMITS, _MIN_BARS, _MAX_BARS)
+
+
+def rule_grid_fit(spark, d):
+    """The five cells whose boxes meet known ones best on the first two weeks, and what they reach on the others. Known are the
+    boxes of one rule, a bar longer on either side."""
+    weeks = staged(_weeks(spark, d), "weeks")
+    keys, averages = ["symbol", "week"], [f"ema{n}" for n in ind.SPANS]
+    part = F.when(F.col("week") < 2, "fit").otherwise("hold").alias("part")
+    found = staged(rule_grid.swept_segments(weeks, keys, _FAST_LIMITS, _FULL_LIMITS, _MIN_BARS, _MAX_BARS), "segments")
+    known = rule_grid.swept_segments(weeks, keys, [0.0065], [0.017], [6], [16]).withColumn("start_i", F.col("start_i") - 1).withColumn("end_i", F.col("end_i") + 1)
+    boxes = lambda some: staged(rule_grid.boxed(some, weeks, keys, averages).select("*", part), "boxes")
+    scores = staged(rule_grid.cell_scores(boxes(found), boxes(known), keys, "part"), "scores")
+    return rule_grid.best_cells(scores, "part", "fit")
+
+
 STUDY_QUERIES = {
     f.__name__: f
-    for f in (means_over_gaps, live_book, value_quantiles, armed_grid, armed_config, direction_hits, takeable_signals, direction_summary, excursion_rank_tests, rolling_weights, rolling_months, tiered_months, ranked_pool, results_flattened, boxes_disagreement)
+    for f in (means_over_gaps, live_book, value_quantiles, armed_grid, armed_config, direction_hits, takeable_signals, direction_summary, excursion_rank_tests, rolling_weights, rolling_months, tiered_months, ranked_pool, results_flattened, boxes_disagreement, rule_grid_segments, rule_grid_fit)
 }
 
 _ARMED = f"""{_BASE},
@@ -396,4 +423,15 @@ picks as (select image, pick.iou as iou, pick.shift as shift from chosen where p
 sizes as (select image, count(*) as n, (select count(*) from picks p where p.image = b.image and p.iou >= 0.8) as a, (select count(*) from picks p where p.image = b.image and p.iou < 0.8) as r from base b group by image)
 select sum(n)::bigint as rule_boxes, sum(n)::bigint as owner_boxes, sum(a)::bigint as accepted, sum(r)::bigint as reshaped, sum(n - a - r)::bigint as deleted, sum(n - a - r)::bigint as added, round(sum(a) / sum(n), 4) as accept_rate, round(sum(n - a - r) / sum(n), 4) as delete_rate,
   case when sum(r) > 0 then 1.0 end as median_width_ratio, (select round(avg(shift), 4) from picks where iou < 0.8) as mean_x_shift, count(*) filter (a < n) as images_changed from sizes""",
+    "rule_grid_segments": f"""{_BASE},
+limits as (select f as fast_limit, u as full_limit from unnest({_FAST_LIMITS}::double[]) as a(f), unnest({_FULL_LIMITS}::double[]) as b(u)),
+hits as (select symbol, (bar_i // {_WEEK})::int as week, bar_i, fast_limit, full_limit from enriched, limits where fast_spread <= fast_limit and full_spread <= full_limit),
+marked as (select *, case when bar_i - lag(bar_i) over w > 4 then 1 else 0 end as new from hits window w as (partition by symbol, week, fast_limit, full_limit order by bar_i)),
+counted as (select *, sum(new) over (partition by symbol, week, fast_limit, full_limit order by bar_i) as s from marked),
+runs as (select symbol, week, fast_limit, full_limit, min(bar_i) as a, max(bar_i) as z, max(bar_i) - min(bar_i) + 1 as n from counted group by symbol, week, fast_limit, full_limit, s),
+ahead as (
+  {' union all '.join(f"select symbol, (bar_i // {_WEEK})::int as week, bar_i, {m} as m, avg(full_spread) over (partition by symbol, bar_i // {_WEEK} order by bar_i rows between current row and {m - 1} following) as mean from enriched" for m in _MAX_BARS)}),
+best as (select r.symbol, r.week, r.a, r.z, m.m, arg_min(m.bar_i, (m.mean, m.bar_i)) as at from (select distinct symbol, week, a, z, n from runs) r join ahead m on m.symbol = r.symbol and m.week = r.week and r.n > m.m and m.bar_i >= r.a and m.bar_i + m.m - 1 <= r.z group by all)
+select r.symbol, r.week, r.fast_limit, r.full_limit, x.min_bars, y.max_bars, coalesce(b.at, r.a) as start_i, coalesce(b.at + y.max_bars - 1, r.z) as end_i
+from runs r join unnest({list(_MIN_BARS)}) as x(min_bars) on r.n >= x.min_bars cross join unnest({list(_MAX_BARS)}) as y(max_bars) left join best b on b.symbol = r.symbol and b.week = r.week and b.a = r.a and b.z = r.z and b.m = y.max_bars""",
 }
