@@ -36,6 +36,8 @@ WINDOW = 64
 CHANCE, ALPHA = 0.05, 1.25
 #: Words that can be terms, and those written like names: with a capital, though not at the start of a sentence.
 WORD, NAME = r"[\p{L}\p{N}]{2,}", r"\p{Lu}(?<=[\p{Ll}\p{N},;] .)[\p{L}\p{N}]++"
+#: Letters from which on a word can be a term however it is written; shorter ones must be written like names.
+SHORT = 4
 #: Words in more documents than this count as this common.
 COMMON = 4096
 #: Elements of an array, and code points of a text, that are gone through at once.
@@ -156,7 +158,8 @@ def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     words of the corpus, each counted once a document, let r be those written like the term and in as many documents or
     fewer, as a part of all. By chance, of ``near`` terms near the entity, near * r are such words, and near * r *
     (dt / n) ** (contexts - 1) stand in all its ``contexts``, of dt of n documents with the term; that must be at most
-    ``chance``. So a word that occurs once is no evidence in a corpus that is full of such words.
+    ``chance``. So a word that occurs once is no evidence in a corpus that is full of such words. Words of fewer than
+    ``SHORT`` letters or digits count only if they are written like names.
     """
     return _disclosing(docs, _contexts(docs, id_col, text_col), id_col, text_col, chance, alpha)
 
@@ -199,7 +202,8 @@ def _disclosing(docs: DataFrame, contexts: DataFrame, id_col: str, text_col: str
     known = pairs.join(counts.withColumn("rare", rare), "term").join(F.broadcast(parts), ["named", "rare"])
     expected = F.col("near") * F.col("part") * F.pow(F.col("dt") / F.lit(total), F.col("contexts") - 1)
     pmi = F.log2(F.col("both") * F.lit(total) / (F.col("dt") * F.col("de")))
-    said = known.where(expected <= chance).select("entity", "term", "contexts", pmi.alias("pmi"), ic.alias("ic"))
+    long_enough = (F.length("term") >= SHORT) | F.col("named")
+    said = known.where((expected <= chance) & long_enough).select("entity", "term", "contexts", pmi.alias("pmi"), ic.alias("ic"))
     return staged(said.where(F.col("pmi") >= F.col("ic") / alpha), "disclosing")
 
 
