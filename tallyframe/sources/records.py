@@ -72,6 +72,8 @@ def fingerprint(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 #: Keys under which a result file may keep its rows, in the order in which they are looked for.
 ROW_KEYS = ("results", "runs", "items", "configs")
+#: Tasks that files are dealt to: one may hold more rows than Spark can tell by its bytes.
+FILE_PARTS = 32
 
 
 def flattened(files: DataFrame, text: str, *keys: str) -> DataFrame:
@@ -81,9 +83,14 @@ def flattened(files: DataFrame, text: str, *keys: str) -> DataFrame:
     that list's items, with the object's own scalars beside the item's fields, which count where names are equal; any
     other object is one row without an index. Items and files that aren't objects have one field, ``value``; an empty
     list has ``_empty``. Objects and lists as values are JSON texts, nulls are NULL; texts that aren't JSON give no rows.
+
+    Files are dealt to ``FILE_PARTS`` tasks. Of a file with a list only the object's scalars go beside each item, never
+    the file itself, so work grows with the rows that come out. Spark parses texts of less than 128 MB; a larger one is an
+    error, not a file without rows.
     """
     spark = files.sparkSession
-    v = files.select(*keys, F.try_parse_json(F.col(text)).alias("v")).where("v is not null")
+    parsed = F.when(F.octet_length(text) < 1 << 27, F.try_parse_json(F.col(text))).otherwise(F.parse_json(F.col(text)))
+    v = files.select(*keys, parsed.alias("v")).repartition(FILE_PARTS).where("v is not null")
     kind = lambda c: F.schema_of_variant(c)
     at = lambda path: F.try_variant_get("v", path, "variant")
     listed = None
@@ -95,17 +102,17 @@ def flattened(files: DataFrame, text: str, *keys: str) -> DataFrame:
     for k in ROW_KEYS:
         rows = rows.when(F.col("under") == k, at(f"$.{k}"))
     shaped = shaped.withColumn("rows", rows)
-    lone = shaped.where("rows is null").select(*keys, F.lit(None).cast("int").alias("row_index"), F.col("v").alias("item"), F.lit(None).cast("variant").alias("base"))
-    many = shaped.where("rows is not null").select(*keys, F.when(F.col("under").isNotNull(), F.col("v")).alias("base"), "rows")
-    split = many.lateralJoin(spark.tvf.variant_explode_outer(F.col("rows").outer()))
-    split = split.select(*keys, F.col("pos").cast("int").alias("row_index"), F.col("value").alias("item"), "base")
+    lone = shaped.where("rows is null").select(*keys, F.lit(None).cast("int").alias("row_index"), F.col("v").alias("item"))
+    many = shaped.where("rows is not null").select(*keys, "rows")
+    split = many.lateralJoin(spark.tvf.variant_explode_outer(F.col("rows").outer())).select(*keys, F.col("pos").cast("int").alias("row_index"), F.col("value").alias("item"))
     each = split.unionByName(lone)
 
     is_object = F.coalesce(kind("item").startswith("OBJECT"), F.lit(False))
     own = each.where(is_object).select(*keys, "row_index", "item").lateralJoin(spark.tvf.variant_explode(F.col("item").outer())).select(*keys, "row_index", F.col("key").alias("name"), "value", F.lit(0).alias("from"))
     plain = each.where(~is_object).select(*keys, "row_index", F.when(F.col("item").isNull(), "_empty").otherwise("value").alias("name"), F.coalesce("item", F.parse_json(F.lit("true"))).alias("value"), F.lit(0).alias("from"))
-    base = each.where("base is not null").select(*keys, "row_index", "base").lateralJoin(spark.tvf.variant_explode(F.col("base").outer())).select(*keys, "row_index", F.col("key").alias("name"), "value", F.lit(1).alias("from"))
-    base = base.where(~(kind("value").startswith("ARRAY") | kind("value").startswith("OBJECT")))
+    last = F.size(F.try_variant_get("rows", "$", "array<variant>")) - 1
+    base = shaped.where("under is not null").select(*keys, "v", last.alias("last")).lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(*keys, "last", F.col("key").alias("name"), "value")
+    base = base.where(~(kind("value").startswith("ARRAY") | kind("value").startswith("OBJECT"))).select(*keys, F.explode(F.sequence(F.lit(0), F.col("last"))).alias("row_index"), "name", "value", F.lit(1).alias("from"))
     nested = kind("value").startswith("ARRAY") | kind("value").startswith("OBJECT")
     shown = own.unionByName(plain).unionByName(base).withColumn("value", F.when(nested, F.to_json("value")).otherwise(F.try_variant_get("value", "$", "string")))
     return shown.groupBy(*keys, "row_index", "name").agg(F.min_by("value", "from").alias("value"))
