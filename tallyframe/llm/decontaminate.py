@@ -347,6 +347,7 @@ def _matches(terms, first, items, idf, spaces, rows_of, square) -> Iterator[tupl
             cosine = own @ space.latent.T / length
             for p, j in zip(*np.nonzero(cosine >= np.minimum(COSINE, HELD * space.lengths[None, :] / length)), strict=True):
                 near.setdefault((int(docs[some[p]]), int(space.items[j])), []).append((int(start[some[p]]), int(stop[p]), float(cosine[p, j])))
+    marks = np.zeros(len(idf), bool)
     for (d, i), found in near.items():
         item, weight = items.terms[i], idf[items.terms[i]]
         reach = len(item)
@@ -354,7 +355,7 @@ def _matches(terms, first, items, idf, spaces, rows_of, square) -> Iterator[tupl
         for a, z, cosine in [*sorted(found), (None, None, None)]:
             if begin is not None and (a is None or a > end + reach):
                 text = terms[max(int(first[d]), begin - reach) : min(int(first[d + 1]), end + reach)]
-                share, there = _settled(item, weight, text, idf)
+                share, there = _settled(item, weight, text, idf, marks)
                 if share >= COPY or share >= PARAPHRASE and there:
                     yield d, int(items.ids[i]), best, share, there
                 begin = None
@@ -362,16 +363,20 @@ def _matches(terms, first, items, idf, spaces, rows_of, square) -> Iterator[tupl
                 begin, end, best = (a, z, cosine) if begin is None else (begin, max(end, z), max(best, cosine))
 
 
-def _settled(item: np.ndarray, weight: np.ndarray, text: np.ndarray, idf: np.ndarray) -> tuple[float, bool]:
-    """The part of an item's weight that stands in a text in order, and whether its answer is there."""
+def _settled(item: np.ndarray, weight: np.ndarray, text: np.ndarray, idf: np.ndarray, marks: np.ndarray) -> tuple[float, bool]:
+    """The part of an item's weight that stands in a text in order, and whether its answer is there. ``marks`` has a False
+    for every term, before and after."""
     if len(item) < LEAST_WORDS:
         whole = len(text) >= len(item) and bool((np.lib.stride_tricks.sliding_window_view(text, len(item)) == item).all(axis=1).any())
         return float(whole), whole
-    if weight[np.isin(item, text)].sum() < PARAPHRASE * weight.sum():
+    marks[text] = True
+    there = marks[item]
+    marks[text] = False
+    if weight[there].sum() < PARAPHRASE * weight.sum():
         return 0.0, False  # no more can be common in order than at all
     share = common_weight(item, text, idf)
     answer = item[-ANSWER:]
-    return share, bool(idf[answer[np.isin(answer, text)]].sum() >= ANSWERED * idf[answer].sum())
+    return share, bool(idf[answer[there[-ANSWER:]]].sum() >= ANSWERED * idf[answer].sum())
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
