@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import free_names, staged
+from .storage import free_names, small_batches, staged
 from .textarrays import give_back, lean, pieces
 
 #: Labelled rows that the text models are fitted on at most, those with the smallest hashed ids.
 TRAIN_ROWS = 8_000
+#: Rows that a Python worker gets at a time, so that what it holds doesn't grow with the table.
+BATCH_ROWS = 1_000
 #: Byte classes of the trigrams: a-z, everything but letters, and the bytes of other alphabets folded into the rest.
 _CODES = 64
 _CODE = np.zeros(256, np.uint32)
@@ -68,6 +70,7 @@ def train_languages(docs: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_
 
     Rows without id, text or label are left out. The table of counts has at most 64 ** 3 rows a language.
     """
+    small_batches(docs.sparkSession, BATCH_ROWS)
     usable = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows_ = usable.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     picked = rows_.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(rows)
@@ -97,6 +100,7 @@ def train_languages(docs: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_
 
 def _likelihoods(docs: DataFrame, model: LanguageModel, text: str) -> Column:
     """For each row's text the tempered log likelihood of each language, the best one's being 0; null without letters."""
+    small_batches(docs.sparkSession, BATCH_ROWS)
     table = docs.sparkSession.sparkContext.broadcast(model.table)
 
     def each(column: pa.Array) -> pa.Array:
