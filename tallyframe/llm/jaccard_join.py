@@ -1,6 +1,7 @@
 """N-gram Jaccard self-join by vertical partitioning, and the groups of documents that its links connect.
 
-All word shingles stand in one global order: rare ones by hash, frequent ones last. Two sets that reach the
+All word shingles stand in one global order: rare ones by hash, frequent ones last, so that a passage which many
+documents hold doesn't bring each to all others. Two sets that reach the
 threshold must share a shingle within their first ``n - ceil(t * n) + 1`` ones, so only these are dealt out by
 shingle. The order is then cut into fragments; the overlap of a candidate pair is counted in each fragment
 separately and the partial counts are summed per pair. Documents with equal sets form one class, represented
@@ -24,7 +25,10 @@ from .storage import discard, staged
 from .textarrays import lean, mix64, pieces, shingle_sets, word_hashes, word_spans
 
 #: Shingles that each task reports, and that all tasks together keep, as frequent. They only shape the order.
-FREQUENT_PER_TASK, FREQUENT = 4096, 65536
+FREQUENT_PER_TASK, FREQUENT = 4096, 1 << 18
+#: Of shingles below this hash, those that come first in the order, all are counted, in parts of ``1 << PART_BITS`` hashes. What
+#: is counted, and looked up, is told apart by all but the last ``QUANTUM`` bits.
+COUNTED, PART_BITS, QUANTUM = 3 << 61, 54, np.uint64(22)
 #: Tables of numbers of up to so many bytes, eight a number, are broadcast; larger ones are shuffled.
 BROADCAST_BYTES = 2 << 20
 #: Rows whose sets a task holds at a time, numbers of shingles that it counts together, and sets that it knows again.
@@ -58,21 +62,31 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _classes(words: int):
-    """Rows (0, id, size, node) of documents, and (1, shingle, count, null) of the task's frequent shingles."""
+    """Rows (0, id, size, node) of documents, (1, shingle, count, null) of the task's frequent shingles, and (2, part, count,
+    null, numbers) of all shingles that are counted. Each set that the task knows again counts once."""
+    names = ["kind", "id", "n", "node", "low"]
 
     def run(batches):
         kept, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         pool, held, seen = [], 0, set()
 
         def settle(pool):
+            """The shingles to be counted, sorted, without the bits that tell the part and the last ones."""
             nonlocal kept, counts
-            u, c = np.unique(np.concatenate([*pool, kept]), return_counts=True)
+            u = np.sort(np.concatenate(pool))
+            until = np.searchsorted(u, np.uint64(COUNTED))
+            part, low = u[:until] >> np.uint64(PART_BITS), (u[:until] >> QUANTUM).astype(np.uint32)
+            u, c = np.unique(np.concatenate([u[until:], kept]), return_counts=True)
             if len(kept):
                 c[np.searchsorted(u, kept)] += counts - 1
             top = np.flatnonzero(c > 2)
             top = top[np.argsort(-c[top], kind="stable")[:FREQUENT_PER_TASK]]
             top.sort()
             kept, counts = u[top], c[top]
+            parts, at = np.unique(part, return_index=True)
+            sizes = np.diff(np.append(at, until))
+            low = pa.BinaryArray.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(np.append(at, until).astype(np.int32) * np.int32(4)), pa.py_buffer(low)])
+            return pa.RecordBatch.from_arrays([pa.array([2] * len(parts), pa.int32()), pa.array(parts.astype(np.int64)), pa.array(sizes.astype(np.int64)), pa.nulls(len(parts), pa.int64()), low], names)
 
         for batch in _blocks(batches):
             ids, sizes, nodes = [], [], []
@@ -86,26 +100,41 @@ def _classes(words: int):
                     pool.append(u)
                     held += len(u)
                     if held > POOL:
-                        settle(pool)
+                        yield settle(pool)
                         pool, held = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], ["kind", "id", "n", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(len(ids), pa.binary())], names)
         if pool:
-            settle(pool)
+            yield settle(pool)
         if len(kept):
-            yield pa.RecordBatch.from_arrays([pa.array([1] * len(kept), pa.int32()), pa.array(kept.astype(np.int64)), pa.array(counts), pa.nulls(len(kept), pa.int64())], ["kind", "id", "n", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array([1] * len(kept), pa.int32()), pa.array((kept >> QUANTUM).astype(np.int64)), pa.array(counts), pa.nulls(len(kept), pa.int64()), pa.nulls(len(kept), pa.binary())], names)
 
     return run
 
 
+def _counted(part: tuple, table: pa.Table) -> pa.Table:
+    """(id, n): the shingles of a part that 8 sets have, or more."""
+    low = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for chunk in table["low"].chunks for x in chunk]))
+    first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+    n = np.diff(np.append(first, len(low)))
+    first, n = first[n >= 8], n[n >= 8]
+    return pa.table({"id": (part[0].as_py() << (PART_BITS - int(QUANTUM))) + low[first].astype(np.int64), "n": n.astype(np.int64)})
+
+
+def _often(u: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which shingles are frequent, and where in ``often``, which is not empty."""
+    short = u >> QUANTUM
+    at = np.minimum(np.searchsorted(often, short), len(often) - 1)
+    return often[at] == short, at
+
+
 def _ordered(u: np.ndarray, often: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The set in the global order: rare shingles by hash, then the frequent ones, rarest first."""
     if not len(often):
         return u
-    at = np.minimum(np.searchsorted(often, u), len(often) - 1)
-    hit = often[at] == u
+    hit, at = _often(u, often)
     if not hit.any():
         return u
-    return np.concatenate([u[~hit], u[hit][np.argsort(rank[at[hit]])]])
+    return np.concatenate([u[~hit], u[hit][np.argsort(rank[at[hit]], kind="stable")]])
 
 
 def _heads(words: int, percent: int, order: Broadcast):
@@ -149,7 +178,7 @@ def _segments(words: int, wanted: Broadcast, order: Broadcast):
                 if (i, node) in seen:
                     continue
                 seen.add((i, node))
-                last = np.isin(u, often) if len(often) else np.zeros(len(u), bool)
+                last = _often(u, often)[0] if len(often) else np.zeros(len(u), bool)
                 rare = u[~last].astype(np.int64)
                 cut = np.searchsorted(u[~last], _CUTS)
                 for f, seg in enumerate([*np.split(rare, cut), u[last].astype(np.int64)]):
@@ -214,13 +243,16 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    made = staged(docs.mapInArrow(lean(_classes(words)), "kind int, id long, n long, node long"), "sets")
-    often = made.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where("n >= 8").orderBy(F.desc("n"), "id").limit(FREQUENT).toPandas()
+    made = staged(docs.mapInArrow(lean(_classes(words)), "kind int, id long, n long, node long, low binary"), "sets")
+    often = made.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where("n >= 8")
+    counted = staged(made.where("kind = 2").select("id", "low").groupBy("id").applyInArrow(_counted, "id long, n long"), "counted")
+    often = often.unionByName(counted).orderBy(F.desc("n"), "id").limit(FREQUENT).toPandas()
     often = often.sort_values(["n", "id"], ascending=[True, True])
     hashes = often["id"].to_numpy(np.int64).astype(np.uint64)
     by = np.argsort(hashes)
     order = spark.sparkContext.broadcast((hashes[by], np.arange(len(by))[by]))
-    rows = made.where("kind = 0").select("id", "n", "node")
+    rows = staged(made.where("kind = 0").select("id", "n", "node"), "rows")
+    discard(made)
     reps = staged(rows.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "reps")
 
     heads = docs.where("id is not null and text is not null").mapInArrow(lean(_heads(words, percent, order)), "key long, node long, n int, place int")
@@ -252,9 +284,9 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         side = lambda p, q: F.when(first, F.col(p)).otherwise(F.col(q))
         pairs = met.select(side("node", "node2").alias("a"), side("node2", "node").alias("b"), side("n", "n2").cast("long").alias("na"), side("n2", "n").cast("long").alias("nb"))
         pairs = staged(pairs.distinct(), "pairs")
-        keys = x.select("node", "key")
-        both = _sized(pairs).join(keys.withColumnRenamed("node", "a"), "a").join(keys.withColumnRenamed("node", "b"), ["b", "key"])
-        both = both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+        keys = x.groupBy("node").agg(F.collect_list("key").alias("keys"))
+        both = _sized(pairs).join(keys.select(F.col("node").alias("a"), F.col("keys").alias("ka")), "a").join(keys.select(F.col("node").alias("b"), F.col("keys").alias("kb")), "b")
+        both = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ka", "kb")).alias("c"))
         rest = lambda n: F.floor((F.lit(percent) * n + 99) / 100) - 1
         most = F.col("c") + F.greatest(rest(F.col("na")), rest(F.col("nb")))
         return staged(both.where(F.lit(100 + percent) * most >= F.lit(percent) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb"), "candidates")
