@@ -17,7 +17,10 @@ from tallyframe.llm.jaccard_join import ngram_groups
 from tallyframe.llm.language_id import declared_in, identified, train_languages
 from tallyframe.llm.packing import document_pieces, packed_sequences
 from tallyframe.llm.pii import sanitised
-from tallyframe.llm.storage import free_names, set_aside, small_batches, staged
+from tallyframe.llm.storage import discard, free_names, set_aside, small_batches, staged
+
+#: Keys of documents that are broadcast at most, some 40 bytes each; more are joined by shuffles.
+BROADCAST_KEYS = 1 << 21
 
 
 def accepted_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +46,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     groups = ngram_groups(rows, id_col=key).select(key, "component_id").distinct()
     ids = rows.select(key, F.col("doc_id").cast("long").alias("id")).groupBy(key, "id").agg(F.count("*").alias("copies"))
     named = staged(groups.join(ids, key), "named")
-    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", key)).alias("first")).select(f"first.{key}")
-    rows = rows.join(named.join(kept, key, "left_anti").select(key), key, "left_anti")
-    again = named.where("copies > 1").select(key)
-    once = rows.join(again, key, "left_anti").unionByName(rows.join(again, key, "left_semi").dropDuplicates([key]))
+    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", key)).alias("first")).select(F.col(f"first.{key}").alias(key), F.lit(True).alias("stays"))
+    marked = named.join(kept, key, "left").where("copies > 1 or stays is null").select(key, F.col("stays").isNotNull().alias("stays"))
+    marked = staged(marked.distinct(), "marked")
+    if marked.count() <= BROADCAST_KEYS:  # so that texts stay where they are
+        marked = F.broadcast(marked)
+    once = rows.join(marked.select(key), key, "left_anti").unionByName(rows.join(marked.where("stays").select(key), key, "left_semi").dropDuplicates([key]))
     return once.select(docs.columns)
 
 
@@ -83,8 +88,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over the documents table; each stage's rows are written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in order over the documents table; each stage's rows are written and read again, and deleted when the next
+    ones are written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
