@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 from .storage import free_names, small_batches, staged
 from .textarrays import give_back, lean, pieces
 
-#: Labelled rows that the text models are fitted on at most, those with the smallest hashed ids.
-TRAIN_ROWS = 8_000
 #: Rows that a Python worker gets at a time, so that what it holds doesn't grow with the table.
 BATCH_ROWS = 1_000
 #: Byte classes of the trigrams: a-z, everything but letters, and the bytes of other alphabets folded into the rest.
@@ -65,30 +63,32 @@ def _trigrams(body: np.ndarray) -> np.ndarray:
     return ((c[:-2] * np.uint32(_CODES) + c[1:-1]) * np.uint32(_CODES) + c[2:]).astype(np.intp)
 
 
-def train_languages(docs: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Models of the languages that ``lang_col`` names, from at most ``rows`` labelled rows.
+def train_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+    """Models of the languages that ``lang_col`` names, from all labelled rows.
 
-    Rows without id, text or label are left out. The table of counts has at most 64 ** 3 rows a language.
+    Rows without text or label are left out. The table of counts has at most 64 ** 3 rows a language.
     """
     small_batches(docs.sparkSession, BATCH_ROWS)
-    usable = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows_ = usable.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    picked = rows_.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(rows)
+    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = usable.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch.column(0).to_pylist()
             for row, end, body, off in pieces(batch.column(1)):
+                found: dict[str, list[np.ndarray]] = {}
                 for k in range(row, end):
-                    grams = _trigrams(body[off[k - row] : off[k - row + 1]])
-                    total.setdefault(langs[k], np.zeros(_CODES**3, np.int64))
-                    total[langs[k]] += np.bincount(grams, minlength=_CODES**3)
+                    found.setdefault(langs[k], []).append(_trigrams(body[off[k - row] : off[k - row + 1]]))
+                for lang, grams in found.items():
+                    if lang not in total:
+                        total[lang] = np.zeros(_CODES**3, np.int64)
+                    total[lang] += np.bincount(np.concatenate(grams), minlength=_CODES**3)
         for lang, n in total.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "gram", "n"])
 
-    found = rows_.join(F.broadcast(picked), "id").select("lang", "text").mapInArrow(lean(counts), "lang string, gram int, n long")
+    found = rows.mapInArrow(lean(counts), "lang string, gram int, n long")
     found = found.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(found["lang"].unique()))
     table = np.full((max(1, len(languages)), _CODES**3), 0.1)
